@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depsight.llm import bpe
+from depsight.llm import bpe, lines, mixing, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -21,11 +21,31 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return lines.dedup(docs, n_lines="n_lines", n_dropped="n_dropped").drop("source")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(warc.records(read(spark, sf_dir, "pages"))))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(read(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op3_warc": op3_warc,
     "op5_bpe": op5_bpe,
+    "op7_mixing": op7_mixing,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": lines.ORACLE,
+    "op3_warc": warc.ORACLE,
+    "op7_mixing": mixing.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {}
