@@ -75,7 +75,7 @@ class Model:
     def scores(self, words: Words) -> np.ndarray:
         """For each word and language the sum of its triples' logarithms, with the script's languages first."""
         n, k = len(words.letters), len(self.languages)
-        out = np.stack([np.bincount(words.own, self.logs[words.triples, j], n) for j in range(k)], 1) if n else np.zeros((0, k))
+        out = np.stack([np.bincount(words.own, self.logs[words.triples, j], n).astype(float) for j in range(k)], 1) if n else np.zeros((0, k))
         script = words.scripts.argmax(1)
         can = self.has[:, script].T  # word by language
         can |= ~can.any(1)[:, None]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depsight.llm import bpe, language, lines, mixing, quality, warc
+from depsight.llm import bpe, language, lines, mixing, quality, toxicity, warc
 from depsight.llm.shared import held_out
 
 TOKENIZER = "word_bpe_49k.json"
@@ -32,6 +32,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(warc.records(read(spark, sf_dir, "pages"))))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -54,6 +60,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_warc": op3_warc,
+    "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
