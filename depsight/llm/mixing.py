@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depsight.llm.shared import WORD, table
+from depsight.llm.shared import WORD, numbered, table
 
 WEIGHTS = (5, 2, 1)
 #: Words of the mix as a share of all words, and the most times that a source's words are taken.
@@ -26,19 +26,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def ranked(sources: DataFrame, source_col: str) -> DataFrame:
-    """Adds rank, the place of each source by code point, null last, without sorting in one task: sorted ranges are counted, then shifted."""
-    at = F.monotonically_increasing_id()
-    placed = table(sources.orderBy(F.col(source_col).asc_nulls_last()).withColumn("at", at), "sources")
-    part, pos = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
-    counts = placed.groupBy(part.alias("part")).count().orderBy("part").collect()  # a row for each partition of the sort
-    before, shift = 0, F.lit(0)
-    for row in counts:
-        shift = F.when(part == row["part"], F.lit(before)).otherwise(shift)
-        before += row["count"]
-    return placed.withColumn("rank", pos + shift).drop("at")
-
-
 def targets(sizes: DataFrame, source_col: str = "source", size_col: str = "size", weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """source, source_size, target for each source.
 
@@ -47,7 +34,7 @@ def targets(sizes: DataFrame, source_col: str = "source", size_col: str = "size"
     """
     per = sizes.groupBy(F.col(source_col).alias("source")).agg(F.sum(size_col).cast("long").alias("source_size"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    per = table(ranked(per, "source").select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(most)).alias("limit")), "weights")
+    per = table(numbered(per, [F.col("source").asc_nulls_last()]).select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(most)).alias("limit")), "weights")
     level, capped = None, -1
     while True:
         above = F.lit(False) if level is None else F.col("weight") * F.lit(level) > F.col("limit")

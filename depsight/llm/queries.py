@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depsight.llm import bpe, language, lines, mixing, quality, toxicity, warc
+from depsight.llm import bpe, language, lines, mixing, quality, simhash, toxicity, warc
 from depsight.llm.shared import held_out
 
 TOKENIZER = "word_bpe_49k.json"
@@ -49,6 +49,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compared(read(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(read(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_language": op8_language,
+    "op9_simhash": op9_simhash,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": lines.ORACLE,
