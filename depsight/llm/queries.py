@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depsight.llm import bpe, language, lines, mixing, quality, simhash, toxicity, warc
+from depsight.llm import bpe, jaccard, language, lines, mixing, quality, simhash, toxicity, warc
 from depsight.llm.shared import held_out
 
 TOKENIZER = "word_bpe_49k.json"
@@ -61,6 +61,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_warc": op3_warc,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_language": op8_language,
     "op9_simhash": op9_simhash,
+    "op10_jaccard": op10_jaccard,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": lines.ORACLE,
