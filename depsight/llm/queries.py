@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depsight.llm import bpe, jaccard, language, lines, mixing, quality, simhash, toxicity, warc
+from depsight.llm import bpe, jaccard, language, lines, mixing, quality, simhash, substring, toxicity, warc
 from depsight.llm.shared import held_out
 
 TOKENIZER = "word_bpe_49k.json"
@@ -28,6 +28,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(docs, n_lines="n_lines", n_dropped="n_dropped").drop("source")
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(read(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(warc.records(read(spark, sf_dir, "pages"))))
 
@@ -67,6 +71,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_substring": op2_substring,
     "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
