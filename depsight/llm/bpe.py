@@ -311,8 +311,8 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Like encode(), but ids and decoded text leave the task only as their number and SHA-256 sums."""
+def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Like encode(), but ids and decoded text leave the task only as their number and SHA-256 sums; with_ids keeps the ids too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer)
@@ -321,7 +321,8 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
             ids = ids.astype("<u4")
             a = [hashlib.sha256(ids[i:j].tobytes()).hexdigest() for i, j in zip(bounds, bounds[1:], strict=False)]
             b = [hashlib.sha256(x.encode()).hexdigest() for x in decoded]
-            yield put(doc_id=t["doc_id"].combine_chunks(), n_tokens=pa.array(np.diff(bounds), pa.int64()), ids_sha256=a, decoded_sha256=b)
+            out = {"doc_id": t["doc_id"].combine_chunks(), "n_tokens": pa.array(np.diff(bounds), pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
+            yield put(**out, **({"ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))} if with_ids else {}))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depsight.llm.components import connected
@@ -203,3 +203,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     place = known.groupBy("doc_id").agg(F.min("doc").alias("doc")).join(parts, F.col("doc") == F.col("node"), "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "doc").alias("part"))
     out = sets.select("doc_id", "n").join(place, F.col("doc_id") == F.col("id"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("part", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, that stay when of each group only the document with the smallest id does.
+
+    Documents without words and rows with a null id are in no group and stay. Of rows that repeat an id that with the smallest text hash stays.
+    """
+    found = table(groups(docs, id_col, text_col, size, percent), "groups")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    again = table(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_shingles").alias("most")).where("n > 1 and most > 0").select(F.col("doc_id").alias("_again")), "again")
+    if again.isEmpty():
+        return left
+    same = docs[id_col].cast("long") == F.col("_again")
+    place = F.row_number().over(Window.partitionBy(docs[id_col]).orderBy(F.xxhash64(docs[text_col])))
+    first = left.join(again, same, "left_semi").withColumn("_place", place).where("_place = 1").drop("_place")
+    return left.join(again, same, "left_anti").unionByName(first)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depsight.llm.shared import doc_of, held_out, mixed, over_steps, put, text_of, words_of
+from depsight.llm.shared import doc_of, held_out, mixed, over_steps, put, steps, text_of, words_of
 
 #: Labelled documents of each class that reach the driver, about.
 SAMPLE = 1200
@@ -292,3 +292,16 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
 
     fields = [f"{c} {chosen.schema[c].dataType.simpleString()}" for c in chosen.columns[:-1]]
     return over_steps(chosen, work, ", ".join([*fields, "score double"])).withColumnsRenamed({f"k{i}": c for i, c in enumerate(kept)})
+
+
+def clean(docs: DataFrame, net: Network | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose texts score below the threshold."""
+    shipped = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches):
+        for t in steps(batches, text_col):
+            if shipped.value is not None:
+                t = t.filter(pa.array(shipped.value.scores(text_of(t, text_col)) < threshold))
+            yield from t.combine_chunks().to_batches()
+
+    return docs.mapInArrow(run, docs.schema)
