@@ -69,27 +69,24 @@ def followers(docs: DataFrame) -> DataFrame:
 
 
 def edited(docs: DataFrame, chain: DataFrame) -> DataFrame:
-    """Adds edited to (id, hash, n_chars, text) rows: the text with its last quarter replaced by the beginning of the next document.
+    """id, text and edited for (id, text) rows: the text with its last quarter replaced by the beginning of the next document.
 
-    A text moves once, by its id; of the next document only the piece that is wanted moves.
+    Both joins deal out the same two columns by id, so Spark moves a text once and uses the exchange twice; of the next document only the
+    piece that is wanted moves on.
     """
     wanted = chain.select(F.col("id").alias("asker"), "quarter", "next_id")
-    pieces = docs.join(wanted, F.col("id").eqNullSafe(F.col("next_id"))).select("asker", F.struct("hash", F.expr("substring(text, 1, quarter)").alias("piece")).alias("piece"))
+    pieces = docs.join(wanted, F.col("id").eqNullSafe(F.col("next_id"))).select("asker", F.struct(F.xxhash64("text").alias("hash"), F.expr("substring(text, 1, quarter)").alias("piece")).alias("piece"))
     pieces = pieces.groupBy("asker").agg(F.min("piece")["piece"].alias("piece"))
-    changed = F.expr("concat(substring(text, 1, cast(n_chars - floor(n_chars / 4) as int)), substring(piece, 1, cast(floor(n_chars / 4) as int)))")
-    return docs.join(pieces, F.col("id").eqNullSafe(F.col("asker"))).select("id", "hash", "text", changed.alias("edited"))
-
-
-def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(docs[text_col], F.lit(""))
-    return docs.select(docs[id_col].alias("id"), text.alias("text")).select("id", F.xxhash64("text").alias("hash"), F.char_length("text").cast("long").alias("n_chars"), "text")
+    changed = F.expr("concat(substring(text, 1, cast(char_length(text) - floor(char_length(text) / 4) as int)), substring(piece, 1, cast(floor(char_length(text) / 4) as int)))")
+    return docs.join(pieces, F.col("id").eqNullSafe(F.col("asker"))).select("id", "text", changed.alias("edited"))
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row its id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    base = rows_of(docs, id_col, text_col)
+    texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    base = texts.select("id", F.xxhash64("text").alias("hash"), F.char_length("text").cast("long").alias("n_chars"))
     chain = followers(base.select("id", "n_chars"))
-    changed = edited(base, chain).select("id", "hash", F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("sha"), "text", "edited")
+    changed = edited(texts, chain).select("id", F.xxhash64("text").alias("hash"), F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("sha"), "text", "edited")
     both = changed.select("id", "hash", "sha", F.posexplode(F.array("text", "edited")).alias("kind", "one"))
     found = fingerprints(both, ["id", "hash", "sha", "kind"], "one")
     pick = lambda k: F.max(F.when(F.col("kind") == k, F.col("fingerprint")))
