@@ -34,8 +34,8 @@ def coloured(edges: DataFrame) -> DataFrame:
     own = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("color", F.col("id"))
     colors, level = written(own, "colors"), 0
     while True:
-        come = edges.join(colors, edges["src"] == colors["id"]).groupBy("dst").agg(F.min("color").alias("come"))
-        new = colors.join(come, colors["id"] == come["dst"], "left").select("id", F.least("color", "come").alias("color"), (F.col("come") < F.col("color")).alias("moved"))
+        come = edges.join(colors, F.col("src") == F.col("id")).groupBy("dst").agg(F.min("color").alias("come"))
+        new = colors.join(come, F.col("id") == F.col("dst"), "left").select("id", F.least("color", "come").alias("color"), (F.col("come") < F.col("color")).alias("moved"))
         level += 1
         new = written(new, "colors") if level % STRIDE == 0 else new.persist()
         if new.where("moved").isEmpty():
@@ -55,7 +55,7 @@ def components(edges: DataFrame) -> DataFrame:
         roots = colors.where("id = color").select("id")
         back, front, level = roots.withColumn("scc", F.col("id")), roots.withColumn("scc", F.col("id")), 0
         while True:
-            step = inner.join(front, inner["dst"] == front["id"]).select(inner["src"].alias("id"), "scc").distinct().join(back.select("id"), "id", "left_anti")
+            step = inner.join(front.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "scc").distinct().join(back.select("id"), "id", "left_anti")
             level += 1
             step = written(step, "back") if level % STRIDE == 0 else step.persist()
             if step.isEmpty():

@@ -17,11 +17,11 @@ STRIDE = 8
 
 def reached(edges: DataFrame, seeds: DataFrame, avoid: DataFrame | None = None) -> DataFrame:
     """id of every node that a path of one edge or more leads to from the seeds (id); nodes in avoid are neither returned nor passed."""
-    ends = edges.select(F.col("src").alias("_from"), F.col("dst").alias("id")).distinct().persist()
+    ends = edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to")).distinct().persist()
     seen, levels = None, []
     front = seeds.select("id").distinct()
     while True:
-        found = front.join(ends, front["id"] == ends["_from"]).select(ends["id"]).distinct()
+        found = front.select(F.col("id").alias("_from")).join(ends, "_from").select(F.col("_to").alias("id")).distinct()
         for known in [x for x in (avoid, seen) if x is not None]:
             found = found.join(known, "id", "left_anti")
         found = found.persist()
@@ -58,9 +58,9 @@ def dependents_with_barrels(edges: DataFrame, start: DataFrame, mapping: DataFra
     mapping: raw_id, display_id. A start node that was folded into a barrel stands for the barrel.
     """
     folded = mapping.where("raw_id <> display_id")
-    seed = start.join(folded, start["id"] == folded["raw_id"], "left").select(F.coalesce("display_id", "id").alias("id")).distinct()
+    seed = start.select("id").join(folded, F.col("id") == F.col("raw_id"), "left").select(F.coalesce("display_id", "id").alias("id")).distinct()
     cone = reached(reversed_edges(edges), seed, avoid=seed)
-    members = cone.join(folded, cone["id"] == folded["display_id"]).select(F.col("raw_id").alias("id"))
+    members = cone.join(folded, F.col("id") == F.col("display_id")).select(F.col("raw_id").alias("id"))
     return cone.union(members).distinct()
 
 

@@ -1,5 +1,5 @@
 """A module graph over the driver's tables: parts are modules, and a part imports the next part of its order's lines if its own line was returned
-and had the highest discount."""
+and had a discount of nine per cent or more."""
 
 from __future__ import annotations
 
@@ -46,7 +46,7 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     known = module_nodes(spark, sf_dir)
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_discount")
     after = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")  # the lines of one order
-    imports = lines.withColumn("t", F.lead("l_partkey").over(after)).where("t IS NOT NULL AND l_returnflag = 'R' AND l_discount >= 0.095").select(F.col("l_partkey").alias("f"), "t").distinct()
+    imports = lines.withColumn("t", F.lead("l_partkey").over(after)).where("t IS NOT NULL AND l_returnflag = 'R' AND l_discount >= 0.085").select(F.col("l_partkey").alias("f"), "t").distinct()
     a, b = known.select(F.col("k").alias("f"), F.col("id").alias("src")), known.select(F.col("k").alias("t"), F.col("id").alias("dst"))
     edges = imports.join(a, "f").join(b, "t").select("src", "dst").distinct()
     nodes = known.select("id", F.col("id").alias("path"), P.base_name(F.col("id")).alias("label"), "package", F.lit("file").alias("kind"))
@@ -75,7 +75,7 @@ p AS (SELECT p_partkey k, p_size sz, replace(p_name,' ','_') nm, lower(replace(p
 mod_files AS (SELECT k, 'packages/' || pkg || '/' || dir || '/' || CASE WHEN k=lead_k AND b%3=0 THEN 'index' ELSE nm || '-' || CAST(k AS VARCHAR) END ||
     CASE sz%10 WHEN 0 THEN '.test.ts' WHEN 1 THEN '.d.ts' WHEN 2 THEN '.tsx' WHEN 3 THEN '.js' WHEN 4 THEN '.css' ELSE '.ts' END AS id, '@acme/' || pkg AS package FROM p),
 mod_imports AS (SELECT DISTINCT f, t FROM (SELECT l_partkey f, l_returnflag, l_discount, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) t FROM lineitem) x
-    WHERE t IS NOT NULL AND l_returnflag = 'R' AND l_discount >= 0.095),
+    WHERE t IS NOT NULL AND l_returnflag = 'R' AND l_discount >= 0.085),
 mod_nodes AS (SELECT k, id, package FROM mod_files WHERE regexp_matches(id, '\.(ts|tsx|js|jsx|mjs|cjs)$') AND NOT regexp_matches(id, '\.(test|spec)\.[^./]*$')),
 mod_edges AS (SELECT DISTINCT a.id AS src, b.id AS dst FROM mod_imports i JOIN mod_nodes a ON a.k=i.f JOIN mod_nodes b ON b.k=i.t),
 mod_barrels AS (SELECT DISTINCT regexp_replace(id,'/[^/]*$','') AS dir FROM mod_nodes WHERE regexp_matches(id, '/index\.(ts|tsx|js|jsx)$')),
