@@ -33,7 +33,7 @@ COUNTER_BITS = 18
 #: Prefix lengths beyond the classic one that a document can choose from, and the cost of a candidate in postings.
 EXTRA, CANDIDATE = (0, 2, 4, 8), 20.0
 #: A shingle of more classes makes no pairs.
-CROWD = 40
+CROWD = 12
 
 
 def sets_of(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,9 +139,15 @@ def near_sizes(percent: int) -> Column:
     return (100 * F.col("an") >= percent * F.col("bn")) & (100 * F.col("bn") >= percent * F.col("an"))
 
 
-def side(rows: DataFrame, name: str) -> DataFrame:
+def early(percent: int) -> Column:
+    """Whether a shared shingle can be the first one: before it neither set may have more that the other lacks than it can spare."""
+    least = need(F.col("an"), F.col("bn"), percent)
+    return (F.col("apos") <= F.col("an") - least) & (F.col("bpos") <= F.col("bn") - least)
+
+
+def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
     """Rows of classes under the names of one side of a pair."""
-    return rows.select("token", F.col("doc").alias(name), *[F.col(c).alias(f"{name}{c}") for c in ("n", "l", "hot")])
+    return rows.select("token", F.col("doc").alias(name), *[F.col(c).alias(f"{name}{c}") for c in ("n", "l", "hot", "pos", *more)])
 
 
 def verified(pairs: DataFrame, base: DataFrame, size: int, percent: int) -> DataFrame:
@@ -162,13 +168,14 @@ def links(base: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     rows = table(rows.join(hot, F.col("doc") == F.col("hot_doc"), "left").drop("hot_doc").fillna({"hot": 0}), "postings")
 
     few = rows.where(F.col("c") <= CROWD)
-    pairs = side(few, "a").join(side(few, "b"), "token").where((F.col("a") < F.col("b")) & near_sizes(percent))
-    pairs = pairs.groupBy("a", "b", "an", "bn", "al", "bl", "ahot", "bhot").agg(F.count("*").alias("k")).where(F.col("k") + F.least("ahot", "bhot") >= asked(percent)).select("a", "b")
+    want = F.greatest(F.lit(1), asked(percent) - F.least("ahot", "bhot"))  # the rest may be among crowded ones
+    pairs = side(few, "a").join(side(few, "b"), "token").where((F.col("a") < F.col("b")) & near_sizes(percent)).select("a", "b", want.cast("int").alias("want"))
+    pairs = pairs.groupBy("a", "b", "want").agg(F.count("*").alias("k")).where("k >= want").select("a", "b")
 
     many = rows.where(F.col("c") > CROWD)
-    hub = many.where("doc = hub").select("token", *[F.col(c).alias(f"b{c}") for c in ("n", "l", "hot")])
-    compared = side(many.where("doc <> hub"), "a").join(many.select("token", "hub").distinct(), "token").join(hub, "token").withColumnRenamed("hub", "b")
-    star = compared.where(near_sizes(percent) & (F.least("ahot", "bhot") >= asked(percent))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    alike = near_sizes(percent) & early(percent) & (F.least("ahot", "bhot") >= asked(percent))
+    hub = side(many.where("doc = hub"), "b")
+    star = side(many.where("doc <> hub"), "a").join(hub, "token").where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = table(pairs.union(star).distinct(), "pairs")
     found = table(verified(tried, base, size, percent), "links")
 
@@ -176,13 +183,12 @@ def links(base: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     parts = connected(found)
     placed = many.join(parts, F.col("doc") == F.col("node"), "left").withColumn("part", F.coalesce("component", "doc"))
     apart = placed.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("token")
-    placed = table(placed.join(apart, "token", "left_semi").select("token", "doc", "n", "l", "hot", "hub", "part"), "apart")
+    placed = table(placed.join(apart, "token", "left_semi").select("token", "doc", "n", "l", "hot", "pos", "hub", "part"), "apart")
     home = placed.where("doc = hub").select("token", F.col("part").alias("home"))
-    outer = placed.join(home, "token").where("part <> home")
-    left = outer.select("token", F.col("doc").alias("a"), *[F.col(c).alias(f"a{c}") for c in ("n", "l", "hot", "part")])
-    right = placed.join(home, "token").select("token", F.col("doc").alias("b"), (F.col("part") == F.col("home")).alias("at_home"), *[F.col(c).alias(f"b{c}") for c in ("n", "l", "hot", "part")])
-    rest = left.join(right, "token").where((F.col("apart") != F.col("bpart")) & (F.col("at_home") | (F.col("a") < F.col("b"))) & near_sizes(percent) & (F.least("ahot", "bhot") >= asked(percent)))
-    rest = rest.groupBy("a", "b", "an", "bn", "al", "bl").agg(F.count("*").alias("k")).where(F.col("k") >= asked(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    placed = placed.join(home, "token").withColumn("in", F.col("part") == F.col("home"))
+    left, right = side(placed.where("NOT in"), "a", "part"), side(placed, "b", "part", "in")
+    rest = left.join(right, "token").where((F.col("apart") != F.col("bpart")) & (F.col("bin") | (F.col("a") < F.col("b"))) & alike)
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = table(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
     return found if rest.isEmpty() else found.union(verified(rest, base, size, percent))
 

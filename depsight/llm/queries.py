@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depsight.llm import bpe, jaccard, language, lines, mixing, quality, simhash, substring, toxicity, warc
-from depsight.llm.shared import held_out
+from depsight.llm.shared import held_out, importable
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -20,6 +20,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 STEP_CHARS = 4_000_000
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers on this machine find the package wherever the driver was started; a cluster gets it with its job's files."""
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{paths}" if paths else root
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where that is unset (tests, one machine) a temporary one, which is then set."""
     found = spark.conf.get("spark.checkpoint.dir", None)

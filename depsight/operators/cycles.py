@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depsight.operators.reach import union
 from depsight.tables import written
 
-#: Trimming rounds at most, and levels between written tables.
+#: Trimming rounds at most, and levels that become one table.
 TRIMS, STRIDE = 12, 6
 
 
@@ -32,14 +33,13 @@ def trimmed(edges: DataFrame) -> DataFrame:
 def coloured(edges: DataFrame) -> DataFrame:
     """id, color: the smallest id among the node and those that reach it."""
     own = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("color", F.col("id"))
-    colors, level = written(own, "colors"), 0
+    colors = written(own, "colors")
     while True:
         come = edges.join(colors, F.col("src") == F.col("id")).groupBy("dst").agg(F.min("color").alias("come"))
         new = colors.join(come, F.col("id") == F.col("dst"), "left").select("id", F.least("color", "come").alias("color"), (F.col("come") < F.col("color")).alias("moved"))
-        level += 1
-        new = written(new, "colors") if level % STRIDE == 0 else new.persist()
+        new = written(new, "colors")
         if new.where("moved").isEmpty():
-            return written(new.select("id", "color"), "colors")
+            return new.select("id", "color")
         colors = new.select("id", "color")
 
 
@@ -53,25 +53,26 @@ def components(edges: DataFrame) -> DataFrame:
         same = left.join(colors.select(F.col("id").alias("src"), F.col("color").alias("a")), "src").join(colors.select(F.col("id").alias("dst"), F.col("color").alias("b")), "dst")
         inner = written(same.where("a = b").select("src", "dst"), "inner")
         roots = colors.where("id = color").select("id")
-        back, front, level = roots.withColumn("scc", F.col("id")), roots.withColumn("scc", F.col("id")), 0
+        front = written(roots.withColumn("scc", F.col("id")), "back")
+        levels = [front]
         while True:
-            step = inner.join(front.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "scc").distinct().join(back.select("id"), "id", "left_anti")
-            level += 1
-            step = written(step, "back") if level % STRIDE == 0 else step.persist()
-            if step.isEmpty():
+            step = inner.join(front.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "scc").distinct()
+            for known in levels:
+                step = step.join(known.select("id"), "id", "left_anti")
+            front = written(step, "back")
+            if front.isEmpty():
                 break
-            back = written(back.union(step), "back") if level % STRIDE == 0 else back.union(step)
-            front = step
-        back = written(back, "back")
+            levels.append(front)
+            if len(levels) == STRIDE:
+                levels = [written(union(levels), "back")]
+        back = union(levels)
         found.append(back)
         rest = inner.join(back.select(F.col("id").alias("src")), "src", "left_anti").join(back.select(F.col("id").alias("dst")), "dst", "left_anti")
         left = trimmed(written(rest.select("src", "dst"), "edges"))
-    whole = None
-    for part in found:
-        whole = part if whole is None else whole.union(part)
     single = loops.withColumn("scc", F.col("id"))
-    if whole is None:
+    if not found:
         return single
+    whole = written(union(found), "components")
     sizes = whole.groupBy("scc").agg(F.count("*").alias("n")).where("n > 1")
     large = whole.join(sizes, "scc").select("id", "scc")
     return large.union(single.join(large.select("id"), "id", "left_anti"))

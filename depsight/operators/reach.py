@@ -1,7 +1,7 @@
 """Reachability over edges (src, dst): blast radius, dead code, cone statistics.
 
-Fixpoints go level by level: the frontier joins the edges, what was seen before is taken off, and the next level is kept in memory, to be
-recomputed where an executor is lost. Every few levels what was seen is written to the shared folder, which ends its lineage.
+Fixpoints go level by level: the frontier joins the edges, and what was seen before is taken off. Each level is written to the shared folder, so that
+plans stay short and a lost executor costs no earlier level; every few levels what was seen becomes one table.
 """
 
 from __future__ import annotations
@@ -11,35 +11,31 @@ from pyspark.sql import functions as F
 
 from depsight.tables import written
 
-#: Levels between written tables.
+#: Levels that become one table.
 STRIDE = 8
 
 
 def reached(edges: DataFrame, seeds: DataFrame, avoid: DataFrame | None = None) -> DataFrame:
     """id of every node that a path of one edge or more leads to from the seeds (id); nodes in avoid are neither returned nor passed."""
-    ends = edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to")).distinct().persist()
-    seen, levels = None, []
-    front = seeds.select("id").distinct()
+    ends = written(edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to")).distinct(), "ends")
+    front, levels = seeds.select("id").distinct(), []
     while True:
         found = front.select(F.col("id").alias("_from")).join(ends, "_from").select(F.col("_to").alias("id")).distinct()
-        for known in [x for x in (avoid, seen) if x is not None]:
+        for known in [*([avoid.select("id")] if avoid is not None else []), *levels]:
             found = found.join(known, "id", "left_anti")
-        found = found.persist()
-        if found.isEmpty():
+        front = written(found, "level")
+        if front.isEmpty():
             break
-        levels.append(found)
-        seen = found if seen is None else seen.union(found)
-        if len(levels) % STRIDE == 0:
-            seen = written(seen, "seen")
-            front = written(found, "front")
-            for x in levels:
-                x.unpersist()
-            levels = []
-        else:
-            front = found
-    out = written(seen if seen is not None else found, "reached")
-    for x in (*levels, found, ends):
-        x.unpersist()
+        levels.append(front)
+        if len(levels) == STRIDE:
+            levels = [written(union(levels), "seen")]
+    return union(levels) if levels else front
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
     return out
 
 
