@@ -6,8 +6,9 @@ min(L(n) - n + need, L(m) - m + need). L is the classic prefix length plus a pie
 with the least estimated cost, candidates being dearer to verify than postings to read. The longer it is, the more matches are asked for.
 
 Documents with equal sets are one class. Shingles of a few classes make pairs, which are counted and kept where matches suffice. A shingle of many classes makes
-no pairs: its classes are compared with one of them, the hub; after the links so found, only classes that are still apart are compared with each
-other. So a large group of near copies costs its size, and no link between different texts that could join two components is left out.
+no pairs: its classes are compared with one of them, the hub. Pairs whose sketches show too many differences go. Of the rest each class is first verified
+with its smallest partner; after the links so found, only pairs of classes that are still apart are verified. So a large group of near copies costs
+its size, and no link between different texts that could join two components is left out.
 
 Null texts and texts without words have no shingles and link with nothing; with fewer words than a shingle the whole sequence is the one shingle.
 Rows with the same id are one document: linked if any of them is. A null id links with nothing and has a null component. Repeated rows get one output
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depsight.llm.components import connected
-from depsight.llm.shared import doc_of, mixed, put, run_hashes, steps, table, text_of, word_hashes, words_of
+from depsight.llm.shared import doc_of, drop, mixed, put, run_hashes, steps, table, text_of, word_hashes, words_of
 
 SHINGLE, PERCENT = 3, 90
 #: Counters of the common order: a fixed size for what is counted, collected and broadcast.
@@ -34,6 +35,8 @@ COUNTER_BITS = 18
 EXTRA, CANDIDATE = (0, 2, 4, 8), 20.0
 #: A shingle of more classes makes no pairs.
 CROWD = 12
+#: Longs of a set's sketch: bit i is odd if an odd number of its shingles fall on i, so two sketches differ in no more bits than the sets in shingles.
+SKETCH = 8
 
 
 def sets_of(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +85,7 @@ def counters(base: DataFrame, size: int) -> np.ndarray:
 
 
 def prefixes(base: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2 (sums that stand for the set), pre (the prefix in the common order) for each row."""
+    """doc_id, n, s1, s2 (sums that stand for the set), sketch, pre (the prefix in the common order) for each row."""
     mean = counts.mean()
     crowded = counts > 2 * mean + 6 * np.sqrt(mean) + 8
     excess = np.maximum(counts - mean, 0) * crowded
@@ -99,6 +102,8 @@ def prefixes(base: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
             for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
                 ends = np.concatenate([[np.uint64(0)], np.cumsum(mixed(runs ^ np.uint64(salt)))])
                 sums.append((ends[places[1:]] - ends[places[:-1]]).view(np.int64))
+            bits = np.bincount(doc * (64 * SKETCH) + (runs & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=len(n) * 64 * SKETCH).astype(np.uint8) & 1
+            sketch = pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(bits).view(np.int64)), SKETCH).cast(pa.list_(pa.int64()))
             order = np.argsort(doc * 2 + crowded[counter], kind="stable")  # within a text sorted by hash already
             cost = np.concatenate([[0.0], np.cumsum(excess[counter][order], dtype=np.float64)])
             classic = n - (percent * n + 99) // 100 + 1
@@ -108,9 +113,9 @@ def prefixes(base: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
             length = lengths[best, np.arange(len(n))]
             at = np.repeat(places[:-1] - np.cumsum(length) + length, length) + np.arange(length.sum())
             pre = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(runs[order][at].view(np.int64)))
-            yield put(doc_id=t["doc_id"].combine_chunks(), n=pa.array(n, pa.int64()), s1=sums[0], s2=sums[1], pre=pre)
+            yield put(doc_id=t["doc_id"].combine_chunks(), n=pa.array(n, pa.int64()), s1=sums[0], s2=sums[1], sketch=sketch, pre=pre)
 
-    return base.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, pre array<long>")
+    return base.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sketch array<long>, pre array<long>")
 
 
 def whole_sets(base: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -151,21 +156,32 @@ def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, base: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets are alike enough."""
+    """The pairs whose whole sets are alike enough, as a table."""
     ids = table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "asked")
     sets = table(whole_sets(base, ids, size), "sets")
     rows = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return rows.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
+    found = table(rows.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b").distinct(), "links")
+    drop(sets)
+    return found
+
+
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches differ in no more bits than sets that are alike enough may."""
+    known = lambda x: classes.select(F.col("doc").alias(x), F.col("n").alias(f"{x}n"), F.col("sketch").alias(f"{x}s"))
+    rows = pairs.join(known("a"), "a").join(known("b"), "b")
+    differs = sum((F.bit_count(F.col("as")[k].bitwiseXOR(F.col("bs")[k])) for k in range(SKETCH)), F.lit(0))
+    return rows.where(differs <= F.col("an") + F.col("bn") - 2 * need(F.col("an"), F.col("bn"), percent)).select("a", "b")
 
 
 def links(base: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) links that join all classes that belong together; classes: doc, n, pre of one document of each class."""
+    """(a, b) links that join all classes that belong together; classes: doc, n, sketch, pre of one document of each class."""
     spread = classes.select("doc", "n", F.size("pre").cast("long").alias("l"), F.posexplode("pre").alias("pos", "token"))
     hubs = spread.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("pos", "doc")).alias("h")).where("c > 1").select("token", "c", F.col("h.doc").alias("hub"))
-    rows = table(spread.join(hubs, "token"), "postings")
-    hot = rows.where(F.col("c") > CROWD).groupBy("doc").agg(F.count("*").alias("hot")).withColumnRenamed("doc", "hot_doc")
-    rows = table(rows.join(hot, F.col("doc") == F.col("hot_doc"), "left").drop("hot_doc").fillna({"hot": 0}), "postings")
+    shared = table(spread.join(hubs, "token"), "postings")
+    hot = shared.where(F.col("c") > CROWD).groupBy("doc").agg(F.count("*").alias("hot")).withColumnRenamed("doc", "hot_doc")
+    rows = table(shared.join(hot, F.col("doc") == F.col("hot_doc"), "left").drop("hot_doc").fillna({"hot": 0}), "postings")
+    drop(shared)
 
     few = rows.where(F.col("c") <= CROWD)
     want = F.greatest(F.lit(1), asked(percent) - F.least("ahot", "bhot"))  # the rest may be among crowded ones
@@ -176,20 +192,24 @@ def links(base: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     alike = near_sizes(percent) & early(percent) & (F.least("ahot", "bhot") >= asked(percent))
     hub = side(many.where("doc = hub"), "b")
     star = side(many.where("doc <> hub"), "a").join(hub, "token").where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = table(pairs.union(star).distinct(), "pairs")
-    found = table(verified(tried, base, size, percent), "links")
-
-    # shingles of many classes whose classes are not yet all together
-    parts = connected(found)
+    pairs = table(possible(pairs.union(star).distinct(), classes, percent), "pairs")
+    tried = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = verified(tried, base, size, percent)
+
+    # pairs, and shingles of many classes, whose classes are not yet all together
+    parts = table(connected(found), "parts")
+    of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"{x}part"))
+    left = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    left = left.where(F.coalesce("apart", "a") != F.coalesce("bpart", "b")).select("a", "b")
     placed = many.join(parts, F.col("doc") == F.col("node"), "left").withColumn("part", F.coalesce("component", "doc"))
     apart = placed.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("token")
     placed = table(placed.join(apart, "token", "left_semi").select("token", "doc", "n", "l", "hot", "pos", "hub", "part"), "apart")
     home = placed.where("doc = hub").select("token", F.col("part").alias("home"))
     placed = placed.join(home, "token").withColumn("in", F.col("part") == F.col("home"))
-    left, right = side(placed.where("NOT in"), "a", "part"), side(placed, "b", "part", "in")
-    rest = left.join(right, "token").where((F.col("apart") != F.col("bpart")) & (F.col("bin") | (F.col("a") < F.col("b"))) & alike)
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = table(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+    outer, inner = side(placed.where("NOT in"), "a", "part"), side(placed, "b", "part", "in")
+    rest = outer.join(inner, "token").where((F.col("apart") != F.col("bpart")) & (F.col("bin") | (F.col("a") < F.col("b"))) & alike)
+    rest = possible(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, percent)
+    rest = table(left.union(rest).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     return found if rest.isEmpty() else found.union(verified(rest, base, size, percent))
 
 
@@ -200,7 +220,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     real = sets.where("n > 0 and doc_id is not null")
     classes = table(real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc")), "classes")
     named = ["n", "s1", "s2"]
-    first = real.join(classes, named).where("doc = doc_id").groupBy(*named, "doc").agg(F.first("pre").alias("pre"))
+    first = real.join(classes, named).where("doc = doc_id").groupBy(*named, "doc").agg(F.first("sketch").alias("sketch"), F.first("pre").alias("pre"))
     found = links(base, first, size, percent)
     known = real.select("doc_id", *named).join(classes, named).select("doc_id", "doc").distinct()
     same = known.groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b")

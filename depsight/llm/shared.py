@@ -51,6 +51,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Removes the files of a table() that nothing will read again."""
+    for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        _remove(df.sparkSession, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
