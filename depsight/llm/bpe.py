@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from depsight.llm.shared import put, steps
 
-#: Words that a task remembers before it starts anew: a bound of its memory.
-REMEMBERED = 400_000
+#: Words that a task remembers before it starts anew: a bound of its memory. Only words that recur within a step are remembered.
+REMEMBERED = 100_000
 ID_BITS, ID_MASK, NO_PAIR = 17, (1 << 17) - 1, 1 << 62
 #: Fragments of more symbols than this are merged with a heap.
 LONG = 48
@@ -199,17 +199,17 @@ class Codec:
                 left = i > 0
                 best[own[left], i[left] - 1] = self._ranks(ids[own[left], i[left] - 1], ids[own[left], i[left]])
 
-    def learn(self, words: list[str]) -> list[tuple[list[int], str]]:
-        """Ids and decoded string of each word, remembered."""
-        memory = self.memory
+    def learn(self, words: list[str], recurs: list[bool]) -> list[tuple[list[int], str]]:
+        """Ids and decoded string of each word; words that recur are remembered."""
+        memory, names = self.memory, self.names
         new = [w for w in words if w not in memory]
-        if len(memory) + len(new) > REMEMBERED:
+        fresh = {w: (ids, " ".join([names[i] for i in ids])) for w, ids in zip(new, self.word_lists(new), strict=True)} if new else {}
+        found = [fresh[w] if w in fresh else memory[w] for w in words]
+        kept = {w: fresh[w] for w, again in zip(words, recurs, strict=True) if again and w in fresh}
+        if len(memory) + len(kept) > REMEMBERED:
             memory.clear()
-            new = words
-        if new:
-            names = self.names
-            memory.update((w, (ids, " ".join([names[i] for i in ids]))) for w, ids in zip(new, self.word_lists(new), strict=True))
-        return [memory[w] for w in words]
+        memory.update(kept)
+        return found
 
     def normal(self, text: str) -> str:
         """Composed and in lower case; white space stays outside of words, so it needs to be known as such only."""
@@ -246,8 +246,8 @@ class Codec:
         odd = {k: x for k, x in enumerate(texts) if x and "<|" in x and self.specials and self.specials.search(x)}
         flat, offsets = self.split(["" if not x or k in odd else self.normal(x) for k, x in enumerate(texts)])
         coded = flat.dictionary_encode()
-        known = self.learn(coded.dictionary.to_pylist())
         code = np.asarray(coded.indices).astype(np.int64)
+        known = self.learn(coded.dictionary.to_pylist(), (np.bincount(code, minlength=len(coded.dictionary)) > 1).tolist())
         size = np.array([len(ids) for ids, _ in known], np.int64)
         table = np.array([x for ids, _ in known for x in ids], np.int64)
         begin = np.concatenate([[0], np.cumsum(size)])[:-1] if len(size) else size

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters of text that one step of a batch function works on; a longer single text is one step.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 1_000_000
 
 
 def importable(spark: SparkSession) -> None:
@@ -89,6 +89,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[p
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield pa.Table.from_batches([batch.slice(a, b - a)]).combine_chunks()
+    pa.default_memory_pool().release_unused()  # workers are kept for later tasks; Arrow's free memory isn't
 
 
 def text_of(t: pa.Table, column: str = "text") -> pa.Array:
