@@ -13,6 +13,8 @@ classes all scores are 0. Extra columns of the input are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,7 +33,7 @@ EPOCHS, BATCH, RATE, LEAST_UPDATES = 4, 64, 0.01, 240
 THRESHOLD = 0.3
 TRIMMED = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„’‘…–—¿¡"
 #: Windows that go through the network at once.
-AT_ONCE = 16_384
+AT_ONCE = 4_096
 
 
 def sigmoid(x):
@@ -193,31 +195,46 @@ class Network:
         return np.where(np.isfinite(top), sigmoid(self.slope * top.astype(np.float64) + self.shift), 0.0)
 
 
-def odds(item: np.ndarray, doc: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
-    """For each item the log odds of toxic documents among those with it, towards 0 for rare ones; half of it, within 2."""
-    pairs = np.unique(item * len(toxic) + doc)
-    item, bad = pairs // len(toxic), toxic[pairs % len(toxic)]
-    p, n = np.bincount(item, bad, size), np.bincount(item, ~bad, size)
+def odds(parts: Iterator[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, size: int) -> np.ndarray:
+    """For each item the log odds of toxic documents among those with it, towards 0 for rare ones; half of it, within 2.
+
+    The parts hold items and their documents, no document in two parts.
+    """
+    p, n = np.zeros(size), np.zeros(size)
+    for item, doc in parts:
+        pairs = np.unique(item * len(toxic) + doc)
+        item, bad = pairs // len(toxic), toxic[pairs % len(toxic)]
+        p += np.bincount(item, bad, size)
+        n += np.bincount(item, ~bad, size)
     share = max(toxic.mean(), 1e-3)
     lo = np.log((p + 2 * share) / (n + 2 * (1 - share))) - np.log(share / (1 - share))
     return np.where(p + n >= LEAST_DOCS, np.clip(lo, -4, 4) / 2, 0).astype(np.float32)
 
 
+def groups_of(c: Coded, word: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Letter groups and their documents, some documents at a time; doc ascends."""
+    cuts = np.unique(np.searchsorted(doc, doc[:: 1 << 14])).tolist() if len(doc) else []
+    for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True):
+        size = np.diff(c.begin)[word[a:b]]
+        at = np.repeat(c.begin[:-1][word[a:b]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        yield c.groups[at], np.repeat(doc[a:b], size)
+
+
 def fit(texts: list[str], toxic: np.ndarray, weights: np.ndarray, seed: int = 7) -> Network | None:
     """Trains on whole texts; weights give the documents that each sampled one stands for."""
     if not toxic.any() or toxic.all():
         return None
-    c = Coded(pa.array(texts, pa.large_string()))
+    c, n_texts = Coded(pa.array(texts, pa.large_string())), len(texts)
+    del texts
     rng, doc = np.random.default_rng(seed), doc_of(c.offsets)
-    word_odds = odds(c.code, doc, toxic, len(c.words))
-    in_docs = np.bincount(np.unique(c.code * len(texts) + doc) // len(texts), minlength=len(c.words))
+    pairs = np.unique(doc * max(1, len(c.words)) + c.code)
+    in_doc, word = pairs // max(1, len(c.words)), pairs % max(1, len(c.words))
+    word_odds = odds(iter([(word, in_doc)]), toxic, len(c.words))
+    in_docs = np.bincount(word, minlength=len(c.words))
     often = np.argsort(-in_docs, kind="stable")[:MOST_WORDS]
     often = often[in_docs[often] >= LEAST_DOCS]
     names, first = np.unique(np.array(c.words.take(pa.array(often)).to_pylist(), object).astype(str) if len(often) else np.array([], str), return_index=True)
-    pairs = np.unique(c.code * len(texts) + doc)
-    size = np.diff(c.begin)[pairs // len(texts)]
-    at = np.repeat(c.begin[:-1][pairs // len(texts)] - np.cumsum(size) + size, size) + np.arange(size.sum())
-    group_odds = odds(c.groups[at], np.repeat(pairs % len(texts), size), toxic, 1 << CHAR_BITS)
+    group_odds = odds(groups_of(c, word, in_doc), toxic, 1 << CHAR_BITS)
     net = Network(names.tolist(), word_odds[often][first] if len(often) else np.empty(0, np.float32), group_odds, seed)
 
     start, text = c.windows()
@@ -225,7 +242,7 @@ def fit(texts: list[str], toxic: np.ndarray, weights: np.ndarray, seed: int = 7)
     rows = c.rows(start, text)
     suspect = np.where(rows >= 0, strong[rows], -9).max(1)
     most = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    epochs = max(EPOCHS, -(-LEAST_UPDATES * BATCH // max(1, 2 * len(texts))))
+    epochs = max(EPOCHS, -(-LEAST_UPDATES * BATCH // max(1, 2 * n_texts)))
     updates = 0
     for epoch in range(epochs):
         if epoch and epoch % 2 == 0:
@@ -234,7 +251,7 @@ def fit(texts: list[str], toxic: np.ndarray, weights: np.ndarray, seed: int = 7)
         order = np.lexsort((rng.random(len(text)), -suspect, text))
         top = order[np.unique(text[order], return_index=True)[1]]
         other = np.arange(len(text))[~toxic[text]]
-        chosen = np.concatenate([top, rng.choice(other, min(len(other), len(texts)), replace=False)])
+        chosen = np.concatenate([top, rng.choice(other, min(len(other), n_texts), replace=False)])
         rng.shuffle(chosen)
         for i in range(0, len(chosen), BATCH):
             some = chosen[i : i + BATCH]
@@ -277,7 +294,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").toArrow().to_pydict()
     toxic = np.array(found["toxic"], np.int64) > 0
     each = {label: max(1.0, n / sample) for label, n in counts.items()}
-    return fit(found["text"], toxic, np.array([each[x] for x in found["toxic"]]))
+    net = fit(found.pop("text"), toxic, np.array([each[x] for x in found["toxic"]]))
+    pa.default_memory_pool().release_unused()
+    return net
 
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", *kept: str) -> DataFrame:
