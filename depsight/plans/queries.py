@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from depsight.functions import colors as C
 from depsight.functions import paths as P
 from depsight.operators import cycles, folders, geometry, graphs, reach, resolve
 from depsight.sources import derived
-from depsight.sources.derived import VIEWS, Graph
+from depsight.sources.derived import VIEWS, WHOLE_VIEWS, Graph
 from depsight.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,20 +21,27 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(oracle: str | None = None, views: bool = True, more: str = ""):
-    """Registers a query by its function's name; more holds further views of its oracle."""
+    """Registers a query by its function's name; more holds further views of its oracle.
+
+    A query of the import graph is registered a second time as whole_..., over all imports; a closure of all pairs is too slow for an oracle there.
+    """
 
     def put(f):
         QUERIES[f.__name__] = f
         if oracle:
             ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {VIEWS}{more} {oracle}" if views else oracle
+        if "whole" in inspect.signature(f).parameters:
+            QUERIES[f"whole_{f.__name__}"] = partial(f, whole=True)
+            if oracle and "clo(a, b)" not in more:
+                ORACLE_SQL[f"whole_{f.__name__}"] = f"WITH RECURSIVE {WHOLE_VIEWS}{more} {oracle}"
         return f
 
     return put
 
 
-def display(spark: SparkSession, sf_dir: str, keep: bool = False) -> tuple[Graph, Graph, DataFrame]:
+def display(spark: SparkSession, sf_dir: str, keep: bool = False, whole: bool = False) -> tuple[Graph, Graph, DataFrame]:
     """The raw graph, the display graph and the mapping; with keep written once, for operators that read them many times."""
-    raw = derived.graph(spark, sf_dir)
+    raw = derived.graph(spark, sf_dir, whole)
     mapping = folders.barrel_mapping(raw.nodes, folders.index_folders(raw.nodes))
     nodes, edges = folders.display_nodes(raw.nodes, mapping), graphs.rewritten(raw.edges, mapping)
     if keep:
@@ -40,8 +49,8 @@ def display(spark: SparkSession, sf_dir: str, keep: bool = False) -> tuple[Graph
     return raw, Graph(nodes, edges), mapping
 
 
-def raw(spark: SparkSession, sf_dir: str, keep: bool = False) -> Graph:
-    g = derived.graph(spark, sf_dir)
+def raw(spark: SparkSession, sf_dir: str, keep: bool = False, whole: bool = False) -> Graph:
+    g = derived.graph(spark, sf_dir, whole)
     return Graph(written(g.nodes), written(g.edges)) if keep else g
 
 
@@ -114,9 +123,9 @@ def bare_specifier(spark, sf_dir):
     return links(spark, sf_dir).distinct().select("page_id", "specifier", P.bare_package(F.col("specifier")).alias("package"))
 
 
-def specifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def specifiers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Edges written as relative imports: up to the packages folder and down, the extension left out."""
-    e = raw(spark, sf_dir).edges
+    e = raw(spark, sf_dir, whole=whole).edges
     down = F.regexp_replace(F.regexp_replace("dst", "^packages/", ""), r"\.[^./]*$", "")
     down = F.when(F.col("dst").rlike(r"/index\.[^./]*$"), F.regexp_replace(down, "/index$", "")).otherwise(down)
     return e.select(F.col("src").alias("file_id"), F.concat(F.lit("../../"), down).alias("source"), F.lit("static").alias("kind"), F.lit(False).alias("is_template"), F.lit(False).alias("is_unresolvable"))
@@ -129,14 +138,14 @@ res AS (SELECT file_id, source, arg_min(f.id, x.pos) AS target FROM (SELECT DIST
 
 
 @query("SELECT file_id, source, target FROM res", more=SPECS)
-def relative_resolve(spark, sf_dir):
+def relative_resolve(spark, sf_dir, whole=False):
     files = derived.files(spark, sf_dir).select(F.col("id").alias("path"))
-    return resolve.relative(specifiers(spark, sf_dir), files)
+    return resolve.relative(specifiers(spark, sf_dir, whole=whole), files)
 
 
 @query("SELECT file_id, regexp_replace(source, '^../../', '@src/') AS source, target FROM res", more=SPECS)
-def paths_alias_match(spark, sf_dir):
-    asked = specifiers(spark, sf_dir).withColumn("source", F.regexp_replace("source", r"^\.\./\.\./", "@src/"))
+def paths_alias_match(spark, sf_dir, whole=False):
+    asked = specifiers(spark, sf_dir, whole=whole).withColumn("source", F.regexp_replace("source", r"^\.\./\.\./", "@src/"))
     configs = spark.createDataFrame([("", "", [("@src/*", ["missing/*", "packages/*"]), ("@src/never", ["x"])])], "dir string, base_url string, paths array<struct<pattern: string, subs: array<string>>>")
     return resolve.aliases(asked, configs, derived.files(spark, sf_dir).select(F.col("id").alias("path")))
 
@@ -153,13 +162,13 @@ def owning_package(spark, sf_dir):
 
 
 @query("SELECT src, dst FROM mod_edges")
-def raw_edges(spark, sf_dir):
-    return raw(spark, sf_dir).edges
+def raw_edges(spark, sf_dir, whole=False):
+    return raw(spark, sf_dir, whole=whole).edges
 
 
 @query("SELECT n.id, count(e.src) AS dependents FROM mod_nodes n LEFT JOIN mod_edges e ON e.dst = n.id GROUP BY n.id")
-def fan_in(spark, sf_dir):
-    g = raw(spark, sf_dir)
+def fan_in(spark, sf_dir, whole=False):
+    g = raw(spark, sf_dir, whole=whole)
     return graphs.fan_in(g.nodes, g.edges)
 
 
@@ -167,8 +176,8 @@ def fan_in(spark, sf_dir):
     """SELECT n.id, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM mod_display_edges e WHERE e.src = n.id), '') AS imports,
     coalesce((SELECT string_agg(src, ',' ORDER BY src) FROM mod_display_edges e WHERE e.dst = n.id), '') AS imported_by FROM mod_display_nodes n"""
 )
-def adjacency(spark, sf_dir):
-    _, g, _ = display(spark, sf_dir)
+def adjacency(spark, sf_dir, whole=False):
+    _, g, _ = display(spark, sf_dir, whole=whole)
     return graphs.adjacency(g.nodes, g.edges).select("id", F.array_join("imports", ",").alias("imports"), F.array_join("imported_by", ",").alias("imported_by"))
 
 
@@ -219,19 +228,19 @@ def display_nodes(spark, sf_dir):
 
 
 @query("SELECT src, dst FROM mod_display_edges")
-def display_edges(spark, sf_dir):
-    return display(spark, sf_dir)[1].edges
+def display_edges(spark, sf_dir, whole=False):
+    return display(spark, sf_dir, whole=whole)[1].edges
 
 
 @query("SELECT src, dst FROM mod_edges WHERE src <> dst")
-def passthrough_edges(spark, sf_dir):
-    g = raw(spark, sf_dir)
+def passthrough_edges(spark, sf_dir, whole=False):
+    g = raw(spark, sf_dir, whole=whole)
     return graphs.rewritten(g.edges, g.nodes.select(F.col("id").alias("raw_id"), F.col("id").alias("display_id")))
 
 
 @query(f"SELECT src, dst FROM mod_display_edges WHERE src = '{START}' OR dst = '{START}'")
-def one_hop(spark, sf_dir):
-    return graphs.one_hop(display(spark, sf_dir)[1].edges, start_of(spark, START))[1]
+def one_hop(spark, sf_dir, whole=False):
+    return graphs.one_hop(display(spark, sf_dir, whole=whole)[1].edges, start_of(spark, START))[1]
 
 
 # --- reachability
@@ -240,8 +249,8 @@ CONE = f", cone(id) AS (SELECT src FROM mod_display_edges WHERE dst = '{START}'
 
 
 @query("SELECT id FROM cone", more=CONE)
-def blast_radius(spark, sf_dir):
-    _, g, _ = display(spark, sf_dir, keep=True)
+def blast_radius(spark, sf_dir, whole=False):
+    _, g, _ = display(spark, sf_dir, keep=True, whole=whole)
     return reach.dependents(g.edges, start_of(spark, START))
 
 
@@ -249,8 +258,8 @@ BARREL_CONE = CONE + f", bc AS (SELECT id FROM cone WHERE id <> '{START}' UNION
 
 
 @query("SELECT id FROM bc", more=BARREL_CONE)
-def blast_radius_barrels(spark, sf_dir):
-    _, g, mapping = display(spark, sf_dir, keep=True)
+def blast_radius_barrels(spark, sf_dir, whole=False):
+    _, g, mapping = display(spark, sf_dir, keep=True, whole=whole)
     return reach.dependents_with_barrels(g.edges, start_of(spark, START), mapping)
 
 
@@ -258,8 +267,8 @@ def blast_radius_barrels(spark, sf_dir):
     """SELECT count(*) AS files, count(DISTINCT n.package) AS packages FROM bc LEFT JOIN mod_display_nodes n ON n.id = bc.id WHERE NOT starts_with(bc.id, 'barrel:')""",
     more=BARREL_CONE,
 )
-def cone_stats(spark, sf_dir):
-    _, g, mapping = display(spark, sf_dir, keep=True)
+def cone_stats(spark, sf_dir, whole=False):
+    _, g, mapping = display(spark, sf_dir, keep=True, whole=whole)
     return reach.cone_stats(reach.dependents_with_barrels(g.edges, start_of(spark, START), mapping), g.nodes)
 
 
@@ -267,14 +276,14 @@ REACH = ENTRIES + ", seen(id) AS (SELECT e.id FROM entries e JOIN mod_nodes n ON
 
 
 @query("SELECT id FROM mod_nodes WHERE id NOT IN (SELECT id FROM seen)", more=REACH)
-def unreachable(spark, sf_dir):
-    g = raw(spark, sf_dir, keep=True)
+def unreachable(spark, sf_dir, whole=False):
+    g = raw(spark, sf_dir, keep=True, whole=whole)
     return reach.unreachable(g.nodes, g.edges, entry_ids(spark, sf_dir))
 
 
 @query("SELECT id FROM mod_nodes WHERE id NOT IN (SELECT dst FROM mod_edges)")
-def no_incoming(spark, sf_dir):
-    g = raw(spark, sf_dir)
+def no_incoming(spark, sf_dir, whole=False):
+    g = raw(spark, sf_dir, whole=whole)
     return reach.no_incoming(g.nodes, g.edges)
 
 
@@ -283,8 +292,8 @@ def no_incoming(spark, sf_dir):
     WHERE id NOT IN (SELECT id FROM seen) OR id NOT IN (SELECT dst FROM mod_edges)""",
     more=REACH,
 )
-def orphans(spark, sf_dir):
-    g = raw(spark, sf_dir, keep=True)
+def orphans(spark, sf_dir, whole=False):
+    g = raw(spark, sf_dir, keep=True, whole=whole)
     return reach.orphans(g.nodes, g.edges, entry_ids(spark, sf_dir))
 
 
@@ -303,16 +312,16 @@ def scc_sql(edges: str, nodes: str = "") -> str:
 
 
 @query("SELECT id, scc FROM scc", more=scc_sql("mod_edges"))
-def cycles_raw(spark, sf_dir):
-    return cycles.components(raw(spark, sf_dir, keep=True).edges)
+def cycles_raw(spark, sf_dir, whole=False):
+    return cycles.components(raw(spark, sf_dir, keep=True, whole=whole).edges)
 
 
 CANON = "SELECT dense_rank() OVER (ORDER BY scc) - 1 AS cycle, id, scc, count(*) OVER (PARTITION BY scc) AS size FROM scc"
 
 
 @query(CANON, more=scc_sql("mod_display_edges"))
-def cycles_display(spark, sf_dir):
-    _, g, _ = display(spark, sf_dir, keep=True)
+def cycles_display(spark, sf_dir, whole=False):
+    _, g, _ = display(spark, sf_dir, keep=True, whole=whole)
     return cycles.canonical(written(cycles.components(g.edges)))
 
 
@@ -320,15 +329,15 @@ VISIBLE = DHIDDEN + ", vis AS (SELECT src, dst FROM mod_display_edges WHERE src
 
 
 @query(CANON, more=VISIBLE + scc_sql("vis"))
-def cycles_hidden(spark, sf_dir):
-    _, g, _ = display(spark, sf_dir, keep=True)
+def cycles_hidden(spark, sf_dir, whole=False):
+    _, g, _ = display(spark, sf_dir, keep=True, whole=whole)
     _, edges = graphs.visible(g.nodes, g.edges, hidden_of(g.nodes))
     return cycles.canonical(written(cycles.components(edges)))
 
 
 @query("SELECT e.src, e.dst, a.scc FROM mod_display_edges e JOIN scc a ON a.id = e.src JOIN scc b ON b.id = e.dst AND a.scc = b.scc", more=scc_sql("mod_display_edges"))
-def cycle_edges(spark, sf_dir):
-    _, g, _ = display(spark, sf_dir, keep=True)
+def cycle_edges(spark, sf_dir, whole=False):
+    _, g, _ = display(spark, sf_dir, keep=True, whole=whole)
     return cycles.edges_in_cycles(g.edges, written(cycles.components(g.edges)))
 
 
@@ -336,8 +345,8 @@ def cycle_edges(spark, sf_dir):
 
 
 @query("SELECT src, dst FROM vis", more=VISIBLE)
-def visible_graph(spark, sf_dir):
-    _, g, _ = display(spark, sf_dir)
+def visible_graph(spark, sf_dir, whole=False):
+    _, g, _ = display(spark, sf_dir, whole=whole)
     return graphs.visible(g.nodes, g.edges, hidden_of(g.nodes))[1]
 
 
@@ -369,14 +378,14 @@ def changed(g: Graph) -> tuple[DataFrame, DataFrame]:
     UNION ALL SELECT 'add', 'node', id, NULL, NULL FROM (SELECT id FROM new_nodes EXCEPT SELECT id FROM mod_nodes)""",
     more=NEW,
 )
-def graph_diff(spark, sf_dir):
-    g = raw(spark, sf_dir)
+def graph_diff(spark, sf_dir, whole=False):
+    g = raw(spark, sf_dir, whole=whole)
     return graphs.diff(g.nodes, g.edges, *changed(g))
 
 
 @query("SELECT src, dst FROM new_edges", more=NEW)
-def apply_diff(spark, sf_dir):
-    g = raw(spark, sf_dir, keep=True)
+def apply_diff(spark, sf_dir, whole=False):
+    g = raw(spark, sf_dir, keep=True, whole=whole)
     changes = written(graphs.diff(g.nodes, g.edges, *changed(g)))
     return graphs.applied(g.nodes, g.edges, changes)[1]
 
@@ -408,14 +417,14 @@ s AS (SELECT f.id, f.dependents, coalesce(c.commits, 0) AS commits, round(f.depe
 
 
 @query("SELECT id, dependents, commits, score FROM s", more=HOT)
-def hotspots(spark, sf_dir):
-    g = raw(spark, sf_dir)
+def hotspots(spark, sf_dir, whole=False):
+    g = raw(spark, sf_dir, whole=whole)
     return graphs.hotspots(g.nodes, g.edges, derived.churn(spark, sf_dir)).select("id", "dependents", "commits", "score")
 
 
 @query("SELECT id, round(score / (SELECT max(score) FROM s), 6) AS share FROM s WHERE score / (SELECT max(score) FROM s) >= 0.05", more=HOT)
-def hotspots_normalised(spark, sf_dir):
-    g = raw(spark, sf_dir)
+def hotspots_normalised(spark, sf_dir, whole=False):
+    g = raw(spark, sf_dir, whole=whole)
     return graphs.hotspots(g.nodes, g.edges, derived.churn(spark, sf_dir)).where("share >= 0.05").select("id", "share")
 
 
@@ -494,8 +503,8 @@ def export_nodes(spark, sf_dir):
 
 
 @query('SELECT src AS "from", dst AS "to" FROM mod_display_edges')
-def export_edges(spark, sf_dir):
-    return display(spark, sf_dir)[1].edges.select(F.col("src").alias("from"), F.col("dst").alias("to")).orderBy("from", "to")
+def export_edges(spark, sf_dir, whole=False):
+    return display(spark, sf_dir, whole=whole)[1].edges.select(F.col("src").alias("from"), F.col("dst").alias("to")).orderBy("from", "to")
 
 
 @query("SELECT package, substr(sha256(package), 1, 16) AS hash FROM (SELECT DISTINCT package FROM mod_nodes)")
@@ -560,9 +569,9 @@ def fit_view(spark, sf_dir):
     LATERAL (SELECT CASE WHEN b.x = a.x AND b.y = a.y THEN 0 ELSE least(CASE WHEN b.x = a.x THEN 'inf'::DOUBLE ELSE 20.0 / abs(b.x - a.x) END, CASE WHEN b.y = a.y THEN 'inf'::DOUBLE ELSE 10.0 / abs(b.y - a.y) END) END AS t)""",
     more=BOXES,
 )
-def ray_clip(spark, sf_dir):
+def ray_clip(spark, sf_dir, whole=False):
     box = boxes(spark, sf_dir)
-    return geometry.clipped(raw(spark, sf_dir).edges, box, 20.0, 10.0)
+    return geometry.clipped(raw(spark, sf_dir, whole=whole).edges, box, 20.0, 10.0)
 
 
 @query("SELECT id FROM (SELECT id, (8 + length(id)) * 10 AS area FROM bx WHERE abs(x - 250) <= (8 + length(id)) AND abs(y - 1000) <= 5) ORDER BY area, id LIMIT 1", more=BOXES)
@@ -580,8 +589,8 @@ def layout_seed(spark, sf_dir):
 
 
 @query()
-def layout_step(spark, sf_dir):
-    g = raw(spark, sf_dir, keep=True)
+def layout_step(spark, sf_dir, whole=False):
+    g = raw(spark, sf_dir, keep=True, whole=whole)
     start = written(geometry.seeded(g.nodes).join(g.nodes.select("id", F.col("package").alias("grp")), "id"))
     return geometry.step(start, g.edges)
 

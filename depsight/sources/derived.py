@@ -1,5 +1,5 @@
-"""A module graph over the driver's tables: parts are modules, and a part imports the next part of its order's lines if its own line was returned
-and had a discount of nine per cent or more."""
+"""A module graph over the driver's tables: parts are modules, and a part imports the next part of its order's lines. The sample holds the imports whose
+own line was returned and had a discount of nine per cent or more, as VIEWS does; the whole graph holds them all."""
 
 from __future__ import annotations
 
@@ -42,11 +42,13 @@ def module_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).where(P.passes(F.col("id")))
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
+def graph(spark: SparkSession, sf_dir: str, whole: bool = False) -> Graph:
+    """The sample, about one import in twenty; with whole every import."""
     known = module_nodes(spark, sf_dir)
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_discount")
     after = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")  # the lines of one order
-    imports = lines.withColumn("t", F.lead("l_partkey").over(after)).where("t IS NOT NULL AND l_returnflag = 'R' AND l_discount >= 0.085").select(F.col("l_partkey").alias("f"), "t").distinct()
+    imports = lines.withColumn("t", F.lead("l_partkey").over(after)).where("t IS NOT NULL")
+    imports = (imports if whole else imports.where("l_returnflag = 'R' AND l_discount >= 0.085")).select(F.col("l_partkey").alias("f"), "t").distinct()
     a, b = known.select(F.col("k").alias("f"), F.col("id").alias("src")), known.select(F.col("k").alias("t"), F.col("id").alias("dst"))
     edges = imports.join(a, "f").join(b, "t").select("src", "dst").distinct()
     nodes = known.select("id", F.col("id").alias("path"), P.base_name(F.col("id")).alias("label"), "package", F.lit("file").alias("kind"))
@@ -84,3 +86,6 @@ mod_display_edges AS (SELECT DISTINCT a.display_id AS src, b.display_id AS dst F
 mod_display_nodes AS (SELECT display_id AS id, min(package) AS package, CASE WHEN display_id LIKE 'barrel:%' THEN regexp_replace(display_id, '^.*/', '') ELSE regexp_replace(display_id, '^.*/', '') END AS label FROM mod_mapping GROUP BY display_id),
 mod_churn AS (SELECT n.id AS path, count(*) AS commits FROM events e JOIN mod_nodes n ON n.k = e.user_id WHERE event_type <> 'view' AND ts >= (SELECT max(ts) - INTERVAL 7 DAY FROM events) GROUP BY n.id)
 """
+
+#: The views over every import.
+WHOLE_VIEWS = VIEWS.replace(" AND l_returnflag = 'R' AND l_discount >= 0.085", "")
