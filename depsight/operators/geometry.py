@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depsight.operators.cycles import placed
-from depsight.tables import written
+from depsight.tables import dropped, written
 
 # Fixed values of the layout: natural edge length, gravity, damping, speed limit, pull to the package's centre, push between packages, least squared distance.
 SPRING, GRAVITY, DAMPING, TOP_SPEED, PULL, PUSH, LEAST_SQUARE = 55.0, 0.025, 0.82, 400.0, 0.05, 8.0, 0.25
 # Fixed values of the camera: bounds of the zoom, and the zoom of nothing.
 LEAST_ZOOM, MOST_ZOOM, PLAIN_ZOOM = 0.05, 20.0, 1.0
-#: Overlaps up to this are none.
-SLACK = 1e-3
+#: Overlaps up to this are none; sweeps of overlap removal, at most.
+SLACK, SWEEPS = 1e-3, 500
 
 
 def bbox(points: DataFrame, *by: str) -> DataFrame:
@@ -134,14 +134,18 @@ def settled(layout: DataFrame, edges: DataFrame, ticks: int) -> DataFrame:
     return layout
 
 
-def overlaps(boxes: DataFrame) -> DataFrame:
+def largest(boxes: DataFrame) -> dict[str, float]:
+    """The greatest width and height."""
+    size = boxes.agg(F.max("w").alias("w"), F.max("h").alias("h")).first()
+    return {"w": 1.0, "h": 1.0} if size["w"] is None else size.asDict()
+
+
+def overlaps(boxes: DataFrame, size: dict[str, float] | None = None) -> DataFrame:
     """a, b, ox, oy, sx, sy for pairs of rectangles (id, x, y, w, h) that overlap, a below b; s are the signs from a to b.
 
     A rectangle is in the grid cells that it touches, cells being as large as the largest one, so in four at most; pairs meet in the cell of their greater corner.
     """
-    size = boxes.agg(F.max("w").alias("w"), F.max("h").alias("h")).first()
-    if size["w"] is None:
-        size = {"w": 1.0, "h": 1.0}
+    size = size or largest(boxes)
     low = lambda c, d, s: F.floor((F.col(c) - F.col(d) / 2) / max(s, 1e-9))
     high = lambda c, d, s: F.floor((F.col(c) + F.col(d) / 2) / max(s, 1e-9))
     spread = boxes.withColumn("i", F.explode(F.sequence(low("x", "w", size["w"]), high("x", "w", size["w"])))).withColumn("j", F.explode(F.sequence(low("y", "h", size["h"]), high("y", "h", size["h"]))))
@@ -154,18 +158,25 @@ def overlaps(boxes: DataFrame) -> DataFrame:
     return met.where((ox > SLACK) & (oy > SLACK) & corner).select(F.col("aid").alias("a"), F.col("bid").alias("b"), ox.alias("ox"), oy.alias("oy"), sign(dx).alias("sx"), sign(dy).alias("sy"))
 
 
-def separated(boxes: DataFrame, rounds: int) -> DataFrame:
-    """Rectangles moved apart: in each round every overlapping pair parts along its smaller overlap, half each; a node with many moves by their mean.
+def separated(boxes: DataFrame, rounds: int = SWEEPS) -> DataFrame:
+    """Rectangles (id, x, y, w, h) moved apart until none overlap, and converged: whether that was reached within the rounds.
 
-    All pairs of a round part at once, where a loop over pairs would need one task; rounds end when nothing overlaps.
+    In each round every overlapping pair parts along its smaller overlap, half each; a node's moves are added up, as a sweep over pairs adds them. All pairs
+    of a round part at once, where such a sweep would need one task.
     """
+    size, before = largest(boxes), None
     for _ in range(rounds):
-        pairs = written(overlaps(boxes), "overlaps")
-        if pairs.isEmpty():
-            break
+        pairs = overlaps(boxes, size)
         flat = F.col("ox") < F.col("oy")
         x, y = F.when(flat, F.col("ox") / 2 * F.col("sx")).otherwise(0.0), F.when(flat, 0.0).otherwise(F.col("oy") / 2 * F.col("sy"))
         each = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), (-x).alias("mx"), (-y).alias("my")), F.struct(F.col("b").alias("id"), x.alias("mx"), y.alias("my")))).alias("m")).select("m.*")
-        moves = each.groupBy("id").agg(F.avg("mx").alias("mx"), F.avg("my").alias("my"))
-        boxes = written(boxes.join(moves, "id", "left").select("id", (F.col("x") + F.coalesce("mx", F.lit(0.0))).alias("x"), (F.col("y") + F.coalesce("my", F.lit(0.0))).alias("y"), "w", "h"), "boxes")
-    return boxes
+        moves = each.groupBy("id").agg(F.sum("mx").alias("mx"), F.sum("my").alias("my"))
+        moved = boxes.join(moves, "id", "left").select("id", (F.col("x") + F.coalesce("mx", F.lit(0.0))).alias("x"), (F.col("y") + F.coalesce("my", F.lit(0.0))).alias("y"), "w", "h", F.col("mx").isNotNull().alias("met"))
+        moved = written(moved, "boxes")
+        if before is not None:
+            dropped(before)
+        if moved.where("met").isEmpty():
+            return moved.drop("met").withColumn("converged", F.lit(True))
+        boxes = before = moved
+    left = overlaps(boxes, size).isEmpty()
+    return boxes.select("id", "x", "y", "w", "h", F.lit(left).alias("converged"))

@@ -598,6 +598,6 @@ def layout_step(spark, sf_dir, whole=False):
 @query()
 def overlap_resolve(spark, sf_dir):
     box = boxes(spark, sf_dir).select("id", "x", "y", (2.0 * F.length("id")).alias("w"), F.lit(10.0).alias("h"))
-    return geometry.separated(written(box), rounds=4)
+    return geometry.separated(written(box))
 
 

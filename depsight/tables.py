@@ -28,6 +28,12 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes a written table that nothing reads any more."""
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        _drop(df.sparkSession, path)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,0 +1,30 @@
+"""Overlap removal goes on until nothing overlaps, and says if it could not."""
+
+from depsight.operators import geometry
+
+#: A pile, and a row that parts only from its ends inwards.
+BOXES = [(f"p{i}", 0.0, 0.0, 20.0, 10.0) for i in range(5)] + [(f"r{i:02}", 500.0 + 3.0 * i, 0.5 * (i % 3), 20.0, 100.0) for i in range(3)]
+
+
+def hits(rows):
+    at = [(r["x"], r["y"], r["w"], r["h"]) for r in rows]
+    return sum(
+        (a[2] + b[2]) / 2 - abs(a[0] - b[0]) > geometry.SLACK and (a[3] + b[3]) / 2 - abs(a[1] - b[1]) > geometry.SLACK
+        for i, a in enumerate(at) for b in at[i + 1 :]
+    )
+
+
+def test_no_overlap_is_left(spark):
+    boxes = spark.createDataFrame(BOXES, "id string, x double, y double, w double, h double")
+    early = geometry.separated(boxes, rounds=4).collect()
+    assert hits(early) and not any(r["converged"] for r in early)
+    rows = geometry.separated(boxes).collect()
+    assert len(rows) == len(BOXES) and hits(rows) == 0 and all(r["converged"] for r in rows)
+    assert {(r["id"], r["w"], r["h"]) for r in rows} == {(b[0], b[3], b[4]) for b in BOXES}
+
+
+def test_nothing_to_part(spark):
+    apart = spark.createDataFrame([("a", 0.0, 0.0, 2.0, 2.0), ("b", 9.0, 0.0, 2.0, 2.0)], "id string, x double, y double, w double, h double")
+    rows = sorted(geometry.separated(apart).collect())
+    assert [(r["x"], r["converged"]) for r in rows] == [(0.0, True), (9.0, True)]
+    assert geometry.separated(apart.limit(0)).count() == 0
