@@ -65,6 +65,8 @@ def hidden_of(nodes: DataFrame) -> DataFrame:
 
 HIDDEN = ", hidden AS (SELECT id FROM mod_nodes WHERE package LIKE '%3')"
 DHIDDEN = ", hidden AS (SELECT id FROM mod_display_nodes WHERE package LIKE '%3')"
+#: The window of the plain hotspot queries, as in VIEWS.
+SAMPLE_DAYS = 7
 START = "barrel:packages/brand21/standard"
 ENTRIES = ", entries AS (SELECT id FROM mod_files WHERE regexp_matches(id, '\\.(test|spec)\\.[^./]*$') UNION SELECT id FROM mod_files WHERE regexp_matches(id, '/index\\.[^/]*$'))"
 
@@ -409,6 +411,11 @@ def upsert_nodes(spark, sf_dir):
 
 @query("SELECT path, commits FROM mod_churn")
 def churn_7d(spark, sf_dir):
+    return derived.churn(spark, sf_dir, SAMPLE_DAYS)
+
+
+@query(f"WITH RECURSIVE {WHOLE_VIEWS} SELECT path, commits FROM mod_churn", views=False)
+def churn_30d(spark, sf_dir):
     return derived.churn(spark, sf_dir)
 
 
@@ -419,13 +426,13 @@ s AS (SELECT f.id, f.dependents, coalesce(c.commits, 0) AS commits, round(f.depe
 @query("SELECT id, dependents, commits, score FROM s", more=HOT)
 def hotspots(spark, sf_dir, whole=False):
     g = raw(spark, sf_dir, whole=whole)
-    return graphs.hotspots(g.nodes, g.edges, derived.churn(spark, sf_dir)).select("id", "dependents", "commits", "score")
+    return graphs.hotspots(g.nodes, g.edges, derived.churn(spark, sf_dir, derived.CHURN_DAYS if whole else SAMPLE_DAYS)).select("id", "dependents", "commits", "score")
 
 
 @query("SELECT id, round(score / (SELECT max(score) FROM s), 6) AS share FROM s WHERE score / (SELECT max(score) FROM s) >= 0.05", more=HOT)
 def hotspots_normalised(spark, sf_dir, whole=False):
     g = raw(spark, sf_dir, whole=whole)
-    return graphs.hotspots(g.nodes, g.edges, derived.churn(spark, sf_dir)).where("share >= 0.05").select("id", "share")
+    return graphs.hotspots(g.nodes, g.edges, derived.churn(spark, sf_dir, derived.CHURN_DAYS if whole else SAMPLE_DAYS)).where("share >= 0.05").select("id", "share")
 
 
 @query("SELECT id FROM mod_nodes WHERE regexp_matches(lower(package), 'b.*r.*2.*1') OR regexp_matches(lower(id), 'b.*r.*2.*1')")

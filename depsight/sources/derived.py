@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from depsight.functions import paths as P
 
+#: The hotspot window.
+CHURN_DAYS = 30
+
 
 @dataclass
 class Graph:
@@ -55,7 +58,7 @@ def graph(spark: SparkSession, sf_dir: str, whole: bool = False) -> Graph:
     return Graph(nodes, edges)
 
 
-def churn(spark: SparkSession, sf_dir: str, days: int = 7) -> DataFrame:
+def churn(spark: SparkSession, sf_dir: str, days: int = CHURN_DAYS) -> DataFrame:
     """path, commits: touches of each module in the last days of the events."""
     events = read(spark, sf_dir, "events").where("event_type <> 'view'")
     last = events.sparkSession.read.parquet(f"{sf_dir}/events.parquet").agg((F.max("ts") - F.expr(f"INTERVAL {days} DAY")).alias("since"))
@@ -87,5 +90,5 @@ mod_display_nodes AS (SELECT display_id AS id, min(package) AS package, CASE WHE
 mod_churn AS (SELECT n.id AS path, count(*) AS commits FROM events e JOIN mod_nodes n ON n.k = e.user_id WHERE event_type <> 'view' AND ts >= (SELECT max(ts) - INTERVAL 7 DAY FROM events) GROUP BY n.id)
 """
 
-#: The views over every import.
-WHOLE_VIEWS = VIEWS.replace(" AND l_returnflag = 'R' AND l_discount >= 0.085", "")
+#: The views over every import and the whole hotspot window.
+WHOLE_VIEWS = VIEWS.replace(" AND l_returnflag = 'R' AND l_discount >= 0.085", "").replace("INTERVAL 7 DAY", f"INTERVAL {CHURN_DAYS} DAY")
