@@ -26,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of each source go."""
-    return measured(lines.dedup(docs))
+    """Boilerplate lines of each source go, whatever its size and whatever is left of a page."""
+    return measured(lines.dedup(docs, least_pages=0, keep_covered=False))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

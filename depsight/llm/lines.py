@@ -3,9 +3,9 @@
 For each host the pages that contain a line are counted, each page once however often it repeats the line, and divided by the host's
 pages. A line in more than a given ratio of them is boilerplate there and is dropped from that host's pages.
 
-A line is what stands between newlines, compared whole. Lines without a word are neither counted nor dropped. Hosts with few pages keep all
-lines, as shares of a few pages say nothing. A page of which every line with words would go is a copy of other pages, which is for
-near-duplicate search to settle, and stays whole. Null hosts are one host; null texts stay null. Repeated rows are pages of their own.
+A line is what stands between newlines, compared whole. Lines without a word are neither counted nor dropped. The rule is the ratio alone: with
+least_pages=0 and keep_covered=False hosts of every size are judged by it, a line on one page only being safe, and a page of nothing but boilerplate
+loses it all. By default, as in ORACLE, hosts with fewer pages than LEAST_PAGES keep all lines, and so does a page that would lose every line with words. Null hosts are one host; null texts stay null. Repeated rows are pages of their own.
 Extra columns, whatever their names, go with their rows.
 """
 
@@ -49,19 +49,21 @@ def boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source
     return table(often.groupBy("host").agg(F.collect_set("line").alias("boiler")), "boilerplate")
 
 
-def dedup(docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
+def dedup(docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, keep_covered: bool = True, n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
     """docs with boilerplate lines taken out of the text; with n_lines and n_dropped also how many lines there were and how many went."""
     found = boilerplate(docs, text_col, host_col, ratio, least_pages).select(F.col("host").alias("_line_host"), F.col("boiler").alias("_line_boiler"))
     joined = docs.join(found, docs[host_col].eqNullSafe(found["_line_host"]), "left")
     text, boiler = docs[text_col], F.col("_line_boiler")
     kept = F.filter(lines_of(text), lambda x: ~F.array_contains(boiler, key_of(x)))
     joined = joined.withColumn("_line_kept", F.when(boiler.isNotNull() & text.isNotNull(), kept))
-    emptied = F.col("_line_kept").isNull() | ~F.exists("_line_kept", has_word)
-    new = F.when(emptied, text).otherwise(F.array_join("_line_kept", "\n"))
+    untouched = F.col("_line_kept").isNull()
+    if keep_covered:
+        untouched |= ~F.exists("_line_kept", has_word)
+    new = F.when(untouched, text).otherwise(F.array_join("_line_kept", "\n"))
     columns = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     total = F.coalesce(F.size(lines_of(text)), F.lit(0)).cast("long")
     columns += [F.when(text.isNull(), F.lit(0)).otherwise(total).cast("long").alias(n_lines)] if n_lines else []
-    columns += [F.when(emptied, F.lit(0)).otherwise(F.size(lines_of(text)) - F.size("_line_kept")).cast("long").alias(n_dropped)] if n_dropped else []
+    columns += [F.when(untouched, F.lit(0)).otherwise(F.size(lines_of(text)) - F.size("_line_kept")).cast("long").alias(n_dropped)] if n_dropped else []
     return joined.select(*columns)
 
 
@@ -76,3 +78,6 @@ e AS (SELECT *, text IS NULL OR len(list_filter(kept, lambda x: regexp_matches(x
 SELECT doc_id, CASE WHEN emptied THEN text ELSE array_to_string(kept, chr(10)) END AS text, coalesce(len(lines), 0)::BIGINT AS n_lines,
     CASE WHEN emptied THEN 0 ELSE len(lines) - len(kept) END::BIGINT AS n_dropped FROM e
 """
+
+#: The same with the ratio alone.
+WHOLE_ORACLE = ORACLE.replace(f" HAVING count(*) >= {LEAST_PAGES}", "").replace(r" OR len(list_filter(kept, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) = 0", "")

@@ -29,6 +29,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(docs, n_lines="n_lines", n_dropped="n_dropped").drop("source")
 
 
+def op1_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratio alone: no host is too small for it and no page keeps its boilerplate."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return lines.dedup(docs, least_pages=0, keep_covered=False, n_lines="n_lines", n_dropped="n_dropped").drop("source")
+
+
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(read(spark, sf_dir, "documents"))
 
@@ -72,6 +78,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op1_line_dedup_whole": op1_line_dedup_whole,
     "op2_substring": op2_substring,
     "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
@@ -84,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": lines.ORACLE,
+    "op1_line_dedup_whole": lines.WHOLE_ORACLE,
     "op3_warc": warc.ORACLE,
     "op7_mixing": mixing.ORACLE,
 }
