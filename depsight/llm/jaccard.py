@@ -5,14 +5,21 @@ shingles that are alike enough share at least `need` of them, so of the first L(
 min(L(n) - n + need, L(m) - m + need). L is the classic prefix length plus a piece that each document chooses for itself: among a few lengths the one
 with the least estimated cost, candidates being dearer to verify than postings to read. The longer it is, the more matches are asked for.
 
-Documents with equal sets are one class. Shingles of a few classes make pairs, which are counted and kept where matches suffice. A shingle of many classes makes
-no pairs: its classes are compared with one of them, the hub. Pairs whose sketches show too many differences go. Of the rest each class is first verified
-with its smallest partner; after the links so found, only pairs of classes that are still apart are verified. So a large group of near copies costs
-its size, and no link between different texts that could join two components is left out.
-
-Null texts and texts without words have no shingles and link with nothing; with fewer words than a shingle the whole sequence is the one shingle.
-Rows with the same id are one document: linked if any of them is. A null id links with nothing and has a null component. Repeated rows get one output
-row each. Extra columns of the input are not looked at.
+Documents with equal sets are one class. Postings move once: a window over each shingle counts its classes and lists the few before each one, which
+makes the pairs of shingles of few classes; they are counted and kept where matches suffice. A shingle of many classes makes no pairs: its classes are
+compared with one of them, the hub. Shingles of crowded counters don't go through the window, so that no task gets all of a hot one: they are counted
+by partial sums and meet their hub in a join that Spark can split.
+
+Pairs whose sketches show too many differences go. Of the rest each class is first verified with its smallest partner; after the links so found, only
+pairs of classes that are still apart are verified. Where a shingle of many classes spans several groups, classes outside of the hub's group meet those of
+like size and like distance from the hub only: sketches obey the triangle inequality, so classes whose distances from the hub differ by more than alike
+sets may differ can't be alike. So a large group of near copies costs its size, and no link between different texts that could join two components is
+left out.
+
+Cases: null texts and texts without words have no shingles and link with nothing; with fewer words than a shingle the whole sequence is the one shingle.
+Very long texts are whole sets like any other. Rows with the same id are one document: linked if any of them is. A null id links with nothing and has a
+null component. Repeated rows get one output row each; of a tie for the hub or the smallest partner the smallest id counts. An empty table gives an empty
+table. Extra columns of the input are not looked at by groups() and go along in one_of_each(), whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depsight.llm.components import connected
-from depsight.llm.shared import doc_of, drop, mixed, put, run_hashes, steps, table, text_of, word_hashes, words_of
+from depsight.llm.shared import doc_of, drop, fresh, mixed, put, run_hashes, steps, table, text_of, word_hashes, words_of
 
 SHINGLE, PERCENT = 3, 90
 #: Counters of the common order: a fixed size for what is counted, collected and broadcast.
@@ -37,6 +44,8 @@ EXTRA, CANDIDATE = (0, 2, 4, 8), 20.0
 CROWD = 12
 #: Longs of a set's sketch: bit i is odd if an odd number of its shingles fall on i, so two sketches differ in no more bits than the sets in shingles.
 SKETCH = 8
+#: A posting's size, chosen length and place in one long, from high bits to low ones.
+SIZE_AT, CHOICE_AT = 34, 32
 
 
 def sets_of(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +94,7 @@ def counters(base: DataFrame, size: int) -> np.ndarray:
 
 
 def prefixes(base: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2 (sums that stand for the set), sketch, pre (the prefix in the common order) for each row."""
+    """doc_id, n, s1, s2 (sums that stand for the set), sketch, choice (of EXTRA), calm (how many of pre have no crowded counter), pre (the prefix in the common order) for each row."""
     mean = counts.mean()
     crowded = counts > 2 * mean + 6 * np.sqrt(mean) + 8
     excess = np.maximum(counts - mean, 0) * crowded
@@ -112,10 +121,11 @@ def prefixes(base: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
             best = (read + CANDIDATE * read / (1 + np.array(EXTRA))[:, None]).argmin(0)
             length = lengths[best, np.arange(len(n))]
             at = np.repeat(places[:-1] - np.cumsum(length) + length, length) + np.arange(length.sum())
+            calm = np.minimum(n - np.bincount(doc, crowded[counter], len(n)).astype(np.int64), length)
             pre = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(runs[order][at].view(np.int64)))
-            yield put(doc_id=t["doc_id"].combine_chunks(), n=pa.array(n, pa.int64()), s1=sums[0], s2=sums[1], sketch=sketch, pre=pre)
+            yield put(doc_id=t["doc_id"].combine_chunks(), n=pa.array(n, pa.int64()), s1=sums[0], s2=sums[1], sketch=sketch, choice=pa.array(best, pa.int32()), calm=pa.array(calm, pa.int32()), pre=pre)
 
-    return base.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sketch array<long>, pre array<long>")
+    return base.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sketch array<long>, choice int, calm int, pre array<long>")
 
 
 def whole_sets(base: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -134,25 +144,36 @@ def need(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / F.lit(float(100 + percent)) - F.lit(1e-9))
 
 
-def asked(percent: int) -> Column:
-    """Matches that a pair (an, al, bn, bl: sizes and prefix lengths) must have in its prefixes."""
-    least = need(F.col("an"), F.col("bn"), percent)
-    return F.greatest(F.lit(1), F.least(F.col("al") - F.col("an") + least, F.col("bl") - F.col("bn") + least))
+def place(posting: Column) -> tuple[Column, Column, Column]:
+    """Size, choice and place of a packed posting."""
+    return F.shiftright(posting, SIZE_AT), F.shiftright(posting, CHOICE_AT).bitwiseAND(3), posting.bitwiseAND((1 << CHOICE_AT) - 1)
 
 
-def near_sizes(percent: int) -> Column:
-    return (100 * F.col("an") >= percent * F.col("bn")) & (100 * F.col("bn") >= percent * F.col("an"))
+def length(n: Column, choice: Column, percent: int) -> Column:
+    """The prefix length that a document of n shingles has chosen."""
+    return F.least(n, n - F.ceil(n * percent / F.lit(100.0) - F.lit(1e-9)) + 1 + F.element_at(F.array(*map(F.lit, EXTRA)), (choice + 1).cast("int")))
 
 
-def early(percent: int) -> Column:
+def asked(a: tuple[Column, Column], b: tuple[Column, Column], percent: int) -> Column:
+    """Matches that a pair of (size, choice) must have in its prefixes."""
+    least = need(a[0], b[0], percent)
+    return F.greatest(F.lit(1), F.least(length(*a, percent) - a[0] + least, length(*b, percent) - b[0] + least))
+
+
+def near_sizes(n: Column, m: Column, percent: int) -> Column:
+    return (100 * n >= percent * m) & (100 * m >= percent * n)
+
+
+def early(a: Column, b: Column, percent: int) -> Column:
     """Whether a shared shingle can be the first one: before it neither set may have more that the other lacks than it can spare."""
-    least = need(F.col("an"), F.col("bn"), percent)
-    return (F.col("apos") <= F.col("an") - least) & (F.col("bpos") <= F.col("bn") - least)
+    (n, _, i), (m, _, k) = place(a), place(b)
+    least = need(n, m, percent)
+    return near_sizes(n, m, percent) & (i <= n - least) & (k <= m - least)
 
 
-def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
-    """Rows of classes under the names of one side of a pair."""
-    return rows.select("token", F.col("doc").alias(name), *[F.col(c).alias(f"{name}{c}") for c in ("n", "l", "hot", "pos", *more)])
+def differing(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ."""
+    return sum((F.bit_count(F.get(a, k).bitwiseXOR(F.get(b, k))) for k in range(SKETCH)), F.lit(0))
 
 
 def verified(pairs: DataFrame, base: DataFrame, size: int, percent: int) -> DataFrame:
@@ -162,54 +183,90 @@ def verified(pairs: DataFrame, base: DataFrame, size: int, percent: int) -> Data
     rows = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     found = table(rows.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b").distinct(), "links")
-    drop(sets)
+    drop(sets, ids)
     return found
 
 
-def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sketches differ in no more bits than sets that are alike enough may."""
-    known = lambda x: classes.select(F.col("doc").alias(x), F.col("n").alias(f"{x}n"), F.col("sketch").alias(f"{x}s"))
-    rows = pairs.join(known("a"), "a").join(known("b"), "b")
-    differs = sum((F.bit_count(F.col("as")[k].bitwiseXOR(F.col("bs")[k])) for k in range(SKETCH)), F.lit(0))
-    return rows.where(differs <= F.col("an") + F.col("bn") - 2 * need(F.col("an"), F.col("bn"), percent)).select("a", "b")
+def possible(pairs: DataFrame, known: DataFrame, percent: int, matches: bool = False) -> DataFrame:
+    """The pairs (a, b) whose sketches differ in no more bits than sets that are alike enough may.
+
+    With matches, column k has the shared shingles of few classes; what is missing must be possible among those of many.
+    """
+    of = lambda x: known.select(F.col("doc").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "choice", "sketch", "hot")])
+    rows = pairs.join(of("a"), "a").join(of("b"), "b")
+    n, m = F.col("a_n"), F.col("b_n")
+    rows = rows.where(differing(F.col("a_sketch"), F.col("b_sketch")) <= n + m - 2 * need(n, m, percent))
+    enough = asked((n, F.col("a_choice")), (m, F.col("b_choice")), percent)
+    hot = F.least("a_hot", "b_hot")
+    return rows.where(F.greatest(F.lit(1), enough - hot) <= F.col("k") if matches else hot >= enough).select("a", "b")
+
+
+def postings(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables of shared shingles: of few classes (doc, at, before: the classes before it, with their postings) and of many (token, doc, at, hub, hub_at)."""
+    spread = classes.select("doc", "n", "choice", "calm", F.posexplode("pre").alias("pos", "token"))
+    packed = F.shiftleft("n", SIZE_AT).bitwiseOR(F.shiftleft(F.col("choice").cast("long"), CHOICE_AT)).bitwiseOR(F.col("pos").cast("long"))
+    calm = spread.where("pos < calm").select("token", "doc", packed.alias("at"))
+    each = Window.partitionBy("token")
+    order = each.orderBy(place(F.col("at"))[2], "doc")
+    one = F.struct("doc", "at")
+    rows = calm.select("*", F.count("*").over(each).alias("c"), F.first(one).over(order).alias("hub"), F.collect_list(one).over(order.rowsBetween(-max(1, CROWD - 1), -1)).alias("before"))
+    few = F.col("c") <= CROWD
+    rows = rows.where("c > 1").select(F.when(~few, F.col("token")).alias("token"), "doc", "at", F.when(~few, F.col("hub")).alias("hub"), F.when(few, F.col("before")).alias("before"))
+    rows = table(rows.where(~few | (F.size("before") > 0)), "postings")
+
+    wild = spread.where("pos >= calm").select("token", "doc", packed.alias("at"))
+    heads = wild.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct(place(F.col("at"))[2].alias("pos"), "doc", "at")).alias("h"))
+    heads = table(heads.where("c > 1").select("token", F.struct("h.doc", "h.at").alias("hub")), "heads")
+    crowd = wild.join(heads, "token").unionByName(rows.where("token IS NOT NULL").select("token", "doc", "at", "hub"))
+    crowd = table(crowd.select("token", "doc", "at", F.col("hub.doc").alias("hub"), F.col("hub.at").alias("hub_at")), "crowd")
+    return rows.where("token IS NULL").select("doc", "at", "before"), crowd
+
+
+def apart(crowd: DataFrame, found: DataFrame, known: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of classes of one crowded shingle that the links found so far leave in different groups; and these groups (node, component)."""
+    parts = table(connected(found), "parts")
+    placed = crowd.join(parts, F.col("doc") == F.col("node"), "left").select("token", "doc", "at", "hub", F.coalesce("component", "doc").alias("part"))
+    placed = table(placed, "placed")
+    per = placed.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.max(F.when(F.col("doc") == F.col("hub"), F.col("part"))).alias("home"))
+    per = table(per.where("x <> y").select("token", "home"), "split")
+    sketch = lambda x: known.select(F.col("doc").alias(x), F.col("sketch").alias(f"{x}_sketch"))
+    rows = placed.join(per, "token").join(sketch("doc"), "doc").join(sketch("hub"), "hub")
+    rows = table(rows.select("token", "doc", "at", "part", "home", differing(F.col("doc_sketch"), F.col("hub_sketch")).alias("far")), "apart")
+    drop(placed)
+
+    # like sizes are at most one band apart, and like distances from the hub one step, whose width follows the band
+    ratio = 100 / percent
+    band = F.floor(F.log(place(F.col("at"))[0].cast("double")) / F.lit(float(np.log(ratio))) + F.lit(1e-9))
+    step = lambda k: F.floor(F.col("far") / F.greatest(F.lit(1.0), F.pow(F.lit(ratio), k + 1) * F.lit(ratio - 1) * F.lit(1 + 1e-9)))
+    inner = rows.withColumn("band", band).select("token", "band", step(F.col("band")).alias("step"), F.col("doc").alias("b"), F.col("at").alias("b_at"), F.col("part").alias("b_part"), (F.col("part") == F.col("home")).alias("inside"))
+    outer = rows.where("part <> home").select("token", F.col("doc").alias("a"), F.col("at").alias("a_at"), F.col("part").alias("a_part"), "far", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: band + d)).alias("band"))
+    outer = outer.select("token", "a", "a_at", "a_part", "band", F.explode(F.array(*[step(F.col("band")) + d for d in (-1, 0, 1)])).alias("step"))
+    rest = outer.join(inner, ["token", "band", "step"]).where((F.col("a_part") != F.col("b_part")) & (F.col("inside") | (F.col("a") < F.col("b"))) & early(F.col("a_at"), F.col("b_at"), percent))
+    return rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), parts
 
 
 def links(base: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) links that join all classes that belong together; classes: doc, n, sketch, pre of one document of each class."""
-    spread = classes.select("doc", "n", F.size("pre").cast("long").alias("l"), F.posexplode("pre").alias("pos", "token"))
-    hubs = spread.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("pos", "doc")).alias("h")).where("c > 1").select("token", "c", F.col("h.doc").alias("hub"))
-    shared = table(spread.join(hubs, "token"), "postings")
-    hot = shared.where(F.col("c") > CROWD).groupBy("doc").agg(F.count("*").alias("hot")).withColumnRenamed("doc", "hot_doc")
-    rows = table(shared.join(hot, F.col("doc") == F.col("hot_doc"), "left").drop("hot_doc").fillna({"hot": 0}), "postings")
-    drop(shared)
-
-    few = rows.where(F.col("c") <= CROWD)
-    want = F.greatest(F.lit(1), asked(percent) - F.least("ahot", "bhot"))  # the rest may be among crowded ones
-    pairs = side(few, "a").join(side(few, "b"), "token").where((F.col("a") < F.col("b")) & near_sizes(percent)).select("a", "b", want.cast("int").alias("want"))
-    pairs = pairs.groupBy("a", "b", "want").agg(F.count("*").alias("k")).where("k >= want").select("a", "b")
-
-    many = rows.where(F.col("c") > CROWD)
-    alike = near_sizes(percent) & early(percent) & (F.least("ahot", "bhot") >= asked(percent))
-    hub = side(many.where("doc = hub"), "b")
-    star = side(many.where("doc <> hub"), "a").join(hub, "token").where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = table(possible(pairs.union(star).distinct(), classes, percent), "pairs")
-    tried = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    """(a, b) links that join all classes that belong together; classes: doc, n, sketch, choice, calm, pre of one document of each class."""
+    few, crowd = postings(classes)
+    hot = crowd.groupBy("doc").agg(F.count("*").alias("hot")).withColumnRenamed("doc", "hot_doc")
+    known = table(classes.join(hot, F.col("doc") == F.col("hot_doc"), "left").select("doc", "n", "choice", "sketch", F.coalesce("hot", F.lit(0)).alias("hot")), "known")
+    drop(classes)
+
+    pairs = few.select(F.col("doc").alias("own"), F.col("at").alias("own_at"), F.inline("before"))
+    pairs = pairs.where((F.col("own") != F.col("doc")) & near_sizes(place(F.col("own_at"))[0], place(F.col("at"))[0], percent)).select(F.least("own", "doc").alias("a"), F.greatest("own", "doc").alias("b"))
+    pairs = possible(pairs.groupBy("a", "b").agg(F.count("*").alias("k")), known, percent, matches=True)
+    star = crowd.where((F.col("doc") != F.col("hub")) & early(F.col("at"), F.col("hub_at"), percent)).select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"))
+    pairs = table(pairs.union(possible(star.distinct(), known, percent)).distinct(), "pairs")
+    drop(few)
+    tried = table(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
     found = verified(tried, base, size, percent)
 
     # pairs, and shingles of many classes, whose classes are not yet all together
-    parts = table(connected(found), "parts")
-    of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"{x}part"))
+    rest, parts = apart(crowd, found, known, percent)
+    of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"{x}_part"))
     left = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    left = left.where(F.coalesce("apart", "a") != F.coalesce("bpart", "b")).select("a", "b")
-    placed = many.join(parts, F.col("doc") == F.col("node"), "left").withColumn("part", F.coalesce("component", "doc"))
-    apart = placed.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("token")
-    placed = table(placed.join(apart, "token", "left_semi").select("token", "doc", "n", "l", "hot", "pos", "hub", "part"), "apart")
-    home = placed.where("doc = hub").select("token", F.col("part").alias("home"))
-    placed = placed.join(home, "token").withColumn("in", F.col("part") == F.col("home"))
-    outer, inner = side(placed.where("NOT in"), "a", "part"), side(placed, "b", "part", "in")
-    rest = outer.join(inner, "token").where((F.col("apart") != F.col("bpart")) & (F.col("bin") | (F.col("a") < F.col("b"))) & alike)
-    rest = possible(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, percent)
-    rest = table(left.union(rest).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    left = left.where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b")
+    rest = table(left.union(possible(rest, known, percent)).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     return found if rest.isEmpty() else found.union(verified(rest, base, size, percent))
 
 
@@ -217,17 +274,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     """doc_id, n_shingles, component_id for each row."""
     base = base_of(docs, id_col, text_col)
     sets = table(prefixes(base, counters(base, size), size, percent), "prefixes")
-    real = sets.where("n > 0 and doc_id is not null")
-    classes = table(real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc")), "classes")
     named = ["n", "s1", "s2"]
-    first = real.join(classes, named).where("doc = doc_id").groupBy(*named, "doc").agg(F.first("sketch").alias("sketch"), F.first("pre").alias("pre"))
+    real = sets.where("n > 0 and doc_id is not null")
+    # copies are merged before the shuffle; equal sets have equal sketches and prefixes
+    first = real.groupBy(*named).agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("sketch", "choice", "calm", "pre")])
+    first = table(first, "classes")
+    every = table(sets.select("doc_id", *named), "every")
+    drop(sets)
+    known = table(every.join(first.select(*named, "doc"), named).where("doc_id is not null").select("doc_id", "doc").distinct(), "members")
     found = links(base, first, size, percent)
-    known = real.select("doc_id", *named).join(classes, named).select("doc_id", "doc").distinct()
     same = known.groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b")
     same = known.join(same, "doc_id").select("a", F.col("doc").alias("b")).where("a <> b")  # rows of one id in several classes
     parts = connected(found.union(same))
-    place = known.groupBy("doc_id").agg(F.min("doc").alias("doc")).join(parts, F.col("doc") == F.col("node"), "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "doc").alias("part"))
-    out = sets.select("doc_id", "n").join(place, F.col("doc_id") == F.col("id"), "left")
+    spot = known.groupBy("doc_id").agg(F.min("doc").alias("doc")).join(parts, F.col("doc") == F.col("node"), "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "doc").alias("part"))
+    out = every.join(spot, F.col("doc_id") == F.col("id"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("part", "doc_id").alias("component_id"))
 
 
@@ -237,12 +297,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents without words and rows with a null id are in no group and stay. Of rows that repeat an id that with the smallest text hash stays.
     """
     found = table(groups(docs, id_col, text_col, size, percent), "groups")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
-    again = table(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_shingles").alias("most")).where("n > 1 and most > 0").select(F.col("doc_id").alias("_again")), "again")
+    gone_id, again_id, key = (fresh(docs, c) for c in ("gone", "again", "key"))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    left = docs.join(gone, docs[id_col].cast("long") == gone[gone_id], "left_anti")
+    again = table(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_shingles").alias("most")).where("n > 1 and most > 0").select(F.col("doc_id").alias(again_id)), "again")
     if again.isEmpty():
         return left
-    same = docs[id_col].cast("long") == F.col("_again")
-    place = F.row_number().over(Window.partitionBy(docs[id_col]).orderBy(F.xxhash64(docs[text_col])))
-    first = left.join(again, same, "left_semi").withColumn("_place", place).where("_place = 1").drop("_place")
-    return left.join(again, same, "left_anti").unionByName(first)
+    same = docs[id_col].cast("long") == again[again_id]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = left.join(again, same, "left_semi").groupBy(F.col(f"`{id_col}`").alias(key)).agg(F.min_by(row, F.xxhash64(docs[text_col])).alias("row"))
+    return left.join(again, same, "left_anti").unionByName(first.select("row.*"))

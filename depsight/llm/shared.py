@@ -51,10 +51,19 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Removes the files of a table() that nothing will read again."""
-    for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        _remove(df.sparkSession, path)
+def drop(*tables: DataFrame) -> None:
+    """Removes the files of table()s that nothing will read again."""
+    for df in tables:
+        for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            _remove(df.sparkSession, path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name with as many underscores before it as make it none of df's columns, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def _remove(spark: SparkSession, path: str) -> None:
