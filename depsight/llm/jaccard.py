@@ -42,8 +42,11 @@ COUNTER_BITS = 18
 EXTRA, CANDIDATE = (0, 2, 4, 8), 20.0
 #: A shingle of more classes makes no pairs.
 CROWD = 12
-#: Longs of a set's sketch: bit i is odd if an odd number of its shingles fall on i, so two sketches differ in no more bits than the sets in shingles.
+#: Least longs of a set's sketch, which has about a bit for each shingle: bit i is odd if an odd number of shingles fall on i, so two sketches differ in no
+#: more bits than the sets in shingles. A sketch folds into one of half its length by exclusive or of its halves.
 SKETCH = 8
+#: Size bands between two sizes that can just be alike.
+FINE = 3
 #: A posting's size, chosen length and place in one long, from high bits to low ones.
 SIZE_AT, CHOICE_AT = 34, 32
 
@@ -111,8 +114,10 @@ def prefixes(base: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
             for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
                 ends = np.concatenate([[np.uint64(0)], np.cumsum(mixed(runs ^ np.uint64(salt)))])
                 sums.append((ends[places[1:]] - ends[places[:-1]]).view(np.int64))
-            bits = np.bincount(doc * (64 * SKETCH) + (runs & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=len(n) * 64 * SKETCH).astype(np.uint8) & 1
-            sketch = pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(bits).view(np.int64)), SKETCH).cast(pa.list_(pa.int64()))
+            longs = np.maximum(SKETCH, 1 << np.round(np.log2(np.maximum(n, 1) / 64)).clip(0).astype(np.int64))
+            begin = np.concatenate([[0], np.cumsum(longs)])
+            bits = np.bincount(begin[doc] * 64 + (runs.astype(np.int64) & (longs[doc] * 64 - 1)), minlength=begin[-1] * 64).astype(np.uint8) & 1
+            sketch = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(np.packbits(bits).view(np.int64)))
             order = np.argsort(doc * 2 + crowded[counter], kind="stable")  # within a text sorted by hash already
             cost = np.concatenate([[0.0], np.cumsum(excess[counter][order], dtype=np.float64)])
             classic = n - (percent * n + 99) // 100 + 1
@@ -171,9 +176,22 @@ def early(a: Column, b: Column, percent: int) -> Column:
     return near_sizes(n, m, percent) & (i <= n - least) & (k <= m - least)
 
 
+def folded(sketch: Column) -> Column:
+    """A sketch of half the length."""
+    half = (F.size(sketch) / 2).cast("int")
+    return F.zip_with(F.slice(sketch, 1, half), F.slice(sketch, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
 def differing(a: Column, b: Column) -> Column:
-    """Bits in which two sketches differ."""
-    return sum((F.bit_count(F.get(a, k).bitwiseXOR(F.get(b, k))) for k in range(SKETCH)), F.lit(0))
+    """Bits in which two sketches differ, the longer one folded once: sizes that can be alike are less than twice one another."""
+    one = F.when(F.size(a) > F.size(b), folded(a)).otherwise(a)
+    other = F.when(F.size(b) > F.size(a), folded(b)).otherwise(b)
+    return F.aggregate(F.zip_with(one, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+
+
+def short(sketch: Column) -> Column:
+    """A sketch folded to SKETCH longs, where distances between sets of any sizes obey the triangle inequality."""
+    return F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda k: F.aggregate(F.filter(sketch, lambda _, i: i % SKETCH == k), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)))
 
 
 def verified(pairs: DataFrame, base: DataFrame, size: int, percent: int) -> DataFrame:
@@ -229,18 +247,29 @@ def apart(crowd: DataFrame, found: DataFrame, known: DataFrame, percent: int) ->
     placed = table(placed, "placed")
     per = placed.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.max(F.when(F.col("doc") == F.col("hub"), F.col("part"))).alias("home"))
     per = table(per.where("x <> y").select("token", "home"), "split")
-    sketch = lambda x: known.select(F.col("doc").alias(x), F.col("sketch").alias(f"{x}_sketch"))
-    rows = placed.join(per, "token").join(sketch("doc"), "doc").join(sketch("hub"), "hub")
-    rows = table(rows.select("token", "doc", "at", "part", "home", differing(F.col("doc_sketch"), F.col("hub_sketch")).alias("far")), "apart")
+    sketch = lambda x, *more: known.select(F.col("doc").alias(x), F.col("short").alias(f"{x}_sketch"), *more)
+    rows = placed.join(per, "token").join(sketch("doc", "hot"), "doc").join(sketch("hub"), "hub")
+    rows = table(rows.select("token", "doc", "at", "part", "home", "hot", differing(F.col("doc_sketch"), F.col("hub_sketch")).alias("far")), "apart")
     drop(placed)
 
-    # like sizes are at most one band apart, and like distances from the hub one step, whose width follows the band
-    ratio = 100 / percent
-    band = F.floor(F.log(place(F.col("at"))[0].cast("double")) / F.lit(float(np.log(ratio))) + F.lit(1e-9))
-    step = lambda k: F.floor(F.col("far") / F.greatest(F.lit(1.0), F.pow(F.lit(ratio), k + 1) * F.lit(ratio - 1) * F.lit(1 + 1e-9)))
-    inner = rows.withColumn("band", band).select("token", "band", step(F.col("band")).alias("step"), F.col("doc").alias("b"), F.col("at").alias("b_at"), F.col("part").alias("b_part"), (F.col("part") == F.col("home")).alias("inside"))
-    outer = rows.where("part <> home").select("token", F.col("doc").alias("a"), F.col("at").alias("a_at"), F.col("part").alias("a_part"), "far", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: band + d)).alias("band"))
-    outer = outer.select("token", "a", "a_at", "a_part", "band", F.explode(F.array(*[step(F.col("band")) + d for d in (-1, 0, 1)])).alias("step"))
+    # a class is kept at its size's band and at its distance's step, whose width is the most that classes alike to one of that band may differ by; a class
+    # outside of home asks at the bands and steps where classes alike to it can be
+    t, n, pos = percent / 100, place(F.col("at"))[0].cast("double"), place(F.col("at"))[2]
+    fine = float(np.log(1 / t)) / FINE
+    edge = lambda k: F.exp(k * F.lit(fine))
+    band = F.floor(F.log(n) / F.lit(fine) + F.lit(1e-9))
+    step = lambda k, d: F.floor((F.col("far") + d) / F.greatest(F.lit(1.0), edge(k + 1) * F.lit((1 / t - 1) * (1 + 1e-9))))
+    least_hot = lambda m: t * (n + m) / (1 + t) - t * F.greatest(n, m) + F.lit(1 - 1e-6)  # noqa: E731  matches asked of a pair of these sizes, at least
+
+    def can(k: Column) -> Column:
+        low, high = F.greatest(edge(k), n * t), F.least(edge(k + 1), n / t)
+        return (low <= high * (1 + 1e-9)) & (low <= (n - pos) * (1 + t) / t - n + 1) & (F.col("hot") >= F.least(least_hot(low), least_hot(high)))
+
+    inner = rows.withColumn("band", band).select("token", "band", step(F.col("band"), F.lit(0)).alias("step"), F.col("doc").alias("b"), F.col("at").alias("b_at"), F.col("part").alias("b_part"), (F.col("part") == F.col("home")).alias("inside"))
+    bands = F.filter(F.transform(F.sequence(F.lit(-FINE - 1), F.lit(FINE + 1)), lambda d: band + d), can)
+    outer = rows.where("part <> home").select("token", F.col("doc").alias("a"), "at", F.col("at").alias("a_at"), F.col("part").alias("a_part"), "far", F.explode(bands).alias("band"))
+    slack = (n + F.least(n / t, edge(F.col("band") + 1))) * F.lit((1 - t) / (1 + t) * (1 + 1e-9))
+    outer = outer.select("token", "a", "a_at", "a_part", "band", F.explode(F.sequence(step(F.col("band"), -slack), step(F.col("band"), slack))).alias("step"))
     rest = outer.join(inner, ["token", "band", "step"]).where((F.col("a_part") != F.col("b_part")) & (F.col("inside") | (F.col("a") < F.col("b"))) & early(F.col("a_at"), F.col("b_at"), percent))
     return rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), parts
 
@@ -249,7 +278,7 @@ def links(base: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     """(a, b) links that join all classes that belong together; classes: doc, n, sketch, choice, calm, pre of one document of each class."""
     few, crowd = postings(classes)
     hot = crowd.groupBy("doc").agg(F.count("*").alias("hot")).withColumnRenamed("doc", "hot_doc")
-    known = table(classes.join(hot, F.col("doc") == F.col("hot_doc"), "left").select("doc", "n", "choice", "sketch", F.coalesce("hot", F.lit(0)).alias("hot")), "known")
+    known = table(classes.join(hot, F.col("doc") == F.col("hot_doc"), "left").select("doc", "n", "choice", "sketch", short(F.col("sketch")).alias("short"), F.coalesce("hot", F.lit(0)).alias("hot")), "known")
     drop(classes)
 
     pairs = few.select(F.col("doc").alias("own"), F.col("at").alias("own_at"), F.inline("before"))
