@@ -2,26 +2,31 @@
 
 A word is covered if a window of SIZE words that covers it also starts anywhere else. All documents are the reference. It is cut into blocks by its
 content: an anchor is the run of GRAM words with the least hash in some window, so equal windows have equal anchors at equal places, and the windows
-with the same anchor are one block: all its words from its first window's beginning to its last one's end. Anchors of more than one place index the blocks.
-
-Each document is then factored from left to right, a factor being the longest block at its place. A factor that equals a block elsewhere is a
-duplicate span as a whole, whatever its number of windows. Only at the edges of a repeated passage, where blocks of one anchor differ, windows
-are compared one by one. So a passage of any length costs a row for each block, a crowd of copies costs one block, and the result is exact.
-
-Null texts have no words. Repeated rows are places of their own. Rows are told apart by id and text, so ids may repeat or be null. Empty tables give empty
-tables. Extra columns of the input are not looked at.
+with the same anchor are one block: all its words from its first window's beginning to its last one's end. Anchors of more than one place index the blocks,
+and an index entry knows two places of its block in the reference, the first and the last.
+
+Each document is then factored from left to right against the indexed blocks. A factor follows one place of the reference from block to block for as long as
+the reference goes on like the document; of the places at which it can begin the one with the longest match is taken, and the next factor begins where it
+ends. Factors of SIZE words and more are duplicate spans as a whole. Where factors meet or end inside a block, blocks of one anchor differ: there windows are
+compared one by one, and a factor's span grows by those that are found elsewhere. So a passage of any length costs a row for each block, a crowd of copies
+costs one block, and the result is exact. Windows and blocks are compared among those of one anchor only: two 64-bit hashes agree, not one.
+
+Cases: null and empty texts have no words; texts of fewer words than SIZE keep all. Very long texts are factored whole. Repeated rows are places of their own;
+of anchors that tie the first one counts, and of matches that tie the first place. Rows are told apart by id and text, so ids may repeat or be null. Empty
+tables give empty tables. Extra columns of the input are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depsight.llm.shared import doc_of, mixed, over_steps, put, run_hashes, table, text_of, word_hashes, words_of
+from depsight.llm.shared import doc_of, drop, mixed, over_steps, put, run_hashes, table, text_of, word_hashes, words_of
 
 SIZE, GRAM = 35, 8
 KEYS = ["doc_id", "hash"]
@@ -125,7 +130,7 @@ def blocks(marked: DataFrame, size: int, gram: int) -> DataFrame:
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """The documents with their keys, and for each key its duplicate windows: begins and ends (array<int>, first word and end of covered runs)."""
+    """The documents with their keys, and for each key its blocks with duplicate windows, in order: runs (start, nos, and two places in the reference)."""
     base = keyed(docs, id_col, text_col)
     found = table(anchors(base, size, gram), "anchors")
     shared = found.groupBy("anchor").agg(F.sum("places").alias("n")).where("n > 1").select("anchor")
@@ -133,55 +138,109 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     marks = marks.select(F.col("doc_id").alias("mark_id"), F.col("hash").alias("mark_hash"), "anchors")
     same = F.col("doc_id").eqNullSafe(F.col("mark_id")) & (F.col("hash") == F.col("mark_hash"))
     factors = table(blocks(base.join(marks, same).select(*KEYS, "text", "anchors"), size, gram), "factors")
-
-    # one row for each distinct block, with the number of its places
-    distinct = factors.groupBy("anchor", "block").agg(F.sum(F.size("starts")).alias("places"), F.first("windows").alias("windows"))
-    distinct = table(distinct, "blocks")
+    drop(found)
+
+    # one row for each distinct block, with the number of its places, the first and the last
+    place = lambda of: F.struct(F.col("doc_id").alias("id"), "hash", of.alias("start"))
+    ends = [F.min(place(F.array_min("starts"))).alias("first_place"), F.max(place(F.array_max("starts"))).alias("last_place")]
+    distinct = table(factors.groupBy("anchor", "block").agg(F.sum(F.size("starts")).alias("places"), *ends, F.first("windows").alias("windows")), "blocks")
+    own = table(factors.select(*KEYS, "anchor", "block", "starts"), "places")
+    drop(factors)
     mixed_anchors = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("places").alias("all"))
     single = distinct.where("places = 1").join(mixed_anchors.where("kinds > 1").select("anchor"), "anchor", "left_semi").select("anchor").distinct()
     # where a block stands alone among others of its anchor, its windows are compared with theirs
     compared = distinct.join(single, "anchor", "left_semi").select("anchor", "block", "places", F.posexplode("windows").alias("no", "window"))
     repeated = compared.groupBy("anchor", "window").agg(F.sum("places").alias("n")).where("n > 1").select("anchor", "window")
     edges = compared.where("places = 1").join(repeated, ["anchor", "window"], "left_semi").groupBy("anchor", "block").agg(F.array_sort(F.collect_list("no")).alias("nos"))
-    whole = distinct.where("places > 1").select("anchor", "block", F.sequence(F.lit(0), F.size("windows") - 1).alias("nos"))
-    found = factors.select(*KEYS, "anchor", "block", "starts").join(whole.unionByName(edges), ["anchor", "block"])
-    runs = found.select(*KEYS, F.explode("starts").alias("start"), "nos").groupBy(*KEYS).agg(F.collect_list(F.struct("start", "nos")).alias("runs"))
+    whole = distinct.where("places > 1").select("anchor", "block", F.sequence(F.lit(0), F.size("windows") - 1).alias("nos"), "first_place", "last_place")
+    none = [F.lit(None).cast(whole.schema[c].dataType).alias(c) for c in ("first_place", "last_place")]
+    known = own.join(whole.unionByName(edges.select("*", *none)), ["anchor", "block"])
+    runs = known.select(*KEYS, F.explode("starts").alias("start"), "nos", "first_place", "last_place").groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("start", "nos", "first_place", "last_place"))).alias("runs"))
     return base, runs.select(F.col("doc_id").alias("run_id"), F.col("hash").alias("run_hash"), "runs")
 
 
-def covered(t: pa.Table, offsets: np.ndarray, size: int) -> np.ndarray:
-    """For each word of the step whether a duplicate window covers it."""
-    runs = t["runs"].combine_chunks()
-    n = len(runs)
-    edge = np.zeros(int(offsets[-1]) + 1, np.int64)
-    each = np.asarray(runs.offsets)
-    inner = runs.flatten()
-    if len(inner):
-        doc = np.repeat(np.arange(n), np.diff(each) if runs.null_count == 0 else np.where(np.asarray(runs.is_valid()), np.diff(each), 0))
-        start = np.asarray(inner.field("start")).astype(np.int64) + offsets[:-1][doc]
-        nos = inner.field("nos")
-        size_of = np.diff(np.asarray(nos.offsets))
-        place = np.repeat(start, size_of) + np.asarray(nos.flatten())
-        np.add.at(edge, place, 1)
-        np.add.at(edge, place + size, -1)
-    return np.cumsum(edge)[:-1] > 0
+def parsed(blocks: list[tuple[int, int, list[tuple]]]) -> list[tuple[int, int, tuple | None]]:
+    """The factors (first window, number of windows, place) of a document's blocks in order: (start, windows, places of the reference).
+
+    A match at a place goes on into the next block where that begins at the next window and has a place that continues it. Lengths of matches are known
+    from right to left, factors are taken from left to right.
+    """
+    longest: list[dict[tuple, int]] = [{} for _ in blocks]
+    for k in range(len(blocks) - 1, -1, -1):
+        start, n, places = blocks[k]
+        after = longest[k + 1] if k + 1 < len(blocks) and blocks[k + 1][0] == start + n else {}
+        longest[k] = {(key, at - start): n + after.get((key, at - start), 0) for key, at in places}
+    out, k = [], 0
+    while k < len(blocks):
+        start, n, _ = blocks[k]
+        (key, shift), most = max(longest[k].items(), key=lambda x: x[1])
+        end = start + most
+        out.append((start, most, (key, start + shift)))
+        while k < len(blocks) and blocks[k][0] < end:
+            k += 1
+    return out
+
+
+def factored(runs: list[dict] | None, own: tuple) -> tuple[list[tuple[int, int, tuple | None]], list[int]]:
+    """The factors of one document (key: own), and the windows beside them that are found elsewhere one by one."""
+    whole, beside = [], []
+    for r in runs or ():
+        if r["first_place"] is None:
+            beside += [r["start"] + no for no in r["nos"]]
+            continue
+        places = [((p["id"], p["hash"]), p["start"]) for p in (r["first_place"], r["last_place"])]
+        others = [p for p in places if p != (own, r["start"])]  # a match with itself is none, unless a repeated row is the other place
+        whole.append((r["start"], len(r["nos"]), list(dict.fromkeys(others or places))))
+    return parsed(whole), beside
+
+
+def covered(t: pa.Table, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of the step whether a factor or a duplicate window beside one covers it, and the number of factors of each text."""
+    edge, factors = np.zeros(int(offsets[-1]) + 1, np.int64), np.zeros(len(offsets) - 1, np.int64)
+    runs, ids, hashes = t["runs"].combine_chunks(), t["doc_id"].combine_chunks(), t["hash"].combine_chunks()
+    for k in np.flatnonzero(np.asarray(runs.is_valid())).tolist():
+        found, beside = factored(runs[k].as_py(), (ids[k].as_py(), hashes[k].as_py()))
+        factors[k] = len(found)
+        for start, n, _ in found:
+            edge[offsets[k] + start] += 1
+            edge[offsets[k] + start + n - 1 + size] -= 1
+        for start in beside:
+            edge[offsets[k] + start] += 1
+            edge[offsets[k] + start + size] -= 1
+    return np.cumsum(edge)[:-1] > 0, factors
+
+
+def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
+    """doc_id, first_word, n_words, ref_id, ref_word of each factor: the words of a document that stand in a row elsewhere, and where."""
+    _, runs = spans(docs, id_col, text_col, size, gram)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(r["run_id"], start, n - 1 + size, place[0][0], place[1]) for r in b.to_pylist() for start, n, place in factored(r["runs"], (r["run_id"], r["run_hash"]))[0]]
+            if rows:
+                doc, first, n, ref, at = zip(*rows, strict=True)
+                own = b.schema.field("run_id").type
+                yield put(doc_id=pa.array(doc, own), first_word=pa.array(first, pa.int64()), n_words=pa.array(n, pa.int64()), ref_id=pa.array(ref, own), ref_word=pa.array(at, pa.int64()))
+
+    return runs.mapInArrow(run, f"doc_id {kind}, first_word long, n_words long, ref_id {kind}, ref_word long")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM, texts: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 for each document, with texts also kept, its words that stay."""
+    """doc_id, n_words, n_removed, kept_sha256, n_factors for each document, with texts also kept, its words that stay."""
     base, runs = spans(docs, id_col, text_col, size, gram)
-    joined = base.join(runs, F.col("doc_id").eqNullSafe(F.col("run_id")) & (F.col("hash") == F.col("run_hash")), "left").select("doc_id", "text", "runs")
+    joined = base.join(runs, F.col("doc_id").eqNullSafe(F.col("run_id")) & (F.col("hash") == F.col("run_hash")), "left").select("doc_id", "hash", "text", "runs")
 
     def work(t: pa.Table) -> pa.RecordBatch:
         flat, offsets = words_of(text_of(t))
-        gone = covered(t, offsets, size)
+        gone, n_factors = covered(t, offsets, size)
         n = np.diff(offsets)
         before = np.concatenate([[0], np.cumsum(~gone)])
         left = flat.filter(pa.array(~gone)).to_pylist()
         cuts = before[offsets]
         kept = [" ".join(left[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        out = {"doc_id": t["doc_id"].combine_chunks(), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(n - np.diff(cuts), pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in kept], pa.string())}
+        out = {"doc_id": t["doc_id"].combine_chunks(), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(n - np.diff(cuts), pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in kept], pa.string()), "n_factors": pa.array(n_factors, pa.int64())}
         return put(**out, **({"kept": pa.array(kept, pa.string())} if texts else {}))
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    return over_steps(joined, work, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + (", kept string" if texts else ""))
+    return over_steps(joined, work, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, n_factors long" + (", kept string" if texts else ""))

@@ -45,6 +45,29 @@ def test_odd_cases(spark):
     check(spark, [])
 
 
+def test_factors_follow_the_reference(spark):
+    """Each factor's words stand at its place in the reference, and a passage is one factor however many blocks it has."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(900)]
+    rows = [(1, [word() for _ in range(50)] + passage + [word()]), (2, passage[100:800] + [word() for _ in range(9)]), (3, [word()] + passage[:300] + passage[500:]), (4, [word() for _ in range(90)])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    texts, found = dict(rows), substring.factors(docs).collect()
+    for r in found:
+        a, b = texts[r["doc_id"]][r["first_word"] :][: r["n_words"]], texts[r["ref_id"]][r["ref_word"] :][: r["n_words"]]
+        assert a == b and len(a) == r["n_words"] >= 35 and (r["doc_id"], r["first_word"]) != (r["ref_id"], r["ref_word"])
+    assert max(r["n_words"] for r in found if r["doc_id"] == 2) > 500 and {r["doc_id"] for r in found} == {1, 2, 3}
+    assert sum(r["doc_id"] == 2 for r in found) <= 3
+
+
+def test_greedy_parse():
+    """The longest match at each place, then the next one."""
+    a, b = ("a", 0), ("b", 0)
+    blocks = [(0, 5, [(a, 100), (b, 10)]), (5, 3, [(a, 105), (b, 15)]), (8, 2, [(b, 18)]), (10, 4, [(a, 7)]), (20, 1, [(a, 17)])]
+    assert substring.parsed(blocks) == [(0, 10, (b, 10)), (10, 4, (a, 7)), (20, 1, (a, 17))]
+    assert substring.parsed([]) == []
+
+
 def test_least_place():
     h = np.array([5, 3, 3, 9, 1, 1, 7, 2], np.uint64)
     for wide in range(1, 9):
