@@ -1,12 +1,16 @@
 """WARC archives as a chunked record table.
 
-A record's bytes (WARC/1.1 header block, payload, end) lie in rows of (record_id, chunk_no): no row is larger than the chunk size, so a
-payload of any size passes through writers, shuffles and readers piece by piece. Each row carries the SHA-1 of the payload up to its end;
-readers carry the sum forward from chunk to chunk and compare. The rows' data in order is a plain WARC stream, which save() writes to files.
+A record's bytes (WARC/1.1 header block, payload, end) lie in rows of (record_id, chunk_no): no row is larger than the chunk size, so a payload of any size
+passes through Python, shuffles and readers piece by piece. Payloads are cut by built-in expressions, before Python sees them; each row carries the SHA-1
+of the payload up to its end, which writer and readers carry forward from chunk to chunk. Only these sums decide which records are revisits. The rows' data
+in order is a plain WARC stream, which save() writes to files and load() reads back as rows.
 
-Of records with equal payloads of at least least_bytes, that with the largest page id is the response and the others revisit it. Null
-payloads are empty, null urls become urn:page:<id>. Of rows that repeat the largest id each is a response; a null id is below all others.
-An empty table gives an empty archive. Extra columns of the input are not looked at.
+Of records with equal payloads of at least least_bytes, that with the largest page id is the response and the others revisit it; a revisit's length and
+digest are checked against the response that it refers to.
+
+Cases: null and empty payloads are records without payload, null urls become urn:page:<id>. Very long payloads take more rows, not larger ones. Of rows that
+repeat the largest id each is a response (ties); repeated rows are records of their own. A null id is below all others. An empty table gives an empty
+archive. Extra columns of the input are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depsight.llm.shared import put, table
@@ -31,29 +35,76 @@ DATE = "1970-01-01T00:00:00Z"
 BATCH = 4 << 20
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 CHUNKS = "record_id string, chunk_no int, data binary, payload_sha1 string, last boolean"
+PIECES = "record_id string, row long, page_id long, url string, chunk_no int, data binary, payload_sha1 string, bytes long, last boolean"
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """page_id, url, payload, sha1, refers_to for each page; only (length, digest, id) rows are shuffled, summed before."""
-    payload = F.coalesce(pages[payload_col].cast("string"), F.lit("")).cast("binary")
-    base = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), payload.alias("payload")).withColumn("sha1", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
-    best = base.where(F.col("bytes") >= least_bytes).groupBy("sha1", "bytes").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    best = table(best, "responses").withColumnsRenamed({"sha1": "best_sha1", "bytes": "best_bytes"})  # repeated payloads only, of known size
-    joined = base.join(best, (F.col("sha1") == F.col("best_sha1")) & (F.col("bytes") == F.col("best_bytes")), "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest"))
-    return joined.select("page_id", "url", "payload", "sha1", "bytes", refers.alias("refers_to"))
+def record_id(page_id: object, row: int) -> str:
+    return f"urn:uuid:{uuid.uuid5(SPACE, f'page:{page_id}:{row}')}"
+
+
+def gathered(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], data: int) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of about BATCH bytes; data: the place of the column that holds the bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[data])
+        if size >= BATCH or len(held) >= 4096:
+            yield batch_of(held, names, types)
+            held, size = [], 0
+    if held:
+        yield batch_of(held, names, types)
+
 
+def batch_of(held: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return put(**{n: pa.array(x, t) for n, t, x in zip(names, types, zip(*held, strict=True), strict=True)})
 
-def record_id(page_id: object, copy: int = 0) -> str:
-    return f"urn:uuid:{uuid.uuid5(SPACE, f'page:{page_id}:{copy}')}"
 
+def pieces(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", chunk: int = CHUNK) -> DataFrame:
+    """A table of payload chunks, numbered from 1, in PIECES' columns; an empty payload is one empty chunk. row tells input rows apart.
 
-def header(page_id, url, sha1: str, size: int, refers_to, copy: int) -> bytes:
+    substring() cuts inside the JVM's row, and each piece goes to Python by itself. Arrow batches are bounded by bytes: a batch of large pieces is small.
+    """
+    payload = F.coalesce(pages[payload_col].cast("string"), F.lit("")).cast("binary")
+    base = pages.select(F.monotonically_increasing_id().alias("row"), pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"))
+    most = F.greatest(F.ceil(F.octet_length("payload") / F.lit(chunk)), F.lit(1)).cast("int")
+    spread = base.select("row", "page_id", "url", "payload", most.alias("most"), F.explode(F.sequence(F.lit(1), most)).alias("no"))
+    cut = spread.select("row", "page_id", F.when(F.col("no") == 1, F.col("url")).alias("url"), "no", (F.col("no") == F.col("most")).alias("last"), F.substring("payload", (F.col("no") - 1) * chunk + 1, F.lit(chunk)).alias("piece"))
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.bool_()]
+    names = [x.split()[0] for x in PIECES.split(", ")]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        sums, size = hashlib.sha1(), 0
+        for b in batches:  # a record's pieces follow one another: they come from one row
+            number, page, url, no, last, piece = (b.column(n) for n in ("row", "page_id", "url", "no", "last", "piece"))
+            for k in range(b.num_rows):
+                if no[k].as_py() == 1:
+                    sums, size = hashlib.sha1(), 0
+                data = piece[k].as_py()
+                sums.update(data)
+                size += len(data)
+                yield record_id(page[k].as_py(), number[k].as_py()), number[k].as_py(), page[k].as_py(), url[k].as_py(), no[k].as_py(), data, sums.hexdigest(), size, last[k].as_py()
+
+    return table(cut.mapInArrow(lambda batches: gathered(rows(batches), names, types, 5), PIECES), "pieces")
+
+
+def records(parts: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """A table of one row a record: record_id, page_id, url, sha1, bytes, chunks, refers_to and refers_record; payloads take no part in it."""
+    ends = parts.where("last").select("record_id", "row", "page_id", F.col("payload_sha1").alias("sha1"), "bytes", F.col("chunk_no").alias("chunks"))
+    urls = parts.where("chunk_no = 1").select(F.col("record_id").alias("url_record"), "url")
+    base = table(ends.join(urls, F.col("record_id") == F.col("url_record")).drop("url_record"), "records")
+    best = base.where(F.col("bytes") >= least_bytes).groupBy("sha1", "bytes").agg(F.max(F.struct("page_id", F.negative("row").alias("row"), "record_id")).alias("b"), F.count("*").alias("n")).where("n > 1")
+    best = best.select(F.col("sha1").alias("best_sha1"), F.col("bytes").alias("best_bytes"), F.col("b.page_id").alias("largest"), F.col("b.record_id").alias("largest_record"))
+    joined = base.join(best, (F.col("sha1") == F.col("best_sha1")) & (F.col("bytes") == F.col("best_bytes")), "left")
+    revisit = ~F.col("page_id").eqNullSafe(F.col("largest")) & F.col("largest_record").isNotNull()
+    return table(joined.select("record_id", "page_id", "url", "sha1", "bytes", "chunks", F.when(revisit, F.col("largest")).alias("refers_to"), F.when(revisit, F.col("largest_record")).alias("refers_record")), "heads")
+
+
+def header(record: str, page_id, url, sha1: str, size: int, refers_to, refers_record) -> bytes:
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{page_id}"
-    revisit = refers_to is not None
+    revisit = refers_record is not None
     fields = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": f"<{record_id(page_id, copy)}>",
+        "WARC-Record-ID": f"<{record}>",
         "WARC-Date": DATE,
         "WARC-Target-URI": uri,
         "WARC-Payload-Digest": "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode(),
@@ -61,60 +112,50 @@ def header(page_id, url, sha1: str, size: int, refers_to, copy: int) -> bytes:
         "X-Payload-Length": str(size),
     }
     if revisit:
-        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<{record_id(refers_to)}>", "X-Refers-To-Page-Id": str(refers_to)}
+        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<{refers_record}>", "X-Refers-To-Page-Id": "" if refers_to is None else str(refers_to)}
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     fields |= {"Content-Type": "application/http; msgtype=response", "Content-Length": str(len(http) + (0 if revisit else size))}
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + http
 
 
-def chunk_rows(row: dict, chunk: int) -> Iterator[tuple[str, int, bytes, str, bool]]:
-    """The rows of one record, one at a time: its header, pieces of its payload, the two line ends."""
-    sums = hashlib.sha1()
-    name = record_id(row["page_id"], row["copy"])
-    revisit = row["refers_to"] is not None
-    yield name, 0, header(row["page_id"], row["url"], row["sha1"], row["bytes"], row["refers_to"], row["copy"]), sums.hexdigest(), False
-    no, payload = 1, memoryview(b"" if revisit else row["payload"])
-    for at in range(0, len(payload), chunk):
-        piece = payload[at : at + chunk]
-        sums.update(piece)
-        yield name, no, bytes(piece), sums.hexdigest(), False
-        no += 1
-    yield name, no, b"\r\n\r\n", sums.hexdigest(), True
-
+def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", chunk: int = CHUNK, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """The archive of a table of pages, in CHUNKS' columns, from tables in the shared folder.
 
-def gathered(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += len(row[2])
-        if size >= BATCH:
-            yield batch_of(held)
-            held, size = [], 0
-    if held:
-        yield batch_of(held)
+    Chunk 0 is a record's header, which is known once the payload has been summed, and the last chunk its end. Chunks of revisits are still among the
+    rows; ordered() ends them, where the records' chunks meet anyway, so that payloads are shuffled once.
+    """
+    parts = pieces(pages, id_col, url_col, payload_col, chunk)
+    names = [x.split()[0] for x in CHUNKS.split(", ")]
+    types = [pa.string(), pa.int32(), pa.binary(), pa.string(), pa.bool_()]
+    none = hashlib.sha1().hexdigest()
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for r in b.to_pylist():
+                head = header(r["record_id"], r["page_id"], r["url"], r["sha1"], r["bytes"], r["refers_to"], r["refers_record"])
+                yield r["record_id"], 0, head, none, False
+                yield r["record_id"], r["chunks"] + 1, b"\r\n\r\n", none if r["refers_record"] else r["sha1"], True
 
-def batch_of(held: list[tuple]) -> pa.RecordBatch:
-    ids, nos, data, sums, last = zip(*held, strict=True)
-    return put(record_id=pa.array(ids), chunk_no=pa.array(nos, pa.int32()), data=pa.array(data, pa.binary()), payload_sha1=pa.array(sums), last=pa.array(last))
+    ends = records(parts, least_bytes).mapInArrow(lambda batches: gathered(rows(batches), names, types, 2), CHUNKS)
+    return parts.select("record_id", "chunk_no", "data", "payload_sha1", F.lit(False).alias("last")).unionByName(table(ends, "ends"))
 
 
-def write(records_df: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The archive of records() as a table in the shared folder. Rows with the same page id get record ids of their own."""
-    repeated = records_df.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("again"))
-    again = table(repeated, "repeated")
-    if again.isEmpty():
-        numbered = records_df.withColumn("copy", F.lit(0))
-    else:
-        marked = records_df.join(again, F.col("page_id").eqNullSafe(F.col("again")), "left_semi")
-        once = records_df.join(again, F.col("page_id").eqNullSafe(F.col("again")), "left_anti").withColumn("copy", F.lit(0))
-        number = F.row_number().over(Window.partitionBy("page_id").orderBy("sha1", "url")) - 1
-        numbered = once.unionByName(marked.withColumn("copy", number))
+def ordered(archive: DataFrame) -> DataFrame:
+    """Records one after another, each with its chunks in order and without a revisit's payload."""
+    dealt = archive.repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from gathered(x for b in batches for k in range(b.num_rows) for x in chunk_rows({n: b.column(n)[k].as_py() for n in b.schema.names}, chunk))
+        skip = False
+        for b in batches:
+            keep = []
+            nos, data, last = b.column("chunk_no").to_pylist(), b.column("data"), b.column("last").to_pylist()
+            for k, no in enumerate(nos):
+                if no == 0:
+                    skip = b"\r\nWARC-Type: revisit\r\n" in data[k].as_py()
+                keep.append(no == 0 or last[k] or not skip)
+            yield b if all(keep) else b.filter(pa.array(keep))
 
-    return table(numbered.mapInArrow(run, CHUNKS), "archive")
+    return dealt.mapInArrow(run, CHUNKS)
 
 
 def parsed(head: bytes) -> dict[str, str]:
@@ -125,8 +166,11 @@ def parsed(head: bytes) -> dict[str, str]:
 
 
 def read(archive: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of each record. One chunk is held at a time."""
-    ordered = archive.repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of each record. One chunk is held at a time.
+
+    A chunk that is missing, changed or out of place is an error, and so is a revisit that differs from its response.
+    """
+    number = lambda x: int(x) if x else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields, sums, size, follows = None, None, 0, 0
@@ -134,35 +178,40 @@ def read(archive: DataFrame) -> DataFrame:
             out = []
             ids, nos, data, said, last = (b.column(n) for n in ("record_id", "chunk_no", "data", "payload_sha1", "last"))
             for k in range(b.num_rows):
-                no = nos[k].as_py()
+                no, end = nos[k].as_py(), last[k].as_py()
                 if no == 0:
                     if fields is not None:
                         raise ValueError(f"the record before {ids[k]} has no end")
-                    fields, sums, size, follows = parsed(data[k].as_py()), hashlib.sha1(), 0, 0
-                elif fields is None or no != follows + 1:
+                    fields, sums, size, follows = parsed(data[k].as_py()), hashlib.sha1(), 0, -1
+                revisit = fields is not None and fields["WARC-Type"] == "revisit"
+                if fields is None or (no != follows + 1 and not (end and revisit)):
                     raise ValueError(f"record {ids[k]}: chunk {no} doesn't follow {follows}")
-                elif not last[k].as_py():
+                if no and not end:
                     piece = data[k].as_buffer()
                     sums.update(piece)
                     size += piece.size
                 follows = no
                 if sums.hexdigest() != said[k].as_py():
                     raise ValueError(f"record {ids[k]}: the digest up to chunk {no} differs")
-                if last[k].as_py():
+                if end:
                     digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                    kind, total = fields["WARC-Type"], int(fields["X-Payload-Length"])
-                    if kind == "response" and (digest != sums.hexdigest() or total != size):
+                    total = int(fields["X-Payload-Length"])
+                    if not revisit and (digest != sums.hexdigest() or total != size):
                         raise ValueError(f"record {ids[k]}: its payload isn't what its header says")
-                    number = lambda x: int(x) if x else None
-                    out.append((number(fields["X-Page-Id"]), total, digest, kind, number(fields.get("X-Refers-To-Page-Id"))))
+                    out.append((ids[k].as_py(), number(fields["X-Page-Id"]), total, digest, fields["WARC-Type"], number(fields.get("X-Refers-To-Page-Id")), fields.get("WARC-Refers-To", "<>")[1:-1] or None))
                     fields = None
             if out:
-                page, total, digest, kind, refers = zip(*out, strict=True)
-                yield put(page_id=pa.array(page, pa.int64()), payload_bytes=pa.array(total, pa.int64()), payload_digest=pa.array(digest), record_type=pa.array(kind), refers_to=pa.array(refers, pa.int64()))
+                yield batch_of(out, ["record", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_record"], [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()])
         if fields is not None:
             raise ValueError("the last record has no end")
 
-    return ordered.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    found = table(ordered(archive).mapInArrow(run, "record string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, refers_record string"), "read")
+    wanted = found.where("record_type = 'revisit'").select(F.col("refers_record").alias("own")).distinct()
+    answers = found.where("record_type = 'response'").join(wanted, F.col("record") == F.col("own"), "left_semi").select(F.col("record").alias("answer"), F.col("payload_bytes").alias("own_bytes"), F.col("payload_digest").alias("own_digest"))
+    joined = found.join(answers, F.col("refers_record") == F.col("answer"), "left")
+    same = F.col("payload_bytes").eqNullSafe(F.col("own_bytes")) & F.col("payload_digest").eqNullSafe(F.col("own_digest"))
+    checked = F.when((F.col("record_type") == "revisit") & ~same, F.raise_error(F.concat(F.lit("a revisit differs from the record "), "refers_record"))).otherwise(F.col("record_type"))
+    return joined.select("page_id", "payload_bytes", "payload_digest", checked.cast("string").alias("record_type"), "refers_to")
 
 
 def save(archive: DataFrame, folder: str) -> DataFrame:
@@ -170,7 +219,6 @@ def save(archive: DataFrame, folder: str) -> DataFrame:
 
     A task writes under a name of its own attempt and renames at its end, so a retried task leaves one whole file.
     """
-    ordered = archive.repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -189,7 +237,60 @@ def save(archive: DataFrame, folder: str) -> DataFrame:
         if size:
             yield put(name=[os.path.basename(final)], bytes=pa.array([size], pa.int64()))
 
-    return ordered.mapInArrow(run, "name string, bytes long")
+    return ordered(archive).mapInArrow(run, "name string, bytes long")
+
+
+def load(files: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
+    """The chunk rows of saved .warc files (files: name, as save() returns), a file a task at a time, read by chunks."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            for name in b.column("name").to_pylist():
+                with store.open_input_stream(f"{root}/{name}") as stream:
+                    yield from records_of(stream, chunk)
+
+    names = [x.split()[0] for x in CHUNKS.split(", ")]
+    types = [pa.string(), pa.int32(), pa.binary(), pa.string(), pa.bool_()]
+    return files.select("name").mapInArrow(lambda batches: gathered(rows(batches), names, types, 2), CHUNKS)
+
+
+def records_of(stream, chunk: int) -> Iterator[tuple]:
+    """The rows of each record of a WARC stream; no more than a chunk and a header are held."""
+    held = b""
+
+    def more() -> bool:
+        nonlocal held
+        got = stream.read(chunk)
+        held += got
+        return bool(got)
+
+    def until(end: bytes) -> bytes:
+        nonlocal held
+        while end not in held:
+            if not more():
+                raise ValueError("a WARC file ends inside a record")
+        head, _, held = held.partition(end)
+        return head + end
+
+    while held or more():
+        head = until(b"\r\n\r\n")
+        fields, left = parsed(head), int(parsed(head)["Content-Length"])
+        http = until(b"\r\n\r\n")
+        left -= len(http)
+        name, no, sums = fields["WARC-Record-ID"][1:-1], 1, hashlib.sha1()
+        yield name, 0, head + http, sums.hexdigest(), False
+        while left:
+            if not held and not more():
+                raise ValueError("a WARC file ends inside a record")
+            piece, held = held[: min(left, chunk)], held[min(left, chunk) :]
+            left -= len(piece)
+            sums.update(piece)
+            yield name, no, piece, sums.hexdigest(), False
+            no += 1
+        yield name, no, until(b"\r\n\r\n"), sums.hexdigest(), True
 
 
 ORACLE = f"""

@@ -64,7 +64,7 @@ def pages(spark, rows):
 def test_round_trip_by_small_chunks(spark):
     big, other = "é" * 700, "z" * 5_000
     rows = [(1, "http://a/ b", big), (2, None, big), (5, "http://c", big), (3, "http://d", None), (4, "http://e", ""), (6, "http://f", "small"), (7, "http://g", "small"), (8, "x", other)]
-    archive = warc.write(warc.records(pages(spark, rows).selectExpr("*", "1 AS sha1", "2 AS payload")), chunk=97)
+    archive = warc.write(pages(spark, rows).selectExpr("*", "1 AS sha1", "2 AS payload", "3 AS row"), chunk=97)
     assert max(len(r["data"]) for r in archive.where("chunk_no > 0").collect()) <= 97
     got = {r["page_id"]: r for r in warc.read(archive).collect()}
     for page, _, html in rows:
@@ -77,23 +77,32 @@ def test_round_trip_by_small_chunks(spark):
 def test_repeated_rows_and_empty_tables(spark):
     text = "y" * 2_000
     rows = [(1, "u", text), (1, "u", text), (2, "u", text), (2, "u", text), (None, None, None)]
-    found = sorted((str(r["page_id"]), r["record_type"], r["refers_to"] or 0) for r in warc.read(warc.write(warc.records(pages(spark, rows)))).collect())
+    found = sorted((str(r["page_id"]), r["record_type"], r["refers_to"] or 0) for r in warc.read(warc.write(pages(spark, rows))).collect())
     assert found == [("1", "revisit", 2), ("1", "revisit", 2), ("2", "response", 0), ("2", "response", 0), ("None", "response", 0)]
-    assert warc.read(warc.write(warc.records(pages(spark, [])))).count() == 0
+    assert warc.read(warc.write(pages(spark, []))).count() == 0
 
 
 def test_changed_chunks_are_noticed(spark):
-    archive = warc.write(warc.records(pages(spark, [(1, "u", "y" * 3_000)])), chunk=1_000)
+    archive = warc.write(pages(spark, [(1, "u", "y" * 3_000)]), chunk=1_000)
     for broken in (archive.where("chunk_no <> 2"), archive.where("NOT last"), archive.selectExpr("record_id", "chunk_no", "if(chunk_no = 1, cast('zz' as binary), data) AS data", "payload_sha1", "last")):
         with pytest.raises(Exception, match="record|differs"):
             warc.read(broken).collect()
 
 
-def test_files_are_plain_warc(spark, tmp_path):
-    rows = [(i, f"http://h/{i}", "p" * (500 * i)) for i in range(6)]
-    names = warc.save(warc.write(warc.records(pages(spark, rows))), f"file://{tmp_path}").collect()
-    data = b"".join((tmp_path / r["name"]).read_bytes() for r in names)
-    assert sum(r["bytes"] for r in names) == len(data)
+def test_revisits_are_held_against_their_response(spark):
+    archive = warc.write(pages(spark, [(i, "u", "y" * 3_000) for i in (1, 2)]), chunk=1_000)
+    other = archive.selectExpr("record_id", "chunk_no", "cast(replace(cast(data AS string), 'X-Payload-Length: 3000\r\nWARC-Profile', 'X-Payload-Length: 2999\r\nWARC-Profile') AS binary) AS data", "payload_sha1", "last")
+    assert warc.read(archive).count() == 2
+    with pytest.raises(Exception, match="a revisit differs"):
+        warc.read(other).collect()
+
+
+def test_files_are_plain_warc_and_are_read_back(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", "p" * (500 * i)) for i in range(6)] + [(9, None, "p" * 2500), (10, "http://x", "\r\n\r\nWARC/1.1\r\n" * 100)]
+    archive = warc.write(pages(spark, rows), chunk=700)
+    names = spark.createDataFrame(warc.save(archive, f"file://{tmp_path}").collect())
+    data = b"".join((tmp_path / r["name"]).read_bytes() for r in names.collect())
+    assert names.groupBy().sum("bytes").first()[0] == len(data)
     seen, at = 0, 0
     while at < len(data):
         head, _, _ = data[at:].partition(b"\r\n\r\n")
@@ -102,3 +111,6 @@ def test_files_are_plain_warc(spark, tmp_path):
         assert head.startswith(b"WARC/1.1") and data[at : at + 4] == b"\r\n\r\n"
         at, seen = at + 4, seen + 1
     assert seen == len(rows)
+    for chunk in (300, 1 << 18):
+        back = warc.load(names, f"file://{tmp_path}", chunk)
+        assert sorted(map(tuple, warc.read(back).collect())) == sorted(map(tuple, warc.read(archive).collect()))
