@@ -60,13 +60,26 @@ def test_votes_follow_the_definition(spark):
     assert got & (2**64 - 1) == want
 
 
+def test_near_documents_are_counted(spark):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(w if rng.random() > 0.002 * (i % 5) else "x" for w in base)) for i in range(60)] + [(80, " ".join(base)), (100, None), (101, ""), (120, "lone words of its own here"), (120, "lone words of its own here")]
+    docs = spark.createDataFrame([(i, t, 3, 4) for i, t in rows], "doc_id long, text string, asks int, near int")
+    got = [(r["doc_id"], int(r["fingerprint"], 16), r["near_docs"]) for r in simhash.compared(docs, asked=F.col("doc_id") % 20 == 0).collect()]
+    single = dict((i, f) for i, f, _ in got)
+    assert len(got) == len(rows) and any(n and n > 3 for _, _, n in got)
+    for i, f, n in got:
+        assert n == (None if i % 20 else sum(j != i and bin(f ^ g).count("1") <= simhash.RADIUS for j, g in single.items())), i
+    assert "near_docs" not in simhash.compared(docs).columns
+
+
 def test_block_tables_find_all_pairs(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(60)]
     near = [x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for x in base for _ in range(4)]
     values = sorted({x - (1 << 64) if x >> 63 else x for x in base + near})
     df = spark.createDataFrame([(x,) for x in values + values[:5]] + [(None,)], "fingerprint long")
-    for radius in (0, 3, 5):
-        got = sorted(tuple(r) for r in simhash.near_pairs(df, radius=radius).collect())
+    for radius, blocks in ((0, 6), (3, 6), (5, 6), (3, 5)):
+        got = sorted(tuple(r) for r in simhash.near_pairs(df, radius=radius, blocks=blocks).collect())
         want = sorted((a, b, d) for i, a in enumerate(values) for b in values[i + 1 :] if (d := bin((a ^ b) & (2**64 - 1)).count("1")) <= radius)
         assert got == want
