@@ -4,8 +4,9 @@ The script ranges of a word's letters narrow the languages that it can belong to
 frequencies were learnt for each language; Viterbi's algorithm then labels all words of a text, a change of language costing a penalty. The
 language with most letters is the text's.
 
-Texts that are null or have no letter are `und` with score 0. Repeated rows are labelled alike, one output row for each input row. Ties go to
-the language that comes first. Without rows to learn from every text is `und`. Extra columns of the input are not looked at.
+Cases: texts that are null or empty or have no letter (of Unicode's category L; a combining mark is none) are `und` with score 0. Very long texts are
+labelled whole. Repeated rows are labelled alike, one output row for each input row. Ties go to the language that comes first. Without rows to learn from
+every text is `und`. An empty table gives an empty table. Extra columns of the input are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from depsight.llm.shared import held_out, mixed, over_steps, put, text_of, words_of
 
-#: Documents of a language to learn from, about: the bound of what reaches the driver.
-SAMPLE = 500
+#: Documents of a language to learn from, about, and the bytes of the longest such document: together the bound of what reaches the driver.
+SAMPLE, SAMPLE_BYTES = 500, 40_000
 BITS = 15
 SWITCH = 8.0
 #: Cost of a language whose training text (nearly) lacks the word's script, and the share from which a language has a script.
@@ -43,21 +44,21 @@ KINDS = np.array([NAMES.index(x) for _, x in SCRIPTS])
 
 @lru_cache(maxsize=1)
 def letters() -> np.ndarray:
-    """For each code point whether it is a letter or a mark on one."""
-    return np.fromiter((unicodedata.category(chr(x))[0] in "LM" for x in range(0x110000)), bool, 0x110000)
+    """For each code point 2 if it is a letter, 1 if a mark on one, else 0."""
+    return np.fromiter(({"L": 2, "M": 1}.get(unicodedata.category(chr(x))[0], 0) for x in range(0x110000)), np.uint8, 0x110000)
 
 
 class Words:
-    """Of distinct words: letters, script, and the hashed letter triples with the word of each."""
+    """Of distinct words: letters, script, and the hashed triples of letters and marks with the word of each."""
 
     def __init__(self, words: pa.Array):
         lowered = pc.utf8_lower(words)
         sizes = np.asarray(pc.utf8_length(lowered)).astype(np.int64)
         points = np.frombuffer("".join(lowered.to_pylist()).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
         own = np.repeat(np.arange(len(sizes)), sizes)
-        real = letters()[points]
-        points, own, n = points[real], own[real], len(sizes)
-        self.letters = np.bincount(own, minlength=n)
+        kind, n = letters()[points], len(sizes)
+        self.letters = np.bincount(own[kind == 2], minlength=n)
+        points, own = points[kind > 0], own[kind > 0]
         script = KINDS[np.searchsorted(STARTS, points, "right") - 1]
         self.scripts = np.bincount(own * len(NAMES) + script, minlength=n * len(NAMES)).reshape(n, len(NAMES))
         before, after = np.zeros(len(points), np.int64), np.zeros(len(points), np.int64)
@@ -96,9 +97,9 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     return Model(languages, np.log(counts / counts.sum(0)), scripts >= LEAST_SHARE * np.maximum(scripts.sum(1, keepdims=True), 1))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learns from about sample documents of each language outside of the held-out fold, those with the lowest hashes of their ids."""
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, longest: int = SAMPLE_BYTES) -> Model:
+    """Learns from about sample documents of each language outside of the held-out fold, of at most longest bytes, those with the lowest hashes of their ids."""
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).where(F.col("lang").isNotNull() & (F.octet_length("text") <= longest) & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     hashed = (F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND((1 << 40) - 1)) / float(1 << 40)
     few = F.lit(False)
@@ -121,8 +122,9 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float = SWITCH) ->
     place = begin[np.arange(n) - offsets[:-1][doc]] + rank[doc]
     packed = np.empty_like(scores)
     packed[place] = scores
-    back = np.empty((n, k), np.int8)
-    own, finals = np.arange(k, dtype=np.int8), np.zeros((len(sizes), k), np.float32)
+    small = np.min_scalar_type(max(k - 1, 0))  # as few bytes as the number of languages needs
+    back = np.empty((n, k), small)
+    own, finals = np.arange(k, dtype=small), np.zeros((len(sizes), k), np.float32)
     total = np.zeros((int(live[0]) if longest else 0, k), np.float32)
     for t in range(longest):
         a, b = begin[t], begin[t + 1]
@@ -136,8 +138,8 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float = SWITCH) ->
         back[a:b] = np.where(stay, own, top[:, None])
         total = np.maximum(total, -switch) + packed[a:b]
     finals[: len(total)] = total
-    labels = np.empty(n, np.int8)
-    state = finals.argmax(1).astype(np.int8)
+    labels = np.empty(n, small)
+    state = finals.argmax(1).astype(small)
     for t in range(longest - 1, -1, -1):
         a, b = begin[t], begin[t + 1]
         labels[a:b] = state[: b - a]
@@ -165,7 +167,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         if k:
             labels, weight, offsets = labelled(own, texts)
             doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-            sums = np.bincount(doc * k + labels, weight, len(texts) * k).reshape(len(texts), k)
+            sums = np.bincount(doc * k + labels.astype(np.int64), weight, len(texts) * k).reshape(len(texts), k)
         total, top = sums.sum(1), sums.argmax(1)
         names = [own.languages[j] if s else UNKNOWN for j, s in zip(top, total, strict=True)]
         return put(doc_id=t["doc_id"].combine_chunks(), lang_pred=pa.array(names, pa.string()), score=sums.max(1) / np.maximum(total, 1))

@@ -1,18 +1,20 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects documents whose value is above a cutoff. Cutoffs are chosen on labelled documents that were kept aside for this, for each
-stratum (the lang column; null is a stratum of its own) and rule: from the mildest cutoff on a fixed list to stricter ones, as long as an
-exact binomial test shows that the rule rejects at most its share of good documents. The allowed share of false rejections is split over the
-rules and the allowed error probability over all rules and strata (Bonferroni), so that with probability 1 - ERROR no stratum loses more
-than RISK of its good documents. Where labels are too few for that, nothing is rejected.
-
-Null texts have no words. Repeated rows are judged alike, one output row for each input row; documents with several labels count as good if
-one label says so. Strata without labels keep all documents. Extra columns of the input are not looked at.
+Each rule rejects documents whose value is above a cutoff. The rules' cutoffs make one list of levels from mild to strict, and each stratum (the lang
+column; null is a stratum of its own) gets the strictest level that holds for it: on labelled documents kept aside for this, levels are tested in their
+order by an exact binomial test that all rules of the level together reject at most RISK of the good documents, until one test fails. A fixed sequence
+needs no correction within a stratum; over the strata the allowed error is split (Bonferroni), so that with probability 1 - ERROR no stratum loses more
+than RISK of its good documents. Where labels are too few for that, nothing is rejected: a stratum needs about ln(ERROR / strata) / ln(1 - RISK) good labels.
+
+Cases: null and empty texts have no words and fail the base; very long texts are measured whole; a value that ties with a cutoff is kept. Repeated rows are
+judged alike, one output row for each input row; documents with several labels count as good if one label says so. Strata without labels keep all that
+pass the base. Empty tables give empty tables. Extra columns of the input are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +29,15 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Allowed share of good documents that a stratum may lose, and the probability that this is not kept.
 RISK, ERROR = 0.05, 0.05
-#: The rules' values, and their cutoffs from mild to strict.
+#: The rules' cutoffs, from the mildest level to the strictest.
 RULES: dict[str, tuple[float, ...]] = {
     "symbols_per_word": (8.0, 4.0, 2.0, 1.0, 0.5, 0.25, 0.1, 0.05),
-    "dup_line_share": (0.9, 0.75, 0.5, 0.3, 0.2, 0.1),
-    "repeat_share": (0.9, 0.75, 0.5, 0.3, 0.25, 0.2, 0.15, 0.1),
-    "mean_word_chars": (40.0, 20.0, 15.0, 12.0, 10.0, 9.0, 8.0),
-    "short_words": (-1.0, -1.5, -2.0, -2.5, -3.0),
+    "dup_line_share": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2),
+    "repeat_share": (0.29, 0.28, 0.27, 0.26, 0.25, 0.22, 0.18, 0.14),
+    "mean_word_chars": (40.0, 25.0, 18.0, 15.0, 13.0, 12.0, 11.0, 10.0),
+    "short_words": (-1.0, -1.3, -1.6, -1.9, -2.1, -2.3, -2.5, -2.7),
 }
+LEVELS = len(RULES["short_words"])
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *kept: str) -> DataFrame:
@@ -106,33 +109,47 @@ def at_most(k: int, n: int, p: float) -> float:
     return min(total, 1.0)
 
 
-def cutoffs(measures: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", stratum_col: str = "lang", risk: float = RISK, error: float = ERROR) -> dict[str | None, dict[str, float]]:
-    """For each stratum its rules' cutoffs. Only counts of good documents above each listed cutoff reach the driver.
+def rejected_from() -> Column:
+    """The mildest level at which a rule rejects a document, LEVELS where none does. A stricter level rejects what a milder one does."""
+    rules = values()
+    each = [F.coalesce(*[F.when(rules[r] > c, F.lit(i)) for i, c in enumerate(cs)], F.lit(LEVELS)) for r, cs in RULES.items()]
+    return F.least(*each)
+
+
+def strictest(counts: list[int], risk: float, error: float) -> int:
+    """The last level in order whose rejections are shown to be within the risk, -1 if none is; counts: good documents by the level that first rejects them."""
+    n, gone, level = sum(counts), 0, -1
+    for i in range(LEVELS):
+        gone += counts[i]
+        if at_most(gone, n, risk) > error:
+            break
+        level = i
+    return level
+
+
+def levels(measures: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", stratum_col: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """stratum and level of each stratum with labels, as a table. Only counts meet: LEVELS + 1 numbers a stratum.
 
     Of the labelled documents those outside of the held-out fold calibrate, so that the fold can test the promise.
     """
     good = labels.groupBy(F.col(id_col).alias("good_id")).agg(F.max(label_col).alias("good")).where("good = 1")
     known = measures.where(~held_out(F.col(id_col)) & ~base_failed()).join(good, F.col(id_col) == F.col("good_id"))
-    rules = values()
-    counts = known.groupBy(F.col(stratum_col).alias("stratum")).agg(F.count("*").alias("n"), *[F.count(F.when(rules[r] > c, 1)).alias(f"{r}:{i}") for r, cs in RULES.items() for i, c in enumerate(cs)]).collect()
-    tests = max(1, len(counts)) * len(RULES)
-    out: dict[str | None, dict[str, float]] = {}
-    for row in counts:
-        mine = out.setdefault(row["stratum"], {})
-        for r, cs in RULES.items():
-            for i, c in enumerate(cs):  # a fixed sequence: it ends at the first cutoff that isn't shown to be safe, and so needs no further correction
-                if at_most(row[f"{r}:{i}"], row["n"], risk / len(RULES)) > error / tests:
-                    break
-                mine[r] = c
-    return out
+    at = rejected_from()
+    counts = known.groupBy(F.col(stratum_col).alias("stratum")).agg(*[F.count(F.when(at == i, 1)).alias(f"n{i}") for i in range(LEVELS + 1)])
+    counts = table(counts, "counts")
+    strata = max(1, counts.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*[b.column(f"n{i}").to_pylist() for i in range(LEVELS + 1)], strict=True)
+            yield put(stratum=b.column("stratum"), level=pa.array([strictest(list(x), risk, error / strata) for x in rows], pa.int32()))
+
+    return table(counts.mapInArrow(run, f"stratum {counts.schema['stratum'].dataType.simpleString()}, level int"), "levels")
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The measures of each document, base_failed and kept."""
     measures = table(measured(docs, id_col, text_col, stratum_col).withColumnRenamed(stratum_col, "stratum"), "measures")
-    chosen = cutoffs(measures, labels.withColumnRenamed(id_col, "doc_id"), stratum_col="stratum")
-    rules, bad = values(), F.lit(False)
-    for stratum, mine in chosen.items():
-        for r, c in mine.items():
-            bad = bad | (F.col("stratum").eqNullSafe(F.lit(stratum)) & (rules[r] > c))
-    return measures.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~bad)
+    chosen = levels(measures, labels.withColumnRenamed(id_col, "doc_id"), stratum_col="stratum").withColumnRenamed("stratum", "own")
+    found = measures.join(chosen, F.col("stratum").eqNullSafe(F.col("own")), "left").withColumn("base_failed", base_failed())
+    return found.withColumn("kept", ~F.col("base_failed") & (rejected_from() > F.coalesce("level", F.lit(-1)))).drop("own")
