@@ -3,8 +3,9 @@
 The words of each source are summed, every source gets a target, and target over size is its repetition rate: each document goes out
 floor(rate) times, and once more where a hash of its id, as a number from 0 to 1, is below the rest of the rate.
 
-Null sources are a source of their own, the last; null texts have size 0; a null id hashes as the empty text. Rows with the same id decide
-alike. Tables without rows or words give targets of 0 and no copies. Extra columns, whatever their names, go with their rows.
+Cases: null sources are a source of their own, the last; null and empty texts have size 0, very long ones their whole size; a null id hashes as the empty
+text. Repeated rows and other rows with the same id decide alike; a draw that ties with the rest of the rate is no copy. Tables without rows or words give
+targets of 0 and no copies. Extra columns, whatever their names, go with their rows.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depsight.llm.shared import WORD, numbered, table
+from depsight.llm.shared import WORD, fresh, numbered, table
 
 WEIGHTS = (5, 2, 1)
 #: Words of the mix as a share of all words, and the most times that a source's words are taken.
@@ -64,10 +65,10 @@ def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """The documents of the mix, with the columns of docs; a document that is taken twice is there twice."""
-    goal = targets(docs.select(docs[source_col].alias("source"), n_words(docs[text_col]).alias("size"))).select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "source_size", "target")])
-    times = copies(docs[id_col], F.col("_mix_source_size"), F.col("_mix_target"), seed)
-    found = docs.join(goal, docs[source_col].eqNullSafe(goal["_mix_source"]), "left").withColumn("_mix_copies", times.cast("int")).where("_mix_copies > 0")
-    return found.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    source, total, target, times, copy = (fresh(docs, c) for c in ("goal_source", "goal_size", "goal", "copies", "copy"))
+    goal = targets(docs.select(docs[source_col].alias("source"), n_words(docs[text_col]).alias("size"))).toDF(source, total, target)
+    found = docs.join(goal, docs[source_col].eqNullSafe(goal[source]), "left").withColumn(times, copies(docs[id_col], F.col(total), F.col(target), seed).cast("int"))
+    return found.where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = rf"""

@@ -29,18 +29,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(docs, n_lines="n_lines", n_dropped="n_dropped").drop("source")
 
 
-def op1_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ratio alone: no host is too small for it and no page keeps its boilerplate."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return lines.dedup(docs, least_pages=0, keep_covered=False, n_lines="n_lines", n_dropped="n_dropped").drop("source")
-
-
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(read(spark, sf_dir, "documents"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read(warc.write(warc.records(read(spark, sf_dir, "pages"))))
+    return warc.read(warc.write(read(spark, sf_dir, "pages")))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +55,8 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.compared(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    return simhash.compared(docs, asked=F.col("doc_id") % simhash.EVERY == 0)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +73,6 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
-    "op1_line_dedup_whole": op1_line_dedup_whole,
     "op2_substring": op2_substring,
     "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
@@ -91,7 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": lines.ORACLE,
-    "op1_line_dedup_whole": lines.WHOLE_ORACLE,
     "op3_warc": warc.ORACLE,
     "op7_mixing": mixing.ORACLE,
 }

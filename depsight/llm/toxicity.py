@@ -4,11 +4,13 @@ A word is its own vector beside a pool of its letter groups' vectors, weighted b
 starting STEP words after the one before, so that every word of a text of any length is read, most of them twice. Attention pools the states
 of a window to its score, and a document's score is that of its highest window.
 
-Learning: of labelled documents outside of the held-out fold about SAMPLE of each class, those with the lowest hashes, reach the driver. A toxic
-document teaches by its most suspect window only, first by the log odds of its words and letter groups, later by the network itself.
+Learning: of labelled documents outside of the held-out fold, of at most SAMPLE_BYTES bytes, about SAMPLE of each class, those with the lowest hashes,
+reach the driver: a bounded sample of labelled rows. A toxic document teaches by its most suspect window only, first by the log odds of its words and letter
+groups, later by the network itself.
 
-Null texts and texts without words score 0. Repeated rows score alike, one output row for each input row. With no labels of one of the
-classes all scores are 0. Extra columns of the input are not looked at.
+Cases: null texts and texts without words score 0. Very long texts are read whole; of windows that tie the first one counts. Repeated rows score alike, one
+output row for each input row. With no labels of one of the classes all scores are 0 and all documents are clean. Empty tables give empty tables. Extra
+columns are not looked at by score() and go along in clean(), whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ from pyspark.sql import functions as F
 
 from depsight.llm.shared import doc_of, held_out, mixed, over_steps, put, steps, text_of, words_of
 
-#: Labelled documents of each class that reach the driver, about.
-SAMPLE = 1200
+#: Labelled documents of each class that reach the driver, about, and the bytes of the longest.
+SAMPLE, SAMPLE_BYTES = 1200, 40_000
 WIDE, STEP = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BITS, GROUP = 8, 8, 8, 15, 4
 #: Words and letter groups in fewer sampled documents than this have no vector of their own.
-LEAST_DOCS, MOST_WORDS = 4, 30_000
+LEAST_DOCS = 4
 EPOCHS, BATCH, RATE, LEAST_UPDATES = 4, 64, 0.01, 240
 THRESHOLD = 0.3
 TRIMMED = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„’‘…–—¿¡"
@@ -231,8 +233,7 @@ def fit(texts: list[str], toxic: np.ndarray, weights: np.ndarray, seed: int = 7)
     in_doc, word = pairs // max(1, len(c.words)), pairs % max(1, len(c.words))
     word_odds = odds(iter([(word, in_doc)]), toxic, len(c.words))
     in_docs = np.bincount(word, minlength=len(c.words))
-    often = np.argsort(-in_docs, kind="stable")[:MOST_WORDS]
-    often = often[in_docs[often] >= LEAST_DOCS]
+    often = np.flatnonzero(in_docs >= LEAST_DOCS)  # no more than the sample's words over LEAST_DOCS
     names, first = np.unique(np.array(c.words.take(pa.array(often)).to_pylist(), object).astype(str) if len(often) else np.array([], str), return_index=True)
     group_odds = odds(groups_of(c, word, in_doc), toxic, 1 << CHAR_BITS)
     net = Network(names.tolist(), word_odds[often][first] if len(often) else np.empty(0, np.float32), group_odds, seed)
@@ -282,7 +283,7 @@ def calibrated(logits: np.ndarray, toxic: np.ndarray, weights: np.ndarray) -> tu
     return min(((a, b) for a in np.arange(0.3, 2.01, 0.1) for b in np.arange(-4, 4.1, 0.25)), key=lambda x: loss(*x))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Network | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, longest: int = SAMPLE_BYTES) -> Network | None:
     """Learns from labelled documents outside of the held-out fold."""
     known = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).alias("toxic")).where(F.col("toxic").isNotNull() & ~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -291,7 +292,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for label, n in counts.items():
         few = few | ((F.col("toxic") == label) & (hashed < sample / n))
     chosen = known.where(few)  # about 2 * sample rows: a bound on what is broadcast
-    found = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").toArrow().to_pydict()
+    texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
+    found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").toArrow().to_pydict()
     toxic = np.array(found["toxic"], np.int64) > 0
     each = {label: max(1.0, n / sample) for label, n in counts.items()}
     net = fit(found.pop("text"), toxic, np.array([each[x] for x in found["toxic"]]))

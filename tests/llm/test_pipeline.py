@@ -11,7 +11,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from depsight.llm import bpe, lines, mixing, queries, toxicity  # noqa: E402
 from tests.llm import brute  # noqa: E402
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _mix_copies int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copies int"
 
 
 def rows_of(df):
@@ -44,13 +44,13 @@ def test_toxicity_cases(spark):
     assert toxicity.score(long, net).first()["score"] > 0.3  # a passage anywhere in a long text counts
 
 
-def lines_brute(rows, ratio, least):
+def lines_brute(rows, ratio):
     pages = Counter(s for _, _, s in rows)
     count = Counter((s, x) for _, t, s in rows for x in set((t or "").split("\n")) if brute.words(x))
     out = []
     for i, t, s in rows:
-        kept = [x for x in (t or "").split("\n") if not (pages[s] >= least and count[s, x] > 1 and brute.words(x) and count[s, x] > ratio * pages[s])]
-        out.append((i, t if t is None or not any(map(brute.words, kept)) else "\n".join(kept)))
+        kept = [x for x in (t or "").split("\n") if not (count[s, x] > 1 and brute.words(x) and count[s, x] > ratio * pages[s])]
+        out.append((i, t if t is None else "\n".join(kept)))
     return sorted(out, key=str)
 
 
@@ -62,7 +62,7 @@ def test_line_dedup(spark):
     docs = spark.createDataFrame([(i, t, None, s, 0, 3) for i, t, s in rows], SCHEMA)
     got = lines.dedup(docs)
     assert got.schema.names == docs.schema.names
-    assert rows_of(got.select("doc_id", "text")) == lines_brute(rows, lines.RATIO, lines.LEAST_PAGES)
+    assert rows_of(got.select("doc_id", "text")) == lines_brute(rows, lines.RATIO)
     assert lines.dedup(docs.limit(0)).count() == 0
 
 
@@ -74,6 +74,8 @@ def test_near_copies(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0, 1) for i, t in rows] + [(33, "Short  ONE", "en", "s", 0, 1), (34, "alone in here", "en", "s", 0, 1), (None, "x", "en", "s", 0, 1)], SCHEMA)
     got = corpus_pipeline.drop_near_copies(spark, docs, "")
     want = brute.components(rows, 80, 5)
+    clash = corpus_pipeline.drop_near_copies(spark, docs.withColumns({c: F.lit(c) for c in ("gone", "again", "key", "row")}), "")
+    assert {tuple(r)[-4:] for r in clash.collect()} == {("gone", "again", "key", "row")}
     assert sorted((r["doc_id"] for r in got.collect()), key=str) == sorted([i for i, (_, c) in want.items() if c == i] + [None], key=str)
 
 
@@ -96,8 +98,10 @@ def test_mixing(spark):
     assert goal == pytest.approx({s: cap[s] if s in full else weight[s] * level for s in order})
     taken = mixing.taken(docs).collect()
     assert len(taken) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in taken) and abs(sum(r["taken"] for r in taken) / total - 1) < 0.15
-    mix = mixing.mix(docs)
-    assert mix.schema.names == docs.schema.names
+    more = ("goal_source", "goal_size", "goal", "Copy")
+    mix = mixing.mix(docs.withColumns({c: F.lit(c) for c in more}))
+    assert mix.schema.names == [*docs.schema.names, *more]
+    assert {tuple(r) for r in mix.select("copies", *more).distinct().collect()} == {(9, *more)}
     assert sum(len(brute.words(r["text"])) for r in mix.collect()) == sum(r["taken"] for r in taken)
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.taken(docs.limit(0)).count() == 0
     assert mixing.mix(docs.where("text is null")).count() == 0
