@@ -70,6 +70,14 @@ def diff(old_nodes: DataFrame, old_edges: DataFrame, new_nodes: DataFrame, new_e
     return out
 
 
+def merged(*diffs: DataFrame) -> DataFrame:
+    """Several diffs as one, each of its rows once; applied() does removals first, so a burst of changes still applies as a whole."""
+    out = diffs[0]
+    for x in diffs[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
+
+
 def applied(nodes: DataFrame, edges: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The graph after diff() rows: removals first; a removed node takes its edges along."""
     of = lambda op, entity, *cols: changes.where((F.col("op") == op) & (F.col("entity") == entity)).select(*cols)

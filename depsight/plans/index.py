@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depsight.functions import paths as P
-from depsight.operators import folders, resolve
-from depsight.sources import tree
+from depsight.operators import folders, graphs, resolve
+from depsight.sources import imports as reader
+from depsight.sources import manifests
 from depsight.tables import written
 
+#: Errors that are kept for show.
+RING = 64
+
 
 @dataclass
 class Index:
@@ -23,47 +27,76 @@ class Index:
     imports: DataFrame
     targets: DataFrame
     errors: DataFrame
+    include_tests: bool = False
+    root_name: str = "."
 
     def unresolved(self) -> DataFrame:
         """n: dynamic imports that lead to no node."""
         hit = self.targets.select("file_id", "source").distinct().withColumn("hit", F.lit(True))
         return self.imports.where("kind = 'dynamic'").join(hit, ["file_id", "source"], "left").agg(F.count(F.when(F.col("hit").isNull(), 1)).alias("n"))
 
+    def messages(self, last: int = RING) -> DataFrame:
+        """path, message of the last errors by path, as they are shown."""
+        text = F.when(F.col("kind") == "read_file", F.concat(F.lit("Couldn't read "), "path", F.lit(": "), "message")).otherwise(F.concat(F.lit("Skipped "), "path", F.lit(": "), "message"))
+        return self.errors.select("path", text.alias("message")).orderBy(F.desc("path")).limit(last).orderBy("path")
+
+    def changes(self, new: Index) -> DataFrame:
+        """What leads from this graph to the new one: op, entity, id, src, dst."""
+        return graphs.diff(self.nodes, self.edges, new.nodes, new.edges)
 
-def build(files: DataFrame, include_tests: bool = False) -> Index:
+
+def build(files: DataFrame, include_tests: bool = False, root_name: str = ".") -> Index:
     """The raw graph of all files: a node for each source file, each owning package with externals and each external."""
     files = written(files.select("path", "content"), "files")
-    imports, errors = tree.imports(files.where(P.passes(F.col("path"), include_tests)))
-    return linked(files, imports, errors, include_tests)
+    imports, errors = reader.imports(files.where(P.passes(F.col("path"), include_tests)))
+    packages = written(manifests.packages(files, root_name), "packages")
+    owned = owners(files, packages, include_tests)
+    return Index(files, *graph(owned, found := targets(imports, files, packages, owned)), imports, found, errors, include_tests, root_name)
 
 
-def linked(files: DataFrame, imports: DataFrame, errors: DataFrame, include_tests: bool) -> Index:
-    packages = written(tree.packages(files), "packages")
+def owners(files: DataFrame, packages: DataFrame, include_tests: bool) -> DataFrame:
+    """id and package of each file that is a node: that of the deepest root above it."""
     sources = files.where(P.passes(F.col("path"), include_tests)).select(F.col("path").alias("id"))
-    owned = folders.deepest(sources, packages.select(F.col("root").alias("dir"), "name")).select("id", F.col("name").alias("package"))
-    owned = written(owned, "owned")
+    found = folders.deepest(sources, packages.select(F.col("root").alias("dir"), "name"))
+    return written(found.select("id", F.col("name").alias("package")), "owned")
+
+
+def targets(imports: DataFrame, files: DataFrame, packages: DataFrame, owned: DataFrame) -> DataFrame:
+    """file_id, source, kind, target of the imports that lead to a node or out of the tree."""
     entries = resolve.entries(packages, files.select("path"))
-    found = resolve.resolved(imports, files.select("path"), entries, tree.configs(files))
+    found = resolve.resolved(imports, files.select("path"), entries, manifests.configs(files))
     own = found.where("kind = 'file'").join(owned.select(F.col("id").alias("target")), "target", "left_semi").select("file_id", "source", "kind", "target")
-    targets = written(own.unionByName(found.where("kind = 'external'")), "targets")
-    none = F.lit(None).cast("string")
-    owner = F.coalesce("package", F.lit("(unattributed)"))
-    outside = targets.where("kind = 'external'").join(owned, F.col("file_id") == F.col("id")).select(owner.alias("owner"), "target").distinct()
+    return written(own.unionByName(found.where("kind = 'external'")), "targets")
+
+
+def graph(owned: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of owned files and their targets; what a package's files import from outside is one edge of the package, while any file does."""
+    none, owner = F.lit(None).cast("string"), F.coalesce("package", F.lit("(unattributed)"))
+    outside = found.where("kind = 'external'").join(owned, F.col("file_id") == F.col("id")).select(owner.alias("owner"), "target").distinct()
     plain = owned.select("id", F.col("id").alias("path"), P.base_name(F.col("id")).alias("label"), "package", F.lit("file").alias("kind"))
     groups = outside.select("owner").distinct().select(P.package_id(F.col("owner")).alias("id"), F.col("owner").alias("path"), F.col("owner").alias("label"), F.col("owner").alias("package"), F.lit("workspace_package").alias("kind"))
     others = outside.select("target").distinct().select(P.external_id(F.col("target")).alias("id"), F.col("target").alias("path"), F.col("target").alias("label"), none.alias("package"), F.lit("external").alias("kind"))
-    edges = targets.where("kind = 'file'").select(F.col("file_id").alias("src"), F.col("target").alias("dst")).union(outside.select(P.package_id(F.col("owner")), P.external_id(F.col("target")))).distinct()
-    return Index(files, written(plain.unionByName(groups).unionByName(others), "nodes"), written(edges, "edges"), imports, targets, errors)
-
-
-def updated(old: Index, changes: DataFrame, include_tests: bool = False) -> Index:
-    """The index after changes (path, content, removed): only files that changed are parsed again, links are looked up anew, so the result is that of build()."""
-    changed = changes.select("path").distinct()
-    files = written(old.files.join(changed, "path", "left_anti").unionByName(changes.where("NOT removed").select("path", "content")), "files")
-    fresh, errors = tree.imports(changes.where("NOT removed").where(P.passes(F.col("path"), include_tests)).select("path", "content"))
-    imports = written(old.imports.join(changed.withColumnRenamed("path", "file_id"), "file_id", "left_anti").unionByName(fresh), "imports")
-    faults = written(old.errors.join(changed, "path", "left_anti").unionByName(errors), "errors")
-    return linked(files, imports, faults, include_tests)
+    edges = found.where("kind = 'file'").select(F.col("file_id").alias("src"), F.col("target").alias("dst")).union(outside.select(P.package_id(F.col("owner")), P.external_id(F.col("target")))).distinct()
+    return written(plain.unionByName(groups).unionByName(others), "nodes"), written(edges, "edges")
+
+
+def updated(old: Index, changes: DataFrame) -> Index:
+    """The index after changes (path, content, removed): only files that changed are parsed and resolved again.
+
+    Imports of other files stay as they were found, but for those of removed files; where files come, go or manifests change, build() finds what else moved.
+    """
+    changed, kept = changes.select("path").distinct(), changes.where("NOT removed").select("path", "content")
+    files = written(old.files.join(changed, "path", "left_anti").unionByName(kept), "files")
+    fresh, faults = reader.imports(kept.where(P.passes(F.col("path"), old.include_tests)))
+    packages = written(manifests.packages(files, old.root_name), "packages")
+    owned = owners(files, packages, old.include_tests)
+    gone = changes.where("removed").select(F.col("path").alias("target"), F.lit("file").alias("kind")).distinct()
+    mine = changed.withColumnRenamed("path", "file_id")
+    stay = old.targets.join(mine, "file_id", "left_anti").join(gone, ["target", "kind"], "left_anti")
+    found = written(stay.unionByName(targets(fresh, files, packages, owned)), "targets")
+    imports = written(old.imports.join(mine, "file_id", "left_anti").unionByName(fresh), "imports")
+    errors = written(old.errors.join(changed, "path", "left_anti").unionByName(faults), "errors")
+    return Index(files, *graph(owned, found), imports, found, errors, old.include_tests, old.root_name)
 
 
 def exported(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> dict[str, DataFrame]:

@@ -1,11 +1,10 @@
-"""Source trees as tables: the listing, ignore rules, manifests, and the import statements of each file.
+"""Source trees as tables: the listing, ignore rules and the contents of files.
 
-Names come from a walk on the driver; contents are read and parsed by tasks. Trees that are tables already (path, content) skip the walk.
+Folders are listed by tasks, level by level; contents are read by tasks. Trees that are tables already (path, content) skip the walk.
 """
 
 from __future__ import annotations
 
-import fnmatch
 import os
 import re
 from collections.abc import Iterator
@@ -18,36 +17,95 @@ from depsight.functions import paths as P
 from depsight.tables import written
 
 PRUNED = {"node_modules"}
-LOCKS = (("pnpm-lock.yaml", "pnpm"), ("yarn.lock", "yarn"), ("package-lock.json", "npm"))
+#: Folders of a level from which on the tasks below walk whole trees.
+WIDE = 64
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path (root-relative) of every file below root: no hidden or ignored ones, none in node_modules, links not followed."""
-    found, rules = [], []
-    for folder, names, files in os.walk(root):
-        at = os.path.relpath(folder, root).replace(os.sep, "/")
-        at = "" if at == "." else at
-        if ".gitignore" in files:
-            with open(os.path.join(folder, ".gitignore"), encoding="utf-8", errors="replace") as f:
-                rules += ignore_rules(at, f.read())
-        inside = lambda name, at=at: f"{at}/{name}" if at else name
-        names[:] = sorted(n for n in names if n not in PRUNED and not n.startswith(".") and not ignored_by(rules, inside(n), True))
-        found += [(inside(n),) for n in files if (not n.startswith(".") or n == ".gitignore") and not ignored_by(rules, inside(n), False)]
-    return spark.createDataFrame(found, "path string")
+    """path (root-relative) of every file below root: no hidden or ignored ones, none in node_modules, links not followed.
+
+    The driver lists the first levels, until they are WIDE; from there each folder's tree is one row's work, and names go from tasks to the table.
+    """
+    level, rules, found = [""], {"": []}, []
+    while level and len(level) < WIDE:
+        below = []
+        for folder in level:
+            names, files, own = inside(root, folder, rules[folder])
+            found += files
+            below += names
+            rules |= dict.fromkeys(names, own)
+        level = below
+    known = spark.createDataFrame([(x,) for x in found], "path string")
+    if not level:
+        return known
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for folder, lines in zip(b["folder"], b["rules"], strict=True):
+                todo = [(folder, [tuple(x) for x in lines])]
+                while todo:
+                    at, above = todo.pop()
+                    names, files, own = inside(root, at, above)
+                    todo += [(n, own) for n in names]
+                    yield pd.DataFrame({"path": files})
+
+    rows = [(f, [tuple(r) for r in rules[f]]) for f in level]
+    starts = spark.createDataFrame(rows, "folder string, rules array<struct<expression: string, folders: boolean, negated: boolean>>").repartition(len(rows))
+    return known.unionByName(starts.mapInPandas(walk, "path string"))
+
+
+def inside(root: str, folder: str, above: list[tuple[str, bool, bool]]) -> tuple[list[str], list[str], list[tuple[str, bool, bool]]]:
+    """The folders and files of one folder that count, and the ignore rules from there on."""
+    with os.scandir(os.path.join(root, folder)) as entries:
+        each = sorted(((e.name, e.is_dir(follow_symlinks=False), e.is_symlink()) for e in entries), key=lambda e: e[0])
+    rules = above
+    if any(n == ".gitignore" for n, _, _ in each):
+        with open(os.path.join(root, folder, ".gitignore"), encoding="utf-8", errors="replace") as f:
+            rules = above + ignore_rules(folder, f.read())
+    full = lambda n: f"{folder}/{n}" if folder else n
+    names = [full(n) for n, d, link in each if d and not link and n not in PRUNED and not n.startswith(".") and not ignored_by(rules, full(n), True)]
+    files = [full(n) for n, d, link in each if not d and not link and (not n.startswith(".") or n == ".gitignore") and not ignored_by(rules, full(n), False)]
+    return names, files, rules
+
+
+def part_expression(part: str) -> str:
+    """A name's pattern in an ignore file as an expression: * and ? stay within the name, [] is a class, a backslash takes the next character as it is."""
+    out, at = "", 0
+    while at < len(part):
+        c = part[at]
+        at += 1
+        if c == "\\" and at < len(part):
+            out += re.escape(part[at])
+            at += 1
+        elif c == "[" and (end := part.find("]", at + 1 + (part[at : at + 1] in ("!", "^")))) > 0:
+            body = part[at:end].replace("\\", "\\\\").replace("[", "\\[")
+            out += f"[^{body[1:]}]" if body[0] in "!^" else f"[{body}]"
+            at = end + 1
+        else:
+            out += {"*": "[^/]*", "?": "[^/]"}.get(c) or re.escape(c)
+    return out
 
 
 def ignore_rules(folder: str, text: str) -> list[tuple[str, bool, bool]]:
     """(expression over root-relative paths, only folders, negated) for each line of an ignore file, in order."""
     out = []
     for line in text.splitlines():
-        line = line.rstrip()
+        line = re.sub(r"(?<!\\)\s+$", "", line)
         if not line or line.startswith("#"):
             continue
-        negated, line = line.startswith("!"), line.lstrip("!")
+        negated = line.startswith("!")
+        line = line[negated:]
         only_folders, body = line.endswith("/"), line.strip("/")
+        if not body:
+            continue
         anchored = "/" in line.rstrip("/")
-        parts = [{"**": ".*"}.get(p) or fnmatch.translate(p)[4:-3].replace(".*", "[^/]*").removesuffix(")") for p in body.split("/")]
-        expression = "/".join(parts).replace(".*/", "(.*/)?")
+        parts, expression = body.split("/"), ""
+        for k, p in enumerate(parts):
+            last = k == len(parts) - 1
+            if p == "**":
+                expression += ".*" if last else "(.*/)?"
+            else:
+                expression += part_expression(p) + ("" if last else "/")
         head = re.escape(folder) + "/" if folder else ""
         out.append((f"^{head}{'' if anchored else '(.*/)?'}{expression}$", only_folders, negated))
     return out
@@ -88,151 +146,3 @@ def contents(paths: DataFrame, root: str) -> DataFrame:
             yield pd.DataFrame({"path": b["path"], "content": out})
 
     return paths.select("path").mapInPandas(read, "path string, content string")
-
-
-# --- import statements
-
-TOKENS = re.compile(r"""(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<string>'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*")|(?P<template>`(?:\\.|\$\{(?:[^{}`]|\{[^{}]*\}|`[^`]*`)*\}|[^`\\])*`)|(?P<name>[A-Za-z_$][\w$]*)|(?P<other>\S)""", re.S | re.X)
-CLOSES = {")": "(", "]": "[", "}": "{"}
-FIELDS = "file_id string, ordinal int, source string, kind string, is_template boolean, is_unresolvable boolean"
-
-
-def statements(text: str) -> list[tuple[str, str, bool, bool]]:
-    """(source, kind, is_template, is_unresolvable) of a file: declarations first, then calls; ValueError if it can't be read."""
-    tokens = [(m.lastgroup, m.group()) for m in TOKENS.finditer(text) if m.lastgroup != "comment"]
-    depth: list[str] = []
-    declared, called = [], []
-    for i, (kind, word) in enumerate(tokens):
-        if kind == "other" and word in "'\"`":
-            raise ValueError("a string without an end")
-        if kind == "other" and word in "([{":
-            depth.append(word)
-        elif kind == "other" and word in ")]}" and (not depth or depth.pop() != CLOSES[word]):
-            raise ValueError("brackets don't match")
-        if kind != "name" or (i and tokens[i - 1][1] == "."):
-            continue
-        after = tokens[i + 1] if i + 1 < len(tokens) else ("other", "")
-        if word == "require" and after[1] == "(" and i + 3 < len(tokens) and tokens[i + 2][0] == "string" and tokens[i + 3][1] in "),":
-            called.append((tokens[i + 2][1][1:-1], "require", False, False))
-        elif word == "import" and after[1] == "(":
-            called.append(dynamic(tokens[i + 2 : i + 4]))
-        elif word == "import" and not depth and after[1] != ".":
-            if source := declaration(tokens, i, after):
-                declared.append((source, "static", False, False))
-        elif word == "export" and not depth and (after[1] in "*{" or after[1] == "type") and (source := declaration(tokens, i, after)):
-            declared.append((source, "reexport", False, False))
-    if depth:
-        raise ValueError("brackets don't match")
-    return declared + called
-
-
-def dynamic(argument: list[tuple[str, str]]) -> tuple[str, str, bool, bool]:
-    kind, word = argument[0] if argument else ("other", "")
-    alone = len(argument) > 1 and argument[1][1] in "),"
-    if kind == "string" and alone:
-        return word[1:-1], "dynamic", False, False
-    if kind == "template" and alone:
-        head, cut, _ = word[1:-1].partition("${")
-        return head, "dynamic", bool(cut), bool(cut) and not head
-    return "", "dynamic", False, True
-
-
-def declaration(tokens: list[tuple[str, str]], i: int, after: tuple[str, str]) -> str | None:
-    """The source of a declaration that begins at token i; none if it has no source."""
-    if after[0] == "string":
-        return after[1][1:-1]
-    braces = 0
-    for k in range(i + 1, len(tokens)):
-        kind, word = tokens[k]
-        braces += (word == "{") - (word == "}") if kind == "other" else 0
-        if not braces and kind == "name" and word == "from" and k + 1 < len(tokens) and tokens[k + 1][0] == "string":
-            return tokens[k + 1][1][1:-1]
-        if not braces and (word in ";=(" or (kind == "name" and word in ("import", "export", "const", "let", "var", "function", "class") and k > i + 1)):
-            return None
-    return None
-
-
-def imports(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Import statements, and errors (kind, path, message), of (path, content) rows. A file that can't be read or parsed has no imports and one error."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for path, text in zip(b["path"], b["content"], strict=True):
-                if text is None or text != text:
-                    rows.append((path, -1, "not UTF-8 or gone", "read_file", False, False))
-                    continue
-                try:
-                    rows += [(path, k, *s) for k, s in enumerate(statements(text))]
-                except ValueError as e:
-                    rows.append((path, -1, str(e), "parse_file", False, False))
-            yield pd.DataFrame(rows, columns=["file_id", "ordinal", "source", "kind", "is_template", "is_unresolvable"])
-
-    found = written(files.select("path", "content").mapInPandas(parse, FIELDS), "imports")
-    return found.where("ordinal >= 0"), found.where("ordinal < 0").select("kind", F.col("file_id").alias("path"), F.col("source").alias("message"))
-
-
-# --- manifests
-
-NO_COMMENTS = r"""("(?:\\.|[^"\\])*")|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/"""
-
-
-def without_comments(text: Column) -> Column:
-    """JSON with comments as plain JSON; strings stay whole."""
-    return F.regexp_replace(text, NO_COMMENTS, "$1")
-
-
-def glob_expression(glob: str) -> str:
-    """A workspace glob as an expression over folders; * stays within a name and ** doesn't."""
-    return "^" + "/".join(".*" if p == "**" else "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in p) for p in glob.strip("./").split("/")) + "$"
-
-
-def package_manager(files: DataFrame) -> DataFrame:
-    """manager: of the lock files at the root the first one of pnpm, yarn, npm; else unknown."""
-    best = F.coalesce(*[F.max(F.when(F.col("path") == lock, name)) for lock, name in LOCKS], F.lit("unknown"))
-    return files.agg(best.alias("manager"))
-
-
-def workspace_globs(files: DataFrame) -> list[str]:
-    """Globs of the root manifest (a list, or a list under packages), and of pnpm's file where pnpm is in use."""
-    root = files.where("path = 'package.json'").select(F.from_json("content", "workspaces string").alias("m")).select(F.coalesce(F.from_json("m.workspaces", "array<string>"), F.from_json("m.workspaces", "packages array<string>")["packages"]).alias("g")).first()
-    found = list((root and root["g"]) or [])
-    if package_manager(files).first()["manager"] == "pnpm" and (text := files.where("path = 'pnpm-workspace.yaml'").select("content").first()):
-        inside = False
-        for line in (text["content"] or "").splitlines():
-            line = line.split("#")[0].rstrip()
-            if re.match(r"\S", line):
-                inside = line.startswith("packages:")
-            elif inside and (m := re.match(r"\s*-\s*['\"]?([^'\"]+)['\"]?$", line)):
-                found.append(m[1])
-    return [g for g in found if not g.startswith("!")]
-
-
-def packages(files: DataFrame) -> DataFrame:
-    """name, root, declared (entry fields in their order) of the root and of all folders that a workspace glob names; a package without a name has its folder's."""
-    globs = [glob_expression(g) for g in workspace_globs(files)]
-    chosen = F.col("root") == ""
-    for g in globs:
-        chosen = chosen | F.col("root").rlike(g)
-    manifest = F.from_json("content", "name string, source string, module string, main string, types string, typings string")
-    found = files.where(F.col("path").rlike(r"(^|/)package\.json$")).select(P.dir_name(F.col("path")).alias("root"), manifest.alias("m")).where(chosen & F.col("m").isNotNull())
-    declared = F.filter(F.array("m.source", "m.module", "m.main", "m.types", "m.typings"), lambda x: x.isNotNull() & (x != ""))
-    return found.select(F.coalesce("m.name", F.when(F.col("root") == "", "root").otherwise(P.base_name(F.col("root")))).alias("name"), "root", declared.alias("declared"))
-
-
-def configs(files: DataFrame, rounds: int = 8) -> DataFrame:
-    """dir, base_url, paths of every tsconfig.json; what a config leaves out it takes, whole, from the one that it extends, in a bounded number of rounds."""
-    shape = "extends string, compilerOptions struct<baseUrl: string, paths: map<string, array<string>>>"
-    known = files.where(F.col("path").rlike(r"\.json$")).select("path", F.from_json(without_comments(F.col("content")), shape).alias("m")).where("m IS NOT NULL")
-    folder = P.dir_name(F.col("path"))
-    base = F.when(F.col("m.compilerOptions.baseUrl").isNotNull(), P.joined(folder, F.col("m.compilerOptions.baseUrl")))
-    pairs = F.transform(F.map_entries("m.compilerOptions.paths"), lambda e: F.struct(e["key"].alias("pattern"), e["value"].alias("subs")))
-    parent = F.when(P.is_relative(F.col("m.extends")), P.joined(folder, F.col("m.extends")))
-    rows = written(known.select("path", parent.alias("parent"), base.alias("base_url"), pairs.alias("paths"), F.when(pairs.isNotNull(), F.coalesce(base, folder)).alias("paths_base")), "configs")
-    for _ in range(rounds):
-        if rows.where("parent IS NOT NULL AND (paths IS NULL OR base_url IS NULL)").isEmpty():
-            break
-        up = rows.select(F.col("path").alias("_path"), F.col("parent").alias("_up"), F.col("base_url").alias("_base"), F.col("paths").alias("_paths"), F.col("paths_base").alias("_paths_base"))
-        named = (F.col("parent") == F.col("_path")) | (F.concat("parent", F.lit(".json")) == F.col("_path")) | (F.concat("parent", F.lit("/tsconfig.json")) == F.col("_path"))
-        rows = written(rows.join(up, named, "left").select("path", F.col("_up").alias("parent"), F.coalesce("base_url", "_base").alias("base_url"), F.coalesce("paths", "_paths").alias("paths"), F.coalesce("paths_base", "_paths_base").alias("paths_base")), "configs")
-    return rows.where(F.col("path").rlike(r"(^|/)tsconfig\.json$")).select(folder.alias("dir"), F.coalesce("base_url", "paths_base", folder).alias("base_url"), F.coalesce("paths", F.array().cast("array<struct<pattern: string, subs: array<string>>>")).alias("paths"))
