@@ -43,3 +43,7 @@ def lib_color(package_index: Column, lib_index: Column, lib_count: Column) -> Co
     """Shades of the package's hue from dark to light; a single library has the package's colour."""
     share = _f(F.least(lib_index, lib_count - 1)) / _f(F.greatest(lib_count - 1, F.lit(1)))
     return F.when(lib_count <= 1, package_color(package_index)).otherwise(rgb(package_hue(package_index), _f(DARKEST) + share * (_f(LIGHTEST) - _f(DARKEST))))
+
+
+# Colours of nodes without a package and of external ones.
+PLAIN, OUTSIDE = "#6da7e8", "#78808c"

@@ -128,6 +128,17 @@ def display_label(kind: Column, path: Column, label: Column) -> Column:
     return F.when(kind == "file", file).otherwise(label)
 
 
+def menu_label(path: Column) -> Column:
+    """A file's or folder's name and, in brackets, the name of the folder that it is in."""
+    parent = base_name(dir_name(path))
+    return F.when(parent == "", base_name(path)).otherwise(F.concat(base_name(path), F.lit("  ("), parent, F.lit(")")))
+
+
+def shown(kind: Column, path: Column, root: Column) -> Column:
+    """A path as it is shown: files below the root from there on, all else as it is."""
+    return F.when(kind == "file", relative_id(root, path)).otherwise(path)
+
+
 def classify(kind: Column, path: Column) -> Column:
     """The type of a node in an export."""
     return F.when(kind == "external", "external").when(path.rlike(r"\.d\.[cm]?ts$"), "declaration").otherwise("workspace")

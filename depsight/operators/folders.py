@@ -61,6 +61,17 @@ def lib_shades(nodes: DataFrame, libs: DataFrame) -> DataFrame:
     return found.where(F.col("dir").isNotNull() & F.col("owner").eqNullSafe(F.col("lib_package"))).select("id", F.col("owner").alias("package"), F.col("dir").alias("lib"), F.col("lib_index").cast("long").alias("lib_index"), F.col("lib_count").cast("long").alias("lib_count"))
 
 
+def node_colors(nodes: DataFrame, libs: DataFrame) -> DataFrame:
+    """id, color of every node: external ones grey, nodes of a package its colour or, inside a library, its shade, all others plain."""
+    from depsight.functions import colors as C
+
+    places = package_index(nodes).withColumnRenamed("package", "_package")
+    shades = lib_shades(nodes.where("package IS NOT NULL"), libs).select(F.col("id").alias("_id"), "lib_index", "lib_count")
+    found = nodes.join(places, F.col("package") == F.col("_package"), "left").join(shades, F.col("id") == F.col("_id"), "left")
+    shade = F.when(F.col("lib_index").isNotNull(), C.lib_color(F.col("position"), F.col("lib_index"), F.col("lib_count"))).otherwise(C.package_color(F.col("position")))
+    return found.select("id", F.when(F.col("kind") == "external", C.OUTSIDE).when(F.col("position").isNull(), C.PLAIN).otherwise(shade).alias("color"))
+
+
 def common_prefix(nodes: DataFrame) -> DataFrame:
     """package, prefix: the folders that all of a package's files share, from the least and greatest of their paths."""
     parts = F.split(P.dir_name(F.col("id")), "/")

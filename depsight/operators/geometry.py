@@ -1,9 +1,4 @@
-"""Geometry and the force layout, as relations over (id, x, y) rows.
-
-Repulsion is summed over a pyramid of square cells: on each level a node meets, by equality of cell numbers, the cells near its parent that are not near
-itself, and on the finest level the cells around it; a cell acts through its mass and centre of mass. So a node meets a fixed number of cells on each
-of a logarithmic number of levels, no task holds the whole picture, and nothing is compared pair by pair.
-"""
+"""Geometry, as relations over (id, x, y) rows."""
 
 from __future__ import annotations
 
@@ -13,14 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depsight.operators.cycles import placed
-from depsight.tables import dropped, written
 
-# Fixed values of the layout: natural edge length, gravity, damping, speed limit, pull to the package's centre, push between packages, least squared distance.
-SPRING, GRAVITY, DAMPING, TOP_SPEED, PULL, PUSH, LEAST_SQUARE = 55.0, 0.025, 0.82, 400.0, 0.05, 8.0, 0.25
+# Fixed values of the picture: natural edge length; of boxes the width of a letter, the margins of a label, the gap between boxes, least width, height of a box
+# without dependents and the most that dependents add.
+SPRING, LETTER, MARGIN, GAP, LEAST_WIDTH, HEIGHT, MOST_GROWTH = 55.0, 7.2, 12.0, 24.0, 14.0, 20.0, 12.0
 # Fixed values of the camera: bounds of the zoom, and the zoom of nothing.
 LEAST_ZOOM, MOST_ZOOM, PLAIN_ZOOM = 0.05, 20.0, 1.0
-#: Overlaps up to this are none; sweeps of overlap removal, at most.
-SLACK, SWEEPS = 1e-3, 500
 
 
 def bbox(points: DataFrame, *by: str) -> DataFrame:
@@ -62,10 +55,6 @@ def to_screen(points: DataFrame, cx: float, cy: float, zoom: float, width: float
     return points.withColumn("sx", (F.col("x") - cx) * zoom + width / 2).withColumn("sy", (F.col("y") - cy) * zoom + height / 2)
 
 
-def top_speed(layout: DataFrame) -> DataFrame:
-    return layout.agg(F.coalesce(F.max(F.hypot("vx", "vy")), F.lit(0.0)).alias("speed"))
-
-
 def seeded(nodes: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """id, x, y, vx, vy: nodes keep their place and speed of before; new ones go on a spiral in the order of their ids."""
     total = max(1, nodes.count())
@@ -76,107 +65,12 @@ def seeded(nodes: DataFrame, before: DataFrame | None = None) -> DataFrame:
     return new if before is None else new.unionByName(before.join(nodes.select("id"), "id", "left_semi").select("id", "x", "y", "vx", "vy"))
 
 
-def repulsion(points: DataFrame, strength: float) -> DataFrame:
-    """id, fx, fy: strength over distance, from all other points (id, x, y)."""
-    box = points.agg(F.count("*").alias("n"), F.min("x").alias("x"), F.min("y").alias("y"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("side")).first()
-    if not box["n"]:
-        return points.select("id", F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
-    side = (box["side"] or 1.0) * 1.0001
-    depth = max(2, math.ceil(math.log(box["n"] + 1, 4)) + 1)
-    cell = lambda c, low, level: F.floor((F.col(c) - low) / side * (1 << level)).cast("int")
-    fine = points.select("id", "x", "y", cell("x", box["x"], depth).alias("i"), cell("y", box["y"], depth).alias("j"))
-    levels = F.explode(F.sequence(F.lit(2), F.lit(depth))).alias("level")
-    up = lambda c: F.shiftright(c, 1)
-    at = fine.select("id", "x", "y", "i", "j", levels).withColumns({c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.lit(depth) - F.col("level"))).cast("int") for c in ("i", "j")})
-    cells = written(at.groupBy("level", "i", "j").agg(F.count("*").alias("mass"), F.avg("x").alias("cx"), F.avg("y").alias("cy")), "cells")
-    near = F.sequence(F.lit(-3), F.lit(3))
-    pairs = at.select("id", "x", "y", "level", F.col("i").alias("oi"), F.col("j").alias("oj"), F.explode(near).alias("di")).withColumn("dj", F.explode(near))
-    pairs = pairs.withColumns({"i": F.col("oi") + F.col("di"), "j": F.col("oj") + F.col("dj")})
-    around = F.greatest(F.abs("di"), F.abs("dj")) <= 1
-    above = F.greatest(F.abs(up(F.col("i")) - up(F.col("oi"))), F.abs(up(F.col("j")) - up(F.col("oj")))) <= 1
-    pairs = pairs.where(F.when(F.col("level") == 2, True).otherwise(above) & (~around | (F.col("level") == depth)))
-    met = pairs.join(cells, ["level", "i", "j"])
-    own = (F.col("di") == 0) & (F.col("dj") == 0)
-    mass = F.when(own, F.col("mass") - 1).otherwise(F.col("mass"))
-    center = lambda c: F.when(own & (F.col("mass") > 1), (F.col("c" + c) * F.col("mass") - F.col(c)) / (F.col("mass") - 1)).otherwise(F.col("c" + c))
-    dx, dy = F.col("x") - center("x"), F.col("y") - center("y")
-    square = F.greatest(dx * dx + dy * dy, F.lit(LEAST_SQUARE))
-    return met.groupBy("id").agg(F.sum(mass * strength * dx / square).alias("fx"), F.sum(mass * strength * dy / square).alias("fy"))
-
-
-def step(layout: DataFrame, edges: DataFrame, dt: float = 1 / 60, spring: float = SPRING) -> DataFrame:
-    """The layout (id, x, y, vx, vy, grp) after one step: repulsion, edges, packages, gravity, damped motion."""
-    push = repulsion(layout.select("id", "x", "y"), spring * spring)
-    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    square = F.greatest(dx * dx + dy * dy, F.lit(LEAST_SQUARE))
-    pull = F.sqrt(square) / spring
-    strings = ends(edges, layout).select("src", "dst", (dx * pull).alias("px"), (dy * pull).alias("py"))
-    strings = strings.select(F.explode(F.array(F.struct(F.col("src").alias("id"), (-F.col("px")).alias("fx"), (-F.col("py")).alias("fy")), F.struct(F.col("dst").alias("id"), F.col("px").alias("fx"), F.col("py").alias("fy")))).alias("f")).select("f.*")
-    centers = written(layout.where("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("n"), F.avg("x").alias("gx"), F.avg("y").alias("gy")), "centers")
-    apart = repulsion(centers.select(F.col("grp").alias("id"), F.col("gx").alias("x"), F.col("gy").alias("y")), PUSH * spring * spring).select(F.col("id").alias("grp"), F.col("fx").alias("ux"), F.col("fy").alias("uy"))
-    gain = F.when(F.col("n") > 1, PULL * spring).otherwise(0.0)
-    packs = layout.join(centers, "grp").join(apart, "grp").select("id", ((F.col("gx") - F.col("x")) * gain + F.col("ux") / F.col("n")).alias("fx"), ((F.col("gy") - F.col("y")) * gain + F.col("uy") / F.col("n")).alias("fy"))
-    heavy = layout.select("id", (F.col("x") * (-GRAVITY * spring)).alias("fx"), (F.col("y") * (-GRAVITY * spring)).alias("fy"))
-    forces = push.unionByName(strings).unionByName(packs).unionByName(heavy).groupBy("id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
-    moved = layout.join(forces, "id").withColumns({"vx": (F.col("vx") + F.col("fx") * dt) * DAMPING, "vy": (F.col("vy") + F.col("fy") * dt) * DAMPING})
-    speed = F.hypot("vx", "vy")
-    scale = F.when(speed > TOP_SPEED, TOP_SPEED / speed).otherwise(1.0)
-    moved = moved.withColumns({"vx": F.col("vx") * scale, "vy": F.col("vy") * scale})
-    return moved.select("id", (F.col("x") + F.col("vx") * dt).alias("x"), (F.col("y") + F.col("vy") * dt).alias("y"), "vx", "vy", "grp")
-
-
-def settled(layout: DataFrame, edges: DataFrame, ticks: int) -> DataFrame:
-    """The layout after a number of steps, or as soon as no node is faster than 1."""
-    for _ in range(ticks):
-        layout = written(step(layout, edges), "layout")
-        if top_speed(layout).first()["speed"] < 1.0:
-            break
-    return layout
-
-
-def largest(boxes: DataFrame) -> dict[str, float]:
-    """The greatest width and height."""
-    size = boxes.agg(F.max("w").alias("w"), F.max("h").alias("h")).first()
-    return {"w": 1.0, "h": 1.0} if size["w"] is None else size.asDict()
-
-
-def overlaps(boxes: DataFrame, size: dict[str, float] | None = None) -> DataFrame:
-    """a, b, ox, oy, sx, sy for pairs of rectangles (id, x, y, w, h) that overlap, a below b; s are the signs from a to b.
-
-    A rectangle is in the grid cells that it touches, cells being as large as the largest one, so in four at most; pairs meet in the cell of their greater corner.
-    """
-    size = size or largest(boxes)
-    low = lambda c, d, s: F.floor((F.col(c) - F.col(d) / 2) / max(s, 1e-9))
-    high = lambda c, d, s: F.floor((F.col(c) + F.col(d) / 2) / max(s, 1e-9))
-    spread = boxes.withColumn("i", F.explode(F.sequence(low("x", "w", size["w"]), high("x", "w", size["w"])))).withColumn("j", F.explode(F.sequence(low("y", "h", size["h"]), high("y", "h", size["h"]))))
-    side = lambda p: [F.col(c).alias(p + c) for c in ("id", "x", "y", "w", "h")]
-    met = spread.select("i", "j", *side("a")).join(spread.select("i", "j", *side("b")), ["i", "j"]).where("aid < bid")
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    ox, oy = (F.col("aw") + F.col("bw")) / 2 - F.abs(dx), (F.col("ah") + F.col("bh")) / 2 - F.abs(dy)
-    corner = (F.floor(F.greatest(F.col("ax") - F.col("aw") / 2, F.col("bx") - F.col("bw") / 2) / max(size["w"], 1e-9)) == F.col("i")) & (F.floor(F.greatest(F.col("ay") - F.col("ah") / 2, F.col("by") - F.col("bh") / 2) / max(size["h"], 1e-9)) == F.col("j"))
-    sign = lambda d: F.when(d >= 0, 1.0).otherwise(-1.0)
-    return met.where((ox > SLACK) & (oy > SLACK) & corner).select(F.col("aid").alias("a"), F.col("bid").alias("b"), ox.alias("ox"), oy.alias("oy"), sign(dx).alias("sx"), sign(dy).alias("sy"))
-
-
-def separated(boxes: DataFrame, rounds: int = SWEEPS) -> DataFrame:
-    """Rectangles (id, x, y, w, h) moved apart until none overlap, and converged: whether that was reached within the rounds.
-
-    In each round every overlapping pair parts along its smaller overlap, half each; a node's moves are added up, as a sweep over pairs adds them. All pairs
-    of a round part at once, where such a sweep would need one task.
-    """
-    size, before = largest(boxes), None
-    for _ in range(rounds):
-        pairs = overlaps(boxes, size)
-        flat = F.col("ox") < F.col("oy")
-        x, y = F.when(flat, F.col("ox") / 2 * F.col("sx")).otherwise(0.0), F.when(flat, 0.0).otherwise(F.col("oy") / 2 * F.col("sy"))
-        each = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), (-x).alias("mx"), (-y).alias("my")), F.struct(F.col("b").alias("id"), x.alias("mx"), y.alias("my")))).alias("m")).select("m.*")
-        moves = each.groupBy("id").agg(F.sum("mx").alias("mx"), F.sum("my").alias("my"))
-        moved = boxes.join(moves, "id", "left").select("id", (F.col("x") + F.coalesce("mx", F.lit(0.0))).alias("x"), (F.col("y") + F.coalesce("my", F.lit(0.0))).alias("y"), "w", "h", F.col("mx").isNotNull().alias("met"))
-        moved = written(moved, "boxes")
-        if before is not None:
-            dropped(before)
-        if moved.where("met").isEmpty():
-            return moved.drop("met").withColumn("converged", F.lit(True))
-        boxes = before = moved
-    left = overlaps(boxes, size).isEmpty()
-    return boxes.select("id", "x", "y", "w", "h", F.lit(left).alias("converged"))
+def spring(labels: DataFrame) -> DataFrame:
+    """One row: the edge length that leaves room for the longest label, at least the usual one."""
+    return labels.agg(F.greatest(F.lit(SPRING), F.max(F.length("label")) * F.lit(LETTER) + F.lit(MARGIN + GAP)).alias("spring"))
+
+
+def sizes(nodes: DataFrame) -> DataFrame:
+    """id, width, height of each node's box (id, label, dependents): room for its label, and higher the more depend on it."""
+    width = F.greatest(F.length("label") * F.lit(LETTER) + F.lit(MARGIN), F.lit(LEAST_WIDTH))
+    return nodes.select("id", width.alias("width"), (F.lit(HEIGHT) + F.least(2 * F.sqrt("dependents"), F.lit(MOST_GROWTH))).alias("height"))

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depsight.tables import written
+
+#: Fixed value: nodes above which a graph counts as large.
+LARGE = 20_000
+
 
 def fan_in(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, dependents for every node."""
@@ -99,12 +104,19 @@ def refcounts(uses: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("files"))
 
 
+def totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, and whether the graph counts as large."""
+    n = nodes.agg(F.count("*").alias("nodes"), (F.count("*") > LARGE).alias("large"))
+    return n.crossJoin(F.broadcast(edges.agg(F.count("*").alias("edges")))).select("nodes", "edges", "large")  # one row each
+
+
 def hotspots(nodes: DataFrame, edges: DataFrame, churn: DataFrame) -> DataFrame:
     """id, dependents, commits, score, share: dependents times 1 + ln(1 + commits), and that over the highest score, from 0 to 1."""
     base = fan_in(nodes, edges)
     path = nodes.select(F.col("id").alias("_id"), F.col("path").alias("_path"))
     joined = base.join(path, F.col("id") == F.col("_id")).join(churn.select(F.col("path").alias("_churned"), "commits"), F.col("_path") == F.col("_churned"), "left")
     scored = joined.select("id", "dependents", F.coalesce("commits", F.lit(0)).cast("long").alias("commits")).withColumn("score", F.round(F.col("dependents") * (1 + F.log1p("commits")), 6))
+    scored = written(scored, "scored")
     peak = F.broadcast(scored.agg(F.max("score").alias("peak")))  # one row
     share = F.when(F.col("peak") > 0, F.least(F.greatest(F.col("score") / F.col("peak"), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
     return scored.join(peak).withColumn("share", F.round(share, 6)).drop("peak")

@@ -9,9 +9,9 @@ from depsight.functions import paths as P
 
 
 def candidates(path: Column) -> Column:
-    """What a path can stand for, best first: itself, with each extension, an index file in it."""
-    own = [path, *[F.concat(path, F.lit("." + e)) for e in P.CANDIDATE_EXTENSIONS]]
-    return F.array(*own, *[F.concat(path, F.lit("/index." + e)) for e in P.CANDIDATE_EXTENSIONS])
+    """What a path can stand for, best first: itself, with each extension, an index file in it. The path is computed once, as a variable."""
+    ends = F.array(*[F.lit(x) for x in ["", *[f".{e}" for e in P.CANDIDATE_EXTENSIONS], *[f"/index.{e}" for e in P.CANDIDATE_EXTENSIONS]]])
+    return F.flatten(F.transform(F.array(path), lambda p: F.transform(ends, lambda e: F.concat(p, e))))
 
 
 def probed(asked: DataFrame, path: Column, files: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import inspect
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +10,9 @@ from pyspark.sql import functions as F
 from depsight.functions import colors as C
 from depsight.functions import paths as P
 from depsight.operators import cycles, folders, geometry, graphs, reach, resolve
-from depsight.sources import derived
-from depsight.sources.derived import VIEWS, WHOLE_VIEWS, Graph
+from depsight.plans import index
+from depsight.sources import derived, manifests
+from depsight.sources.derived import VIEWS, Graph
 from depsight.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,27 +20,20 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(oracle: str | None = None, views: bool = True, more: str = ""):
-    """Registers a query by its function's name; more holds further views of its oracle.
-
-    A query of the import graph is registered a second time as whole_..., over all imports; a closure of all pairs is too slow for an oracle there.
-    """
+    """Registers a query by its function's name; more holds further views of its oracle."""
 
     def put(f):
         QUERIES[f.__name__] = f
         if oracle:
             ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {VIEWS}{more} {oracle}" if views else oracle
-        if "whole" in inspect.signature(f).parameters:
-            QUERIES[f"whole_{f.__name__}"] = partial(f, whole=True)
-            if oracle and "clo(a, b)" not in more:
-                ORACLE_SQL[f"whole_{f.__name__}"] = f"WITH RECURSIVE {WHOLE_VIEWS}{more} {oracle}"
         return f
 
     return put
 
 
-def display(spark: SparkSession, sf_dir: str, keep: bool = False, whole: bool = False) -> tuple[Graph, Graph, DataFrame]:
+def display(spark: SparkSession, sf_dir: str, keep: bool = False) -> tuple[Graph, Graph, DataFrame]:
     """The raw graph, the display graph and the mapping; with keep written once, for operators that read them many times."""
-    raw = derived.graph(spark, sf_dir, whole)
+    raw = derived.graph(spark, sf_dir)
     mapping = folders.barrel_mapping(raw.nodes, folders.index_folders(raw.nodes))
     nodes, edges = folders.display_nodes(raw.nodes, mapping), graphs.rewritten(raw.edges, mapping)
     if keep:
@@ -49,8 +41,8 @@ def display(spark: SparkSession, sf_dir: str, keep: bool = False, whole: bool =
     return raw, Graph(nodes, edges), mapping
 
 
-def raw(spark: SparkSession, sf_dir: str, keep: bool = False, whole: bool = False) -> Graph:
-    g = derived.graph(spark, sf_dir, whole)
+def raw(spark: SparkSession, sf_dir: str, keep: bool = False) -> Graph:
+    g = derived.graph(spark, sf_dir)
     return Graph(written(g.nodes), written(g.edges)) if keep else g
 
 
@@ -65,8 +57,6 @@ def hidden_of(nodes: DataFrame) -> DataFrame:
 
 HIDDEN = ", hidden AS (SELECT id FROM mod_nodes WHERE package LIKE '%3')"
 DHIDDEN = ", hidden AS (SELECT id FROM mod_display_nodes WHERE package LIKE '%3')"
-#: The window of the plain hotspot queries, as in VIEWS.
-SAMPLE_DAYS = 7
 START = "barrel:packages/brand21/standard"
 ENTRIES = ", entries AS (SELECT id FROM mod_files WHERE regexp_matches(id, '\\.(test|spec)\\.[^./]*$') UNION SELECT id FROM mod_files WHERE regexp_matches(id, '/index\\.[^/]*$'))"
 
@@ -125,9 +115,9 @@ def bare_specifier(spark, sf_dir):
     return links(spark, sf_dir).distinct().select("page_id", "specifier", P.bare_package(F.col("specifier")).alias("package"))
 
 
-def specifiers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def specifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges written as relative imports: up to the packages folder and down, the extension left out."""
-    e = raw(spark, sf_dir, whole=whole).edges
+    e = raw(spark, sf_dir).edges
     down = F.regexp_replace(F.regexp_replace("dst", "^packages/", ""), r"\.[^./]*$", "")
     down = F.when(F.col("dst").rlike(r"/index\.[^./]*$"), F.regexp_replace(down, "/index$", "")).otherwise(down)
     return e.select(F.col("src").alias("file_id"), F.concat(F.lit("../../"), down).alias("source"), F.lit("static").alias("kind"), F.lit(False).alias("is_template"), F.lit(False).alias("is_unresolvable"))
@@ -140,14 +130,14 @@ res AS (SELECT file_id, source, arg_min(f.id, x.pos) AS target FROM (SELECT DIST
 
 
 @query("SELECT file_id, source, target FROM res", more=SPECS)
-def relative_resolve(spark, sf_dir, whole=False):
+def relative_resolve(spark, sf_dir):
     files = derived.files(spark, sf_dir).select(F.col("id").alias("path"))
-    return resolve.relative(specifiers(spark, sf_dir, whole=whole), files)
+    return resolve.relative(specifiers(spark, sf_dir), files)
 
 
 @query("SELECT file_id, regexp_replace(source, '^../../', '@src/') AS source, target FROM res", more=SPECS)
-def paths_alias_match(spark, sf_dir, whole=False):
-    asked = specifiers(spark, sf_dir, whole=whole).withColumn("source", F.regexp_replace("source", r"^\.\./\.\./", "@src/"))
+def paths_alias_match(spark, sf_dir):
+    asked = specifiers(spark, sf_dir).withColumn("source", F.regexp_replace("source", r"^\.\./\.\./", "@src/"))
     configs = spark.createDataFrame([("", "", [("@src/*", ["missing/*", "packages/*"]), ("@src/never", ["x"])])], "dir string, base_url string, paths array<struct<pattern: string, subs: array<string>>>")
     return resolve.aliases(asked, configs, derived.files(spark, sf_dir).select(F.col("id").alias("path")))
 
@@ -164,13 +154,13 @@ def owning_package(spark, sf_dir):
 
 
 @query("SELECT src, dst FROM mod_edges")
-def raw_edges(spark, sf_dir, whole=False):
-    return raw(spark, sf_dir, whole=whole).edges
+def raw_edges(spark, sf_dir):
+    return raw(spark, sf_dir).edges
 
 
 @query("SELECT n.id, count(e.src) AS dependents FROM mod_nodes n LEFT JOIN mod_edges e ON e.dst = n.id GROUP BY n.id")
-def fan_in(spark, sf_dir, whole=False):
-    g = raw(spark, sf_dir, whole=whole)
+def fan_in(spark, sf_dir):
+    g = raw(spark, sf_dir)
     return graphs.fan_in(g.nodes, g.edges)
 
 
@@ -178,8 +168,8 @@ def fan_in(spark, sf_dir, whole=False):
     """SELECT n.id, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM mod_display_edges e WHERE e.src = n.id), '') AS imports,
     coalesce((SELECT string_agg(src, ',' ORDER BY src) FROM mod_display_edges e WHERE e.dst = n.id), '') AS imported_by FROM mod_display_nodes n"""
 )
-def adjacency(spark, sf_dir, whole=False):
-    _, g, _ = display(spark, sf_dir, whole=whole)
+def adjacency(spark, sf_dir):
+    _, g, _ = display(spark, sf_dir)
     return graphs.adjacency(g.nodes, g.edges).select("id", F.array_join("imports", ",").alias("imports"), F.array_join("imported_by", ",").alias("imported_by"))
 
 
@@ -230,19 +220,19 @@ def display_nodes(spark, sf_dir):
 
 
 @query("SELECT src, dst FROM mod_display_edges")
-def display_edges(spark, sf_dir, whole=False):
-    return display(spark, sf_dir, whole=whole)[1].edges
+def display_edges(spark, sf_dir):
+    return display(spark, sf_dir)[1].edges
 
 
 @query("SELECT src, dst FROM mod_edges WHERE src <> dst")
-def passthrough_edges(spark, sf_dir, whole=False):
-    g = raw(spark, sf_dir, whole=whole)
+def passthrough_edges(spark, sf_dir):
+    g = raw(spark, sf_dir)
     return graphs.rewritten(g.edges, g.nodes.select(F.col("id").alias("raw_id"), F.col("id").alias("display_id")))
 
 
 @query(f"SELECT src, dst FROM mod_display_edges WHERE src = '{START}' OR dst = '{START}'")
-def one_hop(spark, sf_dir, whole=False):
-    return graphs.one_hop(display(spark, sf_dir, whole=whole)[1].edges, start_of(spark, START))[1]
+def one_hop(spark, sf_dir):
+    return graphs.one_hop(display(spark, sf_dir)[1].edges, start_of(spark, START))[1]
 
 
 # --- reachability
@@ -251,8 +241,8 @@ CONE = f", cone(id) AS (SELECT src FROM mod_display_edges WHERE dst = '{START}'
 
 
 @query("SELECT id FROM cone", more=CONE)
-def blast_radius(spark, sf_dir, whole=False):
-    _, g, _ = display(spark, sf_dir, keep=True, whole=whole)
+def blast_radius(spark, sf_dir):
+    _, g, _ = display(spark, sf_dir, keep=True)
     return reach.dependents(g.edges, start_of(spark, START))
 
 
@@ -260,8 +250,8 @@ BARREL_CONE = CONE + f", bc AS (SELECT id FROM cone WHERE id <> '{START}' UNION
 
 
 @query("SELECT id FROM bc", more=BARREL_CONE)
-def blast_radius_barrels(spark, sf_dir, whole=False):
-    _, g, mapping = display(spark, sf_dir, keep=True, whole=whole)
+def blast_radius_barrels(spark, sf_dir):
+    _, g, mapping = display(spark, sf_dir, keep=True)
     return reach.dependents_with_barrels(g.edges, start_of(spark, START), mapping)
 
 
@@ -269,8 +259,8 @@ def blast_radius_barrels(spark, sf_dir, whole=False):
     """SELECT count(*) AS files, count(DISTINCT n.package) AS packages FROM bc LEFT JOIN mod_display_nodes n ON n.id = bc.id WHERE NOT starts_with(bc.id, 'barrel:')""",
     more=BARREL_CONE,
 )
-def cone_stats(spark, sf_dir, whole=False):
-    _, g, mapping = display(spark, sf_dir, keep=True, whole=whole)
+def cone_stats(spark, sf_dir):
+    _, g, mapping = display(spark, sf_dir, keep=True)
     return reach.cone_stats(reach.dependents_with_barrels(g.edges, start_of(spark, START), mapping), g.nodes)
 
 
@@ -278,14 +268,14 @@ REACH = ENTRIES + ", seen(id) AS (SELECT e.id FROM entries e JOIN mod_nodes n ON
 
 
 @query("SELECT id FROM mod_nodes WHERE id NOT IN (SELECT id FROM seen)", more=REACH)
-def unreachable(spark, sf_dir, whole=False):
-    g = raw(spark, sf_dir, keep=True, whole=whole)
+def unreachable(spark, sf_dir):
+    g = raw(spark, sf_dir, keep=True)
     return reach.unreachable(g.nodes, g.edges, entry_ids(spark, sf_dir))
 
 
 @query("SELECT id FROM mod_nodes WHERE id NOT IN (SELECT dst FROM mod_edges)")
-def no_incoming(spark, sf_dir, whole=False):
-    g = raw(spark, sf_dir, whole=whole)
+def no_incoming(spark, sf_dir):
+    g = raw(spark, sf_dir)
     return reach.no_incoming(g.nodes, g.edges)
 
 
@@ -294,8 +284,8 @@ def no_incoming(spark, sf_dir, whole=False):
     WHERE id NOT IN (SELECT id FROM seen) OR id NOT IN (SELECT dst FROM mod_edges)""",
     more=REACH,
 )
-def orphans(spark, sf_dir, whole=False):
-    g = raw(spark, sf_dir, keep=True, whole=whole)
+def orphans(spark, sf_dir):
+    g = raw(spark, sf_dir, keep=True)
     return reach.orphans(g.nodes, g.edges, entry_ids(spark, sf_dir))
 
 
@@ -307,39 +297,33 @@ def entry_points(spark, sf_dir):
 # --- cycles
 
 
-def scc_sql(edges: str, nodes: str = "") -> str:
-    """Closure and mutual reachability, for oracles."""
-    return f""", clo(a, b) AS (SELECT src, dst FROM {edges} UNION SELECT c.a, e.dst FROM clo c JOIN {edges} e ON e.src = c.b),
-    scc AS (SELECT x.a AS id, min(x.b) AS scc FROM clo x JOIN clo y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"""
-
-
-@query("SELECT id, scc FROM scc", more=scc_sql("mod_edges"))
-def cycles_raw(spark, sf_dir, whole=False):
-    return cycles.components(raw(spark, sf_dir, keep=True, whole=whole).edges)
+# No SQL: a closure of all pairs of the whole graph takes too long. Tests hold each against plain Python.
 
 
-CANON = "SELECT dense_rank() OVER (ORDER BY scc) - 1 AS cycle, id, scc, count(*) OVER (PARTITION BY scc) AS size FROM scc"
+@query()
+def cycles_raw(spark, sf_dir):
+    return cycles.components(raw(spark, sf_dir, keep=True).edges)
 
 
-@query(CANON, more=scc_sql("mod_display_edges"))
-def cycles_display(spark, sf_dir, whole=False):
-    _, g, _ = display(spark, sf_dir, keep=True, whole=whole)
+@query()
+def cycles_display(spark, sf_dir):
+    _, g, _ = display(spark, sf_dir, keep=True)
     return cycles.canonical(written(cycles.components(g.edges)))
 
 
 VISIBLE = DHIDDEN + ", vis AS (SELECT src, dst FROM mod_display_edges WHERE src NOT IN (SELECT id FROM hidden) AND dst NOT IN (SELECT id FROM hidden))"
 
 
-@query(CANON, more=VISIBLE + scc_sql("vis"))
-def cycles_hidden(spark, sf_dir, whole=False):
-    _, g, _ = display(spark, sf_dir, keep=True, whole=whole)
+@query()
+def cycles_hidden(spark, sf_dir):
+    _, g, _ = display(spark, sf_dir, keep=True)
     _, edges = graphs.visible(g.nodes, g.edges, hidden_of(g.nodes))
     return cycles.canonical(written(cycles.components(edges)))
 
 
-@query("SELECT e.src, e.dst, a.scc FROM mod_display_edges e JOIN scc a ON a.id = e.src JOIN scc b ON b.id = e.dst AND a.scc = b.scc", more=scc_sql("mod_display_edges"))
-def cycle_edges(spark, sf_dir, whole=False):
-    _, g, _ = display(spark, sf_dir, keep=True, whole=whole)
+@query()
+def cycle_edges(spark, sf_dir):
+    _, g, _ = display(spark, sf_dir, keep=True)
     return cycles.edges_in_cycles(g.edges, written(cycles.components(g.edges)))
 
 
@@ -347,8 +331,8 @@ def cycle_edges(spark, sf_dir, whole=False):
 
 
 @query("SELECT src, dst FROM vis", more=VISIBLE)
-def visible_graph(spark, sf_dir, whole=False):
-    _, g, _ = display(spark, sf_dir, whole=whole)
+def visible_graph(spark, sf_dir):
+    _, g, _ = display(spark, sf_dir)
     return graphs.visible(g.nodes, g.edges, hidden_of(g.nodes))[1]
 
 
@@ -380,26 +364,42 @@ def changed(g: Graph) -> tuple[DataFrame, DataFrame]:
     UNION ALL SELECT 'add', 'node', id, NULL, NULL FROM (SELECT id FROM new_nodes EXCEPT SELECT id FROM mod_nodes)""",
     more=NEW,
 )
-def graph_diff(spark, sf_dir, whole=False):
-    g = raw(spark, sf_dir, whole=whole)
+def graph_diff(spark, sf_dir):
+    g = raw(spark, sf_dir)
     return graphs.diff(g.nodes, g.edges, *changed(g))
 
 
 @query("SELECT src, dst FROM new_edges", more=NEW)
-def apply_diff(spark, sf_dir, whole=False):
-    g = raw(spark, sf_dir, keep=True, whole=whole)
+def apply_diff(spark, sf_dir):
+    g = raw(spark, sf_dir, keep=True)
     changes = written(graphs.diff(g.nodes, g.edges, *changed(g)))
     return graphs.applied(g.nodes, g.edges, changes)[1]
 
 
 @query("SELECT CASE WHEN n.id IN (SELECT id FROM new_nodes) THEN 'kept' ELSE 'removed' END AS state, count(*) AS n FROM mod_nodes n GROUP BY 1", more=NEW)
-def merge_diff(spark, sf_dir):
+def node_states(spark, sf_dir):
     g = raw(spark, sf_dir)
     gone = graphs.diff(g.nodes, g.edges, *changed(g)).where("op = 'remove' AND entity = 'node'").select("id", F.lit("removed").alias("state"))
     kept = g.nodes.select("id").join(gone, "id", "left_anti").withColumn("state", F.lit("kept"))
     return kept.unionByName(gone).groupBy("state").agg(F.count("*").alias("n"))
 
 
+DIFF = """SELECT 'remove' AS op, 'edge' AS entity, NULL::VARCHAR AS id, src, dst FROM (SELECT src, dst FROM {a}_edges EXCEPT SELECT src, dst FROM {b}_edges)
+    UNION ALL SELECT 'add', 'edge', NULL, src, dst FROM (SELECT src, dst FROM {b}_edges EXCEPT SELECT src, dst FROM {a}_edges)
+    UNION ALL SELECT 'remove', 'node', id, NULL, NULL FROM (SELECT id FROM {a}_nodes EXCEPT SELECT id FROM {b}_nodes)
+    UNION ALL SELECT 'add', 'node', id, NULL, NULL FROM (SELECT id FROM {b}_nodes EXCEPT SELECT id FROM {a}_nodes)"""
+LATER = NEW + ", later_nodes AS (SELECT id FROM new_nodes WHERE id NOT LIKE '%.tsx'), later_edges AS (SELECT src, dst FROM new_edges WHERE src NOT LIKE '%.tsx' AND dst NOT LIKE '%.tsx')"
+
+
+@query(f"{DIFF.format(a='mod', b='new')} UNION {DIFF.format(a='new', b='later')}", more=LATER)
+def merge_diff(spark, sf_dir):
+    """Two changes in a row as one: without .js files and with edges turned, then without .tsx files."""
+    g = raw(spark, sf_dir, keep=True)
+    nodes, edges = (written(x) for x in changed(g))
+    later = nodes.where("id NOT LIKE '%.tsx'"), edges.where("src NOT LIKE '%.tsx' AND dst NOT LIKE '%.tsx'")
+    return graphs.merged(graphs.diff(g.nodes, g.edges, nodes, edges), graphs.diff(nodes, edges, *later))
+
+
 @query("SELECT n.id, n.package, CASE WHEN n.id LIKE '%.js' THEN 'renamed' ELSE regexp_extract(n.id, '[^/]*$') END AS label FROM mod_nodes n")
 def upsert_nodes(spark, sf_dir):
     nodes = raw(spark, sf_dir).nodes
@@ -410,29 +410,29 @@ def upsert_nodes(spark, sf_dir):
 
 
 @query("SELECT path, commits FROM mod_churn")
-def churn_7d(spark, sf_dir):
-    return derived.churn(spark, sf_dir, SAMPLE_DAYS)
-
-
-@query(f"WITH RECURSIVE {WHOLE_VIEWS} SELECT path, commits FROM mod_churn", views=False)
 def churn_30d(spark, sf_dir):
     return derived.churn(spark, sf_dir)
 
 
+@query("SELECT path, commits FROM (SELECT n.id AS path, count(*) AS commits FROM events e JOIN mod_nodes n ON n.k = e.user_id WHERE event_type <> 'view' AND ts >= (SELECT max(ts) - INTERVAL 7 DAY FROM events) GROUP BY n.id)")
+def churn_7d(spark, sf_dir):
+    return derived.churn(spark, sf_dir, 7)
+
+
 HOT = """, f AS (SELECT n.id, count(e.src) AS dependents FROM mod_nodes n LEFT JOIN mod_edges e ON e.dst = n.id GROUP BY n.id),
 s AS (SELECT f.id, f.dependents, coalesce(c.commits, 0) AS commits, round(f.dependents * (1 + ln(1 + coalesce(c.commits, 0))), 6) AS score FROM f LEFT JOIN mod_churn c ON c.path = f.id)"""
 
 
 @query("SELECT id, dependents, commits, score FROM s", more=HOT)
-def hotspots(spark, sf_dir, whole=False):
-    g = raw(spark, sf_dir, whole=whole)
-    return graphs.hotspots(g.nodes, g.edges, derived.churn(spark, sf_dir, derived.CHURN_DAYS if whole else SAMPLE_DAYS)).select("id", "dependents", "commits", "score")
+def hotspots(spark, sf_dir):
+    g = raw(spark, sf_dir)
+    return graphs.hotspots(g.nodes, g.edges, derived.churn(spark, sf_dir)).select("id", "dependents", "commits", "score")
 
 
 @query("SELECT id, round(score / (SELECT max(score) FROM s), 6) AS share FROM s WHERE score / (SELECT max(score) FROM s) >= 0.05", more=HOT)
-def hotspots_normalised(spark, sf_dir, whole=False):
-    g = raw(spark, sf_dir, whole=whole)
-    return graphs.hotspots(g.nodes, g.edges, derived.churn(spark, sf_dir, derived.CHURN_DAYS if whole else SAMPLE_DAYS)).where("share >= 0.05").select("id", "share")
+def hotspots_normalised(spark, sf_dir):
+    g = raw(spark, sf_dir)
+    return graphs.hotspots(g.nodes, g.edges, derived.churn(spark, sf_dir)).where("share >= 0.05").select("id", "share")
 
 
 @query("SELECT id FROM mod_nodes WHERE regexp_matches(lower(package), 'b.*r.*2.*1') OR regexp_matches(lower(id), 'b.*r.*2.*1')")
@@ -510,8 +510,8 @@ def export_nodes(spark, sf_dir):
 
 
 @query('SELECT src AS "from", dst AS "to" FROM mod_display_edges')
-def export_edges(spark, sf_dir, whole=False):
-    return display(spark, sf_dir, whole=whole)[1].edges.select(F.col("src").alias("from"), F.col("dst").alias("to")).orderBy("from", "to")
+def export_edges(spark, sf_dir):
+    return display(spark, sf_dir)[1].edges.select(F.col("src").alias("from"), F.col("dst").alias("to")).orderBy("from", "to")
 
 
 @query("SELECT package, substr(sha256(package), 1, 16) AS hash FROM (SELECT DISTINCT package FROM mod_nodes)")
@@ -576,9 +576,9 @@ def fit_view(spark, sf_dir):
     LATERAL (SELECT CASE WHEN b.x = a.x AND b.y = a.y THEN 0 ELSE least(CASE WHEN b.x = a.x THEN 'inf'::DOUBLE ELSE 20.0 / abs(b.x - a.x) END, CASE WHEN b.y = a.y THEN 'inf'::DOUBLE ELSE 10.0 / abs(b.y - a.y) END) END AS t)""",
     more=BOXES,
 )
-def ray_clip(spark, sf_dir, whole=False):
+def ray_clip(spark, sf_dir):
     box = boxes(spark, sf_dir)
-    return geometry.clipped(raw(spark, sf_dir, whole=whole).edges, box, 20.0, 10.0)
+    return geometry.clipped(raw(spark, sf_dir).edges, box, 20.0, 10.0)
 
 
 @query("SELECT id FROM (SELECT id, (8 + length(id)) * 10 AS area FROM bx WHERE abs(x - 250) <= (8 + length(id)) AND abs(y - 1000) <= 5) ORDER BY area, id LIMIT 1", more=BOXES)
@@ -595,16 +595,150 @@ def layout_seed(spark, sf_dir):
     return geometry.seeded(raw(spark, sf_dir).nodes).select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-@query()
-def layout_step(spark, sf_dir, whole=False):
-    g = raw(spark, sf_dir, keep=True, whole=whole)
-    start = written(geometry.seeded(g.nodes).join(g.nodes.select("id", F.col("package").alias("grp")), "id"))
-    return geometry.step(start, g.edges)
+@query(
+    """SELECT scc AS cycle, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy FROM bx JOIN (SELECT n.id, n.package AS scc FROM mod_nodes n) m USING (id) GROUP BY scc""",
+    more=BOXES,
+)
+def frame_groups(spark, sf_dir):
+    """Where to look for each group of nodes; packages stand for cycles."""
+    box = boxes(spark, sf_dir).withColumnRenamed("package", "cycle")
+    return geometry.fit(geometry.bbox(box, "cycle"), 1200.0, 800.0, 40.0).select("cycle", "cx", "cy")
+
+
+NAMES = r""", names AS (SELECT id, CASE WHEN lower(s) = 'index' THEN split_part(id, '/', -2) ELSE s END AS label FROM (SELECT id, regexp_replace(regexp_extract(id, '[^/]*$'), '(.)\.[^.]*$', '\1') AS s FROM mod_nodes))"""
+
+
+def names(nodes: DataFrame) -> DataFrame:
+    return nodes.select("id", P.display_label(F.col("kind"), F.col("path"), F.col("label")).alias("label"))
+
+
+@query("SELECT greatest(55.0::DOUBLE, max(length(label)) * 7.2::DOUBLE + 36) AS spring FROM names", more=NAMES)
+def spring_constant(spark, sf_dir):
+    return geometry.spring(names(raw(spark, sf_dir).nodes))
+
+
+@query(
+    """SELECT n.id, greatest(length(label) * 7.2::DOUBLE + 12, 14) AS width, 20 + least(2 * sqrt(dependents), 12) AS height FROM names n
+    JOIN (SELECT n.id, count(e.src) AS dependents FROM mod_nodes n LEFT JOIN mod_edges e ON e.dst = n.id GROUP BY n.id) d ON d.id = n.id""",
+    more=NAMES,
+)
+def node_sizes(spark, sf_dir):
+    g = raw(spark, sf_dir)
+    return geometry.sizes(graphs.fan_in(g.nodes, g.edges).join(names(g.nodes), "id"))
+
+
+# --- status
+
+
+@query("SELECT (SELECT count(*) FROM mod_nodes) AS nodes, (SELECT count(*) FROM mod_edges) AS edges, (SELECT count(*) FROM mod_nodes) > 20000 AS large")
+def status_totals(spark, sf_dir):
+    g = raw(spark, sf_dir)
+    return graphs.totals(g.nodes, g.edges)
+
+
+@query(
+    """SELECT id, regexp_extract(id, '[^/]*$') || '  (' || split_part(id, '/', -2) || ')' AS menu, CASE WHEN starts_with(id, 'packages/brand21/') THEN substr(id, 18) ELSE id END AS shown FROM mod_files"""
+)
+def path_labels(spark, sf_dir):
+    """How a path is shown in a menu, and below the root packages/brand21."""
+    id_ = F.col("id")
+    return derived.files(spark, sf_dir).select("id", P.menu_label(id_).alias("menu"), P.shown(F.lit("file"), id_, F.lit("packages/brand21")).alias("shown"))
 
 
 @query()
-def overlap_resolve(spark, sf_dir):
-    box = boxes(spark, sf_dir).select("id", "x", "y", (2.0 * F.length("id")).alias("w"), F.lit(10.0).alias("h"))
-    return geometry.separated(written(box))
+def node_colors(spark, sf_dir):
+    """The colour of every display node: its library's shade, else its package's, else a grey."""
+    _, g, _ = display(spark, sf_dir)
+    return folders.node_colors(g.nodes, libs_of(raw(spark, sf_dir).nodes))
+
+
+# --- a source tree, read, resolved and indexed
 
+#: What manifests of derived.source_tree() name, by package.
+TREE = r""", per AS (SELECT split_part(id, '/', 2) AS pkg, min(substr(id, length(split_part(id, '/', 2)) + 11)) AS a, max(substr(id, length(split_part(id, '/', 2)) + 11)) AS z FROM mod_files GROUP BY 1)"""
+INDEXED = EXTERNALS + ", tree_edges AS (SELECT src, dst FROM mod_edges UNION SELECT 'package:' || package, 'external:' || external FROM uses)"
+
+
+@query("SELECT src, dst FROM tree_edges", more=INDEXED)
+def index_edges(spark, sf_dir):
+    """Imports of every edge and external use, written as source files, read, resolved and made a graph again."""
+    return index.build(derived.source_tree(spark, sf_dir)).edges
+
+
+@query(
+    """SELECT id, package, 'file' AS kind FROM mod_nodes UNION SELECT 'package:' || package, package, 'workspace_package' FROM uses UNION SELECT 'external:' || external, NULL, 'external' FROM uses""",
+    more=INDEXED,
+)
+def index_nodes(spark, sf_dir):
+    return index.build(derived.source_tree(spark, sf_dir)).nodes.select("id", "package", "kind")
+
+
+@query(
+    """SELECT (SELECT count(*) FROM mod_edges) AS near, (SELECT count(*) FROM uses) AS far, 0::BIGINT AS errors""",
+    more=INDEXED,
+)
+def import_statements(spark, sf_dir):
+    """How many statements of the tree are relative and bare, and how many files can't be read."""
+    from depsight.sources.imports import imports
 
+    found, errors = imports(derived.source_tree(spark, sf_dir).where(P.passes(F.col("path"))))
+    far = ~P.is_relative(F.col("source"))
+    return found.agg(F.count(F.when(~far, 1)).alias("near"), F.count(F.when(far, 1)).alias("far")).crossJoin(F.broadcast(errors.agg(F.count("*").alias("errors"))))  # one row each
+
+
+@query("SELECT '.' AS name, '' AS root, NULL::VARCHAR AS entry UNION ALL SELECT '@acme/' || pkg, 'packages/' || pkg, 'packages/' || pkg || '/' || a FROM per", more=TREE)
+def packages(spark, sf_dir):
+    tree = derived.source_tree(spark, sf_dir)
+    return resolve.entries(manifests.packages(tree), tree.select("path"))
+
+
+@query(
+    """SELECT '' AS dir, '' AS base_url, '@src/*' AS pattern, 'missing/*,packages/*' AS subs UNION ALL
+    SELECT 'packages/' || pkg, '', '@own/*', 'packages/shared/src/*' FROM per WHERE regexp_extract(pkg, '([0-9]+)$', 1)::INT % 5 = 0""",
+    more=TREE,
+)
+def tsconfig_paths(spark, sf_dir):
+    found = manifests.configs(derived.source_tree(spark, sf_dir))
+    return found.select("dir", "base_url", F.inline("paths")).select("dir", "base_url", "pattern", F.array_join("subs", ",").alias("subs"))
+
+
+@query(
+    r"""SELECT id FROM mod_files WHERE regexp_matches(id, '\.(test|spec)\.[jt]sx?$') UNION SELECT 'packages/' || pkg || '/' || a FROM per UNION SELECT 'packages/' || pkg || '/' || z FROM per
+    UNION SELECT 'packages/' || pkg || '/vite.config.ts' FROM per UNION SELECT 'packages/' || pkg || '/tsconfig.json' FROM per WHERE regexp_extract(pkg, '([0-9]+)$', 1)::INT % 5 = 0
+    UNION SELECT 'tsconfig.json' UNION SELECT id FROM mod_files WHERE regexp_matches(id, '^packages/brand1.*/economy.*x$')""",
+    more=TREE,
+)
+def package_entries(spark, sf_dir):
+    """Declared entries, tests, tool configurations, and what a user's glob matches."""
+    return manifests.entry_points(derived.source_tree(spark, sf_dir), ("packages/brand1*/economy*x",))
+
+
+@query(
+    """SELECT 'missing' AS dir UNION SELECT 'packages' UNION SELECT 'packages/shared/src' UNION SELECT 'packages/' || pkg || '/' || split_part(a, '/', 1) FROM per
+    UNION SELECT 'packages/' || pkg || '/' || split_part(z, '/', 1) FROM per UNION SELECT 'packages/' || pkg || '/gone' FROM per""",
+    more=TREE,
+)
+def declared_barrels(spark, sf_dir):
+    return manifests.declared_barrels(derived.source_tree(spark, sf_dir))
+
+
+@query("SELECT '' AS path, '.' AS package UNION ALL SELECT 'packages/' || pkg, '@acme/' || pkg FROM per WHERE regexp_extract(pkg, '([0-9]+)$', 1)::INT % 5 = 0", more=TREE)
+def library_roots(spark, sf_dir):
+    return manifests.libraries(derived.source_tree(spark, sf_dir))
+
+
+@query(
+    """SELECT 'remove' AS op, 'edge' AS entity, NULL::VARCHAR AS id, src, dst FROM (SELECT src, dst FROM tree_edges EXCEPT SELECT src, dst FROM next_edges)
+    UNION ALL SELECT 'add', 'edge', NULL, src, dst FROM (SELECT src, dst FROM next_edges EXCEPT SELECT src, dst FROM tree_edges)
+    UNION ALL SELECT 'remove', 'node', id, NULL, NULL FROM mod_nodes WHERE id LIKE '%.js' UNION ALL SELECT 'add', 'node', 'external:left', NULL, NULL""",
+    more=INDEXED
+    + """, next_edges AS (SELECT src, dst FROM mod_edges WHERE src NOT LIKE '%.js' AND dst NOT LIKE '%.js' AND src NOT LIKE '%.tsx' UNION SELECT 'package:' || package, 'external:' || external FROM uses
+    WHERE file_id NOT LIKE '%.js' AND file_id NOT LIKE '%.tsx' UNION SELECT DISTINCT 'package:' || package, 'external:left' FROM mod_nodes WHERE id LIKE '%.tsx')""",
+)
+def index_update(spark, sf_dir):
+    """What changes when every .js file goes and every .tsx file comes to hold one import, from outside: only these files are read again."""
+    tree = written(derived.source_tree(spark, sf_dir))
+    old = index.build(tree)
+    gone = tree.where("path LIKE '%.js'").select("path", F.lit(None).cast("string").alias("content"), F.lit(True).alias("removed"))
+    new = tree.where("path LIKE '%.tsx'").select("path", F.lit("import 'left';").alias("content"), F.lit(False).alias("removed"))
+    return old.changes(index.updated(old, gone.unionByName(new)))

@@ -1,5 +1,4 @@
-"""A module graph over the driver's tables: parts are modules, and a part imports the next part of its order's lines. The sample holds the imports whose
-own line was returned and had a discount of nine per cent or more, as VIEWS does; the whole graph holds them all."""
+"""A module graph over the driver's tables: parts are modules, and a part imports the next part of its order's lines; and the same as a source tree."""
 
 from __future__ import annotations
 
@@ -45,13 +44,12 @@ def module_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).where(P.passes(F.col("id")))
 
 
-def graph(spark: SparkSession, sf_dir: str, whole: bool = False) -> Graph:
-    """The sample, about one import in twenty; with whole every import."""
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Every consecutive pair of an order's lines between parts that are nodes is an import."""
     known = module_nodes(spark, sf_dir)
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_discount")
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     after = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")  # the lines of one order
-    imports = lines.withColumn("t", F.lead("l_partkey").over(after)).where("t IS NOT NULL")
-    imports = (imports if whole else imports.where("l_returnflag = 'R' AND l_discount >= 0.085")).select(F.col("l_partkey").alias("f"), "t").distinct()
+    imports = lines.withColumn("t", F.lead("l_partkey").over(after)).where("t IS NOT NULL").select(F.col("l_partkey").alias("f"), "t").distinct()
     a, b = known.select(F.col("k").alias("f"), F.col("id").alias("src")), known.select(F.col("k").alias("t"), F.col("id").alias("dst"))
     edges = imports.join(a, "f").join(b, "t").select("src", "dst").distinct()
     nodes = known.select("id", F.col("id").alias("path"), P.base_name(F.col("id")).alias("label"), "package", F.lit("file").alias("kind"))
@@ -73,22 +71,37 @@ def external_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(known, F.col("l_partkey") == F.col("k")).select(F.col("id").alias("file_id"), "package", F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string")).alias("external"))
 
 
+def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content of a tree whose index is the graph: a relative import for each edge and a bare one for each external use, a manifest for each package
+    (entries that are there and that aren't, exports with conditions and arrays), a configuration at the root and one in every fifth package."""
+    g, each = graph(spark, sf_dir), files(spark, sf_dir)
+    near = g.edges.select(F.col("src").alias("id"), F.concat(F.lit("../../"), F.regexp_replace(F.regexp_replace("dst", "^packages/", ""), r"(/index)?\.(d\.)?[^./]*$", "")).alias("spec"))
+    uses = external_uses(spark, sf_dir).select(F.col("file_id").alias("id"), F.col("external").alias("spec"))
+    lines = near.union(uses).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("import '"), "spec", F.lit("';")))), "\n").alias("content"))  # one file's imports
+    sources = each.join(lines, "id", "left").select(F.col("id").alias("path"), F.coalesce("content", F.lit("")).alias("content"))
+    pkg = F.regexp_extract("id", "^packages/([^/]*)/", 1)
+    per = each.groupBy(pkg.alias("pkg")).agg(F.min(F.expr("substring(id, length(regexp_extract(id, '^packages/[^/]*/', 0)) + 1)")).alias("a"), F.max(F.expr("substring(id, length(regexp_extract(id, '^packages/[^/]*/', 0)) + 1)")).alias("z"))
+    text = F.format_string('{"name": "@acme/%s", "module": "gone/esm.mjs", "main": "%s", "bin": {"run": "./%s"}, "exports": {".": {"import": "./%s", "require": "./gone/index.cjs"}, "./z": ["./%s"]}}', "pkg", "a", "z", "a", "z")
+    manifests = per.select(F.concat(F.lit("packages/"), "pkg", F.lit("/package.json")).alias("path"), text.alias("content"))
+    tools = per.select(F.concat(F.lit("packages/"), "pkg", F.lit("/vite.config.ts")).alias("path"), F.lit("").alias("content"))
+    own = per.where(F.regexp_extract("pkg", r"(\d+)$", 1).cast("int") % 5 == 0).select(F.concat(F.lit("packages/"), "pkg", F.lit("/tsconfig.json")).alias("path"), F.lit('{"extends": "../../tsconfig", /* own */ "compilerOptions": {"paths": {"@own/*": ["packages/shared/src/*"]}}}').alias("content"))
+    root = spark.createDataFrame([("package.json", '{"private": true, "workspaces": ["packages/*"]}'), ("tsconfig.json", '{"compilerOptions": {"baseUrl": ".", // here\n "paths": {"@src/*": ["missing/*", "packages/*"]}}}')], "path string, content string")
+    return sources.unionByName(manifests).unionByName(tools).unionByName(own).unionByName(root)
+
+
 #: The same views in SQL, for oracles.
 VIEWS = r"""
 p AS (SELECT p_partkey k, p_size sz, replace(p_name,' ','_') nm, lower(replace(p_brand,'#','')) pkg, lower(p_type) dir,
     min(p_partkey) OVER (PARTITION BY p_brand, p_type) lead_k, CAST(replace(p_brand,'Brand#','') AS INT) b FROM part),
 mod_files AS (SELECT k, 'packages/' || pkg || '/' || dir || '/' || CASE WHEN k=lead_k AND b%3=0 THEN 'index' ELSE nm || '-' || CAST(k AS VARCHAR) END ||
     CASE sz%10 WHEN 0 THEN '.test.ts' WHEN 1 THEN '.d.ts' WHEN 2 THEN '.tsx' WHEN 3 THEN '.js' WHEN 4 THEN '.css' ELSE '.ts' END AS id, '@acme/' || pkg AS package FROM p),
-mod_imports AS (SELECT DISTINCT f, t FROM (SELECT l_partkey f, l_returnflag, l_discount, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) t FROM lineitem) x
-    WHERE t IS NOT NULL AND l_returnflag = 'R' AND l_discount >= 0.085),
+mod_imports AS (SELECT DISTINCT f, t FROM (SELECT l_partkey f, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) t FROM lineitem) x
+    WHERE t IS NOT NULL),
 mod_nodes AS (SELECT k, id, package FROM mod_files WHERE regexp_matches(id, '\.(ts|tsx|js|jsx|mjs|cjs)$') AND NOT regexp_matches(id, '\.(test|spec)\.[^./]*$')),
 mod_edges AS (SELECT DISTINCT a.id AS src, b.id AS dst FROM mod_imports i JOIN mod_nodes a ON a.k=i.f JOIN mod_nodes b ON b.k=i.t),
 mod_barrels AS (SELECT DISTINCT regexp_replace(id,'/[^/]*$','') AS dir FROM mod_nodes WHERE regexp_matches(id, '/index\.(ts|tsx|js|jsx)$')),
 mod_mapping AS (SELECT n.id AS raw_id, coalesce('barrel:' || b.dir, n.id) AS display_id, n.package FROM mod_nodes n LEFT JOIN mod_barrels b ON b.dir = regexp_replace(n.id,'/[^/]*$','')),
 mod_display_edges AS (SELECT DISTINCT a.display_id AS src, b.display_id AS dst FROM mod_edges e JOIN mod_mapping a ON a.raw_id=e.src JOIN mod_mapping b ON b.raw_id=e.dst WHERE a.display_id <> b.display_id),
 mod_display_nodes AS (SELECT display_id AS id, min(package) AS package, CASE WHEN display_id LIKE 'barrel:%' THEN regexp_replace(display_id, '^.*/', '') ELSE regexp_replace(display_id, '^.*/', '') END AS label FROM mod_mapping GROUP BY display_id),
-mod_churn AS (SELECT n.id AS path, count(*) AS commits FROM events e JOIN mod_nodes n ON n.k = e.user_id WHERE event_type <> 'view' AND ts >= (SELECT max(ts) - INTERVAL 7 DAY FROM events) GROUP BY n.id)
+mod_churn AS (SELECT n.id AS path, count(*) AS commits FROM events e JOIN mod_nodes n ON n.k = e.user_id WHERE event_type <> 'view' AND ts >= (SELECT max(ts) - INTERVAL 30 DAY FROM events) GROUP BY n.id)
 """
-
-#: The views over every import and the whole hotspot window.
-WHOLE_VIEWS = VIEWS.replace(" AND l_returnflag = 'R' AND l_discount >= 0.085", "").replace("INTERVAL 7 DAY", f"INTERVAL {CHURN_DAYS} DAY")

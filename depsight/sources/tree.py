@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,19 +40,19 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     if not level:
         return known
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for folder, lines in zip(b["folder"], b["rules"], strict=True):
-                todo = [(folder, [tuple(x) for x in lines])]
+            for row in b.to_pylist():
+                todo = [(row["folder"], [(r["expression"], r["folders"], r["negated"]) for r in row["rules"]])]
                 while todo:
                     at, above = todo.pop()
                     names, files, own = inside(root, at, above)
                     todo += [(n, own) for n in names]
-                    yield pd.DataFrame({"path": files})
+                    yield pa.RecordBatch.from_arrays([pa.array(files, pa.string())], names=["path"])
 
     rows = [(f, [tuple(r) for r in rules[f]]) for f in level]
     starts = spark.createDataFrame(rows, "folder string, rules array<struct<expression: string, folders: boolean, negated: boolean>>").repartition(len(rows))
-    return known.unionByName(starts.mapInPandas(walk, "path string"))
+    return known.unionByName(starts.mapInArrow(walk, "path string"))
 
 
 def inside(root: str, folder: str, above: list[tuple[str, bool, bool]]) -> tuple[list[str], list[str], list[tuple[str, bool, bool]]]:

@@ -11,7 +11,7 @@ from depsight.plans import queries
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Fixpoints have tests of their own on random graphs.
-SLOW = {"blast_radius", "blast_radius_barrels", "cone_stats", "unreachable", "orphans", "cycles_raw", "cycles_display", "cycles_hidden", "cycle_edges"}
+SLOW = {"blast_radius", "blast_radius_barrels", "cone_stats", "unreachable", "orphans"}
 
 
 @pytest.fixture(scope="module")
