@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depsight.llm.components import connected
-from depsight.llm.shared import doc_of, drop, fresh, mixed, put, run_hashes, steps, table, text_of, word_hashes, words_of
+from depsight.llm.shared import doc_of, drop, few, fresh, mixed, put, run_hashes, steps, table, text_of, word_hashes, words_of
 
 SHINGLE, PERCENT = 3, 90
 #: Counters of the common order: a fixed size for what is counted, collected and broadcast.
@@ -134,14 +134,14 @@ def prefixes(base: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
 
 
 def whole_sets(base: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """doc_id and its set, for the ids only."""
+    """doc_id and its set, for the ids (a table) only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in steps(batches):
             runs, places = sets_of(text_of(t), size)
             yield put(doc_id=t["doc_id"].combine_chunks(), tokens=pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(runs.view(np.int64))))
 
-    return base.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, tokens array<long>")
+    return base.join(few(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, tokens array<long>")
 
 
 def need(n: Column, m: Column, percent: int) -> Column:
@@ -327,7 +327,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = table(groups(docs, id_col, text_col, size, percent), "groups")
     gone_id, again_id, key = (fresh(docs, c) for c in ("gone", "again", "key"))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    gone = few(table(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct(), "gone"))
     left = docs.join(gone, docs[id_col].cast("long") == gone[gone_id], "left_anti")
     again = table(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_shingles").alias("most")).where("n > 1 and most > 0").select(F.col("doc_id").alias(again_id)), "again")
     if again.isEmpty():

@@ -30,9 +30,11 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests, one machine) a temporary one, which is then set."""
+    """The folder named in spark.checkpoint.dir; where that is unset, on one machine only, a temporary one, which is then set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
         found = "file://" + tempfile.mkdtemp(prefix="depsight-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -66,6 +68,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Ids that may be broadcast: 16 bytes each in a hashed relation, so 32 MB at most.
+FEW_IDS = 2_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A table of one long column, to be broadcast where it has no more than FEW_IDS rows, so that texts needn't be shuffled to meet it; beyond that as it is."""
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)

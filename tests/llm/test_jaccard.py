@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,37 @@ def test_near_copies_with_and_without_hubs(spark, monkeypatch, crowd):
     assert len({c for _, c in got.values()}) < len(got)
 
 
+def test_templates_of_all_sizes(spark, monkeypatch):
+    """Documents of one template with more or less of their own, near and beyond the threshold, long ones among them: crowded shingles span many groups."""
+    monkeypatch.setattr(jaccard, "CROWD", 3)
+    rng = random.Random(11)
+    texts = []
+    for size, n in ((60, 40), (300, 40), (1600, 14)):
+        template = [f"t{size}-{i}" for i in range(size)]
+        texts += [" ".join(template + [f"u{rng.randrange(10**7)}" for _ in range(rng.randrange(1 + size // 4))]) for _ in range(n)]
+        texts += near_group(rng, 6, size, size // 40)
+    for percent in (80, 90):
+        got = check(spark, list(enumerate(texts)), percent=percent)
+        assert 3 < len({c for _, c in got.values()}) < len(got)
+
+
+def test_sketches_bound_differences():
+    """Folded or not, sketches differ in no more bits than the sets."""
+    rng = np.random.default_rng(3)
+    for n, m in ((100, 110), (500, 800), (3000, 2600), (9000, 5000)):
+        a = rng.integers(0, 2**63, n)
+        b = np.concatenate([a[: min(n, m) - 40], rng.integers(0, 2**63, max(m - min(n, m) + 40, 0))])
+
+        def sketch(x):
+            longs = max(jaccard.SKETCH, 1 << max(0, round(np.log2(len(x) / 64))))
+            return np.bincount(x & (longs * 64 - 1), minlength=longs * 64) & 1
+
+        x, y = sorted((sketch(a), sketch(b)), key=len)
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        assert (x ^ y).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def test_odd_cases(spark):
     check(spark, [(1, None), (2, ""), (3, " \n "), (4, "one"), (5, "ONE\t"), (6, "one two"), (7, "two one"), (8, "a b c"), (9, "A  b\nC"), (10, "É b c"), (11, "é b c"), (12, "x " * 30_000)])
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "q r s t"), (2, "a b c d"), (None, "a b c d"), (3, "q r s t")]
