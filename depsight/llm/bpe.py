@@ -3,8 +3,9 @@
 Two symbols that stand next to each other inside no vocabulary token can never come together in one: between them a cut is certain. The
 words of a text are cut there, each fragment is merged by itself (and remembered, as words recur), and the pieces are put together again.
 
-Texts: null and empty ones have no ids. Very long fragments are merged with a heap, so time doesn't grow with their square. Repeated rows
-are encoded alike, one output row for each input row. Other columns of the input are not looked at.
+Cases: null and empty texts have no ids and decode to the empty text; a null id stays null. Very long texts are encoded whole, and very long fragments are
+merged with a heap, so time doesn't grow with their square; of pairs that tie in rank the leftmost is merged first. Repeated rows are encoded alike, one
+output row for each input row. An empty table gives an empty table. Other columns of the input are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,8 @@ def byte_letters() -> list[str]:
 class Codec:
     """Encoder and decoder for a tokenizer file with a byte-level BPE model whose words end in a suffix."""
 
-    def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))  # noqa: SIM115
+    def __init__(self, data: bytes):
+        spec = json.loads(data)
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
@@ -294,15 +296,24 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
+def codec_of(data: bytes) -> Codec:
+    return Codec(data)
+
+
 def codec(path: str) -> Codec:
-    return Codec(path)
+    """The codec of a tokenizer file on this machine."""
+    return codec_of(Path(path).read_bytes())
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each document its id, ids array<int> and decoded string."""
+    """For each document its id, ids array<int> and decoded string.
+
+    tokenizer: a path on the driver. The file's bytes are broadcast, so that workers need no such path; their size is that of a vocabulary.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(tokenizer)
+        own = codec_of(shipped.value)
         for t in steps(batches):
             bounds, ids, decoded = own.encode_all(t["text"].to_pylist())
             yield put(doc_id=t["doc_id"].combine_chunks(), ids=pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())), decoded=pa.array(decoded, pa.string()))
@@ -313,9 +324,10 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
 def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Like encode(), but ids and decoded text leave the task only as their number and SHA-256 sums; with_ids keeps the ids too."""
+    shipped = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(tokenizer)
+        own = codec_of(shipped.value)
         for t in steps(batches):
             bounds, ids, decoded = own.encode_all(t["text"].to_pylist())
             ids = ids.astype("<u4")

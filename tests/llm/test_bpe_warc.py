@@ -37,6 +37,14 @@ def test_documents_and_odd_texts(spark):
         assert got[r["doc_id"]] == digest(lib, r["text"]), (r["doc_id"], (r["text"] or "")[:60])
 
 
+def test_null_ids_clashing_columns_and_empty_tables(spark):
+    docs = spark.createDataFrame([(None, "a b", 1), (2, None, 1), (2, None, 1)], "doc_id long, text string, ids int")
+    rows = sorted((r["doc_id"] or 0, r["n_tokens"], len(r["ids"])) for r in bpe.digests(docs, queries.tokenizer_path(), with_ids=True).collect())
+    assert rows == [(0, 2, 2), (2, 0, 0), (2, 0, 0)]
+    assert [r["decoded"] for r in bpe.encode(docs.where("doc_id is null"), queries.tokenizer_path()).collect()] == [bpe.codec(queries.tokenizer_path()).decode(bpe.codec(queries.tokenizer_path()).encode("a b"))]
+    assert bpe.digests(docs.limit(0), queries.tokenizer_path()).count() == 0
+
+
 def test_random_words():
     rng, lib, own = random.Random(3), library(), bpe.codec(queries.tokenizer_path())
     letters = "abcdefghijklmnopqrstuvwxyzéüßабв 0123456789'.,-\n"
