@@ -21,27 +21,46 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network calls toxic go; it learns from labels outside of the held-out fold."""
+    """Documents that the network calls toxic go; it learns from labels outside of the held-out fold.
+
+    Null and empty texts are clean and stay; of very long texts every window counts; a score that ties with the threshold is toxic; repeated rows go or stay
+    alike; an empty table stays empty; extra columns, whatever their names, stay.
+    """
     return toxicity.clean(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of each source go, whatever its size and whatever is left of a page."""
+    """Boilerplate lines of each source go, whatever its size and whatever is left of a page.
+
+    Null texts stay null, a null source is one source, a share that ties with the ratio stays; repeated rows count as pages of their own; an empty table stays
+    empty; extra columns, whatever their names, stay. n_chars is counted anew.
+    """
     return measured(lines.dedup(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: sets of five-word shingles alike by 0.8 or more."""
+    """One document of each group stays, that with the smallest id: sets of five-word shingles alike by 0.8 or more.
+
+    Null texts, texts without words and null ids are in no group and stay; of rows that repeat an id one stays, of equal text hashes any; very long texts are
+    compared whole; an empty table stays empty; extra columns, whatever their names, stay.
+    """
     return jaccard.one_of_each(docs, size=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are taken as often as their source's target asks."""
+    """Documents are taken as often as their source's target asks, twice at most.
+
+    Null texts have no words and go or stay by their source's rate; a null source is the last source; rows with the same id decide alike; an empty table and
+    one without words give no rows; extra columns, whatever their names, stay.
+    """
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the sums of ids and decoded text."""
+    """doc_id, n_tokens, ids and the sums of ids and decoded text of each row.
+
+    Null and empty texts have no ids; very long ones are encoded whole; rows that are there twice are encoded twice; an empty table stays empty.
+    """
     return bpe.digests(docs, tokenizer_path(), with_ids=True)
 
 
