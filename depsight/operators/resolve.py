@@ -15,10 +15,14 @@ def candidates(path: Column) -> Column:
 
 
 def probed(asked: DataFrame, path: Column, files: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and target: the first candidate of path that is a file (files: path). Rows without one are left out."""
-    spread = asked.select(*keys, F.posexplode(candidates(path)).alias("_pos", "_path"))
+    """keys and target: the first candidate of path that is a file (files: path). Rows without one are left out.
+
+    Many rows name one path, so that distinct paths are looked up and their answers joined back.
+    """
+    rows = asked.select(*keys, path.alias("_at"))
+    spread = rows.select("_at").distinct().select("_at", F.posexplode(candidates(F.col("_at"))).alias("_pos", "_path"))
     met = spread.join(files.select(F.col("path").alias("_file")).distinct(), F.col("_path") == F.col("_file"))
-    return met.groupBy(*keys).agg(F.min_by("_path", "_pos").alias("target"))
+    return rows.join(met.groupBy("_at").agg(F.min_by("_path", "_pos").alias("target")), "_at").select(*keys, "target")
 
 
 def relative(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -28,33 +32,36 @@ def relative(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def workspace_packages(imports: DataFrame, packages: DataFrame, files: DataFrame) -> DataFrame:
-    """file_id, source, target for specifiers that name a workspace package (name, root, entry) or a path below one; the longest name wins."""
+    """file_id, source, target for specifiers that name a workspace package (name, root, entry) or a path below one; the longest name wins.
+
+    What a specifier means depends on no file, so distinct specifiers are looked up.
+    """
     asked = imports.where(~P.is_relative(F.col("source"))).select("file_id", "source").distinct()
     heads = F.transform(F.sequence(F.lit(1), F.size(F.split("source", "/"))), lambda i: F.array_join(F.slice(F.split("source", "/"), 1, i), "/"))
-    spread = asked.select("file_id", "source", F.explode(heads).alias("name"))
+    spread = asked.select("source").distinct().select("source", F.explode(heads).alias("name"))
     met = spread.join(packages.select("name", "root", "entry"), "name")
-    exact = met.where("source = name AND entry IS NOT NULL").select("file_id", "source", F.col("entry").alias("target"))
-    below = met.where("source <> name").withColumn("path", P.normalize(F.concat_ws("/", "root", F.expr("substring(source, length(name) + 2, length(source))"))))
-    found = probed(below, F.col("path"), files, ["file_id", "source", "name"]).groupBy("file_id", "source").agg(F.max_by("target", F.length("name")).alias("target"))
-    return exact.unionByName(found.join(exact.select("file_id", "source"), ["file_id", "source"], "left_anti"))
+    exact = met.where("source = name AND entry IS NOT NULL").select("source", F.col("entry").alias("target"))
+    below = met.where("source <> name").withColumn("path", P.joined(F.col("root"), F.expr("substring(source, length(name) + 2, length(source))")))
+    found = probed(below, F.col("path"), files, ["source", "name"]).groupBy("source").agg(F.max_by("target", F.length("name")).alias("target"))
+    return asked.join(exact.unionByName(found.join(exact.select("source"), "source", "left_anti")), "source").select("file_id", "source", "target")
 
 
 def aliases(imports: DataFrame, configs: DataFrame, files: DataFrame) -> DataFrame:
     """file_id, source, target through the path aliases of the nearest config (dir, base_url, paths) above the importer.
 
-    Longer patterns go first, then the targets of a pattern in order, then the candidates of a target.
+    Longer patterns go first, then the targets of a pattern in order, then the candidates of a target. Files under one config share their lookups.
     """
     from depsight.operators.folders import deepest
 
     asked = imports.where(~P.is_relative(F.col("source"))).select("file_id", "source").distinct()
-    near = deepest(asked.select(F.col("file_id").alias("id")).distinct(), configs.select("dir", "base_url", "paths")).where("dir IS NOT NULL")
-    rows = asked.join(near, F.col("file_id") == F.col("id")).select("file_id", "source", "base_url", F.inline("paths"))
+    near = deepest(asked.select(F.col("file_id").alias("id")).distinct(), configs.select("dir")).where("dir IS NOT NULL").select("id", "dir")
+    asked = asked.join(near, F.col("file_id") == F.col("id")).select("file_id", "source", "dir")
+    rows = asked.select("dir", "source").distinct().join(configs.select("dir", "base_url", F.inline("paths")), "dir")
     rows = rows.withColumn("capture", P.pattern_capture(F.col("pattern"), F.col("source"))).where("capture IS NOT NULL")
-    rows = rows.select("file_id", "source", "pattern", "base_url", "capture", F.posexplode("subs").alias("sub_pos", "sub"))
-    rows = rows.withColumn("path", P.joined(F.col("base_url"), P.fill_star(F.col("sub"), F.col("capture"))))
-    met = rows.select("file_id", "source", "pattern", "sub_pos", F.posexplode(candidates(F.col("path"))).alias("cand_pos", "cand"))
-    met = met.join(files.select(F.col("path").alias("cand")).distinct(), "cand")
-    return met.groupBy("file_id", "source").agg(F.min_by("cand", F.struct(-F.length("pattern"), "pattern", "sub_pos", "cand_pos")).alias("target"))
+    rows = rows.select("dir", "source", "pattern", "base_url", "capture", F.posexplode("subs").alias("sub_pos", "sub"))
+    met = probed(rows, P.joined(F.col("base_url"), P.fill_star(F.col("sub"), F.col("capture"))), files, ["dir", "source", "pattern", "sub_pos"])
+    best = met.groupBy("dir", "source").agg(F.min_by("target", F.struct(-F.length("pattern"), "pattern", "sub_pos")).alias("target"))
+    return asked.join(best, ["dir", "source"]).select("file_id", "source", "target")
 
 
 def templates(imports: DataFrame, files: DataFrame) -> DataFrame:
