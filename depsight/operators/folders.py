@@ -101,6 +101,13 @@ def tree_rows(nodes: DataFrame, hidden: DataFrame) -> DataFrame:
     return found.select(bucket.alias("bucket"), F.when(file, F.col("package")).alias("package"), folder.alias("folder"), P.display_label(F.col("kind"), F.col("path"), F.col("label")).alias("name"), "id", "state")
 
 
+def cascaded(rows: DataFrame, package: str, folder: str = "") -> DataFrame:
+    """ids that a click on a folder of a package's tree changes: of a folder that is checked whole its checked leaves, else its unchecked ones."""
+    below = rows.join(leaves(rows, package, folder), "id", "left_semi")
+    whole = F.broadcast(below.agg(F.coalesce(F.min((F.col("state") == "checked").cast("int")), F.lit(0)).alias("_whole")))  # one row
+    return below.crossJoin(whole).where((F.col("state") == "checked") == (F.col("_whole") == 1)).select("id")
+
+
 def leaves(rows: DataFrame, package: str, folder: str = "") -> DataFrame:
     """ids of all leaves below a folder of a package's tree."""
     below = (F.col("folder") == folder) | F.col("folder").startswith(folder + "/") if folder else F.lit(True)

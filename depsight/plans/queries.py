@@ -58,13 +58,18 @@ def hidden_of(nodes: DataFrame) -> DataFrame:
 HIDDEN = ", hidden AS (SELECT id FROM mod_nodes WHERE package LIKE '%3')"
 DHIDDEN = ", hidden AS (SELECT id FROM mod_display_nodes WHERE package LIKE '%3')"
 START = "barrel:packages/brand21/standard"
-ENTRIES = ", entries AS (SELECT id FROM mod_files WHERE regexp_matches(id, '\\.(test|spec)\\.[^./]*$') UNION SELECT id FROM mod_files WHERE regexp_matches(id, '/index\\.[^/]*$'))"
+#: What manifests of derived.source_tree() name, by package, and the entry points that follow.
+TREE = r""", per AS (SELECT split_part(id, '/', 2) AS pkg, min(substr(id, length(split_part(id, '/', 2)) + 11)) AS a, max(substr(id, length(split_part(id, '/', 2)) + 11)) AS z FROM mod_files GROUP BY 1)"""
+ENTRIES = (
+    TREE
+    + r""", entries AS (SELECT id FROM mod_files WHERE regexp_matches(id, '\.(test|spec)\.[jt]sx?$') UNION SELECT 'packages/' || pkg || '/' || a FROM per UNION SELECT 'packages/' || pkg || '/' || z FROM per
+    UNION SELECT 'packages/' || pkg || '/vite.config.ts' FROM per UNION SELECT 'packages/' || pkg || '/tsconfig.json' FROM per WHERE regexp_extract(pkg, '([0-9]+)$', 1)::INT % 5 = 0 UNION SELECT 'tsconfig.json')"""
+)
 
 
 def entry_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tests and index files: ids of files, which need not be nodes."""
-    files = derived.files(spark, sf_dir)
-    return files.where(P.is_test(F.col("id"))).select("id").union(files.where(F.col("id").rlike(r"/index\.[^/]*$")).select("id")).distinct()
+    """Declared entries, tests and tool configurations: ids of files, which need not be nodes."""
+    return manifests.entry_points(derived.bare_tree(spark, sf_dir))
 
 
 # --- files and names
@@ -654,8 +659,6 @@ def node_colors(spark, sf_dir):
 
 # --- a source tree, read, resolved and indexed
 
-#: What manifests of derived.source_tree() name, by package.
-TREE = r""", per AS (SELECT split_part(id, '/', 2) AS pkg, min(substr(id, length(split_part(id, '/', 2)) + 11)) AS a, max(substr(id, length(split_part(id, '/', 2)) + 11)) AS z FROM mod_files GROUP BY 1)"""
 INDEXED = EXTERNALS + ", tree_edges AS (SELECT src, dst FROM mod_edges UNION SELECT 'package:' || package, 'external:' || external FROM uses)"
 
 
@@ -688,7 +691,7 @@ def import_statements(spark, sf_dir):
 
 @query("SELECT '.' AS name, '' AS root, NULL::VARCHAR AS entry UNION ALL SELECT '@acme/' || pkg, 'packages/' || pkg, 'packages/' || pkg || '/' || a FROM per", more=TREE)
 def packages(spark, sf_dir):
-    tree = derived.source_tree(spark, sf_dir)
+    tree = derived.bare_tree(spark, sf_dir)
     return resolve.entries(manifests.packages(tree), tree.select("path"))
 
 
@@ -698,19 +701,14 @@ def packages(spark, sf_dir):
     more=TREE,
 )
 def tsconfig_paths(spark, sf_dir):
-    found = manifests.configs(derived.source_tree(spark, sf_dir))
+    found = manifests.configs(derived.bare_tree(spark, sf_dir))
     return found.select("dir", "base_url", F.inline("paths")).select("dir", "base_url", "pattern", F.array_join("subs", ",").alias("subs"))
 
 
-@query(
-    r"""SELECT id FROM mod_files WHERE regexp_matches(id, '\.(test|spec)\.[jt]sx?$') UNION SELECT 'packages/' || pkg || '/' || a FROM per UNION SELECT 'packages/' || pkg || '/' || z FROM per
-    UNION SELECT 'packages/' || pkg || '/vite.config.ts' FROM per UNION SELECT 'packages/' || pkg || '/tsconfig.json' FROM per WHERE regexp_extract(pkg, '([0-9]+)$', 1)::INT % 5 = 0
-    UNION SELECT 'tsconfig.json' UNION SELECT id FROM mod_files WHERE regexp_matches(id, '^packages/brand1.*/economy.*x$')""",
-    more=TREE,
-)
+@query("SELECT id FROM entries UNION SELECT id FROM mod_files WHERE regexp_matches(id, '^packages/brand1.*/economy.*x$')", more=ENTRIES)
 def package_entries(spark, sf_dir):
     """Declared entries, tests, tool configurations, and what a user's glob matches."""
-    return manifests.entry_points(derived.source_tree(spark, sf_dir), ("packages/brand1*/economy*x",))
+    return manifests.entry_points(derived.bare_tree(spark, sf_dir), ("packages/brand1*/economy*x",))
 
 
 @query(
@@ -719,12 +717,12 @@ def package_entries(spark, sf_dir):
     more=TREE,
 )
 def declared_barrels(spark, sf_dir):
-    return manifests.declared_barrels(derived.source_tree(spark, sf_dir))
+    return manifests.declared_barrels(derived.bare_tree(spark, sf_dir))
 
 
 @query("SELECT '' AS path, '.' AS package UNION ALL SELECT 'packages/' || pkg, '@acme/' || pkg FROM per WHERE regexp_extract(pkg, '([0-9]+)$', 1)::INT % 5 = 0", more=TREE)
 def library_roots(spark, sf_dir):
-    return manifests.libraries(derived.source_tree(spark, sf_dir))
+    return manifests.libraries(derived.bare_tree(spark, sf_dir))
 
 
 @query(

@@ -72,21 +72,32 @@ def external_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, content of a tree whose index is the graph: a relative import for each edge and a bare one for each external use, a manifest for each package
-    (entries that are there and that aren't, exports with conditions and arrays), a configuration at the root and one in every fifth package."""
+    """path, content of a tree whose index is the graph: a relative import for each edge and a bare one for each external use, and manifests()."""
     g, each = graph(spark, sf_dir), files(spark, sf_dir)
     near = g.edges.select(F.col("src").alias("id"), F.concat(F.lit("../../"), F.regexp_replace(F.regexp_replace("dst", "^packages/", ""), r"(/index)?\.(d\.)?[^./]*$", "")).alias("spec"))
     uses = external_uses(spark, sf_dir).select(F.col("file_id").alias("id"), F.col("external").alias("spec"))
     lines = near.union(uses).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("import '"), "spec", F.lit("';")))), "\n").alias("content"))  # one file's imports
     sources = each.join(lines, "id", "left").select(F.col("id").alias("path"), F.coalesce("content", F.lit("")).alias("content"))
+    return sources.unionByName(manifests(spark, each))
+
+
+def bare_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tree with empty sources, for what manifests and names alone decide."""
+    each = files(spark, sf_dir)
+    return each.select(F.col("id").alias("path"), F.lit("").alias("content")).unionByName(manifests(spark, each))
+
+
+def manifests(spark: SparkSession, each: DataFrame) -> DataFrame:
+    """path, content of a manifest for each package (entries that are there and that aren't, exports with conditions and arrays), tools, a configuration at the
+    root and one in every fifth package."""
     pkg = F.regexp_extract("id", "^packages/([^/]*)/", 1)
     per = each.groupBy(pkg.alias("pkg")).agg(F.min(F.expr("substring(id, length(regexp_extract(id, '^packages/[^/]*/', 0)) + 1)")).alias("a"), F.max(F.expr("substring(id, length(regexp_extract(id, '^packages/[^/]*/', 0)) + 1)")).alias("z"))
     text = F.format_string('{"name": "@acme/%s", "module": "gone/esm.mjs", "main": "%s", "bin": {"run": "./%s"}, "exports": {".": {"import": "./%s", "require": "./gone/index.cjs"}, "./z": ["./%s"]}}', "pkg", "a", "z", "a", "z")
-    manifests = per.select(F.concat(F.lit("packages/"), "pkg", F.lit("/package.json")).alias("path"), text.alias("content"))
+    own_manifests = per.select(F.concat(F.lit("packages/"), "pkg", F.lit("/package.json")).alias("path"), text.alias("content"))
     tools = per.select(F.concat(F.lit("packages/"), "pkg", F.lit("/vite.config.ts")).alias("path"), F.lit("").alias("content"))
     own = per.where(F.regexp_extract("pkg", r"(\d+)$", 1).cast("int") % 5 == 0).select(F.concat(F.lit("packages/"), "pkg", F.lit("/tsconfig.json")).alias("path"), F.lit('{"extends": "../../tsconfig", /* own */ "compilerOptions": {"paths": {"@own/*": ["packages/shared/src/*"]}}}').alias("content"))
     root = spark.createDataFrame([("package.json", '{"private": true, "workspaces": ["packages/*"]}'), ("tsconfig.json", '{"compilerOptions": {"baseUrl": ".", // here\n "paths": {"@src/*": ["missing/*", "packages/*"]}}}')], "path string, content string")
-    return sources.unionByName(manifests).unionByName(tools).unionByName(own).unionByName(root)
+    return own_manifests.unionByName(tools).unionByName(own).unionByName(root)
 
 
 #: The same views in SQL, for oracles.

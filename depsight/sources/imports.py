@@ -113,7 +113,7 @@ class Scanner:
             self.put(kind, word, True)
         elif word in "([{":
             before = self.last()
-            plain = not self.operand and before not in (";", "{", "}", "=>", "else", "do", ")") and (before not in BEFORE_EXPRESSION or before not in ("else", "do"))
+            plain = not self.operand and before not in (";", "{", "}", "=>", "else", "do", ")")
             detail = before in BEFORE_STATEMENT if word == "(" else plain  # parentheses of a statement; braces of an object
             self.put(kind, word, False)
             self.stack.append((word, detail))

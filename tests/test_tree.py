@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from depsight.operators import graphs
+from depsight.operators import folders, graphs
 from depsight.plans import index
 from depsight.sources import manifests, tree
 from depsight.streaming import watch
@@ -132,3 +132,12 @@ def test_stream_of_events(spark, tmp_path):
     query = watch.follow(stream, old, lambda asked: tree.contents(asked, root).where("content IS NOT NULL"), str(tmp_path / "state"), lambda new, diff: seen.append((edges(new), diff.count())))
     query.awaitTermination(120)
     assert len(seen) == 1 and ("late.ts", "consumer.ts") in seen[0][0] and ("package:@o/b", "external:vue") in seen[0][0] and ("p/a/index.ts", "p/a/x.ts") not in seen[0][0]
+
+
+def test_clicks_on_a_package_tree(spark):
+    nodes = spark.createDataFrame([(p, p, p.rpartition("/")[2], "k", "file") for p in ("k/a/x.ts", "k/a/y.ts", "k/a/in/z.ts", "k/b/w.ts")], "id string, path string, label string, package string, kind string")
+    rows = lambda *hidden: folders.tree_rows(nodes, spark.createDataFrame([(h,) for h in hidden], "id string"))
+    ids = lambda df: {r["id"] for r in df.collect()}
+    assert ids(folders.leaves(rows(), "k", "a")) == {"k/a/x.ts", "k/a/y.ts", "k/a/in/z.ts"} and len(ids(folders.leaves(rows(), "k"))) == 4
+    assert ids(folders.cascaded(rows("k/b/w.ts"), "k", "a")) == {"k/a/x.ts", "k/a/y.ts", "k/a/in/z.ts"}
+    assert ids(folders.cascaded(rows("k/a/y.ts"), "k", "a")) == {"k/a/y.ts"} and ids(folders.cascaded(rows(), "k", "gone")) == set()
