@@ -148,6 +148,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     drop(factors)
     mixed_anchors = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("places").alias("all"))
     single = distinct.where("places = 1").join(mixed_anchors.where("kinds > 1").select("anchor"), "anchor", "left_semi").select("anchor").distinct()
+    single = table(single, "single")
     # where a block stands alone among others of its anchor, its windows are compared with theirs
     compared = distinct.join(single, "anchor", "left_semi").select("anchor", "block", "places", F.posexplode("windows").alias("no", "window"))
     repeated = compared.groupBy("anchor", "window").agg(F.sum("places").alias("n")).where("n > 1").select("anchor", "window")
@@ -156,7 +157,9 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     none = [F.lit(None).cast(whole.schema[c].dataType).alias(c) for c in ("first_place", "last_place")]
     known = own.join(whole.unionByName(edges.select("*", *none)), ["anchor", "block"])
     runs = known.select(*KEYS, F.explode("starts").alias("start"), "nos", "first_place", "last_place").groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("start", "nos", "first_place", "last_place"))).alias("runs"))
-    return base, runs.select(F.col("doc_id").alias("run_id"), F.col("hash").alias("run_hash"), "runs")
+    runs = table(runs.select(F.col("doc_id").alias("run_id"), F.col("hash").alias("run_hash"), "runs"), "runs")
+    drop(distinct, own, single)
+    return base, runs
 
 
 def parsed(blocks: list[tuple[int, int, list[tuple]]]) -> list[tuple[int, int, tuple | None]]:
