@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame
 from depsight.llm.shared import put, steps
 
 #: Words that a task remembers before it starts anew: a bound of its memory. Only words that recur within a step are remembered.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
+#: Bytes of text of a step: words, ids and decoded strings of a step are Python objects, many times its size.
+STEP = 400_000
 ID_BITS, ID_MASK, NO_PAIR = 17, (1 << 17) - 1, 1 << 62
 #: Fragments of more symbols than this are merged with a heap.
 LONG = 48
@@ -314,7 +316,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec_of(shipped.value)
-        for t in steps(batches):
+        for t in steps(batches, size=STEP):
             bounds, ids, decoded = own.encode_all(t["text"].to_pylist())
             yield put(doc_id=t["doc_id"].combine_chunks(), ids=pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())), decoded=pa.array(decoded, pa.string()))
 
@@ -328,7 +330,7 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec_of(shipped.value)
-        for t in steps(batches):
+        for t in steps(batches, size=STEP):
             bounds, ids, decoded = own.encode_all(t["text"].to_pylist())
             ids = ids.astype("<u4")
             a = [hashlib.sha256(ids[i:j].tobytes()).hexdigest() for i, j in zip(bounds, bounds[1:], strict=False)]

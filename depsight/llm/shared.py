@@ -100,11 +100,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.Table]:
-    """The batches in slices of about STEP_CHARS bytes of text, so that memory doesn't follow Arrow's batch size."""
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = STEP_CHARS) -> Iterator[pa.Table]:
+    """The batches in slices of about size bytes of text, so that memory doesn't follow Arrow's batch size."""
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
-        part = np.cumsum(sizes) // STEP_CHARS
+        part = np.cumsum(sizes) // size
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
