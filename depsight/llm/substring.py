@@ -130,7 +130,7 @@ def blocks(marked: DataFrame, size: int, gram: int) -> DataFrame:
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """The documents with their keys, and for each key its blocks with duplicate windows, in order: runs (start, nos, and two places in the reference)."""
+    """The documents with their keys, and for each key its blocks with duplicate windows, in order: runs (start, nos: its windows found elsewhere one by one, or n windows that are all found, and two places in the reference)."""
     base = keyed(docs, id_col, text_col)
     found = table(anchors(base, size, gram), "anchors")
     shared = found.groupBy("anchor").agg(F.sum("places").alias("n")).where("n > 1").select("anchor")
@@ -153,10 +153,11 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     compared = distinct.join(single, "anchor", "left_semi").select("anchor", "block", "places", F.posexplode("windows").alias("no", "window"))
     repeated = compared.groupBy("anchor", "window").agg(F.sum("places").alias("n")).where("n > 1").select("anchor", "window")
     edges = compared.where("places = 1").join(repeated, ["anchor", "window"], "left_semi").groupBy("anchor", "block").agg(F.array_sort(F.collect_list("no")).alias("nos"))
-    whole = distinct.where("places > 1").select("anchor", "block", F.sequence(F.lit(0), F.size("windows") - 1).alias("nos"), "first_place", "last_place")
-    none = [F.lit(None).cast(whole.schema[c].dataType).alias(c) for c in ("first_place", "last_place")]
+    whole = distinct.where("places > 1").select("anchor", "block", F.lit(None).cast("array<int>").alias("nos"), F.size("windows").alias("n"), "first_place", "last_place")
+    none = [F.lit(None).cast(whole.schema[c].dataType).alias(c) for c in ("n", "first_place", "last_place")]
     known = own.join(whole.unionByName(edges.select("*", *none)), ["anchor", "block"])
-    runs = known.select(*KEYS, F.explode("starts").alias("start"), "nos", "first_place", "last_place").groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("start", "nos", "first_place", "last_place"))).alias("runs"))
+    parts = ["start", "nos", "n", "first_place", "last_place"]
+    runs = known.select(*KEYS, F.explode("starts").alias("start"), *parts[1:]).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("runs"))
     runs = table(runs.select(F.col("doc_id").alias("run_id"), F.col("hash").alias("run_hash"), "runs"), "runs")
     drop(distinct, own, single)
     return base, runs
@@ -193,7 +194,7 @@ def factored(runs: list[dict] | None, own: tuple) -> tuple[list[tuple[int, int,
             continue
         places = [((p["id"], p["hash"]), p["start"]) for p in (r["first_place"], r["last_place"])]
         others = [p for p in places if p != (own, r["start"])]  # a match with itself is none, unless a repeated row is the other place
-        whole.append((r["start"], len(r["nos"]), list(dict.fromkeys(others or places))))
+        whole.append((r["start"], r["n"], list(dict.fromkeys(others or places))))
     return parsed(whole), beside
 
 
