@@ -185,32 +185,49 @@ def parsed(blocks: list[tuple[int, int, list[tuple]]]) -> list[tuple[int, int, t
     return out
 
 
-def factored(runs: list[dict] | None, own: tuple) -> tuple[list[tuple[int, int, tuple | None]], list[int]]:
+def rows_of(inner: pa.StructArray) -> list[tuple]:
+    """(start, nos, n, first place, last place) of each block, read by columns; a place is ((id, hash), start)."""
+
+    def places(name: str) -> list[tuple]:
+        p = inner.field(name)
+        return [((i, h), s) for i, h, s in zip(*[p.field(c).to_pylist() for c in ("id", "hash", "start")], strict=True)]
+
+    return list(zip(*[inner.field(c).to_pylist() for c in ("start", "nos", "n")], places("first_place"), places("last_place"), strict=True))
+
+
+def factored(rows: list[tuple], own: tuple) -> tuple[list[tuple[int, int, tuple | None]], list[int]]:
     """The factors of one document (key: own), and the windows beside them that are found elsewhere one by one."""
     whole, beside = [], []
-    for r in runs or ():
-        if r["first_place"] is None:
-            beside += [r["start"] + no for no in r["nos"]]
+    for start, nos, n, *places in rows:
+        if n is None:
+            beside += [start + no for no in nos]
             continue
-        places = [((p["id"], p["hash"]), p["start"]) for p in (r["first_place"], r["last_place"])]
-        others = [p for p in places if p != (own, r["start"])]  # a match with itself is none, unless a repeated row is the other place
-        whole.append((r["start"], r["n"], list(dict.fromkeys(others or places))))
+        others = [p for p in places if p != (own, start)]  # a match with itself is none, unless a repeated row is the other place
+        whole.append((start, n, list(dict.fromkeys(others or places))))
     return parsed(whole), beside
 
 
+def by_document(runs: pa.ListArray) -> tuple[list[tuple], np.ndarray]:
+    """All blocks, and the place of each document's first one; null is no block."""
+    counts = np.where(np.asarray(runs.is_valid()), np.diff(np.asarray(runs.offsets)), 0)
+    return rows_of(runs.flatten()), np.concatenate([[0], np.cumsum(counts)])
+
+
 def covered(t: pa.Table, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """For each word of the step whether a factor or a duplicate window beside one covers it, and the number of factors of each text."""
     edge, factors = np.zeros(int(offsets[-1]) + 1, np.int64), np.zeros(len(offsets) - 1, np.int64)
-    runs, ids, hashes = t["runs"].combine_chunks(), t["doc_id"].combine_chunks(), t["hash"].combine_chunks()
-    for k in np.flatnonzero(np.asarray(runs.is_valid())).tolist():
-        found, beside = factored(runs[k].as_py(), (ids[k].as_py(), hashes[k].as_py()))
-        factors[k] = len(found)
-        for start, n, _ in found:
-            edge[offsets[k] + start] += 1
-            edge[offsets[k] + start + n - 1 + size] -= 1
-        for start in beside:
-            edge[offsets[k] + start] += 1
-            edge[offsets[k] + start + size] -= 1
+    ids, hashes = t["doc_id"].to_pylist(), t["hash"].to_pylist()
+    rows, cut = by_document(t["runs"].combine_chunks())
+    starts, lengths = [], []
+    for k in np.flatnonzero(np.diff(cut)).tolist():
+        found, beside = factored(rows[cut[k] : cut[k + 1]], (ids[k], hashes[k]))
+        factors[k], at = len(found), int(offsets[k])
+        starts += [at + x[0] for x in found] + [at + x for x in beside]
+        lengths += [x[1] - 1 + size for x in found] + [size] * len(beside)
+    if starts:
+        at = np.array(starts)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + np.array(lengths), -1)
     return np.cumsum(edge)[:-1] > 0, factors
 
 
@@ -221,9 +238,11 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(r["run_id"], start, n - 1 + size, place[0][0], place[1]) for r in b.to_pylist() for start, n, place in factored(r["runs"], (r["run_id"], r["run_hash"]))[0]]
-            if rows:
-                doc, first, n, ref, at = zip(*rows, strict=True)
+            blocks_, cut = by_document(b.column("runs"))
+            keys = list(zip(b.column("run_id").to_pylist(), b.column("run_hash").to_pylist(), strict=True))
+            found = [(key[0], start, n - 1 + size, place[0][0], place[1]) for k, key in enumerate(keys) for start, n, place in factored(blocks_[cut[k] : cut[k + 1]], key)[0]]
+            if found:
+                doc, first, n, ref, at = zip(*found, strict=True)
                 own = b.schema.field("run_id").type
                 yield put(doc_id=pa.array(doc, own), first_word=pa.array(first, pa.int64()), n_words=pa.array(n, pa.int64()), ref_id=pa.array(ref, own), ref_word=pa.array(at, pa.int64()))
 
