@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depsight.llm import bpe, jaccard, language, lines, mixing, quality, simhash, substring, toxicity, warc
+from depsight.llm import bpe, bytebpe, jaccard, kmeans, language, lines, mixing, quality, simhash, substring, toxicity, warc, whitening
 from depsight.llm.shared import held_out, importable
 
 TOKENIZER = "word_bpe_49k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -71,6 +72,20 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(read(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bytebpe.digests(read(spark, sf_dir, "documents"), tokenizer_path(RANKS), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_substring": op2_substring,
@@ -82,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_simhash": op9_simhash,
     "op10_jaccard": op10_jaccard,
+    "op11_whitening": op11_whitening,
+    "op12_kmeans": op12_kmeans,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": lines.ORACLE,
