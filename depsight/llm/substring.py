@@ -151,7 +151,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     single = table(single, "single")
     # where a block stands alone among others of its anchor, its windows are compared with theirs
     compared = distinct.join(single, "anchor", "left_semi").select("anchor", "block", "places", F.posexplode("windows").alias("no", "window"))
-    repeated = compared.groupBy("anchor", "window").agg(F.sum("places").alias("n")).where("n > 1").select("anchor", "window")
+    # both as one key: by two, the rows would stay where the join on the anchor has put them, all of a hot anchor's in one task
+    repeated = compared.groupBy(F.struct("anchor", "window").alias("key")).agg(F.sum("places").alias("n")).where("n > 1").select("key.anchor", "key.window")
     edges = compared.where("places = 1").join(repeated, ["anchor", "window"], "left_semi").groupBy("anchor", "block").agg(F.array_sort(F.collect_list("no")).alias("nos"))
     whole = distinct.where("places > 1").select("anchor", "block", F.lit(None).cast("array<int>").alias("nos"), F.size("windows").alias("n"), "first_place", "last_place")
     none = [F.lit(None).cast(whole.schema[c].dataType).alias(c) for c in ("n", "first_place", "last_place")]
