@@ -27,6 +27,8 @@ REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])
 QUASI = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+(`|\$\{)")
 TAG = re.compile(r"<\s*(?:>|([A-Za-z_$][\w$.:-]*))")
 GENERIC = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\b|=)")
+#: Parentheses within parentheses go three deep here.
+PARENTHESES = re.compile(r"\s*>\s*\((?:[^()]|\((?:[^()]|\([^()]*+\))*+\))*+\)\s*(=>|:)")
 ATTRIBUTE = re.compile(r"""\s++|//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/|[\w$.:=@-]+|"[^"]*"|'[^']*'""")
 #: Words after which an expression begins, and words whose parentheses are followed by a statement.
 BEFORE_EXPRESSION = frozenset("return typeof instanceof in of new delete void throw case do else yield await default extends".split())
@@ -108,12 +110,13 @@ class Scanner:
             raise ValueError("no end of a string")
         self.at, word, kind = m.end(), m[0], m.lastgroup
         if kind == "name":
-            self.put(kind, word, self.last() in (".", "?.") or word not in BEFORE_EXPRESSION)
+            plain = word not in BEFORE_EXPRESSION or (word == "of" and self.stack[-1:] != [("(", True)])  # of is a word in the parentheses of a loop only
+            self.put(kind, word, plain or self.last() in (".", "?."))
         elif kind != "punct":
             self.put(kind, word, True)
         elif word in "([{":
             before = self.last()
-            plain = not self.operand and before not in (";", "{", "}", "=>", "else", "do", ")")
+            plain = not self.operand and before not in (";", "{", "}", "=>", "else", "do", ")") and not (before == ":" and self.is_case())
             detail = before in BEFORE_STATEMENT if word == "(" else plain  # parentheses of a statement; braces of an object
             self.put(kind, word, False)
             self.stack.append((word, detail))
@@ -147,11 +150,25 @@ class Scanner:
         if open_:
             self.stack.append(("insertion", None))
 
+    def is_case(self) -> bool:
+        """Whether the colon that was read last ends a label of a switch."""
+        for t in reversed(self.tokens[:-1]):
+            if t.depth < len(self.stack) or t.text in (";", "?"):
+                return False
+            if t.depth == len(self.stack) and t.text in ("case", "default"):
+                return True
+        return False
+
     # tags
 
+    def is_signature(self, at: int) -> bool:
+        """Whether a name's > at this place ends a list of type parameters: parentheses follow, and behind them an arrow or, in a type's body, a colon."""
+        m = PARENTHESES.match(self.text, at)
+        return bool(m) and (m[1] == "=>" or self.last() in ("{", "}", ";", ","))
+
     def is_tag(self) -> bool:
         m = TAG.match(self.text, self.at)
-        if not m or (self.typed and (GENERIC.match(self.text, self.at) or not self.tagged)):
+        if not m or (self.typed and (GENERIC.match(self.text, self.at) or not self.tagged or (m[1] and self.is_signature(m.end())))):
             return False
         rest = self.text.find(f"</{m[1] or '>'}", m.end()) >= 0
         return rest or self.text.find("/>", m.end()) >= 0
@@ -261,7 +278,9 @@ def in_types(tokens: list[Token], i: int, before: str) -> bool:
     after = [t.text for t in tokens[k + 1 : k + 3]] + ["", ""]
     if after[0] == ".":
         return after[1] not in ("then", "catch", "finally")
-    named = before in ("{", "}", ";", ",", "async", "static", "public", "private", "protected", "get", "set", "*")
+    if before == ":" and i > 2 and tokens[i - 2].kind == "name" and tokens[i - 3].text in ("let", "const", "var"):
+        return True
+    named = before in ("{", "}", ";", ",", "async", "static", "public", "private", "protected", "abstract", "get", "set", "*")
     return named and tokens[i].depth > 0 and (after[0] == "{" or (after[0] == ":" and before != ","))
 
 

@@ -27,6 +27,8 @@ def found(text, extension="ts"):
         ("if (x) /'/.test(y); const o = {} / 2 / 1; function f() {}\n/`/.exec(s); import('./a')", [("./a", "dynamic")]), ("return_ = i++ / 2; s = `a ${ {b: `c ${'}'}`}.b } /* ${import('./in')}`; require('./a')", [("./in", "dynamic"), ("./a", "require")]),
         ("/* import './no' */ // require('./no')\n'require(\"./no\")'; import '\\x2e/a\\u0062'", [("./ab", "static")]), ("#!/usr/bin/env node '\nimport './a'", [("./a", "static")]),
         ("const x = <T,>(a: T) => a; const y = <any>z; if (a < b && c > d) {}; const m = new Map<string, Array<number>>(); import './a'", [("./a", "static")]), ("let a = b!; let c = b! / 2 / '1'; import './a'", [("./a", "static")]),
+        ("switch (x) { case 1: { } /'/.test(y); case a ? b : c: {} /'/.test(z); default: {} /'/ }; import './a'", [("./a", "static")]), ("const o = { a: {} / 2 / '1' }; x ? y : {} / 2; import './a'", [("./a", "static")]),
+        ("let p: import('./p') = q; class A { abstract import(x: string): void }; import('./a')", [("./a", "dynamic")]),
         ("", []),
     ],
 )
@@ -40,6 +42,9 @@ def test_scripts(text, want):
         ("export const A = () => <p>Don't</p>;\nimport b from './b'", [("./b", "static")]), ("const a = <a href='x'>http://x.y {import('./in')} it's</a>; require('./b')", [("./in", "dynamic"), ("./b", "require")]),
         ("const a = <><B.C x={<i/>} {...p} y=\"it's\" /> `{' '}/* no */</>; import './a'", [("./a", "static")]), ("f = <T,>(x: T) => x; g = <T extends U>(x: T) => <b>{x}</b>; h = a < b; k = <Foo<string> x={1}>'</Foo>; import './a'", [("./a", "static")]),
         ("return_ = cond && <p>a > b</p>; const q = list.map(x => <li key={x}>{x ? <b>'</b> : \"'\"}</li>); import './a'", [("./a", "static")]), ("type F = <T>(x: T) => void;\nimport './a'", [("./a", "static")]),
+        ("import './a'; type F = <T>(x: T) => void; const p = <Foo />", [("./a", "static")]), ("import './a'; interface G { <T>(x: T): T }; q = <T a='1'></T>", [("./a", "static")]),
+        ("import './a'; type P = { render: <T>(x: T, f: (y: T) => (z: T) => T) => JSX.Element }; b = <br/>", [("./a", "static")]), ("import './a'; const o = of<string>('x'); for (const x of <p>it's</p>) {}; b = <br/>", [("./a", "static")]),
+        ("import './a'; const e = <b>(optional): it's</b>", [("./a", "static")]),
     ],
 )
 def test_tags(text, want):
