@@ -146,9 +146,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     distinct = table(factors.groupBy("anchor", "block").agg(F.sum(F.size("starts")).alias("places"), *ends, F.first("windows").alias("windows")), "blocks")
     own = table(factors.select(*KEYS, "anchor", "block", "starts"), "places")
     drop(factors)
-    mixed_anchors = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("places").alias("all"))
-    single = distinct.where("places = 1").join(mixed_anchors.where("kinds > 1").select("anchor"), "anchor", "left_semi").select("anchor").distinct()
-    single = table(single, "single")
+    kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count(F.when(F.col("places") == 1, 1)).alias("ones"))
+    single = table(kinds.where("kinds > 1 AND ones > 0").select("anchor"), "single")
     # where a block stands alone among others of its anchor, its windows are compared with theirs
     compared = distinct.join(single, "anchor", "left_semi").select("anchor", "block", "places", F.posexplode("windows").alias("no", "window"))
     # both as one key: by two, the rows would stay where the join on the anchor has put them, all of a hot anchor's in one task
