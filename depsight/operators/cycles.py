@@ -1,8 +1,15 @@
-"""Strongly connected components: nodes on cycles.
+"""Strongly connected components: nodes on cycles, in rounds that don't follow the diameter; of one graph or of many at once.
 
-Nodes without incoming or outgoing edges are trimmed round by round. In what is left the smallest id that reaches a node is its colour; the nodes of a
-colour that reach the colour's own node back are one component, which is taken out, and the rest starts again. Every step is a join or a grouped
-minimum: no component is gathered in one task, whatever its size.
+Nodes get numbers, edges become pairs of them. Then, again and again:
+
+* Chains go. A node with one incoming edge points to where it comes from, and pointers double: in a logarithmic number of rounds each chain knows whether it
+  hangs on a node without incoming edges (no cycle passes it), on a ring (which is a component) or on a node with more. The same against the edges' direction.
+* Every node is a pivot. Each takes the least number among the nodes that lead to it, and the least among those that it leads to, in one table: a round passes
+  numbers along edges and follows them (what leads to my least number leads to me), so that they cross long paths by leaps. Only numbers that moved are passed
+  along. A node whose two numbers are the same is in that number's component; edges between nodes of different numbers lie on no cycle and go.
+
+Every step is a join or a grouped minimum: no component is gathered in one task, whatever its size. Numbers are scattered, so that the order in which nodes
+are named doesn't matter. Graphs whose numbers have come to rest leave the rounds.
 """
 
 from __future__ import annotations
@@ -11,71 +18,122 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depsight.operators.reach import union
-from depsight.tables import written
-
-#: Trimming rounds at most, and levels that become one table.
-TRIMS, STRIDE = 12, 6
-
-
-def trimmed(edges: DataFrame) -> DataFrame:
-    """Without the edges of nodes that no cycle can pass; stops when a round takes off little."""
-    before = edges.count()
-    for _ in range(TRIMS):
-        kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        edges = written(kept.select("src", "dst"), "trim")
-        now = edges.count()
-        if now > 0.95 * before:
+from depsight.tables import dropped, written
+
+#: Chains are looked for again while a pass takes this share of the edges.
+SHARE = 0.25
+#: Graphs at rest leave the rounds once so few of all nodes still move.
+FEW_MOVE = 0.25
+
+
+def turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("d").alias("s"), F.col("s").alias("d"))
+
+
+def unchained(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The edges (s, d) without those of chains that no cycle passes or that hang on a ring; and k, root of the rings' nodes."""
+    into = written(edges.groupBy("d").agg(F.count("*").alias("n"), F.min("s").alias("u")), "degrees")
+    above = into.select(F.col("d").alias("to"), F.col("n").alias("above"))
+    end = F.when(F.col("above").isNull(), "root").when(F.col("above") > 1, "open")
+    chain = written(into.where("n = 1").select(F.col("d").alias("k"), F.col("u").alias("to")).join(above, "to", "left").select("k", "to", F.col("k").alias("least"), end.alias("end")), "chain")
+    starts = edges.select("s").distinct().join(into.select(F.col("d").alias("s")), "s", "left_anti")
+    if chain.isEmpty() and starts.isEmpty():
+        return edges, None
+    loose = chain.where("end IS NULL").count()
+    ring, images = False, -1
+    while loose:
+        up = chain.select(F.col("k").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"), F.col("end").alias("_end"))
+        open_ = chain.where("end IS NULL").join(up, "to")
+        jumped = written(chain.where("end IS NOT NULL").unionByName(open_.select("k", F.col("_to").alias("to"), F.least("least", "_least").alias("least"), F.col("_end").alias("end"), (F.col("_least") < F.col("least")).alias("moved")), allowMissingColumns=True), "jump")
+        dropped(chain)
+        chain = jumped
+        now = chain.where("end IS NULL").agg(F.count("*"), F.count(F.when(F.col("moved"), 1)), F.countDistinct("to")).first()
+        # a jump that ends no chain: all that is left leads to rings; there pointers go on until only rings' nodes are pointed at and know their ring's least
+        ring = ring or now[0] == loose
+        if ring and now[1] == 0 and now[2] == images:
             break
-        before = now
-    return edges
-
-
-def coloured(edges: DataFrame) -> DataFrame:
-    """id, color: the smallest id among the node and those that reach it."""
-    own = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("color", F.col("id"))
-    colors = written(own, "colors")
+        loose, images = now[0], now[2]
+        chain = chain.drop("moved")
+    rings = None
+    if loose:
+        pointed = chain.where("end IS NULL").select(F.col("to").alias("k")).distinct()
+        rings = written(chain.join(pointed, "k", "left_semi").select("k", F.col("least").alias("root")), "rings")
+    gone = starts.union(chain.where("end IS NULL OR end = 'root'").select("k"))
+    left = written(edges.join(gone, "s", "left_anti"), "unchained")
+    dropped(into)
+    dropped(chain)
+    return left, rings
+
+
+def numbered(edges: DataFrame) -> DataFrame:
+    """k, g, f, b of each node on the edges (s, d, with their graph g): the least number that leads to it and the least that it leads to, itself included."""
+    labels = written(edges.select("g", F.explode(F.array("s", "d")).alias("k")).distinct().select("g", "k", F.col("k").alias("f"), F.col("k").alias("b"), F.lit(True).alias("f_moved"), F.lit(True).alias("b_moved")), "numbers")
+    rest = []
+    none = F.lit(None).cast("long")
     while True:
-        come = edges.join(colors, F.col("src") == F.col("id")).groupBy("dst").agg(F.min("color").alias("come"))
-        new = colors.join(come, F.col("id") == F.col("dst"), "left").select("id", F.least("color", "come").alias("color"), (F.col("come") < F.col("color")).alias("moved"))
-        new = written(new, "colors")
-        if new.where("moved").isEmpty():
-            return new.select("id", "color")
-        colors = new.select("id", "color")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """id, scc (its smallest id) for nodes in components of two or more, and for nodes with an edge to themselves."""
-    loops = edges.where("src = dst").select(F.col("src").alias("id")).distinct()
-    left = trimmed(written(edges.where("src <> dst").select("src", "dst").distinct(), "edges"))
+        f, b = labels.where("f_moved").select(F.col("k").alias("_k"), F.col("f").alias("_f")), labels.where("b_moved").select(F.col("k").alias("_k"), F.col("b").alias("_b"))
+        of = labels.select(F.col("k").alias("_k"), F.col("f").alias("_f"), F.col("b").alias("_b"))
+        come = union([
+            edges.join(f, F.col("s") == F.col("_k")).select(F.col("d").alias("k"), F.col("_f").alias("f"), none.alias("b")),
+            edges.join(b, F.col("d") == F.col("_k")).select(F.col("s").alias("k"), none.alias("f"), F.col("_b").alias("b")),
+            labels.where("f <> k").join(of, F.col("f") == F.col("_k")).where("_f < f").select("k", F.col("_f").alias("f"), none.alias("b")),
+            labels.where("b <> k").join(of, F.col("b") == F.col("_k")).where("_b < b").select("k", none.alias("f"), F.col("_b").alias("b")),
+        ])
+        least = come.groupBy("k").agg(F.min("f").alias("_f"), F.min("b").alias("_b"))
+        moved = lambda c: F.coalesce(F.col(f"_{c}") < F.col(c), F.lit(False))
+        new = written(labels.join(least, "k", "left").select("g", "k", F.least("f", "_f").alias("f"), F.least("b", "_b").alias("b"), moved("f").alias("f_moved"), moved("b").alias("b_moved")), "numbers")
+        dropped(labels)
+        labels = new
+        rows, moving, graphs = labels.agg(F.count("*"), F.count(F.when(F.col("f_moved") | F.col("b_moved"), 1)), F.countDistinct("g")).first()
+        if not moving:
+            return union([*rest, labels]).select("k", "g", "f", "b")
+        if graphs > 1 and moving < FEW_MOVE * rows:
+            busy = written(labels.where("f_moved OR b_moved").select("g").distinct(), "busy")
+            rest.append(written(labels.join(busy, "g", "left_anti"), "rest"))
+            labels, edges = written(labels.join(busy, "g", "left_semi"), "numbers"), written(edges.join(busy, "g", "left_semi"), "edges")
+
+
+def components(edges: DataFrame, graph: str | None = None) -> DataFrame:
+    """id, scc (its smallest id) for nodes in components of two or more, and for nodes with an edge to themselves.
+
+    graph: the column that tells many graphs' edges apart; nodes of different graphs are different ones, and it leads the result's columns. Edges with a null
+    end, or whose graph is null, are on no cycle.
+    """
+    own = edges.select((F.col(graph) if graph else F.lit(0)).alias("g"), "src", "dst").where("g IS NOT NULL AND src IS NOT NULL AND dst IS NOT NULL").distinct()
+    loops = own.where("src = dst").select("g", F.col("src").alias("id"))
+    # a number is written once with its node; xxhash64 of a long is one to one
+    ids = written(own.where("src <> dst").select("g", F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("k", F.xxhash64(F.monotonically_increasing_id())), "nodes")
+    a, b = ids.select("g", F.col("id").alias("src"), F.col("k").alias("s")), ids.select("g", F.col("id").alias("dst"), F.col("k").alias("d"))
+    left = written(own.where("src <> dst").join(a, ["g", "src"]).join(b, ["g", "dst"]).select("g", "s", "d"), "edges")
     found = []
-    while not left.isEmpty():
-        colors = coloured(left)
-        same = left.join(colors.select(F.col("id").alias("src"), F.col("color").alias("a")), "src").join(colors.select(F.col("id").alias("dst"), F.col("color").alias("b")), "dst")
-        inner = written(same.where("a = b").select("src", "dst"), "inner")
-        roots = colors.where("id = color").select("id")
-        front = written(roots.withColumn("scc", F.col("id")), "back")
-        levels = [front]
-        while True:
-            step = inner.join(front.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "scc").distinct()
-            for known in levels:
-                step = step.join(known.select("id"), "id", "left_anti")
-            front = written(step, "back")
-            if front.isEmpty():
+    n = left.count()
+    while n:
+        while n:
+            before, plain = n, left.select("s", "d")
+            for turn in (False, True):
+                kept, rings = unchained(turned(plain) if turn else plain)
+                plain = turned(kept) if turn else kept
+                found += [rings] if rings is not None else []
+                if not (n := plain.count()):
+                    break
+            if n < before:
+                left = written(left.join(plain, ["s", "d"], "left_semi").select("g", "s", "d"), "edges")
+            if n > (1 - SHARE) * before:
                 break
-            levels.append(front)
-            if len(levels) == STRIDE:
-                levels = [written(union(levels), "back")]
-        back = union(levels)
-        found.append(back)
-        rest = inner.join(back.select(F.col("id").alias("src")), "src", "left_anti").join(back.select(F.col("id").alias("dst")), "dst", "left_anti")
-        left = trimmed(written(rest.select("src", "dst"), "edges"))
-    single = loops.withColumn("scc", F.col("id"))
-    if not found:
-        return single
-    whole = written(union(found), "components")
-    sizes = whole.groupBy("scc").agg(F.count("*").alias("n")).where("n > 1")
-    large = whole.join(sizes, "scc").select("id", "scc")
-    return large.union(single.join(large.select("id"), "id", "left_anti"))
+        if not n:
+            break
+        labels = written(numbered(left), "labels")
+        found.append(labels.where("f = b").select("k", F.col("f").alias("root")))
+        x, y = labels.select(F.col("k").alias("s"), F.col("f").alias("sf"), F.col("b").alias("sb")), labels.select(F.col("k").alias("d"), F.col("f").alias("df"), F.col("b").alias("db"))
+        left = written(left.join(x, "s").join(y, "d").where("sf = df AND sb = db AND sf <> sb").select("g", "s", "d"), "edges")
+        n = left.count()
+    out = loops.select("g", "id", F.col("id").alias("scc"))
+    if found:
+        members = written(union(found).join(ids, "k").select("root", "g", "id"), "components")
+        large = members.groupBy("root").agg(F.min("id").alias("scc"), F.count("*").alias("n")).where("n > 1")
+        large = members.join(large, "root").select("g", "id", "scc")
+        out = large.union(out.join(large.select("g", "id"), ["g", "id"], "left_anti"))
+    return out.withColumnRenamed("g", graph) if graph else out.select("id", "scc")
 
 
 def canonical(members: DataFrame) -> DataFrame:
@@ -96,7 +154,8 @@ def placed(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return at.withColumn(name, (F.col("_at").bitwiseAND((1 << 33) - 1) + shift).cast("long")).drop("_at")
 
 
-def edges_in_cycles(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """src, dst, scc of edges with both ends in one component."""
-    a, b = members.select(F.col("id").alias("src"), F.col("scc").alias("a")), members.select(F.col("id").alias("dst"), F.col("scc").alias("b"))
-    return edges.join(a, "src").join(b, "dst").where("a = b").select("src", "dst", F.col("a").alias("scc"))
+def edges_in_cycles(edges: DataFrame, members: DataFrame, graph: str | None = None) -> DataFrame:
+    """src, dst, scc of edges with both ends in one component. graph: as in components()."""
+    by = [graph] if graph else []
+    a, b = members.select(*by, F.col("id").alias("src"), F.col("scc").alias("a")), members.select(*by, F.col("id").alias("dst"), F.col("scc").alias("b"))
+    return edges.join(a, [*by, "src"]).join(b, [*by, "dst"]).where("a = b").select(*by, "src", "dst", F.col("a").alias("scc"))

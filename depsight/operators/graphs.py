@@ -110,6 +110,16 @@ def totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.crossJoin(F.broadcast(edges.agg(F.count("*").alias("edges")))).select("nodes", "edges", "large")  # one row each
 
 
+def totals_by(nodes: DataFrame, edges: DataFrame, members: DataFrame, graph: str) -> DataFrame:
+    """A row for each graph: nodes, edges, cycles, and how many nodes are on one. members: graph, id, scc."""
+    kinds = [
+        nodes.select(graph, F.lit("nodes").alias("what")), edges.select(graph, F.lit("edges").alias("what")), members.select(graph, F.lit("on_cycles").alias("what")),
+        members.where("id = scc").select(graph, F.lit("cycles").alias("what")),
+    ]
+    rows = kinds[0].union(kinds[1]).union(kinds[2]).union(kinds[3])
+    return rows.groupBy(graph).agg(*[F.count(F.when(F.col("what") == x, 1)).alias(x) for x in ("nodes", "edges", "cycles", "on_cycles")])
+
+
 def hotspots(nodes: DataFrame, edges: DataFrame, churn: DataFrame) -> DataFrame:
     """id, dependents, commits, score, share: dependents times 1 + ln(1 + commits), and that over the highest score, from 0 to 1."""
     base = fan_in(nodes, edges)

@@ -15,14 +15,18 @@ from depsight.tables import written
 STRIDE = 8
 
 
-def reached(edges: DataFrame, seeds: DataFrame, avoid: DataFrame | None = None) -> DataFrame:
-    """id of every node that a path of one edge or more leads to from the seeds (id); nodes in avoid are neither returned nor passed."""
-    ends = written(edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to")).distinct(), "ends")
-    front, levels = seeds.select("id").distinct(), []
+def reached(edges: DataFrame, seeds: DataFrame, avoid: DataFrame | None = None, graph: str | None = None) -> DataFrame:
+    """id of every node that a path of one edge or more leads to from the seeds (id); nodes in avoid are neither returned nor passed.
+
+    graph: the column that tells many graphs apart, in all tables and in the result. Their levels go on side by side; a graph without a frontier has no rows.
+    """
+    by = [graph] if graph else []
+    ends = written(edges.select(*by, F.col("src").alias("_from"), F.col("dst").alias("_to")).distinct(), "ends")
+    front, levels = seeds.select(*by, "id").distinct(), []
     while True:
-        found = front.select(F.col("id").alias("_from")).join(ends, "_from").select(F.col("_to").alias("id")).distinct()
-        for known in [*([avoid.select("id")] if avoid is not None else []), *levels]:
-            found = found.join(known, "id", "left_anti")
+        found = front.select(*by, F.col("id").alias("_from")).join(ends, [*by, "_from"]).select(*by, F.col("_to").alias("id")).distinct()
+        for known in [*([avoid.select(*by, "id")] if avoid is not None else []), *levels]:
+            found = found.join(known, [*by, "id"], "left_anti")
         front = written(found, "level")
         if front.isEmpty():
             break
@@ -39,13 +43,13 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def reversed_edges(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+def reversed_edges(edges: DataFrame, graph: str | None = None) -> DataFrame:
+    return edges.select(*([graph] if graph else []), F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def dependents(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """Everything that depends on a start node (id), directly or not; a start node is included only if it is on a cycle."""
-    return reached(reversed_edges(edges), start)
+def dependents(edges: DataFrame, start: DataFrame, graph: str | None = None) -> DataFrame:
+    """Everything that depends on a start node (id), directly or not; a start node is included only if it is on a cycle. graph: as in reached()."""
+    return reached(reversed_edges(edges, graph), start, graph=graph)
 
 
 def dependents_with_barrels(edges: DataFrame, start: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -60,22 +64,24 @@ def dependents_with_barrels(edges: DataFrame, start: DataFrame, mapping: DataFra
     return cone.union(members).distinct()
 
 
-def unreachable(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
-    """Nodes (id) that no entry is or leads to; entries that are no nodes don't count."""
-    seeds = entries.select("id").join(nodes.select("id"), "id", "left_semi")
-    return nodes.select("id").join(seeds, "id", "left_anti").join(reached(edges, seeds), "id", "left_anti")
+def unreachable(nodes: DataFrame, edges: DataFrame, entries: DataFrame, graph: str | None = None) -> DataFrame:
+    """Nodes (id) that no entry is or leads to; entries that are no nodes don't count. graph: as in reached()."""
+    keys = [*([graph] if graph else []), "id"]
+    seeds = entries.select(*keys).join(nodes.select(*keys), keys, "left_semi")
+    return nodes.select(*keys).join(seeds, keys, "left_anti").join(reached(edges, seeds, graph=graph), keys, "left_anti")
 
 
-def no_incoming(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def no_incoming(nodes: DataFrame, edges: DataFrame, graph: str | None = None) -> DataFrame:
     """Nodes that no edge leads to, not even their own."""
-    return nodes.select("id").join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
+    by = [graph] if graph else []
+    return nodes.select(*by, "id").join(edges.select(*by, F.col("dst").alias("id")), [*by, "id"], "left_anti")
 
 
-def orphans(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
+def orphans(nodes: DataFrame, edges: DataFrame, entries: DataFrame, graph: str | None = None) -> DataFrame:
     """id, unreachable, no_incoming for every node in either set."""
-    far = unreachable(nodes, edges, entries).withColumn("unreachable", F.lit(True))
-    lone = no_incoming(nodes, edges).withColumn("no_incoming", F.lit(True))
-    return far.join(lone, "id", "full").fillna(False)
+    far = unreachable(nodes, edges, entries, graph).withColumn("unreachable", F.lit(True))
+    lone = no_incoming(nodes, edges, graph).withColumn("no_incoming", F.lit(True))
+    return far.join(lone, [*([graph] if graph else []), "id"], "full").fillna(False, ["unreachable", "no_incoming"])
 
 
 def cone_stats(cone: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -332,6 +332,70 @@ def cycle_edges(spark, sf_dir):
     return cycles.edges_in_cycles(g.edges, written(cycles.components(g.edges)))
 
 
+# --- many graphs at once: one a month and nation
+
+CLOSURE = "tc(graph, a, b) AS (SELECT graph, src, dst FROM me UNION SELECT t.graph, t.a, e.dst FROM tc t JOIN me e ON e.graph = t.graph AND e.src = t.b)"
+ON_CYCLES = "members AS (SELECT t.graph, t.a AS id, min(t.b) AS scc FROM tc t JOIN tc u ON u.graph = t.graph AND u.a = t.b AND u.b = t.a GROUP BY t.graph, t.a)"
+MONTHLY_ENTRY = "CAST(substring(id, 2) AS INT) % 5 = 0"
+
+
+def monthly(spark, sf_dir) -> Graph:
+    g = derived.monthly(spark, sf_dir)
+    return Graph(written(g.nodes), written(g.edges))
+
+
+def monthly_entries(nodes: DataFrame) -> DataFrame:
+    return nodes.where(MONTHLY_ENTRY)
+
+
+@query(f"WITH RECURSIVE {derived.MONTHLY}, {CLOSURE}, {ON_CYCLES} SELECT graph, id, scc FROM members", views=False)
+def cycles_by_month(spark, sf_dir):
+    return cycles.components(monthly(spark, sf_dir).edges, "graph")
+
+
+@query(
+    f"""WITH RECURSIVE {derived.MONTHLY}, {CLOSURE}, {ON_CYCLES} SELECT e.graph, e.src, e.dst, a.scc FROM me e JOIN members a ON a.graph = e.graph AND a.id = e.src
+    JOIN members b ON b.graph = e.graph AND b.id = e.dst WHERE a.scc = b.scc""",
+    views=False,
+)
+def cycle_edges_by_month(spark, sf_dir):
+    g = monthly(spark, sf_dir)
+    return cycles.edges_in_cycles(g.edges, written(cycles.components(g.edges, "graph")), "graph")
+
+
+@query(
+    f"""WITH RECURSIVE {derived.MONTHLY}, {CLOSURE}, {ON_CYCLES} SELECT n.graph, n.nodes, coalesce(e.edges, 0) AS edges, coalesce(m.cycles, 0) AS cycles, coalesce(m.on_cycles, 0) AS on_cycles
+    FROM (SELECT graph, count(*) AS nodes FROM mn GROUP BY graph) n LEFT JOIN (SELECT graph, count(*) AS edges FROM me GROUP BY graph) e ON e.graph = n.graph
+    LEFT JOIN (SELECT graph, count(DISTINCT scc) AS cycles, count(*) AS on_cycles FROM members GROUP BY graph) m ON m.graph = n.graph""",
+    views=False,
+)
+def totals_by_month(spark, sf_dir):
+    g = monthly(spark, sf_dir)
+    return graphs.totals_by(g.nodes, g.edges, cycles.components(g.edges, "graph"), "graph")
+
+
+@query(
+    f"""WITH RECURSIVE {derived.MONTHLY}, seen(graph, id) AS (SELECT graph, id FROM mn WHERE {MONTHLY_ENTRY} UNION SELECT s.graph, e.dst FROM seen s JOIN me e ON e.graph = s.graph AND e.src = s.id),
+    flags AS (SELECT n.graph, n.id, s.id IS NULL AS unreachable, NOT EXISTS (SELECT 1 FROM me e WHERE e.graph = n.graph AND e.dst = n.id) AS no_incoming
+    FROM mn n LEFT JOIN seen s ON s.graph = n.graph AND s.id = n.id) SELECT graph, id, unreachable, no_incoming FROM flags WHERE unreachable OR no_incoming""",
+    views=False,
+)
+def orphans_by_month(spark, sf_dir):
+    g = monthly(spark, sf_dir)
+    return reach.orphans(g.nodes, g.edges, monthly_entries(g.nodes), "graph")
+
+
+@query(
+    f"""WITH RECURSIVE {derived.MONTHLY}, cone(graph, id) AS (SELECT e.graph, e.src FROM me e JOIN (SELECT graph, min(id) AS id FROM mn GROUP BY graph) s ON s.graph = e.graph AND s.id = e.dst
+    UNION SELECT c.graph, e.src FROM cone c JOIN me e ON e.graph = c.graph AND e.dst = c.id) SELECT graph, id FROM cone""",
+    views=False,
+)
+def blast_radius_by_month(spark, sf_dir):
+    """What depends on each graph's least module."""
+    g = monthly(spark, sf_dir)
+    return reach.dependents(g.edges, g.nodes.groupBy("graph").agg(F.min("id").alias("id")), "graph")
+
+
 # --- filters and changes
 
 

@@ -11,6 +11,8 @@ from depsight.functions import paths as P
 
 #: The hotspot window.
 CHURN_DAYS = 30
+#: Parts of a module of the monthly graphs: so many that a graph has somewhat more edges than modules, whatever the tables' size.
+MODULE = 128
 
 
 @dataclass
@@ -56,6 +58,18 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes, edges)
 
 
+def monthly(spark: SparkSession, sf_dir: str) -> Graph:
+    """Many small graphs at once, each row led by its graph: one for each month and customers' nation. Modules are runs of MODULE parts, and a module imports that of
+    the next line of an order; a line alone is a module without edges."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    where = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    where = where.select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.date_format("o_orderdate", "yyyy-MM"), F.lit("/"), "n_name").alias("graph"))
+    named = lines.join(where, "l_orderkey").withColumn("id", F.concat(F.lit("m"), F.floor(F.col("l_partkey") / MODULE).cast("string")))
+    after = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")  # the lines of one order
+    edges = named.withColumn("dst", F.lead("id").over(after)).where("dst IS NOT NULL").select("graph", F.col("id").alias("src"), "dst").distinct()
+    return Graph(named.select("graph", "id").distinct(), edges)
+
+
 def churn(spark: SparkSession, sf_dir: str, days: int = CHURN_DAYS) -> DataFrame:
     """path, commits: touches of each module in the last days of the events."""
     events = read(spark, sf_dir, "events").where("event_type <> 'view'")
@@ -116,3 +130,10 @@ mod_display_edges AS (SELECT DISTINCT a.display_id AS src, b.display_id AS dst F
 mod_display_nodes AS (SELECT display_id AS id, min(package) AS package, CASE WHEN display_id LIKE 'barrel:%' THEN regexp_replace(display_id, '^.*/', '') ELSE regexp_replace(display_id, '^.*/', '') END AS label FROM mod_mapping GROUP BY display_id),
 mod_churn AS (SELECT n.id AS path, count(*) AS commits FROM events e JOIN mod_nodes n ON n.k = e.user_id WHERE event_type <> 'view' AND ts >= (SELECT max(ts) - INTERVAL 30 DAY FROM events) GROUP BY n.id)
 """
+
+#: The monthly graphs in SQL, with the closure of each.
+MONTHLY = f"""
+mm AS (SELECT l_orderkey AS o, l_linenumber, l_partkey, l_suppkey, strftime(o_orderdate, '%Y-%m') || '/' || n_name AS graph, 'm' || CAST(l_partkey // {MODULE} AS VARCHAR) AS id
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+me AS (SELECT DISTINCT graph, id AS src, nxt AS dst FROM (SELECT graph, id, lead(id) OVER (PARTITION BY o ORDER BY l_linenumber, l_partkey, l_suppkey) AS nxt FROM mm) x WHERE nxt IS NOT NULL),
+mn AS (SELECT DISTINCT graph, id FROM mm)"""

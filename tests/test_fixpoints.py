@@ -48,6 +48,53 @@ def test_random_graphs(spark, seed):
     assert {r["id"] for r in reach.unreachable(nodes, e, frame(spark, [(n,) for n in entries], ("id",))).collect()} == set(names) - seen
 
 
+@pytest.mark.parametrize("shape", ["path", "ring", "rings and trees"])
+def test_rounds_do_not_follow_the_diameter(spark, monkeypatch, shape):
+    """10,000 nodes in a row take a logarithmic number of rounds, whatever their names."""
+    rng, n = random.Random(3), 10_000
+    names = [f"n{i}" for i in range(n)]
+    rng.shuffle(names)
+    pairs, want = list(zip(names, names[1:])), {}
+    if shape == "ring":
+        pairs, want = [*pairs, (names[-1], names[0])], dict.fromkeys(names, min(names))
+    if shape == "rings and trees":  # two rings of 1,000, on which chains and trees hang that lead away from them
+        rings = [names[:1000], names[1000:2000]]
+        pairs = [(r[i - 1], r[i]) for r in rings for i in range(1000)] + [(names[rng.randrange(max(0, i - 3000), i) if i % 3 else i - 1], names[i]) for i in range(2000, n)]
+        want = {x: min(r) for r in rings for x in r}
+    steps, plain = [], cycles.written
+    monkeypatch.setattr(cycles, "written", lambda df, name="step": steps.append(name) or plain(df, name))
+    got = {r["id"]: r["scc"] for r in cycles.components(frame(spark, pairs, ("src", "dst"))).collect()}
+    assert got == want and sum(x in ("jump", "numbers") for x in steps) <= 2 * 13.3
+
+
+def test_least_numbers_leap(spark, monkeypatch):
+    """A ring whose nodes all have two incoming and two outgoing edges has no chains."""
+    n = 600
+    names = [f"n{i * 7919 % n:03}" for i in range(n)]
+    pairs = [(names[i], names[(i + k) % n]) for i in range(n) for k in (1, 2)]
+    steps, plain = [], cycles.written
+    monkeypatch.setattr(cycles, "written", lambda df, name="step": steps.append(name) or plain(df, name))
+    assert {r["id"]: r["scc"] for r in cycles.components(frame(spark, pairs, ("src", "dst"))).collect()} == dict.fromkeys(names, "n000")
+    assert steps.count("numbers") < 60
+
+
+def test_many_graphs_at_once(spark, monkeypatch):
+    """Graphs that share names, some at rest long before others; null ends and null graphs are on no cycle."""
+    monkeypatch.setattr(cycles, "FEW_MOVE", 0.9)
+    rng, graphs_ = random.Random(8), {}
+    for g in range(30):
+        n = rng.choice([2, 5, 9, 14])
+        graphs_[f"g{g}"] = {(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(int(1.4 * n))}
+    graphs_["long"] = {(f"n{i}", f"n{(i + k) % 40}") for i in range(40) for k in (1, 2)}
+    rows = [(g, a, b) for g, e in graphs_.items() for a, b in e] + [(None, "n0", "n1"), (None, "n1", "n0"), ("g0", None, "n0"), ("g0", "n0", None)]
+    df = frame(spark, rows, ("month", "src", "dst"))
+    assert {(r["month"], r["id"]): r["scc"] for r in cycles.components(df, "month").collect()} == {(g, a): s for g, e in graphs_.items() for a, s in components(e).items()}
+    whole = {(g, x) for g, e in graphs_.items() for pair in e for x in pair}
+    nodes, entries = frame(spark, whole, ("month", "id")), frame(spark, [(g, "n1") for g in graphs_], ("month", "id"))
+    seen = {(g, x) for g, e in graphs_.items() for x in closure(e).get("n1", set()) | {"n1"}}
+    assert {tuple(r) for r in reach.unreachable(nodes, df.where("month IS NOT NULL"), entries, "month").collect()} == whole - seen
+
+
 def test_small_cases(spark):
     a3 = frame(spark, [("a", "b"), ("b", "c"), ("c", "a")], ("src", "dst"))
     assert {r["id"]: r["scc"] for r in cycles.components(a3).collect()} == dict.fromkeys("abc", "a")
