@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depsight.functions import paths as P
 
 
-def deepest(files: DataFrame, folders: DataFrame, folder_col: str = "dir", path_col: str = "id") -> DataFrame:
+def looked_up(table: DataFrame | Callable[[DataFrame], DataFrame], keys: DataFrame) -> DataFrame:
+    """A table, or what a lookup gives for these keys."""
+    return table if isinstance(table, DataFrame) else table(keys)
+
+
+def deepest(files: DataFrame, folders: DataFrame | Callable[[DataFrame], DataFrame], folder_col: str = "dir", path_col: str = "id") -> DataFrame:
     """files with the columns of the deepest folder above each, null where there is none.
 
     Every path is spread over its ancestors, which meet folders by equality; no path is compared with all folders. Of equal folders the greatest row wins.
+    folders may be a lookup by folder_col.
     """
+    spread = files.select(F.col(path_col).alias("_path"), F.explode(P.ancestors(F.col(path_col))).alias("_dir")).distinct()
+    folders = looked_up(folders, spread.select(F.col("_dir").alias(folder_col)))
     others = [c for c in folders.columns if c != folder_col]
     best = folders.groupBy(folder_col).agg(*[F.max_by(c, F.struct(*others)).alias(c) for c in others]) if others else folders.distinct()
-    spread = files.select(F.col(path_col).alias("_path"), F.explode(P.ancestors(F.col(path_col))).alias("_dir")).distinct()
     met = spread.join(best, F.col("_dir") == F.col(folder_col)).groupBy("_path").agg(*[F.max_by(c, F.length("_dir")).alias(c) for c in [folder_col, *others]])
     return files.join(met, F.col(path_col) == F.col("_path"), "left").drop("_path")
 
@@ -101,6 +110,47 @@ def tree_rows(nodes: DataFrame, hidden: DataFrame) -> DataFrame:
     return found.select(bucket.alias("bucket"), F.when(file, F.col("package")).alias("package"), folder.alias("folder"), P.display_label(F.col("kind"), F.col("path"), F.col("label")).alias("name"), "id", "state")
 
 
+def tree_order(nodes: DataFrame, hidden: DataFrame) -> DataFrame:
+    """The package tree as rows in the order in which they are shown: bucket, package, folder, row (package, folder, leaf, or bucket), name, id, depth, state, leaves,
+    first, last.
+
+    first is a row's place in the whole tree, from 0, each parent before its children; last is the place of the last row below it, so that what is below a row are
+    the places from first to last. Siblings sort by name, folders and files together (a folder before a file of its name, files of one name by id); packages
+    come first, then external packages, then files without one.
+
+    A leaf's key is the list of its ancestors' names and its own. A parent's key begins each of its children's, so a sort by key is the order, and rows of folders
+    are the beginnings of leaves' keys, counted by one grouping. Ranks come from sorted ranges, not from one task.
+    """
+    from depsight.operators.cycles import placed
+
+    label = nodes.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
+    leaf = tree_rows(nodes, hidden).join(label, F.col("id") == F.col("_id")).drop("_id")
+    step = lambda name, is_leaf, id_: F.struct(name.alias("name"), F.lit(is_leaf).alias("leaf"), id_.alias("id"))
+    none, place = F.lit(""), F.when(F.col("bucket") == "package", "0").when(F.col("bucket") == "external", "1").otherwise("2")
+    above = F.when(F.col("bucket") == "package", F.concat(F.array(step(F.col("package"), 0, none)), F.when(F.col("folder") == "", F.array()).otherwise(F.transform(F.split("folder", "/"), lambda x: step(x, 0, none)))))
+    key = F.concat(F.array(step(place, 0, none)), F.coalesce(above, F.array()), F.array(step(F.col("_label"), 1, F.col("id"))))
+    leaf = leaf.select("bucket", "package", "folder", "name", "id", "state", key.alias("key"))
+    # beginnings of keys: a bucket of its own has a row where it isn't that of packages
+    starts = F.transform(F.sequence(F.when(F.col("bucket") == "package", 2).otherwise(1), F.size("key") - 1), lambda i: F.slice("key", 1, i))
+    counts = leaf.select("bucket", "package", "state", F.explode(starts).alias("key")).groupBy("bucket", "package", "key").agg(F.count("*").alias("leaves"), F.min("state").alias("a"), F.max("state").alias("z"))
+    inner = counts.select(
+        "bucket", "package", F.array_join(F.transform(F.slice("key", 3, F.size("key")), lambda x: x["name"]), "/").alias("folder"), F.when(F.col("bucket") == "package", F.element_at("key", -1)["name"]).otherwise(F.col("bucket")).alias("name"),
+        F.lit(None).cast("string").alias("id"), F.when(F.col("a") == F.col("z"), F.col("a")).otherwise("mixed").alias("state"), "key", F.when(F.col("bucket") != "package", "bucket").when(F.size("key") == 2, "package").otherwise("folder").alias("row"), "leaves",
+    )
+    rows = inner.unionByName(leaf.withColumn("row", F.lit("leaf")).withColumn("leaves", F.lit(1).cast("long")))
+    rows = placed(rows, ["key"], "first")
+    below = rows.where(F.size("key") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("key") - 1), lambda i: F.slice("key", 1, i))).alias("_key")).groupBy("_key").agg(F.count("*").alias("_below"))
+    out = rows.where("row <> 'leaf'").join(below, F.col("key") == F.col("_key"), "left").drop("_key").unionByName(rows.where("row = 'leaf'").withColumn("_below", F.lit(0).cast("long")))
+    depth = F.size("key") - F.when(F.col("bucket") == "package", 2).otherwise(1)
+    return out.select("bucket", "package", "folder", "row", "name", "id", depth.alias("depth"), "state", "leaves", "first", (F.col("first") + F.coalesce("_below", F.lit(0))).alias("last"))
+
+
+def leaves_between(tree: DataFrame, package: str, folder: str = "") -> DataFrame:
+    """id, state of all leaves below a package or one of its folders, by their places in a tree_order() tree."""
+    top = tree.where((F.col("package") == package) & (F.col("folder") == folder) & F.col("row").isin("package", "folder")).select(F.col("first").alias("_a"), F.col("last").alias("_z"))
+    return tree.where("row = 'leaf'").join(F.broadcast(top), (F.col("first") > F.col("_a")) & (F.col("first") <= F.col("_z"))).select("id", "state")  # one row is broadcast
+
+
 def cascaded(rows: DataFrame, package: str, folder: str = "") -> DataFrame:
     """ids that a click on a folder of a package's tree changes: of a folder that is checked whole its checked leaves, else its unchecked ones."""
     below = rows.join(leaves(rows, package, folder), "id", "left_semi")

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depsight.functions import paths as P
+from depsight.operators.folders import looked_up
+from depsight.tables import together
+
+#: A table, or what gives its rows for a table of keys (one column, named as there): then only these are read.
+Lookup = DataFrame | Callable[[DataFrame], DataFrame]
 
 
 def candidates(path: Column) -> Column:
@@ -14,24 +21,25 @@ def candidates(path: Column) -> Column:
     return F.flatten(F.transform(F.array(path), lambda p: F.transform(ends, lambda e: F.concat(p, e))))
 
 
-def probed(asked: DataFrame, path: Column, files: DataFrame, keys: list[str]) -> DataFrame:
+def probed(asked: DataFrame, path: Column, files: Lookup, keys: list[str]) -> DataFrame:
     """keys and target: the first candidate of path that is a file (files: path). Rows without one are left out.
 
     Many rows name one path, so that distinct paths are looked up and their answers joined back.
     """
     rows = asked.select(*keys, path.alias("_at"))
     spread = rows.select("_at").distinct().select("_at", F.posexplode(candidates(F.col("_at"))).alias("_pos", "_path"))
-    met = spread.join(files.select(F.col("path").alias("_file")).distinct(), F.col("_path") == F.col("_file"))
+    there = looked_up(files, spread.select(F.col("_path").alias("path")))
+    met = spread.join(there.select(F.col("path").alias("_file")).distinct(), F.col("_path") == F.col("_file"))
     return rows.join(met.groupBy("_at").agg(F.min_by("_path", "_pos").alias("target")), "_at").select(*keys, "target")
 
 
-def relative(imports: DataFrame, files: DataFrame) -> DataFrame:
+def relative(imports: DataFrame, files: Lookup) -> DataFrame:
     """file_id, source, target for relative specifiers that lead to a file; the importer's folder is where they start."""
     asked = imports.where(P.is_relative(F.col("source"))).select("file_id", "source").distinct()
     return probed(asked, P.joined(P.dir_name(F.col("file_id")), F.col("source")), files, ["file_id", "source"])
 
 
-def workspace_packages(imports: DataFrame, packages: DataFrame, files: DataFrame) -> DataFrame:
+def workspace_packages(imports: DataFrame, packages: Lookup, files: Lookup) -> DataFrame:
     """file_id, source, target for specifiers that name a workspace package (name, root, entry) or a path below one; the longest name wins.
 
     What a specifier means depends on no file, so distinct specifiers are looked up.
@@ -39,24 +47,26 @@ def workspace_packages(imports: DataFrame, packages: DataFrame, files: DataFrame
     asked = imports.where(~P.is_relative(F.col("source"))).select("file_id", "source").distinct()
     heads = F.transform(F.sequence(F.lit(1), F.size(F.split("source", "/"))), lambda i: F.array_join(F.slice(F.split("source", "/"), 1, i), "/"))
     spread = asked.select("source").distinct().select("source", F.explode(heads).alias("name"))
-    met = spread.join(packages.select("name", "root", "entry"), "name")
+    met = spread.join(looked_up(packages, spread.select("name")).select("name", "root", "entry"), "name")
     exact = met.where("source = name AND entry IS NOT NULL").select("source", F.col("entry").alias("target"))
     below = met.where("source <> name").withColumn("path", P.joined(F.col("root"), F.expr("substring(source, length(name) + 2, length(source))")))
     found = probed(below, F.col("path"), files, ["source", "name"]).groupBy("source").agg(F.max_by("target", F.length("name")).alias("target"))
     return asked.join(exact.unionByName(found.join(exact.select("source"), "source", "left_anti")), "source").select("file_id", "source", "target")
 
 
-def aliases(imports: DataFrame, configs: DataFrame, files: DataFrame) -> DataFrame:
+def aliases(imports: DataFrame, configs: Lookup, files: Lookup) -> DataFrame:
     """file_id, source, target through the path aliases of the nearest config (dir, base_url, paths) above the importer.
 
     Longer patterns go first, then the targets of a pattern in order, then the candidates of a target. Files under one config share their lookups.
     """
     from depsight.operators.folders import deepest
 
+    folders = configs.select("dir") if isinstance(configs, DataFrame) else lambda dirs: configs(dirs).select("dir")
     asked = imports.where(~P.is_relative(F.col("source"))).select("file_id", "source").distinct()
-    near = deepest(asked.select(F.col("file_id").alias("id")).distinct(), configs.select("dir")).where("dir IS NOT NULL").select("id", "dir")
+    near = deepest(asked.select(F.col("file_id").alias("id")).distinct(), folders).where("dir IS NOT NULL").select("id", "dir")
     asked = asked.join(near, F.col("file_id") == F.col("id")).select("file_id", "source", "dir")
-    rows = asked.select("dir", "source").distinct().join(configs.select("dir", "base_url", F.inline("paths")), "dir")
+    rows = asked.select("dir", "source").distinct()
+    rows = rows.join(looked_up(configs, rows.select("dir")).select("dir", "base_url", F.inline("paths")), "dir")
     rows = rows.withColumn("capture", P.pattern_capture(F.col("pattern"), F.col("source"))).where("capture IS NOT NULL")
     rows = rows.select("dir", "source", "pattern", "base_url", "capture", F.posexplode("subs").alias("sub_pos", "sub"))
     met = probed(rows, P.joined(F.col("base_url"), P.fill_star(F.col("sub"), F.col("capture"))), files, ["dir", "source", "pattern", "sub_pos"])
@@ -64,28 +74,33 @@ def aliases(imports: DataFrame, configs: DataFrame, files: DataFrame) -> DataFra
     return asked.join(best, ["dir", "source"]).select("file_id", "source", "target")
 
 
-def templates(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """file_id, source, target: all files in the folder of a template's literal beginning whose names go on with it; the importer is left out."""
+def templates(imports: DataFrame, files: Lookup) -> DataFrame:
+    """file_id, source, target: all files in the folder of a template's literal beginning whose names go on with it; the importer is left out.
+
+    files: path; as a lookup its key is folder, the path's.
+    """
     asked = imports.where("is_template AND NOT is_unresolvable").select("file_id", "source").distinct().where(P.is_relative(F.col("source")))
     folder = P.joined(P.dir_name(F.col("file_id")), F.concat(P.template_folder(F.col("source")), F.lit(".")))
     asked = asked.select("file_id", "source", folder.alias("folder"), P.base_name(F.col("source")).alias("head"))
-    known = files.where(F.col("path").rlike(rf"\.({'|'.join(P.CANDIDATE_EXTENSIONS)})$")).select("path", P.dir_name(F.col("path")).alias("folder"), P.base_name(F.col("path")).alias("name"))
+    known = looked_up(files, asked.select("folder"))
+    known = known.where(F.col("path").rlike(rf"\.({'|'.join(P.CANDIDATE_EXTENSIONS)})$")).select("path", P.dir_name(F.col("path")).alias("folder"), P.base_name(F.col("path")).alias("name"))
     return asked.join(known, "folder").where(F.col("name").startswith(F.col("head")) & (F.col("path") != F.col("file_id"))).select("file_id", "source", F.col("path").alias("target"))
 
 
-def resolved(imports: DataFrame, files: DataFrame, packages: DataFrame, configs: DataFrame) -> DataFrame:
+def resolved(imports: DataFrame, files: Lookup, packages: Lookup, configs: Lookup, siblings: Lookup | None = None) -> DataFrame:
     """file_id, source, kind (file, external), target for every import that leads somewhere.
 
     The order: templates by folder; relative by file; then workspace packages, path aliases, and last the name of an external package.
+    files, packages, configs may be lookups by path, name and dir; then siblings is one of files by folder.
     """
     plain = imports.where("NOT is_unresolvable AND NOT is_template AND source <> ''")
     keys = ["file_id", "source"]
-    near = relative(plain, files)
-    ours = workspace_packages(plain, packages, files)
-    alias = aliases(plain, configs, files).join(ours.select(*keys), keys, "left_anti")
+    # each is asked for more than once below
+    near, ours, alias, many = together(relative(plain, files), workspace_packages(plain, packages, files), aliases(plain, configs, files), templates(imports, files if siblings is None else siblings))
+    alias = alias.join(ours.select(*keys), keys, "left_anti")
     taken = ours.select(*keys).union(alias.select(*keys))
     outside = plain.select(*keys).distinct().join(taken, keys, "left_anti").withColumn("target", P.bare_package(F.col("source"))).where("target IS NOT NULL")
-    found = near.unionByName(ours).unionByName(alias).unionByName(templates(imports, files)).withColumn("kind", F.lit("file"))
+    found = near.unionByName(ours).unionByName(alias).unionByName(many).withColumn("kind", F.lit("file"))
     return found.unionByName(outside.withColumn("kind", F.lit("external"))).select(*keys, "kind", "target")
 
 

@@ -11,9 +11,10 @@ from depsight.functions import colors as C
 from depsight.functions import paths as P
 from depsight.operators import cycles, folders, geometry, graphs, reach, resolve
 from depsight.plans import index
+from depsight.plans.kept import KeptIndex
 from depsight.sources import derived, manifests
 from depsight.sources.derived import VIEWS, Graph
-from depsight.tables import written
+from depsight.tables import folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -570,6 +571,24 @@ def package_tree(spark, sf_dir):
     return folders.tree_rows(nodes, hidden_of(nodes)).select("bucket", "package", "folder", "id", "state")
 
 
+@query(
+    r"""SELECT bucket, package, folder, "row", name, id, depth, state, leaves, first, last FROM (
+    SELECT 'package' AS bucket, package, folder, "row", CASE "row" WHEN 'package' THEN package WHEN 'folder' THEN folder ELSE shown END AS name, id, depth,
+    CASE WHEN gone = 0 THEN 'checked' WHEN gone = leaves THEN 'unchecked' ELSE 'mixed' END AS state, leaves, row_number() OVER (ORDER BY package, folder, is_leaf, label, id) - 1 AS first,
+    row_number() OVER (ORDER BY package, folder, is_leaf, label, id) - 1 + below AS last
+    FROM (SELECT package, folder, 'leaf' AS "row", label, shown, id, CASE WHEN folder = '' THEN 1 ELSE 2 END AS depth, gone, 1 AS leaves, 1 AS is_leaf, 0 AS below FROM leaf
+    UNION ALL SELECT package, folder, 'folder', '', '', NULL, 1, sum(gone), count(*), 0, count(*) FROM leaf WHERE folder <> '' GROUP BY package, folder
+    UNION ALL SELECT package, '', 'package', '', '', NULL, 0, sum(gone), count(*), 0, count(*) + count(DISTINCT CASE WHEN folder <> '' THEN folder END) FROM leaf GROUP BY package) r) x""",
+    more=r""", hidden AS (SELECT id FROM mod_nodes WHERE package LIKE '%3' OR id LIKE '%.tsx'),
+    leaf AS (SELECT n.package, CASE WHEN p.n = 1 THEN '' ELSE split_part(n.id, '/', 3) END AS folder, regexp_replace(n.id, '^.*/', '') AS label, n.id, CASE WHEN h.id IS NULL THEN 0 ELSE 1 END AS gone,
+    CASE WHEN regexp_matches(n.id, '/index\.[a-z]*$') THEN split_part(n.id, '/', 3) ELSE regexp_replace(regexp_replace(n.id, '^.*/', ''), '\.[^.]*$', '') END AS shown
+    FROM mod_nodes n JOIN (SELECT package, count(DISTINCT split_part(id, '/', 3)) AS n FROM mod_nodes GROUP BY package) p ON p.package = n.package LEFT JOIN hidden h ON h.id = n.id)""",
+)
+def package_tree_order(spark, sf_dir):
+    nodes = raw(spark, sf_dir).nodes
+    return folders.tree_order(nodes, nodes.where("package LIKE '%3' OR id LIKE '%.tsx'").select("id"))
+
+
 # --- export, state, lists
 
 
@@ -798,9 +817,9 @@ def library_roots(spark, sf_dir):
     WHERE file_id NOT LIKE '%.js' AND file_id NOT LIKE '%.tsx' UNION SELECT DISTINCT 'package:' || package, 'external:left' FROM mod_nodes WHERE id LIKE '%.tsx')""",
 )
 def index_update(spark, sf_dir):
-    """What changes when every .js file goes and every .tsx file comes to hold one import, from outside: only these files are read again."""
+    """What changes in a kept index when every .js file goes and every .tsx file comes to hold one import, from outside: only these files are read again."""
     tree = written(derived.source_tree(spark, sf_dir))
-    old = index.build(tree)
+    old = KeptIndex.create(folder(spark, "index"), tree)
     gone = tree.where("path LIKE '%.js'").select("path", F.lit(None).cast("string").alias("content"), F.lit(True).alias("removed"))
     new = tree.where("path LIKE '%.tsx'").select("path", F.lit("import 'left';").alias("content"), F.lit(False).alias("removed"))
-    return old.changes(index.updated(old, gone.unionByName(new)))
+    return old.apply(gone.unionByName(new))[1]

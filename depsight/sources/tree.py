@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depsight.functions import paths as P
@@ -120,16 +120,33 @@ def ignored_by(rules: list[tuple[str, bool, bool]], path: str, is_folder: bool)
     return hit
 
 
-def ignored(rules: list[tuple[str, bool, bool]], path: Column) -> Column:
-    """The same for a column of files: a file is ignored with any folder above it; of the rules for one path the last one counts."""
-    def last(x: Column, is_folder: bool) -> Column:
-        hit = F.lit(False)
-        for expression, only_folders, negated in rules:
-            if is_folder or not only_folders:
-                hit = F.when(x.rlike(expression), F.lit(not negated)).otherwise(hit)
-        return hit
+def rules_of(files: DataFrame) -> DataFrame:
+    """folder, place, expression, folders, negated: a row for each rule of every .gitignore among files (path, content), placed as in its file."""
 
-    return last(path, False) | F.exists(P.ancestors(path), lambda x: last(x, True))
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, text in zip(b["path"], b["content"], strict=True):
+                folder = path.rpartition("/")[0]
+                yield pd.DataFrame([(folder, k, *r) for k, r in enumerate(ignore_rules(folder, text or ""))], columns=["folder", "place", "expression", "folders", "negated"])
+
+    found = files.where(F.col("path").rlike(r"(^|/)\.gitignore$")).select("path", "content")
+    return found.mapInPandas(read, "folder string, place int, expression string, folders boolean, negated boolean")
+
+
+def ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """path of the files (path) that rules (as rules_of() gives them) leave out.
+
+    A file and each folder above it meet, by equality, the rules of the folders that they are in. Of those that match one of them the last of the deepest folder
+    decides; a file goes with any folder above it. No rule is compared with paths outside of its folder, and no list of rules is gathered.
+    """
+    parts = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda i: F.array_join(F.slice(F.split("path", "/"), 1, i), "/"))
+    each = paths.select("path").distinct().select("path", F.explode(parts).alias("part"))
+    parts_only = each.select("part", (F.col("part") != F.col("path")).alias("is_folder")).distinct()
+    spread = parts_only.select("part", "is_folder", F.explode(P.ancestors(F.col("part"))).alias("folder"))
+    hit = spread.join(rules, "folder").where((F.col("is_folder") | ~F.col("folders")) & F.expr("part RLIKE expression"))
+    last = hit.groupBy("part", "is_folder").agg(F.max_by("negated", F.struct(F.length("folder"), "place")).alias("negated")).where("NOT negated")
+    asked = each.withColumn("is_folder", F.col("part") != F.col("path"))
+    return asked.join(last, ["part", "is_folder"], "left_semi").select("path").distinct()
 
 
 def contents(paths: DataFrame, root: str) -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from depsight.functions import paths as P
-from depsight.plans import index
-from depsight.plans.index import Index
-from depsight.streaming.debounce import classified, sessions
-from depsight.tables import written
+from depsight.plans.kept import KeptIndex
+from depsight.sources import tree
+from depsight.streaming.debounce import arrivals, classified
+from depsight.tables import dropped, written
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def forwarded(events: DataFrame) -> DataFrame:
@@ -21,24 +23,38 @@ def forwarded(events: DataFrame) -> DataFrame:
     return seen.where(F.col("kind").isNotNull() & P.is_source(F.col("path")) & ~F.col("path").rlike(r"(^|/)(node_modules|\.[^/]*)(/|$)"))
 
 
-def follow(events: DataFrame, start: Index, read: Callable[[DataFrame], DataFrame], checkpoint: str, seen: Callable[[Index, DataFrame], None], quiet: str = "500 milliseconds", late: str = "1 second") -> StreamingQuery:
-    """Starts the query: each batch's last decisions about files become one change of the index, and seen gets the new index and what changed in the graph.
+def applied(batch: DataFrame, path: str, read: Callable[[DataFrame], DataFrame], rules: Callable[[], DataFrame] | None = None, number: int | None = None) -> tuple[KeptIndex, DataFrame | None]:
+    """The kept index in a folder after the last decisions (path, kind) of a batch, and what they changed; no diff where nothing counts or the batch is known.
 
-    events: a stream of path, kind, ts. read: path and content of the paths asked for, those that are there. A batch that is run again leads to the same index,
-    as its changes are read anew.
+    read: path and content of the paths asked for, those that are there. rules: the ignore rules as they stand (tree.rules_of()); ignored files don't count.
+    """
+    old = KeptIndex.open(batch.sparkSession, path)
+    last = written(batch.select("path", "kind").distinct(), "events")
+    if rules is not None:
+        last = last.join(tree.ignored(last, rules()), "path", "left_anti")
+    there = read(last.where("kind = 'touched'").select("path")).select("path", "content")
+    changes = last.select("path").join(there.withColumn("found", F.lit(True)), "path", "left").select("path", "content", F.col("found").isNull().alias("removed"))
+    changes = written(changes, "changes")
+    out = (old, None) if changes.isEmpty() else old.apply(changes, number)
+    dropped(last)
+    return out
+
+
+def follow(
+    events: DataFrame, path: str, read: Callable[[DataFrame], DataFrame], checkpoint: str, seen: Callable[[KeptIndex, DataFrame], None], quiet_ms: int = 500, rules: Callable[[], DataFrame] | None = None, every: str = "200 milliseconds",
+) -> StreamingQuery:
+    """Starts a query that goes on until it is stopped: what the last decisions about files change in the kept index in a folder; seen gets index and diff.
+
+    events: a stream of raw (path, kind, ts). The index is in its folder and knows the last batch that it holds, so that a query that is started again on its
+    checkpoint goes on where it ended: a batch that was applied isn't applied again. After a stop, applied(pending(...)) flushes what was still in a burst.
     """
-    state = {"index": start}
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
-    def apply(batch: DataFrame, _: int) -> None:
-        last = written(batch.groupBy("path").agg(F.max_by("kind", "ripe").alias("kind")), "events")
-        if last.isEmpty():
+    def apply(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
             return
-        there = read(last.where("kind = 'touched'").select("path")).select("path", "content")
-        changes = last.select("path").join(there, "path", "left").join(there.select("path", F.lit(True).alias("found")), "path", "left")
-        old = state["index"]
-        new = index.updated(old, written(changes.select("path", "content", F.col("found").isNull().alias("removed")), "changes"))
-        state["index"] = new
-        seen(new, old.changes(new))
-
-    coalesced = sessions(forwarded(events), quiet, late)
-    return coalesced.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        new, diff = applied(batch, path, read, rules, number)
+        if diff is not None:
+            seen(new, diff)
+
+    return arrivals(forwarded(events), quiet_ms).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=every).start()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; it goes when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """df, computed once: later reads need neither its lineage nor the executors that made it."""
     spark = df.sparkSession
@@ -30,6 +38,12 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(*parts: DataFrame) -> list[DataFrame]:
+    """Each table written, their jobs side by side."""
+    with ThreadPoolExecutor(len(parts)) as pool:
+        return list(pool.map(written, parts))
+
+
 def dropped(df: DataFrame) -> None:
     """Removes a written table that nothing reads any more."""
     for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:

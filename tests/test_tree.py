@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from depsight.operators import folders, graphs
 from depsight.plans import index
 from depsight.sources import manifests, tree
-from depsight.streaming import watch
 
 
 def frame(spark, files):
@@ -38,6 +37,19 @@ def test_listing(spark, tmp_path, monkeypatch, wide):
     assert found == {"a.ts", ".gitignore", "sub/top.ts", "sub/keep.log", "q/deep/y.ts", "apps/w/.gitignore", "apps/w/src/m.ts", "cc.ts"}
 
 
+def test_ignore_rules_as_a_relation(spark, tmp_path):
+    """A table of paths and .gitignore rows gives what the walk gives; deeper files overrule, an ignored folder takes all below along."""
+    files = {
+        ".gitignore": "dist/\n*.log\n!keep.log\n/top.ts\nout\n", "a/.gitignore": "!special.log\nlocal.ts\n*.ts\n!ok.ts\n", "a/b/.gitignore": "!local.ts\n*.tmp\n", "dist/x.ts": "", "a/dist/deep/x.ts": "", "x.log": "", "keep.log": "", "a/special.log": "", "a/y.log": "",
+        "top.ts": "", "a/top.tsx": "", "a/local.ts": "", "a/ok.ts": "", "a/b/local.ts": "", "a/b/c.ts": "", "a/b/d.tmp": "", "d.tmp": "", "out": "", "c/out/z.ts": "", "dist.ts": "", "c/dist": "", "c/dist2/keep.log": "",
+    }
+    table = frame(spark, files)
+    gone = {r["path"] for r in tree.ignored(table, tree.rules_of(table)).collect()}
+    walked = {r["path"] for r in tree.listing(spark, planted(tmp_path, files)).collect()}
+    assert set(files) - gone == walked and {"dist/x.ts", "a/dist/deep/x.ts", "a/b/c.ts", "out", "c/out/z.ts"} <= gone and {"a/b/local.ts", "c/dist", "a/special.log"} <= walked
+    assert tree.ignored(table, tree.rules_of(table.limit(0))).count() == tree.ignored(table.limit(0), tree.rules_of(table)).count() == 0
+
+
 def test_comments_and_long_strings(spark):
     texts = ['{"a": "http://x", /* c * / */ "b": 1} // end', '{"s": "' + "x\\\\" * 200_000 + '"}', '{"u": "/* no */ \\" // no"}']
     out = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(manifests.without_comments(F.col("t"))).collect()]
@@ -119,21 +131,6 @@ def test_changes_of_an_index(spark):
     assert edges(again) == edges(two) and again.changes(two).count() == 0
 
 
-def test_stream_of_events(spark, tmp_path):
-    root = planted(tmp_path / "tree", BASE)
-    old = index.build(frame(spark, BASE))
-    planted(tmp_path / "tree", {"p/b/y.ts": "import 'vue'", "late.ts": "import './consumer'", "node_modules/m/i.ts": ""})
-    os.remove(tmp_path / "tree" / "p/a/x.ts")
-    raw = [("p/b/y.ts", "modify_data", 0), ("p/b/y.ts", "modify_data", 20), ("p/a/x.ts", "create", 5), ("p/a/x.ts", "remove_file", 30), ("late.ts", "create", 50), ("node_modules/m/i.ts", "create", 50), ("loader.ts", "access", 60), ("readme.md", "create", 60)]
-    rows = spark.createDataFrame([(p, k, ms / 1000) for p, k, ms in [*raw, ("z.ts", "create", 900_000)]], "path string, kind string, s double").select("path", "kind", F.timestamp_seconds("s").alias("ts"))
-    rows.coalesce(1).write.parquet(str(tmp_path / "events"))
-    seen = []
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "events"))
-    query = watch.follow(stream, old, lambda asked: tree.contents(asked, root).where("content IS NOT NULL"), str(tmp_path / "state"), lambda new, diff: seen.append((edges(new), diff.count())))
-    query.awaitTermination(120)
-    assert len(seen) == 1 and ("late.ts", "consumer.ts") in seen[0][0] and ("package:@o/b", "external:vue") in seen[0][0] and ("p/a/index.ts", "p/a/x.ts") not in seen[0][0]
-
-
 def test_clicks_on_a_package_tree(spark):
     nodes = spark.createDataFrame([(p, p, p.rpartition("/")[2], "k", "file") for p in ("k/a/x.ts", "k/a/y.ts", "k/a/in/z.ts", "k/b/w.ts")], "id string, path string, label string, package string, kind string")
     rows = lambda *hidden: folders.tree_rows(nodes, spark.createDataFrame([(h,) for h in hidden], "id string"))
@@ -141,3 +138,23 @@ def test_clicks_on_a_package_tree(spark):
     assert ids(folders.leaves(rows(), "k", "a")) == {"k/a/x.ts", "k/a/y.ts", "k/a/in/z.ts"} and len(ids(folders.leaves(rows(), "k"))) == 4
     assert ids(folders.cascaded(rows("k/b/w.ts"), "k", "a")) == {"k/a/x.ts", "k/a/y.ts", "k/a/in/z.ts"}
     assert ids(folders.cascaded(rows("k/a/y.ts"), "k", "a")) == {"k/a/y.ts"} and ids(folders.cascaded(rows(), "k", "gone")) == set()
+
+
+def test_a_package_tree_in_order(spark):
+    """Siblings by name, folders and files together; buckets after packages; leaves of a folder are the places below it."""
+    files = [("k/a/x.ts", "k"), ("k/a/y.ts", "k"), ("k/a/in/z.ts", "k"), ("k/b.ts", "k"), ("k/b/w.ts", "k"), ("j/only/one.ts", "j"), ("loose.ts", None)]
+    nodes = [(p, p, p.rpartition("/")[2], k, "file") for p, k in files] + [("external:vue", "vue", "vue", None, "external"), ("external:ant", "ant", "ant", None, "external"), ("package:k", "k", "k", "k", "workspace_package")]
+    nodes = spark.createDataFrame(nodes, "id string, path string, label string, package string, kind string")
+    hidden = spark.createDataFrame([("k/a/y.ts",), ("external:vue",), ("external:ant",)], "id string")
+    tree_ = folders.tree_order(nodes, hidden).cache()
+    rows = [(r["row"], r["name"] if r["row"] != "leaf" else r["id"], r["depth"], r["state"], r["leaves"], r["last"]) for r in tree_.orderBy("first").collect()]
+    assert [r["first"] for r in tree_.orderBy("first").collect()] == list(range(len(rows)))
+    assert rows == [
+        ("package", "j", 0, "checked", 1, 1), ("leaf", "j/only/one.ts", 1, "checked", 1, 1), ("package", "k", 0, "mixed", 5, 10), ("folder", "a", 1, "mixed", 3, 7), ("folder", "in", 2, "checked", 1, 5), ("leaf", "k/a/in/z.ts", 3, "checked", 1, 5),
+        ("leaf", "k/a/x.ts", 2, "checked", 1, 6), ("leaf", "k/a/y.ts", 2, "unchecked", 1, 7), ("folder", "b", 1, "checked", 1, 9), ("leaf", "k/b/w.ts", 2, "checked", 1, 9), ("leaf", "k/b.ts", 1, "checked", 1, 10),
+        ("bucket", "external", 0, "unchecked", 2, 13), ("leaf", "external:ant", 1, "unchecked", 1, 12), ("leaf", "external:vue", 1, "unchecked", 1, 13), ("bucket", "unpackaged", 0, "checked", 1, 15), ("leaf", "loose.ts", 1, "checked", 1, 15),
+    ]
+    flat = folders.tree_rows(nodes, hidden)
+    for folder in ("", "a", "a/in", "b", "gone"):
+        assert {r["id"] for r in folders.leaves_between(tree_, "k", folder).collect()} == {r["id"] for r in folders.leaves(flat, "k", folder).collect()}
+    assert folders.tree_order(nodes.limit(0), hidden).count() == 0
