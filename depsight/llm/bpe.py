@@ -43,11 +43,27 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in keeps else chr(next(spare)) for b in range(256)]
 
 
+# What split() and normal() carry out, as a tokenizer file states it.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+
+
+def checked(spec: dict) -> dict:
+    """The file's content, if words are split and normalised as here; another tokenizer's ids would be wrong without a word."""
+    steps_ = [(x.get("type"), (x.get("pattern") or {}).get("Regex")) for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    if steps_ != NORMALIZERS or (first.get("pattern") or {}).get("Regex") != WORDS or first.get("invert") is not True:
+        raise ValueError("this codec is for tokenizer files with NFC, lower case and its own pattern of words only")
+    if not spec["model"].get("end_of_word_suffix") or spec["model"].get("ignore_merges"):
+        raise ValueError("this codec is for models whose words end in a suffix and that always merge")
+    return spec
+
+
 class Codec:
     """Encoder and decoder for a tokenizer file with a byte-level BPE model whose words end in a suffix."""
 
     def __init__(self, data: bytes):
-        spec = json.loads(data)
+        spec = checked(json.loads(data))
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
@@ -72,11 +88,8 @@ class Codec:
             for a, b in zip(symbols, symbols[1:], strict=False):
                 joined[a, b] = True
         self.joined = joined.astype(np.uint8).tobytes()
-        # the word pattern and the normalizers are the tokenizer file's own
-        split = spec["pre_tokenizer"]["pretokenizers"][0]
-        self.words = regex.compile(split["pattern"]["Regex"])
+        self.words = regex.compile(WORDS)
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.spaces = regex.compile(spec["normalizer"]["normalizers"][1]["pattern"]["Regex"])
         # texts of these characters only are split by the class of their bytes: 0 space, 1 letter, 2 digit, 3 other
         self.odd = re.compile("[^\x00-\x26\x28-\x7fß-öø-ÿ]")
         self.classes = np.array([0 if x in b" \t\n\v\f\r" else 1 if x >= 128 or chr(x).isalpha() else 2 if chr(x).isdigit() else 3 for x in range(256)], np.uint8)

@@ -45,6 +45,20 @@ def test_null_ids_clashing_columns_and_empty_tables(spark):
     assert bpe.digests(docs.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_files_that_split_or_normalise_otherwise_are_errors():
+    import json
+
+    data = open(queries.tokenizer_path(), encoding="utf-8").read()
+    bpe.checked(json.loads(data))
+    for change in (lambda x: x["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex="x"), lambda x: x["normalizer"]["normalizers"].pop(), lambda x: x.update(normalizer=None), lambda x: x["model"].update(end_of_word_suffix=None)):
+        spec = json.loads(data)
+        change(spec)
+        with pytest.raises(ValueError, match="this codec"):
+            bpe.Codec(json.dumps(spec).encode())
+    with pytest.raises(ValueError, match="this codec"):
+        bpe.Codec(open(queries.tokenizer_path("byte_bpe_50k.json"), "rb").read())
+
+
 def test_random_words():
     rng, lib, own = random.Random(3), library(), bpe.codec(queries.tokenizer_path())
     letters = "abcdefghijklmnopqrstuvwxyzéüßабв 0123456789'.,-\n"
