@@ -10,8 +10,6 @@ from depsight.plans import queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Fixpoints have tests of their own on random graphs.
-SLOW = {"blast_radius", "blast_radius_barrels", "cone_stats", "unreachable", "orphans"}
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +33,7 @@ def rows_of(names, rows):
     return [names[i] for i in order], sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_rows_as_sql(spark, duck, name):
     df = queries.QUERIES[name](spark, DATA)
     said = duck.execute(queries.ORACLE_SQL[name])
