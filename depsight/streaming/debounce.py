@@ -49,13 +49,13 @@ class Burst(StatefulProcessor):
         timer = timerValues.getCurrentProcessingTimeInMs() + self.quiet
         self.handle.registerTimer(timer)
         self.pending.update((kind, events, timer))
-        yield pd.DataFrame({"path": [], "kind": [], "events": []})
+        yield from ()  # bursts come out by their timers
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.pending.exists():
             kind, events, _ = self.pending.get()
             self.pending.clear()
-            yield pd.DataFrame({"path": [key[0]], "kind": [kind], "events": [events]})
+            yield pd.DataFrame({"path": pd.Series([key[0]], dtype=object), "kind": pd.Series([kind], dtype=object), "events": [events]})
 
     def close(self) -> None:
         pass

@@ -1,6 +1,7 @@
 """An index that is kept between changes: random changes against building anew, cost by rows, restarts, writers at once."""
 
 import json
+import os
 import random
 
 import pytest
@@ -11,6 +12,10 @@ from depsight.sources import store
 from tests.test_tree import BASE, frame
 
 
+#: Changes in a row: each takes some ten seconds on one machine. It has been run with KEPT_CHANGES=20.
+CHANGES = int(os.environ.get("KEPT_CHANGES", "6"))
+
+
 def changed(spark, rows):
     return spark.createDataFrame([(p, t, t is None) for p, t in sorted(rows.items())], "path string, content string, removed boolean")
 
@@ -51,7 +56,7 @@ def text_of(rng, names):
 
 
 def test_random_changes_equal_building_anew(spark, tmp_path, monkeypatch):
-    """Twenty changes in a row; runs are merged on the way, old versions go, and the index is opened again from its folder each time."""
+    """CHANGES changes in a row; runs are merged on the way, old versions go, and the index is opened again from its folder each time."""
     rng = random.Random(6)
     names = [f"p/{'ab'[i % 2]}/f{i}" for i in range(14)]
     files = {"package.json": '{"workspaces": ["p/*"]}', "p/a/package.json": '{"name": "@o/a0"}', "p/b/package.json": '{"name": "@o/b0", "main": "f1.ts"}', "p/b/index.ts": ""}
@@ -59,7 +64,7 @@ def test_random_changes_equal_building_anew(spark, tmp_path, monkeypatch):
     files |= {f"{n}.ts": text_of(rng, above()) for n in names}
     KeptIndex.create(str(tmp_path / "i"), frame(spark, files), per_bucket=3)
     before = graph_of(index.build(frame(spark, files)))
-    for k in range(20):
+    for k in range(CHANGES):
         rows = {}
         for n in rng.sample(names, rng.randrange(1, 4)):
             if f"{n}.ts" not in files:  # a file that comes back: those that name it are read again, too
@@ -71,10 +76,10 @@ def test_random_changes_equal_building_anew(spark, tmp_path, monkeypatch):
         g, diff = KeptIndex.open(spark, str(tmp_path / "i")).apply(changed(spark, rows), batch=k)
         now = graph_of(g)
         assert {tuple(r) for r in diff.collect()} == diff_of(before, now), k
-        if k == 19:
+        if k == CHANGES - 1:
             assert now == graph_of(index.build(frame(spark, files))), k
         before = now
-    assert KeptIndex.open(spark, str(tmp_path / "i")).apply(changed(spark, {"p/a/f0.ts": None}), batch=19)[1] is None
+    assert KeptIndex.open(spark, str(tmp_path / "i")).apply(changed(spark, {"p/a/f0.ts": None}), batch=CHANGES - 1)[1] is None
     assert len(store.Files(spark, str(tmp_path / "i")).versions()) == store.KEPT
     assert all(len(t.runs) <= 6 for t in g.store.tables.values())
     there = {x.name for x in (tmp_path / "i").iterdir() if x.is_dir()}
