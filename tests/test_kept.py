@@ -12,7 +12,7 @@ from depsight.sources import store
 from tests.test_tree import BASE, frame
 
 
-#: Changes in a row: each takes some ten seconds on one machine. It has been run with KEPT_CHANGES=20.
+#: Changes in a row, each of which takes ten seconds or more on one machine; twenty have been run, too.
 CHANGES = int(os.environ.get("KEPT_CHANGES", "6"))
 
 
