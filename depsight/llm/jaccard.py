@@ -5,10 +5,10 @@ shingles that are alike enough share at least `need` of them, so of the first L(
 min(L(n) - n + need, L(m) - m + need). L is the classic prefix length plus a piece that each document chooses for itself: among a few lengths the one
 with the least estimated cost, candidates being dearer to verify than postings to read. The longer it is, the more matches are asked for.
 
-Documents with equal sets are one class. Postings move once: a window over each shingle counts its classes and lists the few before each one, which
-makes the pairs of shingles of few classes; they are counted and kept where matches suffice. A shingle of many classes makes no pairs: its classes are
-compared with one of them, the hub. Shingles of crowded counters don't go through the window, so that no task gets all of a hot one: they are counted
-by partial sums and meet their hub in a join that Spark can split.
+Documents with equal sets are one class. How many classes have each shingle in the longest prefix that they can choose is counted by partial sums, so the
+frequencies that costs follow from are exact, whatever the corpus's size. Shingles of one class go there; the others go along by document, which chooses its
+length and drops what lies beyond. Then a shingle of few classes makes their pairs, which are counted and kept where matches suffice. A shingle of many
+classes makes no pairs: its classes are compared with one of them, the hub, in a join that Spark can split. So no task gets all of a hot shingle.
 
 Pairs whose sketches show too many differences go. Of the rest each class is first verified with its smallest partner; after the links so found, only
 pairs of classes that are still apart are verified. Where a shingle of many classes spans several groups, classes outside of the hub's group meet those of
@@ -38,7 +38,7 @@ from depsight.llm.shared import doc_of, drop, few, fresh, mixed, put, run_hashes
 SHINGLE, PERCENT = 3, 90
 #: Counters of the common order: a fixed size for what is counted, collected and broadcast.
 COUNTER_BITS = 18
-#: Prefix lengths beyond the classic one that a document can choose from, and the cost of a candidate in postings.
+#: Prefix lengths beyond the classic one that a document can choose from (four, as two bits hold the choice), and the cost of a candidate in postings.
 EXTRA, CANDIDATE = (0, 2, 4, 8), 20.0
 #: A shingle of more classes makes no pairs.
 CROWD = 12
@@ -62,10 +62,10 @@ def sets_of(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
         inside = doc[: len(runs)] == doc[size - 1 :]
         parts.append((doc[: len(runs)][inside], runs[inside]))
     for k in range(1, size):  # short texts: the whole sequence
-        few = np.flatnonzero(n == k)
-        if len(few):
-            whole = run_hashes(h, k)[offsets[:-1][few]]
-            parts.append((few, mixed(whole + np.uint64(k))))
+        brief = np.flatnonzero(n == k)
+        if len(brief):
+            whole = run_hashes(h, k)[offsets[:-1][brief]]
+            parts.append((brief, mixed(whole + np.uint64(k))))
     doc, runs = (np.concatenate([p[i] for p in parts]) for i in (0, 1)) if parts else (np.empty(0, np.int64), np.empty(0, np.uint64))
     order = np.lexsort((runs, doc))
     doc, runs = doc[order], runs[order]
@@ -97,14 +97,12 @@ def counters(base: DataFrame, size: int) -> np.ndarray:
 
 
 def prefixes(base: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2 (sums that stand for the set), sketch, choice (of EXTRA), calm (how many of pre have no crowded counter), pre (the prefix in the common order) for each row."""
+    """doc_id, n, s1, s2 (sums that stand for the set), sketch, pre (the longest prefix that can be chosen, in the common order) for each row."""
     mean = counts.mean()
-    crowded = counts > 2 * mean + 6 * np.sqrt(mean) + 8
-    excess = np.maximum(counts - mean, 0) * crowded
-    shipped = base.sparkSession.sparkContext.broadcast((crowded, excess.astype(np.float32)))  # 2**COUNTER_BITS entries
+    shipped = base.sparkSession.sparkContext.broadcast(counts > 2 * mean + 6 * np.sqrt(mean) + 8)  # 2**COUNTER_BITS entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crowded, excess = shipped.value
+        crowded = shipped.value
         for t in steps(batches):
             runs, places = sets_of(text_of(t), size)
             n = np.diff(places)
@@ -119,18 +117,12 @@ def prefixes(base: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
             bits = np.bincount(begin[doc] * 64 + (runs.astype(np.int64) & (longs[doc] * 64 - 1)), minlength=begin[-1] * 64).astype(np.uint8) & 1
             sketch = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(np.packbits(bits).view(np.int64)))
             order = np.argsort(doc * 2 + crowded[counter], kind="stable")  # within a text sorted by hash already
-            cost = np.concatenate([[0.0], np.cumsum(excess[counter][order], dtype=np.float64)])
-            classic = n - (percent * n + 99) // 100 + 1
-            lengths = np.stack([np.minimum(classic + e, n) for e in EXTRA])
-            read = cost[places[:-1] + lengths] - cost[places[:-1]]
-            best = (read + CANDIDATE * read / (1 + np.array(EXTRA))[:, None]).argmin(0)
-            length = lengths[best, np.arange(len(n))]
-            at = np.repeat(places[:-1] - np.cumsum(length) + length, length) + np.arange(length.sum())
-            calm = np.minimum(n - np.bincount(doc, crowded[counter], len(n)).astype(np.int64), length)
-            pre = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(runs[order][at].view(np.int64)))
-            yield put(doc_id=t["doc_id"].combine_chunks(), n=pa.array(n, pa.int64()), s1=sums[0], s2=sums[1], sketch=sketch, choice=pa.array(best, pa.int32()), calm=pa.array(calm, pa.int32()), pre=pre)
+            longest = np.minimum(n - (percent * n + 99) // 100 + 1 + max(EXTRA), n)
+            at = np.repeat(places[:-1] - np.cumsum(longest) + longest, longest) + np.arange(longest.sum())
+            pre = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(longest)]), pa.int32()), pa.array(runs[order][at].view(np.int64)))
+            yield put(doc_id=t["doc_id"].combine_chunks(), n=pa.array(n, pa.int64()), s1=sums[0], s2=sums[1], sketch=sketch, pre=pre)
 
-    return base.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sketch array<long>, choice int, calm int, pre array<long>")
+    return base.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sketch array<long>, pre array<long>")
 
 
 def whole_sets(base: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -219,25 +211,39 @@ def possible(pairs: DataFrame, known: DataFrame, percent: int, matches: bool = F
     return rows.where(F.greatest(F.lit(1), enough - hot) <= F.col("k") if matches else hot >= enough).select("a", "b")
 
 
-def postings(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tables of shared shingles: of few classes (doc, at, before: the classes before it, with their postings) and of many (token, doc, at, hub, hub_at)."""
-    spread = classes.select("doc", "n", "choice", "calm", F.posexplode("pre").alias("pos", "token"))
-    packed = F.shiftleft("n", SIZE_AT).bitwiseOR(F.shiftleft(F.col("choice").cast("long"), CHOICE_AT)).bitwiseOR(F.col("pos").cast("long"))
-    calm = spread.where("pos < calm").select("token", "doc", packed.alias("at"))
-    each = Window.partitionBy("token")
-    order = each.orderBy(place(F.col("at"))[2], "doc")
-    one = F.struct("doc", "at")
-    rows = calm.select("*", F.count("*").over(each).alias("c"), F.first(one).over(order).alias("hub"), F.collect_list(one).over(order.rowsBetween(-max(1, CROWD - 1), -1)).alias("before"))
-    few = F.col("c") <= CROWD
-    rows = rows.where("c > 1").select(F.when(~few, F.col("token")).alias("token"), "doc", "at", F.when(~few, F.col("hub")).alias("hub"), F.when(few, F.col("before")).alias("before"))
-    rows = table(rows.where(~few | (F.size("before") > 0)), "postings")
+def chosen(classes: DataFrame, percent: int) -> DataFrame:
+    """token, doc, c, choice, at (a packed posting) of the shingles that a class shares with others within the prefix that it chooses; c classes have the
+    shingle in the longest prefix that they can choose.
 
-    wild = spread.where("pos >= calm").select("token", "doc", packed.alias("at"))
-    heads = wild.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct(place(F.col("at"))[2].alias("pos"), "doc", "at")).alias("h"))
-    heads = table(heads.where("c > 1").select("token", F.struct("h.doc", "h.at").alias("hub")), "heads")
-    crowd = wild.join(heads, "token").unionByName(rows.where("token IS NOT NULL").select("token", "doc", "at", "hub"))
-    crowd = table(crowd.select("token", "doc", "at", F.col("hub.doc").alias("hub"), F.col("hub.at").alias("hub_at")), "crowd")
-    return rows.where("token IS NULL").select("doc", "at", "before"), crowd
+    The postings read at a length are the other classes of its shingles, and at most a part of them, as many as matches are asked for, becomes candidates. A
+    class that shares nothing in its classic prefix keeps that and has no row.
+    """
+    spread = classes.select("doc", "n", F.posexplode("pre").alias("pos", "token"))
+    shared = spread.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    own = Window.partitionBy("doc")  # at most a class's prefix
+    lengths = [length(F.col("n"), F.lit(k), percent) for k in range(len(EXTRA))]
+    read = [F.sum(F.when(F.col("pos") < at, F.col("c") - 1).otherwise(0)).over(own) for at in lengths]
+    rows = spread.join(shared, "token").select("*", *[(r * F.lit(1 + CANDIDATE / (1 + e))).alias(f"cost{k}") for k, (r, e) in enumerate(zip(read, EXTRA, strict=True))])
+    choice = F.array_position(F.array(*[f"cost{k}" for k in range(len(EXTRA))]), F.least(*[f"cost{k}" for k in range(len(EXTRA))])) - 1  # the first, so the shortest, of the cheapest
+    rows = rows.select("token", "doc", "n", "pos", "c", choice.alias("choice")).where(F.col("pos") < length(F.col("n"), F.col("choice"), percent))
+    packed = F.shiftleft("n", SIZE_AT).bitwiseOR(F.shiftleft("choice", CHOICE_AT)).bitwiseOR(F.col("pos").cast("long"))
+    return rows.select("token", "doc", "c", F.col("choice").cast("int").alias("choice"), packed.alias("at"))
+
+
+def pairs_of_few(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, k) of the classes of shingles of at most CROWD classes: pairs that can be alike by size, and how many of these shingles they share."""
+    order = Window.partitionBy("token").orderBy(place(F.col("at"))[2], "doc")  # at most CROWD rows each
+    before = F.collect_list(F.struct("doc", "at")).over(order.rowsBetween(-max(1, CROWD - 1), -1))
+    each = rows.where(F.col("c") <= CROWD).select(F.col("doc").alias("own"), F.col("at").alias("own_at"), before.alias("before")).select("own", "own_at", F.inline("before"))
+    each = each.where((F.col("own") != F.col("doc")) & near_sizes(place(F.col("own_at"))[0], place(F.col("at"))[0], percent))
+    return each.select(F.least("own", "doc").alias("a"), F.greatest("own", "doc").alias("b")).groupBy("a", "b").agg(F.count("*").alias("k"))
+
+
+def crowds(rows: DataFrame) -> DataFrame:
+    """token, doc, at, hub, hub_at of shingles of more than CROWD classes; the hub has the shingle first."""
+    many = rows.where(F.col("c") > CROWD)
+    heads = many.groupBy("token").agg(F.count("*").alias("left"), F.min(F.struct(place(F.col("at"))[2].alias("pos"), "doc", "at")).alias("h")).where("left > 1")
+    return many.join(heads.select("token", F.col("h.doc").alias("hub"), F.col("h.at").alias("hub_at")), "token").select("token", "doc", "at", "hub", "hub_at")
 
 
 def apart(crowd: DataFrame, found: DataFrame, known: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -275,18 +281,19 @@ def apart(crowd: DataFrame, found: DataFrame, known: DataFrame, percent: int) ->
 
 
 def links(base: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) links that join all classes that belong together; classes: doc, n, sketch, choice, calm, pre of one document of each class."""
-    few, crowd = postings(classes)
-    hot = crowd.groupBy("doc").agg(F.count("*").alias("hot")).withColumnRenamed("doc", "hot_doc")
-    known = table(classes.join(hot, F.col("doc") == F.col("hot_doc"), "left").select("doc", "n", "choice", "sketch", short(F.col("sketch")).alias("short"), F.coalesce("hot", F.lit(0)).alias("hot")), "known")
+    """(a, b) links that join all classes that belong together; classes: doc, n, sketch, pre of one document of each class."""
+    shared = table(chosen(classes, percent), "chosen")
+    crowd = table(crowds(shared), "crowd")
+    hot = crowd.groupBy("doc").agg(F.count("*").alias("hot"))
+    own = shared.groupBy("doc").agg(F.first("choice").alias("choice")).join(hot, "doc", "left").withColumnRenamed("doc", "own")
+    known = classes.join(own, F.col("doc") == F.col("own"), "left")
+    known = table(known.select("doc", "n", F.coalesce("choice", F.lit(0)).alias("choice"), "sketch", short(F.col("sketch")).alias("short"), F.coalesce("hot", F.lit(0)).alias("hot")), "known")
     drop(classes)
 
-    pairs = few.select(F.col("doc").alias("own"), F.col("at").alias("own_at"), F.inline("before"))
-    pairs = pairs.where((F.col("own") != F.col("doc")) & near_sizes(place(F.col("own_at"))[0], place(F.col("at"))[0], percent)).select(F.least("own", "doc").alias("a"), F.greatest("own", "doc").alias("b"))
-    pairs = possible(pairs.groupBy("a", "b").agg(F.count("*").alias("k")), known, percent, matches=True)
+    pairs = possible(pairs_of_few(shared, percent), known, percent, matches=True)
     star = crowd.where((F.col("doc") != F.col("hub")) & early(F.col("at"), F.col("hub_at"), percent)).select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"))
     pairs = table(pairs.union(possible(star.distinct(), known, percent)).distinct(), "pairs")
-    drop(few)
+    drop(shared)
     tried = table(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
     found = verified(tried, base, size, percent)
 
@@ -306,7 +313,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     named = ["n", "s1", "s2"]
     real = sets.where("n > 0 and doc_id is not null")
     # copies are merged before the shuffle; equal sets have equal sketches and prefixes
-    first = real.groupBy(*named).agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("sketch", "choice", "calm", "pre")])
+    first = real.groupBy(*named).agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("sketch", "pre")])
     first = table(first, "classes")
     every = table(sets.select("doc_id", *named), "every")
     drop(sets)
