@@ -42,6 +42,8 @@ COUNTER_BITS = 18
 EXTRA, CANDIDATE = (0, 2, 4, 8), 20.0
 #: A shingle of more classes makes no pairs.
 CROWD = 12
+#: Classes of a crowded shingle that are dealt together.
+PART = 500
 #: Least longs of a set's sketch, which has about a bit for each shingle: bit i is odd if an odd number of shingles fall on i, so two sketches differ in no
 #: more bits than the sets in shingles. A sketch folds into one of half its length by exclusive or of its halves.
 SKETCH = 8
@@ -219,7 +221,7 @@ def chosen(classes: DataFrame, percent: int) -> DataFrame:
     class that shares nothing in its classic prefix keeps that and has no row.
     """
     spread = classes.select("doc", "n", F.posexplode("pre").alias("pos", "token"))
-    shared = spread.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    shared = table(spread.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "shared")  # written, as Spark splits a hot token in a join of plain tables only
     own = Window.partitionBy("doc")  # at most a class's prefix
     lengths = [length(F.col("n"), F.lit(k), percent) for k in range(len(EXTRA))]
     read = [F.sum(F.when(F.col("pos") < at, F.col("c") - 1).otherwise(0)).over(own) for at in lengths]
@@ -240,10 +242,12 @@ def pairs_of_few(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def crowds(rows: DataFrame) -> DataFrame:
-    """token, doc, at, hub, hub_at of shingles of more than CROWD classes; the hub has the shingle first."""
+    """token, doc, at, hub, hub_at of shingles of more than CROWD classes; the hub has the shingle first. A shingle's classes meet it in parts of about PART rows."""
     many = rows.where(F.col("c") > CROWD)
-    heads = many.groupBy("token").agg(F.count("*").alias("left"), F.min(F.struct(place(F.col("at"))[2].alias("pos"), "doc", "at")).alias("h")).where("left > 1")
-    return many.join(heads.select("token", F.col("h.doc").alias("hub"), F.col("h.at").alias("hub_at")), "token").select("token", "doc", "at", "hub", "hub_at")
+    last = F.floor(F.col("c") / PART).cast("int")
+    heads = many.groupBy("token", "c").agg(F.count("*").alias("left"), F.min(F.struct(place(F.col("at"))[2].alias("pos"), "doc", "at")).alias("h")).where("left > 1")
+    heads = heads.select("token", F.col("h.doc").alias("hub"), F.col("h.at").alias("hub_at"), F.explode(F.sequence(F.lit(0), last)).alias("part"))
+    return many.withColumn("part", F.pmod(F.xxhash64("doc"), last + 1).cast("int")).join(heads, ["token", "part"]).select("token", "doc", "at", "hub", "hub_at")
 
 
 def apart(crowd: DataFrame, found: DataFrame, known: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
