@@ -12,7 +12,7 @@ from depsight.functions import paths as P
 from depsight.operators import cycles, folders, geometry, graphs, reach, resolve
 from depsight.plans import index
 from depsight.plans.kept import KeptIndex
-from depsight.sources import derived, manifests
+from depsight.sources import commits, derived, manifests
 from depsight.sources.derived import VIEWS, Graph
 from depsight.tables import folder, written
 
@@ -489,6 +489,17 @@ def churn_7d(spark, sf_dir):
     return derived.churn(spark, sf_dir, 7)
 
 
+@query(
+    """SELECT n.id AS path, count(*) AS commits FROM events e JOIN mod_nodes n ON n.k = e.user_id WHERE event_type <> 'view'
+    AND floor(epoch(ts)) >= (SELECT max(floor(epoch(ts))) - 30 * 86400 FROM events) GROUP BY n.id"""
+)
+def churn_log(spark, sf_dir):
+    """The events written as a commit log, a commit each, and counted from there."""
+    log = derived.commit_log(spark, sf_dir)
+    last = derived.read(spark, sf_dir, "events").agg(F.expr(f"max({derived.SECONDS})").alias("last")).first()["last"]  # one number
+    return commits.churn(commits.touches(spark, log), F.timestamp_seconds(F.lit((last or 0) - derived.CHURN_DAYS * 86_400)))
+
+
 HOT = """, f AS (SELECT n.id, count(e.src) AS dependents FROM mod_nodes n LEFT JOIN mod_edges e ON e.dst = n.id GROUP BY n.id),
 s AS (SELECT f.id, f.dependents, coalesce(c.commits, 0) AS commits, round(f.dependents * (1 + ln(1 + coalesce(c.commits, 0))), 6) AS score FROM f LEFT JOIN mod_churn c ON c.path = f.id)"""
 

@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from depsight.functions import paths as P
+from depsight.sources.commits import MARK
+from depsight.tables import folder
 
+#: Seconds of an event since 1970, whatever the session's time zone.
+SECONDS = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01', ts)"
 #: The hotspot window.
 CHURN_DAYS = 30
 #: Parts of a module of the monthly graphs: so many that a graph has somewhat more edges than modules, whatever the tables' size.
@@ -78,6 +82,14 @@ def churn(spark: SparkSession, sf_dir: str, days: int = CHURN_DAYS) -> DataFrame
     return counts.join(module_nodes(spark, sf_dir), F.col("user_id") == F.col("k")).select(F.col("id").alias("path"), "commits")
 
 
+def commit_log(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a commit log of the events: one commit each, which touches the user's module."""
+    events = read(spark, sf_dir, "events").where("event_type <> 'view'").join(module_nodes(spark, sf_dir), F.col("user_id") == F.col("k"))
+    log = folder(spark, "commits")
+    events.select(F.concat(F.lit(MARK), F.sha1(F.concat_ws("/", "id", F.col("ts").cast("string"))), F.lit(" "), F.expr(SECONDS).cast("string"), F.lit("\n"), "id", F.lit("\n"))).write.text(log)
+    return log
+
+
 def external_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id, package, external: each module's suppliers are the external packages that it imports."""
     lines = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
