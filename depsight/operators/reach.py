@@ -1,7 +1,11 @@
 """Reachability over edges (src, dst): blast radius, dead code, cone statistics.
 
 Fixpoints go level by level: the frontier joins the edges, and what was seen before is taken off. Each level is written to the shared folder, so that
-plans stay short and a lost executor costs no earlier level; every few levels what was seen becomes one table.
+plans stay short and a lost executor costs no earlier level. Every few levels they become one table, and edges that can lead to nothing new go: those to what was
+seen, and those of graphs that have come to rest. So many levels of few nodes don't read all edges again and again.
+
+Tables of many rows are joined by shuffles: as files they are a small part of what they are in memory, and Spark, which goes by files, would broadcast them. Of
+the levels a query broadcasts one table, as each broadcast with text in its keys takes the driver 64 MB at least.
 """
 
 from __future__ import annotations
@@ -13,6 +17,13 @@ from depsight.tables import written
 
 #: Levels that become one table.
 STRIDE = 8
+#: Rows of a table that is broadcast.
+FEW = 50_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join that is broadcast if its rows are few, and else never."""
+    return F.broadcast(df) if rows <= FEW else df.hint("merge")
 
 
 def reached(edges: DataFrame, seeds: DataFrame, avoid: DataFrame | None = None, graph: str | None = None) -> DataFrame:
@@ -21,19 +32,33 @@ def reached(edges: DataFrame, seeds: DataFrame, avoid: DataFrame | None = None,
     graph: the column that tells many graphs apart, in all tables and in the result. Their levels go on side by side; a graph without a frontier has no rows.
     """
     by = [graph] if graph else []
-    ends = written(edges.select(*by, F.col("src").alias("_from"), F.col("dst").alias("_to")).distinct(), "ends")
-    front, levels = seeds.select(*by, "id").distinct(), []
-    while True:
-        found = front.select(*by, F.col("id").alias("_from")).join(ends, [*by, "_from"]).select(*by, F.col("_to").alias("id")).distinct()
-        for known in [*([avoid.select(*by, "id")] if avoid is not None else []), *levels]:
-            found = found.join(known, [*by, "id"], "left_anti")
+    ends = edges.select(*by, F.col("src").alias("_from"), F.col("dst").alias("_to")).distinct()
+    if avoid is not None:
+        ends = ends.join(avoid.select(*by, F.col("id").alias("_to")).hint("merge"), [*by, "_to"], "left_anti")
+    ends, front = written(ends, "ends"), written(seeds.select(*by, "id").distinct(), "level")
+    rows, recent, levels = front.count(), [], []
+    while rows:
+        found = ends.join(sized(front.select(*by, F.col("id").alias("_from")), rows), [*by, "_from"]).select(*by, F.col("_to").alias("id")).distinct()
+        if recent:
+            found = found.join(union([x for x, _ in recent]).hint("merge"), [*by, "id"], "left_anti")
         front = written(found, "level")
-        if front.isEmpty():
-            break
-        levels.append(front)
-        if len(levels) == STRIDE:
-            levels = [written(union(levels), "seen")]
-    return union(levels) if levels else front
+        rows = front.count()
+        recent.append((front, rows))
+        if rows and len(recent) == STRIDE:
+            seen = written(union([x for x, _ in recent]), "seen")
+            left = ends.join(sized(seen.select(*by, F.col("id").alias("_to")), sum(n for _, n in recent)), [*by, "_to"], "left_anti")
+            ends = written(left.join(front.select(*by).distinct(), by, "left_semi") if by else left, "ends")
+            levels, recent = gathered([*levels, (0, seen)]), []
+    parts = [x for _, x in levels] + [x for x, _ in recent]
+    return union(parts) if parts else front
+
+
+def gathered(tables: list[tuple[int, DataFrame]]) -> list[tuple[int, DataFrame]]:
+    """Tables with their ranks; STRIDE of one rank become one of the next, so that they stay few and a row is seldom written."""
+    while len(tables) >= STRIDE and len({rank for rank, _ in tables[-STRIDE:]}) == 1:
+        rank = tables[-1][0] + 1
+        tables = [*tables[:-STRIDE], (rank, written(union([x for _, x in tables[-STRIDE:]]), "seen"))]
+    return tables
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -58,30 +83,31 @@ def dependents_with_barrels(edges: DataFrame, start: DataFrame, mapping: DataFra
     mapping: raw_id, display_id. A start node that was folded into a barrel stands for the barrel.
     """
     folded = mapping.where("raw_id <> display_id")
-    seed = start.select("id").join(folded, F.col("id") == F.col("raw_id"), "left").select(F.coalesce("display_id", "id").alias("id")).distinct()
+    seed = start.select("id").join(folded.hint("merge"), F.col("id") == F.col("raw_id"), "left").select(F.coalesce("display_id", "id").alias("id")).distinct()
     cone = reached(reversed_edges(edges), seed, avoid=seed)
-    members = cone.join(folded, F.col("id") == F.col("display_id")).select(F.col("raw_id").alias("id"))
+    members = cone.join(folded.hint("merge"), F.col("id") == F.col("display_id")).select(F.col("raw_id").alias("id"))
     return cone.union(members).distinct()
 
 
 def unreachable(nodes: DataFrame, edges: DataFrame, entries: DataFrame, graph: str | None = None) -> DataFrame:
     """Nodes (id) that no entry is or leads to; entries that are no nodes don't count. graph: as in reached()."""
     keys = [*([graph] if graph else []), "id"]
-    seeds = entries.select(*keys).join(nodes.select(*keys), keys, "left_semi")
-    return nodes.select(*keys).join(seeds, keys, "left_anti").join(reached(edges, seeds, graph=graph), keys, "left_anti")
+    seeds = entries.select(*keys).join(nodes.select(*keys).hint("merge"), keys, "left_semi")
+    found = reached(edges, seeds, graph=graph).union(seeds)
+    return nodes.select(*keys).join(found.hint("merge"), keys, "left_anti")
 
 
 def no_incoming(nodes: DataFrame, edges: DataFrame, graph: str | None = None) -> DataFrame:
     """Nodes that no edge leads to, not even their own."""
     by = [graph] if graph else []
-    return nodes.select(*by, "id").join(edges.select(*by, F.col("dst").alias("id")), [*by, "id"], "left_anti")
+    return nodes.select(*by, "id").join(edges.select(*by, F.col("dst").alias("id")).hint("merge"), [*by, "id"], "left_anti")
 
 
 def orphans(nodes: DataFrame, edges: DataFrame, entries: DataFrame, graph: str | None = None) -> DataFrame:
     """id, unreachable, no_incoming for every node in either set."""
     far = unreachable(nodes, edges, entries, graph).withColumn("unreachable", F.lit(True))
     lone = no_incoming(nodes, edges, graph).withColumn("no_incoming", F.lit(True))
-    return far.join(lone, [*([graph] if graph else []), "id"], "full").fillna(False, ["unreachable", "no_incoming"])
+    return far.join(lone.hint("merge"), [*([graph] if graph else []), "id"], "full").fillna(False, ["unreachable", "no_incoming"])
 
 
 def cone_stats(cone: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from depsight.functions import paths as P
 from depsight.sources.commits import MARK
-from depsight.tables import folder
+from depsight.tables import folder, written
 
 #: Seconds of an event since 1970, whatever the session's time zone.
 SECONDS = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01', ts)"
@@ -66,11 +66,13 @@ def monthly(spark: SparkSession, sf_dir: str) -> Graph:
     """Many small graphs at once, each row led by its graph: one for each month and customers' nation. Modules are runs of MODULE parts, and a module imports that of
     the next line of an order; a line alone is a module without edges."""
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    where = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    # customers as a file are a small part of what they are in memory: they are not broadcast
+    where = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer").hint("merge"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     where = where.select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.date_format("o_orderdate", "yyyy-MM"), F.lit("/"), "n_name").alias("graph"))
     named = lines.join(where, "l_orderkey").withColumn("id", F.concat(F.lit("m"), F.floor(F.col("l_partkey") / MODULE).cast("string")))
     after = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")  # the lines of one order
-    edges = named.withColumn("dst", F.lead("id").over(after)).where("dst IS NOT NULL").select("graph", F.col("id").alias("src"), "dst").distinct()
+    named = written(named.select("graph", "id", F.lead("id").over(after).alias("dst")), "lines")  # read for nodes and for edges
+    edges = named.where("dst IS NOT NULL").select("graph", F.col("id").alias("src"), "dst").distinct()
     return Graph(named.select("graph", "id").distinct(), edges)
 
 

@@ -95,6 +95,28 @@ def test_many_graphs_at_once(spark, monkeypatch):
     assert {tuple(r) for r in reach.unreachable(nodes, df.where("month IS NOT NULL"), entries, "month").collect()} == whole - seen
 
 
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_levels_leave_edges_behind(spark, monkeypatch, few):
+    """Edges that lead to nothing new and graphs at rest go, and a query broadcasts no table for each level."""
+    monkeypatch.setattr(reach, "STRIDE", 3)
+    monkeypatch.setattr(reach, "FEW", few)
+    shapes = {"long": [(f"n{i:02}", f"n{i + 1:02}") for i in range(12)], "short": [("n00", f"n{i:02}") for i in range(1, 30)], "ring": [(f"n{i:02}", f"n{(i + 1) % 5:02}") for i in range(5)]}
+    edges = frame(spark, [(g, *e) for g, es in shapes.items() for e in es], ("month", "src", "dst"))
+    left, casts, plain = [], [], reach.written
+
+    def counted(df, name="step"):
+        casts.append(df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange"))
+        out = plain(df, name)
+        left.extend([out.count()] if name == "ends" else [])
+        return out
+
+    monkeypatch.setattr(reach, "written", counted)
+    got = reach.reached(edges, frame(spark, [(g, "n00") for g in shapes], ("month", "id")), graph="month").collect()
+    assert sorted(tuple(r) for r in got) == sorted((g, x) for g, es in shapes.items() for x in closure(es)["n00"])
+    assert left == [46, 11, 6, 3, 0]
+    assert max(casts) <= 2  # the frontier, or when edges go what was seen and the graphs that go on
+
+
 def test_small_cases(spark):
     a3 = frame(spark, [("a", "b"), ("b", "c"), ("c", "a")], ("src", "dst"))
     assert {r["id"]: r["scc"] for r in cycles.components(a3).collect()} == dict.fromkeys("abc", "a")
