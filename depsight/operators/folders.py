@@ -18,15 +18,17 @@ def looked_up(table: DataFrame | Callable[[DataFrame], DataFrame], keys: DataFra
 def deepest(files: DataFrame, folders: DataFrame | Callable[[DataFrame], DataFrame], folder_col: str = "dir", path_col: str = "id") -> DataFrame:
     """files with the columns of the deepest folder above each, null where there is none.
 
-    Every path is spread over its ancestors, which meet folders by equality; no path is compared with all folders. Of equal folders the greatest row wins.
-    folders may be a lookup by folder_col.
+    The distinct folders of the paths are spread over their ancestors, which meet folders by equality; no path is compared with all folders, and files meet the
+    answer for their own folder. Of equal folders the greatest row wins. folders may be a lookup by folder_col.
     """
-    spread = files.select(F.col(path_col).alias("_path"), F.explode(P.ancestors(F.col(path_col))).alias("_dir")).distinct()
+    own = P.dir_name(F.col(path_col))
+    spread = files.select(own.alias("_own")).distinct().select("_own", F.explode(F.array_append(P.ancestors(F.col("_own")), F.col("_own"))).alias("_dir")).distinct()
     folders = looked_up(folders, spread.select(F.col("_dir").alias(folder_col)))
     others = [c for c in folders.columns if c != folder_col]
     best = folders.groupBy(folder_col).agg(*[F.max_by(c, F.struct(*others)).alias(c) for c in others]) if others else folders.distinct()
-    met = spread.join(best, F.col("_dir") == F.col(folder_col)).groupBy("_path").agg(*[F.max_by(c, F.length("_dir")).alias(c) for c in [folder_col, *others]])
-    return files.join(met, F.col(path_col) == F.col("_path"), "left").drop("_path")
+    # as many rows as distinct folders; Spark takes the spread for as large as the files' own file and would broadcast it
+    met = spread.hint("merge").join(best, F.col("_dir") == F.col(folder_col)).groupBy("_own").agg(*[F.max_by(c, F.length("_dir")).alias(c) for c in [folder_col, *others]])
+    return files.join(met, own == F.col("_own"), "left").drop("_own")
 
 
 def index_folders(nodes: DataFrame) -> DataFrame:

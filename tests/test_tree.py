@@ -158,3 +158,14 @@ def test_a_package_tree_in_order(spark):
     for folder in ("", "a", "a/in", "b", "gone"):
         assert {r["id"] for r in folders.leaves_between(tree_, "k", folder).collect()} == {r["id"] for r in folders.leaves(flat, "k", folder).collect()}
     assert folders.tree_order(nodes.limit(0), hidden).count() == 0
+
+
+def test_folders_are_looked_up_once_for_all_their_files(spark):
+    """deepest() spreads distinct folders, not files, over their ancestors."""
+    from depsight.operators import folders
+
+    files = spark.createDataFrame([(f"a/b/{i}.ts",) for i in range(30)] + [("top.ts",), (None,)], "id string")
+    table, asked = spark.createDataFrame([("a", "x"), ("a/b", "y"), ("a/b/1.ts", "z")], "dir string, owner string"), []
+    got = folders.deepest(files, lambda keys: asked.append(keys.count()) or table.join(keys.distinct(), "dir", "left_semi")).collect()
+    assert {r["id"]: r["owner"] for r in got} == {**{f"a/b/{i}.ts": "y" for i in range(30)}, "top.ts": None, None: None}
+    assert asked[0] <= 4
