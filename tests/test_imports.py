@@ -73,3 +73,15 @@ def test_templates_and_variables():
 
 def test_long_files_are_read():
     assert found("const s = '" + "x\\'" * 500_000 + "'; const t = `" + "y" * 10**6 + "`; /* " + "*" * 10**6 + "*/ import './a'") == [("./a", "static")]
+
+
+def test_statements_go_back_in_parts():
+    """A batch of files with many statements becomes several frames, and none is lost."""
+    import pandas as pd
+
+    from depsight.sources.imports import parsed
+
+    batch = pd.DataFrame({"path": [f"f{i}.ts" for i in range(50)], "content": ["\n".join(f"import './m{k}';" for k in range(20))] * 48 + [None, "import {"]})
+    frames = list(parsed(iter([batch]), 100))
+    assert max(len(x) for x in frames) <= 119 and len(frames) > 5
+    assert sum((x["ordinal"] >= 0).sum() for x in frames) == 960 and sum((x["ordinal"] < 0).sum() for x in frames) == 2
