@@ -8,18 +8,28 @@ Nodes get numbers, edges become pairs of them. Then, again and again:
   numbers along edges and follows them (what leads to my least number leads to me), so that they cross long paths by leaps. Only numbers that moved are passed
   along. A node whose two numbers are the same is in that number's component; edges between nodes of different numbers lie on no cycle and go.
 
-Every step is a join or a grouped minimum: no component is gathered in one task, whatever its size. Numbers are scattered, so that the order in which nodes
-are named doesn't matter. Graphs whose numbers have come to rest leave the rounds.
+Every step is a join or a grouped minimum. Numbers are scattered, so that the order in which nodes are named doesn't matter. Graphs whose numbers have come to
+rest leave the rounds.
+
+Rounds are for graphs of many edges. Those of SMALL edges at most, and what rounds leave of a graph once it is as small, are settled each by one task: they
+cross the network once. Where edges are many beside nodes, the components of a few edges of each node come first; nodes of one become one node, and all edges
+then lie between these, few of them different.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depsight.operators.reach import union
 from depsight.tables import dropped, written
 
+#: Edges of a graph that one task settles at most, whatever the tables' size.
+SMALL = 1 << 19
+#: Edges for each node above which a few of them come first.
+DENSE = 8
 #: Chains are looked for again while a pass takes this share of the edges.
 SHARE = 0.25
 #: Graphs at rest leave the rounds once so few of all nodes still move.
@@ -93,20 +103,94 @@ def numbered(edges: DataFrame) -> DataFrame:
             labels, edges = written(labels.join(busy, "g", "left_semi"), "numbers"), written(edges.join(busy, "g", "left_semi"), "edges")
 
 
-def components(edges: DataFrame, graph: str | None = None) -> DataFrame:
-    """id, scc (its smallest id) for nodes in components of two or more, and for nodes with an edge to themselves.
+def strong(s: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the one that stands for its component, by Tarjan's depth-first search without recursion. Edges lead from s to d."""
+    order = np.argsort(s, kind="stable")
+    to, ends = d[order].tolist(), np.searchsorted(s[order], np.arange(n + 1)).tolist()
+    at, place, low, of, stack, seen = ends[:n], [0] * n, [0] * n, [-1] * n, [], 0
+    for start in range(n):
+        path = [] if place[start] else [start]
+        while path:
+            v = path[-1]
+            if not place[v]:
+                seen += 1
+                place[v] = low[v] = seen
+                stack.append(v)
+            if at[v] < ends[v + 1]:
+                w = to[at[v]]
+                at[v] += 1
+                if not place[w]:
+                    path.append(w)
+                elif of[w] < 0 and place[w] < low[v]:
+                    low[v] = place[w]
+                continue
+            path.pop()
+            if path and low[v] < low[path[-1]]:
+                low[path[-1]] = low[v]
+            if low[v] == place[v]:
+                while of[v] < 0:
+                    of[stack.pop()] = v
+    return np.array(of, dtype=np.int64)
 
-    graph: the column that tells many graphs' edges apart; nodes of different graphs are different ones, and it leads the result's columns. Edges with a null
-    end, or whose graph is null, are on no cycle.
+
+def members_of(edges: pd.DataFrame) -> pd.DataFrame:
+    """g, k, root (its component's least k) of the nodes on cycles of one graph's edges (g, s, d)."""
+    codes, names = pd.factorize(pd.concat([edges["s"], edges["d"]], ignore_index=True))
+    s, d = codes[: len(edges)], codes[len(edges) :]
+    of = strong(s, d, len(names))
+    on = np.bincount(of, minlength=len(names))[of] > 1
+    on[s[s == d]] = True
+    found = pd.DataFrame({"k": names[on], "of": of[on]})
+    return pd.DataFrame({"g": edges["g"].iloc[0], "k": found["k"], "root": found.groupby("of")["k"].transform("min")})
+
+
+def settled(edges: DataFrame) -> DataFrame:
+    """g, k, root of the nodes on cycles of many small graphs (g, s, d), a task for each graph at a time."""
+    kinds = {x.name: x.dataType.simpleString() for x in edges.schema}
+    return edges.groupBy("g").applyInPandas(members_of, f"g {kinds['g']}, k {kinds['s']}, root {kinds['s']}")
+
+
+def parted(edges: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """The edges (led by g) of graphs of SMALL edges at most, and of the others; None where there are none of the others, or no edges but theirs."""
+    sizes = written(edges.groupBy("g").agg(F.count("*").alias("n")), "sizes")
+    # no more rows than all edges hold SMALL ones
+    large = F.broadcast(sizes.where(F.col("n") > SMALL).select("g"))
+    graphs, larger = sizes.agg(F.count("*"), F.count(F.when(F.col("n") > SMALL, 1))).first()
+    if not larger:
+        return edges, None
+    return edges.join(large, "g", "left_anti") if larger < graphs else None, edges.join(large, "g", "left_semi") if larger < graphs else edges
+
+
+def few(edges: DataFrame) -> DataFrame:
+    """Of each node's edges (g, s, d) the two to the least and greatest numbers, and the two from such."""
+    out = edges.groupBy("g", "s").agg(F.array_distinct(F.array(F.min("d"), F.max("d"))).alias("d")).select("g", "s", F.explode("d").alias("d"))
+    into = edges.groupBy("g", "d").agg(F.array_distinct(F.array(F.min("s"), F.max("s"))).alias("s")).select("g", F.explode("s").alias("s"), "d")
+    return out.union(into).distinct()
+
+
+def rounds(left: DataFrame, nodes: int, thin: bool = True) -> DataFrame:
+    """k, root (one of them) of the components of edges between numbers (g, s, d), which are written, distinct and lead from no node to itself. Single nodes may be there.
+
+    nodes: how many there are, about. thin: whether a few edges of each node may come first.
     """
-    own = edges.select((F.col(graph) if graph else F.lit(0)).alias("g"), "src", "dst").where("g IS NOT NULL AND src IS NOT NULL AND dst IS NOT NULL").distinct()
-    loops = own.where("src = dst").select("g", F.col("src").alias("id"))
-    # a number is written once with its node; xxhash64 of a long is one to one
-    ids = written(own.where("src <> dst").select("g", F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("k", F.xxhash64(F.monotonically_increasing_id())), "nodes")
-    a, b = ids.select("g", F.col("id").alias("src"), F.col("k").alias("s")), ids.select("g", F.col("id").alias("dst"), F.col("k").alias("d"))
-    left = written(own.where("src <> dst").join(a, ["g", "src"]).join(b, ["g", "dst"]).select("g", "s", "d"), "edges")
     found = []
-    n = left.count()
+    small, large = parted(left)
+    if small is not None:
+        found.append(settled(small).select("k", "root"))
+    if large is None:
+        return found[0]
+    left, n = (written(large, "edges") if small is not None else large), large.count()
+    if thin and n > DENSE * nodes:
+        first = written(rounds(written(few(left), "few"), nodes, False), "first")
+        a, b = first.select(F.col("k").alias("s"), F.col("root").alias("_s")), first.select(F.col("k").alias("d"), F.col("root").alias("_d"))
+        rest = left.join(a, "s", "left").join(b, "d", "left").select("g", F.coalesce("_s", "s").alias("s"), F.coalesce("_d", "d").alias("d")).where("s <> d").distinct()
+        rest = written(rest, "edges")
+        if among := rest.count():
+            # again while it leaves few edges: where it found no cycles it would find none again
+            more = written(rounds(rest, rest.select("s").union(rest.select("d")).distinct().count(), 2 * among < n), "more")
+            known = first.join(more.select(F.col("k").alias("root"), F.col("root").alias("_root")), "root", "left").select("k", F.coalesce("_root", "root").alias("root"))
+            first = known.union(more.join(first, "k", "left_anti"))
+        return union([*found, first])
     while n:
         while n:
             before, plain = n, left.select("s", "d")
@@ -122,20 +206,54 @@ def components(edges: DataFrame, graph: str | None = None) -> DataFrame:
                 break
         if not n:
             break
+        small, large = parted(left)
+        if small is not None:
+            found.append(settled(small).select("k", "root"))
+            if large is None:
+                break
+            left = written(large, "edges")
         labels = written(numbered(left), "labels")
         found.append(labels.where("f = b").select("k", F.col("f").alias("root")))
         x, y = labels.select(F.col("k").alias("s"), F.col("f").alias("sf"), F.col("b").alias("sb")), labels.select(F.col("k").alias("d"), F.col("f").alias("df"), F.col("b").alias("db"))
         left = written(left.join(x, "s").join(y, "d").where("sf = df AND sb = db AND sf <> sb").select("g", "s", "d"), "edges")
         n = left.count()
-    out = loops.select("g", "id", F.col("id").alias("scc"))
-    if found:
-        members = written(union(found).join(ids, "k").select("root", "g", "id"), "components")
-        large = members.groupBy("root").agg(F.min("id").alias("scc"), F.count("*").alias("n")).where("n > 1")
-        large = members.join(large, "root").select("g", "id", "scc")
-        out = large.union(out.join(large.select("g", "id"), ["g", "id"], "left_anti"))
+    return union(found) if found else large.select(F.col("s").alias("k"), F.col("s").alias("root")).where("false")
+
+
+def components(edges: DataFrame, graph: str | None = None) -> DataFrame:
+    """id, scc (its smallest id) for nodes in components of two or more, and for nodes with an edge to themselves.
+
+    graph: the column that tells many graphs' edges apart; nodes of different graphs are different ones, and it leads the result's columns. Edges with a null
+    end, or whose graph is null, are on no cycle. Edges are read more than once: they should be written.
+    """
+    own = edges.select((F.col(graph) if graph else F.lit(0)).alias("g"), F.col("src").alias("s"), F.col("dst").alias("d")).where("g IS NOT NULL AND s IS NOT NULL AND d IS NOT NULL")
+    small, large = parted(own)
+    parts = [settled(small).select("g", F.col("k").alias("id"), F.col("root").alias("scc"))] if small is not None else []
+    if large is not None:
+        parts.append(by_rounds(large))
+    out = union(parts)
     return out.withColumnRenamed("g", graph) if graph else out.select("id", "scc")
 
 
+def by_rounds(own: DataFrame) -> DataFrame:
+    """g, id, scc of graphs of any size (g, s, d), their nodes by names."""
+    loops = own.where("s = d").select("g", F.col("s").alias("id")).distinct()
+    names = written(own.where("s <> d").select("g", F.explode(F.array("s", "d")).alias("id")).distinct(), "names")
+    # a node's number is a hash of its name, so that edges needn't meet names; two nodes of one number would be found here, and numbered anew
+    seed, nodes = 0, names.count()
+    number = lambda seed, id_: F.xxhash64(F.lit(seed), "g", id_)
+    while names.select(number(seed, "id").alias("k")).distinct().count() < nodes:
+        seed += 1
+    out = loops.select("g", "id", F.col("id").alias("scc"))
+    left = written(own.where("s <> d").select("g", number(seed, "s").alias("s"), number(seed, "d").alias("d")).distinct(), "edges")
+    if nodes:
+        members = written(rounds(left, nodes).join(names.withColumn("k", number(seed, "id")), "k").select("root", "g", "id"), "components")
+        several = members.groupBy("root").agg(F.min("id").alias("scc"), F.count("*").alias("n")).where("n > 1")
+        several = members.join(several, "root").select("g", "id", "scc")
+        out = several.union(out.join(several.select("g", "id"), ["g", "id"], "left_anti"))
+    return out
+
+
 def canonical(members: DataFrame) -> DataFrame:
     """cycle (place of the component by its smallest member), id, scc, size for each member."""
     per = members.groupBy("scc").agg(F.min("id").alias("first"), F.count("*").alias("size"))
