@@ -113,10 +113,9 @@ def totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def totals_by(nodes: DataFrame, edges: DataFrame, members: DataFrame, graph: str) -> DataFrame:
     """A row for each graph: nodes, edges, cycles, and how many nodes are on one. members: graph, id, scc."""
     kinds = [
-        nodes.select(graph, F.lit("nodes").alias("what")), edges.select(graph, F.lit("edges").alias("what")), members.select(graph, F.lit("on_cycles").alias("what")),
-        members.where("id = scc").select(graph, F.lit("cycles").alias("what")),
+        nodes.select(graph, F.lit("nodes").alias("what")), edges.select(graph, F.lit("edges").alias("what")), members.select(graph, F.explode(F.when(F.col("id") == F.col("scc"), F.array(F.lit("on_cycles"), F.lit("cycles"))).otherwise(F.array(F.lit("on_cycles")))).alias("what")),
     ]
-    rows = kinds[0].union(kinds[1]).union(kinds[2]).union(kinds[3])
+    rows = kinds[0].union(kinds[1]).union(kinds[2])
     return rows.groupBy(graph).agg(*[F.count(F.when(F.col("what") == x, 1)).alias(x) for x in ("nodes", "edges", "cycles", "on_cycles")])
 
 
