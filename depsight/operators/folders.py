@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depsight.functions import paths as P
+from depsight.tables import written
 
 
 def looked_up(table: DataFrame | Callable[[DataFrame], DataFrame], keys: DataFrame) -> DataFrame:
@@ -64,11 +65,15 @@ def package_index(nodes: DataFrame) -> DataFrame:
     return placed(nodes.where("package IS NOT NULL").select("package").distinct(), ["package"], "position")
 
 
+def placed_libs(libs: DataFrame) -> DataFrame:
+    """path, package, lib_index, lib_count: each library's place among its package's libraries by path."""
+    order = Window.partitionBy("package").orderBy("path")  # a package's libraries
+    return libs.select("path", "package").distinct().withColumn("lib_index", F.row_number().over(order) - 1).withColumn("lib_count", F.count("*").over(Window.partitionBy("package")))
+
+
 def lib_shades(nodes: DataFrame, libs: DataFrame) -> DataFrame:
     """id, package, lib, lib_index, lib_count: the deepest library of each node, and its place among its package's libraries by path."""
-    order = Window.partitionBy("package").orderBy("path")  # a package's libraries
-    placed = libs.select("path", "package").distinct().withColumn("lib_index", F.row_number().over(order) - 1).withColumn("lib_count", F.count("*").over(Window.partitionBy("package")))
-    found = deepest(nodes.select("id", F.col("package").alias("owner")), placed.select(F.col("path").alias("dir"), F.col("package").alias("lib_package"), "lib_index", "lib_count"))
+    found = deepest(nodes.select("id", F.col("package").alias("owner")), placed_libs(libs).select(F.col("path").alias("dir"), F.col("package").alias("lib_package"), "lib_index", "lib_count"))
     return found.where(F.col("dir").isNotNull() & F.col("owner").eqNullSafe(F.col("lib_package"))).select("id", F.col("owner").alias("package"), F.col("dir").alias("lib"), F.col("lib_index").cast("long").alias("lib_index"), F.col("lib_count").cast("long").alias("lib_count"))
 
 
@@ -76,11 +81,14 @@ def node_colors(nodes: DataFrame, libs: DataFrame) -> DataFrame:
     """id, color of every node: external ones grey, nodes of a package its colour or, inside a library, its shade, all others plain."""
     from depsight.functions import colors as C
 
-    places = package_index(nodes).withColumnRenamed("package", "_package")
-    shades = lib_shades(nodes.where("package IS NOT NULL"), libs).select(F.col("id").alias("_id"), "lib_index", "lib_count")
-    found = nodes.join(places, F.col("package") == F.col("_package"), "left").join(shades, F.col("id") == F.col("_id"), "left")
-    shade = F.when(F.col("lib_index").isNotNull(), C.lib_color(F.col("position"), F.col("lib_index"), F.col("lib_count"))).otherwise(C.package_color(F.col("position")))
-    return found.select("id", F.when(F.col("kind") == "external", C.OUTSIDE).when(F.col("position").isNull(), C.PLAIN).otherwise(shade).alias("color"))
+    # a colour is worked out once for each package and each library, not for each node
+    places = package_index(nodes)
+    plain = written(places.select(F.col("package").alias("owner"), C.package_color(F.col("position")).alias("color")), "colors")
+    shades = placed_libs(libs).join(places, "package").select("path", "package", C.lib_color(F.col("position"), F.col("lib_index"), F.col("lib_count")).alias("shade"))
+    shades = written(shades, "shades").select(F.col("path").alias("dir"), F.col("package").alias("lib_package"), "shade")
+    found = deepest(nodes.select("id", "kind", F.col("package").alias("owner")), shades).join(plain, "owner", "left")
+    own = F.when(F.col("owner") == F.col("lib_package"), F.col("shade"))
+    return found.select("id", F.when(F.col("kind") == "external", C.OUTSIDE).when(F.col("color").isNull(), C.PLAIN).otherwise(F.coalesce(own, "color")).alias("color"))
 
 
 def common_prefix(nodes: DataFrame) -> DataFrame:

@@ -97,11 +97,14 @@ def upserted(nodes: DataFrame, new: DataFrame) -> DataFrame:
     return nodes.join(new.select("id"), "id", "left_anti").unionByName(new)
 
 
-def refcounts(uses: DataFrame) -> DataFrame:
-    """src (package node), dst (external node), files: how many files hold an aggregated edge; files outside of packages share one node."""
-    owner = F.concat(F.lit("package:"), F.coalesce("package", F.lit("(unattributed)")))
-    pairs = uses.select("file_id", owner.alias("src"), F.concat(F.lit("external:"), "external").alias("dst")).distinct()
-    return pairs.groupBy("src", "dst").agg(F.count("*").alias("files"))
+def refcounts(uses: DataFrame, unique: bool = False) -> DataFrame:
+    """src (package node), dst (external node), files: how many files hold an aggregated edge; files outside of packages share one node.
+
+    unique: whether uses (file_id, package, external) are distinct as they come; then they are counted without being gathered by file first.
+    """
+    owner = F.coalesce("package", F.lit("(unattributed)")).alias("owner")
+    pairs = uses.select(owner, "external") if unique else uses.select("file_id", owner, "external").distinct()
+    return pairs.groupBy("owner", "external").agg(F.count("*").alias("files")).select(F.concat(F.lit("package:"), "owner").alias("src"), F.concat(F.lit("external:"), "external").alias("dst"), "files")
 
 
 def totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:

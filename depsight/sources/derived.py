@@ -38,11 +38,12 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("pkg"), F.lower("p_type").alias("dir"), F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("int").alias("b"),
     )
     lead = part.groupBy("pkg", "dir").agg(F.min("k").alias("lead_k"))  # pre-summed: a window would gather a package in one task
-    part = part.join(lead, ["pkg", "dir"])
+    # the table is a small file for its rows: read in place, few tasks would work out all names, once for each time that they are read
+    part = part.repartition("k").join(lead, ["pkg", "dir"])
     name = F.when((F.col("k") == F.col("lead_k")) & (F.col("b") % 3 == 0), F.lit("index")).otherwise(F.concat("nm", F.lit("-"), F.col("k").cast("string")))
     kind = F.col("sz") % 10
     end = F.when(kind == 0, ".test.ts").when(kind == 1, ".d.ts").when(kind == 2, ".tsx").when(kind == 3, ".js").when(kind == 4, ".css").otherwise(".ts")
-    return part.select("k", F.concat(F.lit("packages/"), "pkg", F.lit("/"), "dir", F.lit("/"), name, end).alias("id"), F.concat(F.lit("@acme/"), "pkg").alias("package"))
+    return written(part.select("k", F.concat(F.lit("packages/"), "pkg", F.lit("/"), "dir", F.lit("/"), name, end).alias("id"), F.concat(F.lit("@acme/"), "pkg").alias("package")), "files")
 
 
 def module_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,14 +51,15 @@ def module_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).where(P.passes(F.col("id")))
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Every consecutive pair of an order's lines between parts that are nodes is an import."""
-    known = module_nodes(spark, sf_dir)
+def graph(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> Graph:
+    """Every consecutive pair of an order's lines between parts that are nodes (known, if they are at hand) is an import."""
+    known = module_nodes(spark, sf_dir) if known is None else known
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     after = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")  # the lines of one order
-    imports = lines.withColumn("t", F.lead("l_partkey").over(after)).where("t IS NOT NULL").select(F.col("l_partkey").alias("f"), "t").distinct()
-    a, b = known.select(F.col("k").alias("f"), F.col("id").alias("src")), known.select(F.col("k").alias("t"), F.col("id").alias("dst"))
-    edges = imports.join(a, "f").join(b, "t").select("src", "dst").distinct()
+    # pairs of keys are made distinct where they meet their names: a name has its key in it, so edges of names are distinct then
+    imports = lines.withColumn("t", F.lead("l_partkey").over(after)).where("t IS NOT NULL").select(F.col("l_partkey").alias("f"), "t").repartition("f").distinct()
+    named = known.select("k", "id").repartition("k").distinct().hint("shuffle_hash")
+    edges = imports.join(named.select(F.col("k").alias("f"), F.col("id").alias("src")), "f").join(named.select(F.col("k").alias("t"), F.col("id").alias("dst")), "t").select("src", "dst")
     nodes = known.select("id", F.col("id").alias("path"), P.base_name(F.col("id")).alias("label"), "package", F.lit("file").alias("kind"))
     return Graph(nodes, edges)
 
@@ -92,18 +94,22 @@ def commit_log(spark: SparkSession, sf_dir: str) -> str:
     return log
 
 
-def external_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_id, package, external: each module's suppliers are the external packages that it imports."""
-    lines = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    known = module_nodes(spark, sf_dir)
+def external_uses(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    """file_id, package, external, distinct: each module's suppliers are the external packages that it imports."""
+    # pairs of keys are distinct where they meet their part; as shuffled they are a small part of what they are in memory, so that parts are not to be put together
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").repartition(parts, "l_partkey").distinct()
+    known = (module_nodes(spark, sf_dir) if known is None else known).repartition(parts, "k").distinct().hint("shuffle_hash")
     return lines.join(known, F.col("l_partkey") == F.col("k")).select(F.col("id").alias("file_id"), "package", F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string")).alias("external"))
 
 
 def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content of a tree whose index is the graph: a relative import for each edge and a bare one for each external use, and manifests()."""
-    g, each = graph(spark, sf_dir), files(spark, sf_dir)
+    each = files(spark, sf_dir)
+    known = each.where(P.passes(F.col("id")))
+    g = graph(spark, sf_dir, known)
     near = g.edges.select(F.col("src").alias("id"), F.concat(F.lit("../../"), F.regexp_replace(F.regexp_replace("dst", "^packages/", ""), r"(/index)?\.(d\.)?[^./]*$", "")).alias("spec"))
-    uses = external_uses(spark, sf_dir).select(F.col("file_id").alias("id"), F.col("external").alias("spec"))
+    uses = external_uses(spark, sf_dir, known).select(F.col("file_id").alias("id"), F.col("external").alias("spec"))
     lines = near.union(uses).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("import '"), "spec", F.lit("';")))), "\n").alias("content"))  # one file's imports
     sources = each.join(lines, "id", "left").select(F.col("id").alias("path"), F.coalesce("content", F.lit("")).alias("content"))
     return sources.unionByName(manifests(spark, each))
