@@ -23,12 +23,12 @@ CANDIDATE_EXTENSIONS = ("ts", "tsx", "d.ts", "js", "jsx", "mjs", "cjs")
 
 
 def base_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*)$", 1)
+    return F.substring_index(path, "/", -1)
 
 
 def dir_name(path: Column) -> Column:
     """The folder of a path; empty at the root."""
-    return F.regexp_replace(path, r"/?[^/]*$", "")
+    return F.substring(path, F.lit(1), F.greatest(F.length(path) - F.length(base_name(path)) - 1, F.lit(0)))
 
 
 def stem(path: Column) -> Column:
@@ -37,7 +37,7 @@ def stem(path: Column) -> Column:
 
 
 def depth(path: Column) -> Column:
-    return F.regexp_count(path, F.lit("/"))
+    return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
 
 
 def is_source(path: Column) -> Column:
@@ -90,8 +90,17 @@ def normalize(path: Column) -> Column:
 
 
 def joined(folder: Column, specifier: Column) -> Column:
-    """The path that a relative specifier names from a folder."""
-    return normalize(F.when(folder == "", specifier).otherwise(F.concat_ws("/", folder, specifier)))
+    """The path that a relative specifier names from a folder.
+
+    Most specifiers go up and then down, from folders that are spelt plainly: names are then cut off the folder's end, without a walk over all.
+    """
+    whole = normalize(F.when(folder == "", specifier).otherwise(F.concat_ws("/", folder, specifier)))
+    odd = r"(^|/)\.{0,2}(/|$)"  # a name that is empty or only dots
+    down = F.regexp_replace(specifier, r"^(?:\.\./)+", "")
+    ups = F.floor((F.length(specifier) - F.length(down)) / 3).cast("int")
+    left = depth(folder) + 1 - ups
+    short = F.concat(F.call_function("substring_index", folder, F.lit("/"), left), F.lit("/"), down)
+    return F.when((left > 0) & ~folder.rlike(odd) & ~down.rlike(odd), short).otherwise(whole)
 
 
 def bare_package(specifier: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from depsight.functions import paths as P
 from depsight.operators.folders import looked_up
-from depsight.tables import together
+from depsight.tables import together, written
 
 #: A table, or what gives its rows for a table of keys (one column, named as there): then only these are read.
 Lookup = DataFrame | Callable[[DataFrame], DataFrame]
@@ -21,22 +21,24 @@ def candidates(path: Column) -> Column:
     return F.flatten(F.transform(F.array(path), lambda p: F.transform(ends, lambda e: F.concat(p, e))))
 
 
-def probed(asked: DataFrame, path: Column, files: Lookup, keys: list[str]) -> DataFrame:
+def probed(asked: DataFrame, path: Column, files: Lookup, keys: list[str], keep: bool = False) -> DataFrame:
     """keys and target: the first candidate of path that is a file (files: path). Rows without one are left out.
 
-    Many rows name one path, so that distinct paths are looked up and their answers joined back.
+    Many rows name one path, so that distinct paths are looked up and their answers joined back; with keep rows are written, as they are read for both.
     """
     rows = asked.select(*keys, path.alias("_at"))
+    rows = written(rows, "asked") if keep else rows
     spread = rows.select("_at").distinct().select("_at", F.posexplode(candidates(F.col("_at"))).alias("_pos", "_path"))
     there = looked_up(files, spread.select(F.col("_path").alias("path")))
     met = spread.join(there.select(F.col("path").alias("_file")).distinct(), F.col("_path") == F.col("_file"))
-    return rows.join(met.groupBy("_at").agg(F.min_by("_path", "_pos").alias("target")), "_at").select(*keys, "target")
+    # rows are many beside paths, and needn't be sorted to meet them
+    return rows.join(met.groupBy("_at").agg(F.min_by("_path", "_pos").alias("target")).hint("shuffle_hash"), "_at").select(*keys, "target")
 
 
 def relative(imports: DataFrame, files: Lookup) -> DataFrame:
     """file_id, source, target for relative specifiers that lead to a file; the importer's folder is where they start."""
     asked = imports.where(P.is_relative(F.col("source"))).select("file_id", "source").distinct()
-    return probed(asked, P.joined(P.dir_name(F.col("file_id")), F.col("source")), files, ["file_id", "source"])
+    return probed(asked, P.joined(P.dir_name(F.col("file_id")), F.col("source")), files, ["file_id", "source"], keep=True)
 
 
 def workspace_packages(imports: DataFrame, packages: Lookup, files: Lookup) -> DataFrame:
