@@ -14,6 +14,8 @@ rest leave the rounds.
 Rounds are for graphs of many edges. Those of SMALL edges at most, and what rounds leave of a graph once it is as small, are settled each by one task: they
 cross the network once. Where edges are many beside nodes, the components of a few edges of each node come first; nodes of one become one node, and all edges
 then lie between these, few of them different.
+
+Rounds' tables of nodes are not broadcast: as files they are a small part of what they are in memory, and each would go through the driver.
 """
 
 from __future__ import annotations
@@ -45,15 +47,15 @@ def unchained(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     into = written(edges.groupBy("d").agg(F.count("*").alias("n"), F.min("s").alias("u")), "degrees")
     above = into.select(F.col("d").alias("to"), F.col("n").alias("above"))
     end = F.when(F.col("above").isNull(), "root").when(F.col("above") > 1, "open")
-    chain = written(into.where("n = 1").select(F.col("d").alias("k"), F.col("u").alias("to")).join(above, "to", "left").select("k", "to", F.col("k").alias("least"), end.alias("end")), "chain")
-    starts = edges.select("s").distinct().join(into.select(F.col("d").alias("s")), "s", "left_anti")
+    chain = written(into.where("n = 1").select(F.col("d").alias("k"), F.col("u").alias("to")).join(above.hint("merge"), "to", "left").select("k", "to", F.col("k").alias("least"), end.alias("end")), "chain")
+    starts = edges.select("s").distinct().join(into.select(F.col("d").alias("s")).hint("merge"), "s", "left_anti")
     if chain.isEmpty() and starts.isEmpty():
         return edges, None
     loose = chain.where("end IS NULL").count()
     ring, images = False, -1
     while loose:
         up = chain.select(F.col("k").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"), F.col("end").alias("_end"))
-        open_ = chain.where("end IS NULL").join(up, "to")
+        open_ = chain.where("end IS NULL").join(up.hint("merge"), "to")
         jumped = written(chain.where("end IS NOT NULL").unionByName(open_.select("k", F.col("_to").alias("to"), F.least("least", "_least").alias("least"), F.col("_end").alias("end"), (F.col("_least") < F.col("least")).alias("moved")), allowMissingColumns=True), "jump")
         dropped(chain)
         chain = jumped
@@ -67,9 +69,9 @@ def unchained(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     rings = None
     if loose:
         pointed = chain.where("end IS NULL").select(F.col("to").alias("k")).distinct()
-        rings = written(chain.join(pointed, "k", "left_semi").select("k", F.col("least").alias("root")), "rings")
+        rings = written(chain.join(pointed.hint("merge"), "k", "left_semi").select("k", F.col("least").alias("root")), "rings")
     gone = starts.union(chain.where("end IS NULL OR end = 'root'").select("k"))
-    left = written(edges.join(gone, "s", "left_anti"), "unchained")
+    left = written(edges.join(gone.hint("merge"), "s", "left_anti"), "unchained")
     dropped(into)
     dropped(chain)
     return left, rings
@@ -84,14 +86,14 @@ def numbered(edges: DataFrame) -> DataFrame:
         f, b = labels.where("f_moved").select(F.col("k").alias("_k"), F.col("f").alias("_f")), labels.where("b_moved").select(F.col("k").alias("_k"), F.col("b").alias("_b"))
         of = labels.select(F.col("k").alias("_k"), F.col("f").alias("_f"), F.col("b").alias("_b"))
         come = union([
-            edges.join(f, F.col("s") == F.col("_k")).select(F.col("d").alias("k"), F.col("_f").alias("f"), none.alias("b")),
-            edges.join(b, F.col("d") == F.col("_k")).select(F.col("s").alias("k"), none.alias("f"), F.col("_b").alias("b")),
-            labels.where("f <> k").join(of, F.col("f") == F.col("_k")).where("_f < f").select("k", F.col("_f").alias("f"), none.alias("b")),
-            labels.where("b <> k").join(of, F.col("b") == F.col("_k")).where("_b < b").select("k", none.alias("f"), F.col("_b").alias("b")),
+            edges.join(f.hint("merge"), F.col("s") == F.col("_k")).select(F.col("d").alias("k"), F.col("_f").alias("f"), none.alias("b")),
+            edges.join(b.hint("merge"), F.col("d") == F.col("_k")).select(F.col("s").alias("k"), none.alias("f"), F.col("_b").alias("b")),
+            labels.where("f <> k").join(of.hint("merge"), F.col("f") == F.col("_k")).where("_f < f").select("k", F.col("_f").alias("f"), none.alias("b")),
+            labels.where("b <> k").join(of.hint("merge"), F.col("b") == F.col("_k")).where("_b < b").select("k", none.alias("f"), F.col("_b").alias("b")),
         ])
         least = come.groupBy("k").agg(F.min("f").alias("_f"), F.min("b").alias("_b"))
         moved = lambda c: F.coalesce(F.col(f"_{c}") < F.col(c), F.lit(False))
-        new = written(labels.join(least, "k", "left").select("g", "k", F.least("f", "_f").alias("f"), F.least("b", "_b").alias("b"), moved("f").alias("f_moved"), moved("b").alias("b_moved")), "numbers")
+        new = written(labels.join(least.hint("merge"), "k", "left").select("g", "k", F.least("f", "_f").alias("f"), F.least("b", "_b").alias("b"), moved("f").alias("f_moved"), moved("b").alias("b_moved")), "numbers")
         dropped(labels)
         labels = new
         rows, moving, graphs = labels.agg(F.count("*"), F.count(F.when(F.col("f_moved") | F.col("b_moved"), 1)), F.countDistinct("g")).first()
@@ -183,13 +185,13 @@ def rounds(left: DataFrame, nodes: int, thin: bool = True) -> DataFrame:
     if thin and n > DENSE * nodes:
         first = written(rounds(written(few(left), "few"), nodes, False), "first")
         a, b = first.select(F.col("k").alias("s"), F.col("root").alias("_s")), first.select(F.col("k").alias("d"), F.col("root").alias("_d"))
-        rest = left.join(a, "s", "left").join(b, "d", "left").select("g", F.coalesce("_s", "s").alias("s"), F.coalesce("_d", "d").alias("d")).where("s <> d").distinct()
+        rest = left.join(a.hint("merge"), "s", "left").join(b.hint("merge"), "d", "left").select("g", F.coalesce("_s", "s").alias("s"), F.coalesce("_d", "d").alias("d")).where("s <> d").distinct()
         rest = written(rest, "edges")
         if among := rest.count():
             # again while it leaves few edges: where it found no cycles it would find none again
             more = written(rounds(rest, rest.select("s").union(rest.select("d")).distinct().count(), 2 * among < n), "more")
-            known = first.join(more.select(F.col("k").alias("root"), F.col("root").alias("_root")), "root", "left").select("k", F.coalesce("_root", "root").alias("root"))
-            first = known.union(more.join(first, "k", "left_anti"))
+            known = first.join(more.select(F.col("k").alias("root"), F.col("root").alias("_root")).hint("merge"), "root", "left").select("k", F.coalesce("_root", "root").alias("root"))
+            first = known.union(more.join(first.hint("merge"), "k", "left_anti"))
         return union([*found, first])
     while n:
         while n:
@@ -201,7 +203,7 @@ def rounds(left: DataFrame, nodes: int, thin: bool = True) -> DataFrame:
                 if not (n := plain.count()):
                     break
             if n < before:
-                left = written(left.join(plain, ["s", "d"], "left_semi").select("g", "s", "d"), "edges")
+                left = written(left.join(plain.hint("merge"), ["s", "d"], "left_semi").select("g", "s", "d"), "edges")
             if n > (1 - SHARE) * before:
                 break
         if not n:
@@ -215,7 +217,7 @@ def rounds(left: DataFrame, nodes: int, thin: bool = True) -> DataFrame:
         labels = written(numbered(left), "labels")
         found.append(labels.where("f = b").select("k", F.col("f").alias("root")))
         x, y = labels.select(F.col("k").alias("s"), F.col("f").alias("sf"), F.col("b").alias("sb")), labels.select(F.col("k").alias("d"), F.col("f").alias("df"), F.col("b").alias("db"))
-        left = written(left.join(x, "s").join(y, "d").where("sf = df AND sb = db AND sf <> sb").select("g", "s", "d"), "edges")
+        left = written(left.join(x.hint("merge"), "s").join(y.hint("merge"), "d").where("sf = df AND sb = db AND sf <> sb").select("g", "s", "d"), "edges")
         n = left.count()
     return union(found) if found else large.select(F.col("s").alias("k"), F.col("s").alias("root")).where("false")
 
@@ -247,10 +249,10 @@ def by_rounds(own: DataFrame) -> DataFrame:
     out = loops.select("g", "id", F.col("id").alias("scc"))
     left = written(own.where("s <> d").select("g", number(seed, "s").alias("s"), number(seed, "d").alias("d")).distinct(), "edges")
     if nodes:
-        members = written(rounds(left, nodes).join(names.withColumn("k", number(seed, "id")), "k").select("root", "g", "id"), "components")
+        members = written(rounds(left, nodes).join(names.withColumn("k", number(seed, "id")).hint("merge"), "k").select("root", "g", "id"), "components")
         several = members.groupBy("root").agg(F.min("id").alias("scc"), F.count("*").alias("n")).where("n > 1")
-        several = members.join(several, "root").select("g", "id", "scc")
-        out = several.union(out.join(several.select("g", "id"), ["g", "id"], "left_anti"))
+        several = members.join(several.hint("merge"), "root").select("g", "id", "scc")
+        out = several.union(out.join(several.select("g", "id").hint("merge"), ["g", "id"], "left_anti"))
     return out
 
 
