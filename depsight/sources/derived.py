@@ -51,13 +51,18 @@ def module_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).where(P.passes(F.col("id")))
 
 
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """f, t: keys of every consecutive pair of an order's lines, as often as it is there."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    after = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")  # the lines of one order
+    return lines.withColumn("t", F.lead("l_partkey").over(after)).where("t IS NOT NULL").select(F.col("l_partkey").alias("f"), "t")
+
+
 def graph(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> Graph:
     """Every consecutive pair of an order's lines between parts that are nodes (known, if they are at hand) is an import."""
     known = module_nodes(spark, sf_dir) if known is None else known
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    after = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")  # the lines of one order
     # pairs of keys are made distinct where they meet their names: a name has its key in it, so edges of names are distinct then
-    imports = lines.withColumn("t", F.lead("l_partkey").over(after)).where("t IS NOT NULL").select(F.col("l_partkey").alias("f"), "t").repartition("f").distinct()
+    imports = pairs(spark, sf_dir).repartition("f").distinct()
     named = known.select("k", "id").repartition("k").distinct().hint("shuffle_hash")
     edges = imports.join(named.select(F.col("k").alias("f"), F.col("id").alias("src")), "f").join(named.select(F.col("k").alias("t"), F.col("id").alias("dst")), "t").select("src", "dst")
     nodes = known.select("id", F.col("id").alias("path"), P.base_name(F.col("id")).alias("label"), "package", F.lit("file").alias("kind"))
@@ -106,12 +111,14 @@ def external_uses(spark: SparkSession, sf_dir: str, known: DataFrame | None = No
 def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content of a tree whose index is the graph: a relative import for each edge and a bare one for each external use, and manifests()."""
     each = files(spark, sf_dir)
-    known = each.where(P.passes(F.col("id")))
-    g = graph(spark, sf_dir, known)
-    near = g.edges.select(F.col("src").alias("id"), F.concat(F.lit("../../"), F.regexp_replace(F.regexp_replace("dst", "^packages/", ""), r"(/index)?\.(d\.)?[^./]*$", "")).alias("spec"))
-    uses = external_uses(spark, sf_dir, known).select(F.col("file_id").alias("id"), F.col("external").alias("spec"))
-    lines = near.union(uses).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("import '"), "spec", F.lit("';")))), "\n").alias("content"))  # one file's imports
-    sources = each.join(lines, "id", "left").select(F.col("id").alias("path"), F.coalesce("content", F.lit("")).alias("content"))
+    statement = lambda spec: F.concat(F.lit("import '"), spec, F.lit("';"))
+    # a name becomes a statement once, before it meets its importers, and statements are gathered by their file's key: no pair of names moves
+    plain = F.regexp_replace(F.regexp_replace("id", "^packages/", ""), r"(/index)?\.(d\.)?[^./]*$", "")
+    named = each.where(P.passes(F.col("id"))).select(F.col("k").alias("t"), statement(F.concat(F.lit("../../"), plain)).alias("line")).repartition("t").distinct().hint("shuffle_hash")
+    near = pairs(spark, sf_dir).repartition("t").distinct().join(named, "t").select(F.col("f").alias("k"), "line")
+    uses = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct().select(F.col("l_partkey").alias("k"), statement(F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string"))).alias("line"))
+    lines = near.union(uses).repartition("k").groupBy("k").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("content"))  # one file's imports
+    sources = each.join(lines.hint("merge"), "k", "left").select(F.col("id").alias("path"), F.coalesce(F.when(P.passes(F.col("id")), F.col("content")), F.lit("")).alias("content"))
     return sources.unionByName(manifests(spark, each))
 
 
