@@ -21,13 +21,26 @@ def candidates(path: Column) -> Column:
     return F.flatten(F.transform(F.array(path), lambda p: F.transform(ends, lambda e: F.concat(p, e))))
 
 
-def probed(asked: DataFrame, path: Column, files: Lookup, keys: list[str], keep: bool = False) -> DataFrame:
+def answers(files: DataFrame) -> DataFrame:
+    """_at, target: every path that files (path) answer for, and the one that is its first candidate. candidates() read backwards: a file has a few paths that it
+    can stand for, while a path has many candidates."""
+    path = F.col("path")
+    ends = ["", *[f".{e}" for e in P.CANDIDATE_EXTENSIONS], *[f"/index.{e}" for e in P.CANDIDATE_EXTENSIONS]]
+    each = F.array(*[F.struct(F.when(path.endswith(e), F.substring(path, F.lit(1), F.length(path) - len(e))).alias("at"), F.lit(k).alias("pos")) for k, e in enumerate(ends)])
+    spread = files.select("path", F.explode(F.filter(each, lambda x: x["at"].isNotNull())).alias("x")).select("path", "x.at", "x.pos")
+    return spread.groupBy(F.col("at").alias("_at")).agg(F.min_by("path", "pos").alias("target"))
+
+
+def probed(asked: DataFrame, path: Column, files: Lookup, keys: list[str], many: bool = False) -> DataFrame:
     """keys and target: the first candidate of path that is a file (files: path). Rows without one are left out.
 
-    Many rows name one path, so that distinct paths are looked up and their answers joined back; with keep rows are written, as they are read for both.
+    Many rows name one path, so that distinct paths are looked up and their answers joined back. With many, rows outnumber files: they meet what all files answer
+    for, once, and are neither written nor grouped; where files are a lookup they are written, as they are read twice.
     """
     rows = asked.select(*keys, path.alias("_at"))
-    rows = written(rows, "asked") if keep else rows
+    if many and isinstance(files, DataFrame):
+        return rows.join(answers(files).hint("shuffle_hash"), "_at").select(*keys, "target")
+    rows = written(rows, "asked") if many else rows
     spread = rows.select("_at").distinct().select("_at", F.posexplode(candidates(F.col("_at"))).alias("_pos", "_path"))
     there = looked_up(files, spread.select(F.col("_path").alias("path")))
     met = spread.join(there.select(F.col("path").alias("_file")).distinct(), F.col("_path") == F.col("_file"))
@@ -35,10 +48,10 @@ def probed(asked: DataFrame, path: Column, files: Lookup, keys: list[str], keep:
     return rows.join(met.groupBy("_at").agg(F.min_by("_path", "_pos").alias("target")).hint("shuffle_hash"), "_at").select(*keys, "target")
 
 
-def relative(imports: DataFrame, files: Lookup) -> DataFrame:
-    """file_id, source, target for relative specifiers that lead to a file; the importer's folder is where they start."""
-    asked = imports.where(P.is_relative(F.col("source"))).select("file_id", "source").distinct()
-    return probed(asked, P.joined(P.dir_name(F.col("file_id")), F.col("source")), files, ["file_id", "source"], keep=True)
+def relative(imports: DataFrame, files: Lookup, distinct: bool = True) -> DataFrame:
+    """file_id, source, target for relative specifiers that lead to a file; the importer's folder is where they start. distinct: each once, however often a file has it."""
+    asked = imports.where(P.is_relative(F.col("source"))).select("file_id", "source")
+    return probed(asked.distinct() if distinct else asked, P.joined(P.dir_name(F.col("file_id")), F.col("source")), files, ["file_id", "source"], many=True)
 
 
 def workspace_packages(imports: DataFrame, packages: Lookup, files: Lookup) -> DataFrame:
@@ -90,18 +103,18 @@ def templates(imports: DataFrame, files: Lookup) -> DataFrame:
 
 
 def resolved(imports: DataFrame, files: Lookup, packages: Lookup, configs: Lookup, siblings: Lookup | None = None) -> DataFrame:
-    """file_id, source, kind (file, external), target for every import that leads somewhere.
+    """file_id, source, kind (file, external), target for every import that leads somewhere; a relative one as often as its file has it.
 
     The order: templates by folder; relative by file; then workspace packages, path aliases, and last the name of an external package.
     files, packages, configs may be lookups by path, name and dir; then siblings is one of files by folder.
     """
     plain = imports.where("NOT is_unresolvable AND NOT is_template AND source <> ''")
     keys = ["file_id", "source"]
-    # each is asked for more than once below
-    near, ours, alias, many = together(relative(plain, files), workspace_packages(plain, packages, files), aliases(plain, configs, files), templates(imports, files if siblings is None else siblings))
+    near, many = relative(plain, files, distinct=False), templates(imports, files if siblings is None else siblings)
+    ours, alias = together(workspace_packages(plain, packages, files), aliases(plain, configs, files))  # each is asked for more than once below
     alias = alias.join(ours.select(*keys), keys, "left_anti")
     taken = ours.select(*keys).union(alias.select(*keys))
-    outside = plain.select(*keys).distinct().join(taken, keys, "left_anti").withColumn("target", P.bare_package(F.col("source"))).where("target IS NOT NULL")
+    outside = plain.where(~P.is_relative(F.col("source"))).select(*keys).distinct().join(taken, keys, "left_anti").withColumn("target", P.bare_package(F.col("source"))).where("target IS NOT NULL")
     found = near.unionByName(ours).unionByName(alias).unionByName(many).withColumn("kind", F.lit("file"))
     return found.unionByName(outside.withColumn("kind", F.lit("external"))).select(*keys, "kind", "target")
 

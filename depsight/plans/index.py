@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,17 +20,44 @@ RING = 64
 
 @dataclass
 class Index:
-    """nodes, edges, imports (statements), targets (resolved), errors of a tree (files: path, content)."""
+    """nodes, edges, imports (statements), targets (resolved), errors of a tree (files: path, content; owned: id, package of those that are nodes; packages and
+    configs: what its manifests say).
+
+    Nodes and edges are worked out and written when they are first asked for; targets are a plan, of which each reads its part.
+    """
 
     files: DataFrame
-    nodes: DataFrame
-    edges: DataFrame
+    owned: DataFrame
+    packages: DataFrame
+    configs: DataFrame
     imports: DataFrame
     targets: DataFrame
     errors: DataFrame
     include_tests: bool = False
     root_name: str = "."
 
+    @cached_property
+    def outside(self) -> DataFrame:
+        """owner, target: what a package's files import from outside is one edge of the package, while any file does."""
+        owner = F.coalesce("package", F.lit("(unattributed)"))
+        uses = self.targets.where("kind = 'external'").select("file_id", "target").join(self.owned, F.col("file_id") == F.col("id"))
+        return written(uses.select(owner.alias("owner"), "target").distinct(), "outside")
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """id, path, label, package, kind: a node for each source file, each owning package with externals and each external."""
+        none = F.lit(None).cast("string")
+        plain = self.owned.select("id", F.col("id").alias("path"), P.base_name(F.col("id")).alias("label"), "package", F.lit("file").alias("kind"))
+        groups = self.outside.select("owner").distinct().select(P.package_id(F.col("owner")).alias("id"), F.col("owner").alias("path"), F.col("owner").alias("label"), F.col("owner").alias("package"), F.lit("workspace_package").alias("kind"))
+        others = self.outside.select("target").distinct().select(P.external_id(F.col("target")).alias("id"), F.col("target").alias("path"), F.col("target").alias("label"), none.alias("package"), F.lit("external").alias("kind"))
+        return written(plain.unionByName(groups).unionByName(others), "nodes")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """src, dst."""
+        inside = self.targets.where("kind = 'file'").select(F.col("file_id").alias("src"), F.col("target").alias("dst"))
+        return written(inside.union(self.outside.select(P.package_id(F.col("owner")), P.external_id(F.col("target")))).distinct(), "edges")
+
     def unresolved(self) -> DataFrame:
         """n: dynamic imports that lead to no node."""
         hit = self.targets.select("file_id", "source").distinct().withColumn("hit", F.lit(True))
@@ -45,13 +73,18 @@ class Index:
         return graphs.diff(self.nodes, self.edges, new.nodes, new.edges)
 
 
-def build(files: DataFrame, include_tests: bool = False, root_name: str = ".") -> Index:
-    """The raw graph of all files: a node for each source file, each owning package with externals and each external."""
-    files = written(files.select("path", "content"), "files")
+def build(files: DataFrame, include_tests: bool = False, root_name: str = ".", keep: bool = True) -> Index:
+    """The raw graph of all files. keep: files are written first; without, they are a written table already."""
+    files = written(files.select("path", "content"), "files") if keep else files.select("path", "content")
     imports, errors = reader.imports(files.where(P.passes(F.col("path"), include_tests)))
-    packages = written(manifests.packages(files, root_name), "packages")
-    owned = owners(files, packages, include_tests)
-    return Index(files, *graph(owned, found := targets(imports, files, packages, owned)), imports, found, errors, include_tests, root_name)
+    packages, configs = described(files, root_name)
+    return Index(files, owners(files, packages, include_tests), packages, configs, imports, targets(imports, files, packages, configs, include_tests), errors, include_tests, root_name)
+
+
+def described(files: DataFrame, root_name: str) -> tuple[DataFrame, DataFrame]:
+    """Packages and configurations of a tree. Manifests are cut out of its files once: each of their readers would go through all contents again."""
+    found = written(files.where(F.col("path").rlike(r"\.(json|yaml|lock)$")), "manifests")
+    return manifests.packages(found, root_name), manifests.configs(found)
 
 
 def owners(files: DataFrame, packages: DataFrame, include_tests: bool) -> DataFrame:
@@ -61,23 +94,11 @@ def owners(files: DataFrame, packages: DataFrame, include_tests: bool) -> DataFr
     return written(found.select("id", F.col("name").alias("package")), "owned")
 
 
-def targets(imports: DataFrame, files: DataFrame, packages: DataFrame, owned: DataFrame) -> DataFrame:
-    """file_id, source, kind, target of the imports that lead to a node or out of the tree."""
-    entries = resolve.entries(packages, files.select("path"))
-    found = resolve.resolved(imports, files.select("path"), entries, manifests.configs(files))
-    own = found.where("kind = 'file'").join(owned.select(F.col("id").alias("target")), "target", "left_semi").select("file_id", "source", "kind", "target")
-    return written(own.unionByName(found.where("kind = 'external'")), "targets")
-
-
-def graph(owned: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of owned files and their targets; what a package's files import from outside is one edge of the package, while any file does."""
-    none, owner = F.lit(None).cast("string"), F.coalesce("package", F.lit("(unattributed)"))
-    outside = found.where("kind = 'external'").join(owned, F.col("file_id") == F.col("id")).select(owner.alias("owner"), "target").distinct()
-    plain = owned.select("id", F.col("id").alias("path"), P.base_name(F.col("id")).alias("label"), "package", F.lit("file").alias("kind"))
-    groups = outside.select("owner").distinct().select(P.package_id(F.col("owner")).alias("id"), F.col("owner").alias("path"), F.col("owner").alias("label"), F.col("owner").alias("package"), F.lit("workspace_package").alias("kind"))
-    others = outside.select("target").distinct().select(P.external_id(F.col("target")).alias("id"), F.col("target").alias("path"), F.col("target").alias("label"), none.alias("package"), F.lit("external").alias("kind"))
-    edges = found.where("kind = 'file'").select(F.col("file_id").alias("src"), F.col("target").alias("dst")).union(outside.select(P.package_id(F.col("owner")), P.external_id(F.col("target")))).distinct()
-    return written(plain.unionByName(groups).unionByName(others), "nodes"), written(edges, "edges")
+def targets(imports: DataFrame, files: DataFrame, packages: DataFrame, configs: DataFrame, include_tests: bool) -> DataFrame:
+    """file_id, source, kind, target of the imports that lead to a node or out of the tree. A target inside is one of the files, so that its name alone tells whether it is a node."""
+    entries = written(resolve.entries(packages, files.select("path")), "entries")
+    found = resolve.resolved(imports, files.select("path"), entries, configs)
+    return found.where((F.col("kind") == "external") | P.passes(F.col("target"), include_tests))
 
 
 def updated(old: Index, changes: DataFrame) -> Index:
@@ -88,15 +109,14 @@ def updated(old: Index, changes: DataFrame) -> Index:
     changed, kept = changes.select("path").distinct(), changes.where("NOT removed").select("path", "content")
     files = written(old.files.join(changed, "path", "left_anti").unionByName(kept), "files")
     fresh, faults = reader.imports(kept.where(P.passes(F.col("path"), old.include_tests)))
-    packages = written(manifests.packages(files, old.root_name), "packages")
-    owned = owners(files, packages, old.include_tests)
+    packages, configs = described(files, old.root_name)
     gone = changes.where("removed").select(F.col("path").alias("target"), F.lit("file").alias("kind")).distinct()
     mine = changed.withColumnRenamed("path", "file_id")
     stay = old.targets.join(mine, "file_id", "left_anti").join(gone, ["target", "kind"], "left_anti")
-    found = written(stay.unionByName(targets(fresh, files, packages, owned)), "targets")
+    found = written(stay.unionByName(targets(fresh, files, packages, configs, old.include_tests)), "targets")
     imports = written(old.imports.join(mine, "file_id", "left_anti").unionByName(fresh), "imports")
     errors = written(old.errors.join(changed, "path", "left_anti").unionByName(faults), "errors")
-    return Index(files, *graph(owned, found), imports, found, errors, old.include_tests, old.root_name)
+    return Index(files, owners(files, packages, old.include_tests), packages, configs, imports, found, errors, old.include_tests, old.root_name)
 
 
 def exported(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> dict[str, DataFrame]:

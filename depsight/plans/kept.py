@@ -70,17 +70,15 @@ class KeptIndex:
     store: Store
 
     @classmethod
-    def create(cls, path: str, files: DataFrame, include_tests: bool = False, root_name: str = ".", per_bucket: int = PER_BUCKET) -> KeptIndex:
-        """The index of all files (path, content), as the first version in a folder."""
-        spark, g = files.sparkSession, index.build(files, include_tests, root_name)
-        packages = written(manifests.packages(g.files, root_name), "packages")
-        listing = g.files.select("path").distinct()
-        owned = g.nodes.where("kind = 'file'").select("id", "package")
-        found = g.targets.select("file_id", "kind", "target").distinct()
-        held = written(uses(found, owned), "uses")
+    def create(cls, path: str, files: DataFrame, include_tests: bool = False, root_name: str = ".", per_bucket: int = PER_BUCKET, keep: bool = True) -> KeptIndex:
+        """The index of all files (path, content), as the first version in a folder. keep: as in index.build()."""
+        spark, g = files.sparkSession, index.build(files, include_tests, root_name, keep)
+        listing = written(g.files.select("path").distinct(), "listing")
+        found = written(g.targets.select("file_id", "kind", "target").distinct(), "targets")
+        held = written(uses(found, g.owned), "uses")
         tables = {
-            "listing": (listing, ["path"]), "siblings": (listing.select(P.dir_name(F.col("path")).alias("folder"), "path"), ["folder"]), "files": (owned, ["id"]),
-            "roots": (packages.select(F.col("root").alias("dir"), "name"), ["dir"]), "names": (resolve.entries(packages, listing).select("name", "root", "entry"), ["name"]), "configs": (manifests.configs(g.files), ["dir"]),
+            "listing": (listing, ["path"]), "siblings": (listing.select(P.dir_name(F.col("path")).alias("folder"), "path"), ["folder"]), "files": (g.owned, ["id"]),
+            "roots": (g.packages.select(F.col("root").alias("dir"), "name"), ["dir"]), "names": (resolve.entries(g.packages, listing).select("name", "root", "entry"), ["name"]), "configs": (g.configs, ["dir"]),
             "targets": (found, ["file_id"]), "incoming": (found.where("kind = 'file'").select("target", "file_id"), ["target"]), "uses": (held, ["src", "dst"]), "refs": (ends(held), ["id"]),
             "unresolved": (unresolved(g.imports, g.targets), ["file_id"]), "errors": (g.errors.select("kind", "path", "message"), ["path"]),
         }
