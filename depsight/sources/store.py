@@ -128,18 +128,22 @@ class Store:
         if change is None:
             return table
         names = table.schema.names
-        delta = change.groupBy(*names).agg(F.sum("n").cast("long").alias("n")).where("n <> 0").select(*names, "n")
         fresh.append(first := f"{name}-{mark}")
-        if self.version < 0:
-            run = self._write(delta, first, table.key, delta.count())
-        else:  # small beside the table: one bucket will do
+        about = change.count()
+        if self.version < 0:  # rows that are there twice are summed when they are read
+            delta = change.select(*names, F.col("n").cast("long").alias("n")).where("n <> 0")
+        else:
+            delta = change.groupBy(*names).agg(F.sum("n").cast("long").alias("n")).where("n <> 0").select(*names, "n")
+        if self.version < 0 or about > self.per_bucket:
+            run = self._write(delta, first, table.key, about)
+        else:  # small: one bucket will do
             delta.withColumn("bucket", F.lit(0)).coalesce(1).write.partitionBy("bucket").parquet(f"{self.path}/{first}")
             run = self._counted(first, delta.schema, 1)
         k, total = len(table.runs), run.rows
         while total and k and 2 * total >= table.runs[k - 1].rows:
             k -= 1
             total += table.runs[k].rows
-        if k < len(table.runs) or run.rows > self.per_bucket * run.buckets:
+        if k < len(table.runs):
             fresh.append(last := f"{name}-{mark}-merged")
             rows = self.spark.read.schema(delta.schema).parquet(*[f"{self.path}/{r.path}/bucket={b}" for r in [*table.runs[k:], run] for b in r.there])
             run = self._write(rows.groupBy(*names).agg(F.sum("n").alias("n")).where("n <> 0"), last, table.key, total)
