@@ -21,9 +21,9 @@ STRIDE = 8
 FEW = 50_000
 
 
-def sized(df: DataFrame, rows: int) -> DataFrame:
+def sized(df: DataFrame, rows: int, way: str = "merge") -> DataFrame:
     """A side of a join that is broadcast if its rows are few, and else never."""
-    return F.broadcast(df) if rows <= FEW else df.hint("merge")
+    return F.broadcast(df) if rows <= FEW else df.hint(way)
 
 
 def reached(edges: DataFrame, seeds: DataFrame, avoid: DataFrame | None = None, graph: str | None = None) -> DataFrame:
@@ -38,7 +38,8 @@ def reached(edges: DataFrame, seeds: DataFrame, avoid: DataFrame | None = None,
     ends, front = written(ends, "ends"), written(seeds.select(*by, "id").distinct(), "level")
     rows, recent, levels = front.count(), [], []
     while rows:
-        found = ends.join(sized(front.select(*by, F.col("id").alias("_from")), rows), [*by, "_from"]).select(*by, F.col("_to").alias("id")).distinct()
+        # edges are many beside a level, and needn't be sorted to meet it
+        found = ends.join(sized(front.select(*by, F.col("id").alias("_from")), rows, "shuffle_hash"), [*by, "_from"]).select(*by, F.col("_to").alias("id")).distinct()
         if recent:
             found = found.join(union([x for x, _ in recent]).hint("merge"), [*by, "id"], "left_anti")
         front = written(found, "level")

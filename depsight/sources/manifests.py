@@ -26,6 +26,7 @@ NO_COMMENTS = r"""("(?:[^"\\]++|\\.)*+")|//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"""
 TEST_GLOBS = (
     "**/*.test.ts", "**/*.test.tsx", "**/*.test.js", "**/*.test.jsx", "**/*.spec.ts", "**/*.spec.tsx", "**/*.spec.js", "**/*.spec.jsx", "**/__tests__/**",
 )
+TEST_HINTS = (".test.", ".spec.", "__tests__/")  # each of TEST_GLOBS has one of these in it
 CONFIG_GLOBS = (
     "vite.config.js", "vite.config.ts", "vite.config.mjs", "vite.config.cjs", "webpack.config.js", "webpack.config.ts", "webpack.config.mjs", "webpack.config.cjs",
     "rollup.config.js", "rollup.config.ts", "rollup.config.mjs", "rollup.config.cjs", ".eslintrc.js", ".eslintrc.cjs", ".eslintrc.mjs", ".eslintrc.json",
@@ -185,7 +186,11 @@ def entry_points(files: DataFrame, globs: tuple[str, ...] = (), root_name: str =
     below = paths.select("path", F.explode(P.ancestors(F.col("path"))).alias("root")).join(roots, "root").select("path", F.expr("CASE WHEN root = '' THEN path ELSE substring(path, length(root) + 2) END").alias("rest"))
     tests = "|".join(pattern_expression(g)[1:-1] for g in TEST_GLOBS)
     tools = "|".join(pattern_expression(g)[1:-1] for g in CONFIG_GLOBS)
-    named = below.where(F.col("rest").rlike(f"^({tests})$") | (~F.col("rest").contains("/") & F.col("rest").rlike(f"^({tools})$"))).select("path")
+    # few names hold what every pattern of a test holds; the others needn't be matched with all of them
+    hint = F.lit(False)
+    for x in TEST_HINTS:
+        hint = hint | F.col("rest").contains(x)
+    named = below.where((hint & F.col("rest").rlike(f"^({tests})$")) | (~F.col("rest").contains("/") & F.col("rest").rlike(f"^({tools})$"))).select("path")
     out = declared.select("path").union(named)
     if globs:
         out = out.union(paths.where(F.col("path").rlike("|".join(pattern_expression(g) for g in globs))))
