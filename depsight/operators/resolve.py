@@ -22,13 +22,26 @@ def candidates(path: Column) -> Column:
 
 
 def answers(files: DataFrame) -> DataFrame:
-    """_at, target: every path that files (path) answer for, and the one that is its first candidate. candidates() read backwards: a file has a few paths that it
-    can stand for, while a path has many candidates."""
+    """_trunk, _at, target: every path that files (path) answer for, its trunk(), and the one that is its first candidate. candidates() read backwards: a file has a
+    few paths that it can stand for, while a path has many candidates. Rows lie together by trunk."""
     path = F.col("path")
     ends = ["", *[f".{e}" for e in P.CANDIDATE_EXTENSIONS], *[f"/index.{e}" for e in P.CANDIDATE_EXTENSIONS]]
     each = F.array(*[F.struct(F.when(path.endswith(e), F.substring(path, F.lit(1), F.length(path) - len(e))).alias("at"), F.lit(k).alias("pos")) for k, e in enumerate(ends)])
-    spread = files.select("path", F.explode(F.filter(each, lambda x: x["at"].isNotNull())).alias("x")).select("path", "x.at", "x.pos")
-    return spread.groupBy(F.col("at").alias("_at")).agg(F.min_by("path", "pos").alias("target"))
+    spread = files.select(trunk(path).alias("_trunk"), "path", F.explode(F.filter(each, lambda x: x["at"].isNotNull())).alias("x")).repartition("_trunk")
+    return spread.groupBy("_trunk", F.col("x.at").alias("_at")).agg(F.min_by("path", "x.pos").alias("target"))
+
+
+def trunk(path: Column) -> Column:
+    """A path without the ends that candidates have: a file and all paths that it answers for have the same one."""
+    return F.regexp_replace(path, rf"(?:/index|\.(?:{'|'.join(sorted({x for e in P.CANDIDATE_EXTENSIONS for x in e.split('.')}))}))+\z", "")
+
+
+def by_trunk(rows: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, target, _trunk of the rows (keys, _at) whose path one of the files (path) answers for. Rows meet files by trunk, and lie together by it."""
+    known = answers(files).groupBy("_trunk").agg(F.map_from_entries(F.collect_list(F.struct("_at", "target"))).alias("_found"))  # one trunk's paths
+    cut = rows.withColumn("_trunk", trunk(F.col("_at"))).withColumn("_end", F.expr("substring(_at, length(_trunk) + 1)")).drop("_at")  # the trunk isn't moved twice
+    met = cut.join(known.hint("shuffle_hash"), "_trunk").withColumn("target", F.try_element_at("_found", F.concat("_trunk", "_end")))
+    return met.where("target IS NOT NULL").select(*keys, "target", "_trunk")
 
 
 def probed(asked: DataFrame, path: Column, files: Lookup, keys: list[str], many: bool = False) -> DataFrame:
@@ -39,7 +52,7 @@ def probed(asked: DataFrame, path: Column, files: Lookup, keys: list[str], many:
     """
     rows = asked.select(*keys, path.alias("_at"))
     if many and isinstance(files, DataFrame):
-        return rows.join(answers(files).hint("shuffle_hash"), "_at").select(*keys, "target")
+        return by_trunk(rows, files, keys).drop("_trunk")
     rows = written(rows, "asked") if many else rows
     spread = rows.select("_at").distinct().select("_at", F.posexplode(candidates(F.col("_at"))).alias("_pos", "_path"))
     there = looked_up(files, spread.select(F.col("_path").alias("path")))
@@ -60,13 +73,18 @@ def workspace_packages(imports: DataFrame, packages: Lookup, files: Lookup) -> D
     What a specifier means depends on no file, so distinct specifiers are looked up.
     """
     asked = imports.where(~P.is_relative(F.col("source"))).select("file_id", "source").distinct()
+    return asked.join(of_packages(asked, packages, files), "source").select("file_id", "source", "target")
+
+
+def of_packages(asked: DataFrame, packages: Lookup, files: Lookup) -> DataFrame:
+    """source, target of those specifiers (source) that workspace_packages() finds."""
     heads = F.transform(F.sequence(F.lit(1), F.size(F.split("source", "/"))), lambda i: F.array_join(F.slice(F.split("source", "/"), 1, i), "/"))
     spread = asked.select("source").distinct().select("source", F.explode(heads).alias("name"))
     met = spread.join(looked_up(packages, spread.select("name")).select("name", "root", "entry"), "name")
     exact = met.where("source = name AND entry IS NOT NULL").select("source", F.col("entry").alias("target"))
     below = met.where("source <> name").withColumn("path", P.joined(F.col("root"), F.expr("substring(source, length(name) + 2, length(source))")))
     found = probed(below, F.col("path"), files, ["source", "name"]).groupBy("source").agg(F.max_by("target", F.length("name")).alias("target"))
-    return asked.join(exact.unionByName(found.join(exact.select("source"), "source", "left_anti")), "source").select("file_id", "source", "target")
+    return exact.unionByName(found.join(exact.select("source"), "source", "left_anti"))
 
 
 def aliases(imports: DataFrame, configs: Lookup, files: Lookup) -> DataFrame:
@@ -76,17 +94,24 @@ def aliases(imports: DataFrame, configs: Lookup, files: Lookup) -> DataFrame:
     """
     from depsight.operators.folders import deepest
 
-    folders = configs.select("dir") if isinstance(configs, DataFrame) else lambda dirs: configs(dirs).select("dir")
     asked = imports.where(~P.is_relative(F.col("source"))).select("file_id", "source").distinct()
-    near = deepest(asked.select(F.col("file_id").alias("id")).distinct(), folders).where("dir IS NOT NULL").select("id", "dir")
+    near = deepest(asked.select(F.col("file_id").alias("id")).distinct(), config_folders(configs)).where("dir IS NOT NULL").select("id", "dir")
     asked = asked.join(near, F.col("file_id") == F.col("id")).select("file_id", "source", "dir")
+    return asked.join(of_aliases(asked, configs, files), ["dir", "source"]).select("file_id", "source", "target")
+
+
+def config_folders(configs: Lookup) -> Lookup:
+    return configs.select("dir") if isinstance(configs, DataFrame) else lambda dirs: configs(dirs).select("dir")
+
+
+def of_aliases(asked: DataFrame, configs: Lookup, files: Lookup) -> DataFrame:
+    """dir, source, target of those specifiers (dir: their nearest config's, source) that aliases() finds."""
     rows = asked.select("dir", "source").distinct()
     rows = rows.join(looked_up(configs, rows.select("dir")).select("dir", "base_url", F.inline("paths")), "dir")
     rows = rows.withColumn("capture", P.pattern_capture(F.col("pattern"), F.col("source"))).where("capture IS NOT NULL")
     rows = rows.select("dir", "source", "pattern", "base_url", "capture", F.posexplode("subs").alias("sub_pos", "sub"))
     met = probed(rows, P.joined(F.col("base_url"), P.fill_star(F.col("sub"), F.col("capture"))), files, ["dir", "source", "pattern", "sub_pos"])
-    best = met.groupBy("dir", "source").agg(F.min_by("target", F.struct(-F.length("pattern"), "pattern", "sub_pos")).alias("target"))
-    return asked.join(best, ["dir", "source"]).select("file_id", "source", "target")
+    return met.groupBy("dir", "source").agg(F.min_by("target", F.struct(-F.length("pattern"), "pattern", "sub_pos")).alias("target"))
 
 
 def templates(imports: DataFrame, files: Lookup) -> DataFrame:
@@ -102,21 +127,54 @@ def templates(imports: DataFrame, files: Lookup) -> DataFrame:
     return asked.join(known, "folder").where(F.col("name").startswith(F.col("head")) & (F.col("path") != F.col("file_id"))).select("file_id", "source", F.col("path").alias("target"))
 
 
+def named(imports: DataFrame, files: Lookup, packages: Lookup, configs: Lookup, siblings: Lookup | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables of file_id, source: of relative specifiers and the path that they name (path); of what is known to lead to a file (target); and of external
+    packages (target). Rows are as often there as files have them.
+
+    What a bare specifier means depends on its importer's folder alone, so distinct specifiers are looked up for each config's folder. What leads into the tree is
+    written, and rows of statements meet it; they are neither made distinct nor grouped.
+    """
+    from depsight.operators.folders import deepest
+
+    plain = imports.where("NOT is_unresolvable AND NOT is_template AND source <> ''")
+    near = plain.where(P.is_relative(F.col("source"))).select("file_id", "source", P.joined(P.dir_name(F.col("file_id")), F.col("source")).alias("path"))
+    bare = plain.where(~P.is_relative(F.col("source"))).select("file_id", "source", P.dir_name(F.col("file_id")).alias("folder"))
+    importers = written(bare.groupBy("folder").agg(F.min("file_id").alias("id")), "importers")
+    scopes = written(deepest(importers, config_folders(configs)).select("folder", "dir"), "scopes")
+    bare = bare.join(scopes, "folder").select("file_id", "source", "dir")
+    sources = written(bare.select("dir", "source").distinct(), "sources")
+    ours, alias = together(of_packages(sources, packages, files), of_aliases(sources.where("dir IS NOT NULL"), configs, files))  # each is asked for more than once below
+    inside = sources.join(ours, "source").select("dir", "source", "target").unionByName(alias.join(ours, "source", "left_anti").select("dir", "source", "target"))
+    inside = written(inside, "inside").select(F.col("dir").alias("_dir"), F.col("source").alias("_source"), "target")
+    same = (F.col("source") == F.col("_source")) & F.col("dir").eqNullSafe(F.col("_dir"))
+    known = bare.join(inside, same).select("file_id", "source", "target").unionByName(templates(imports, files if siblings is None else siblings))
+    outside = bare.join(inside, same, "left_anti").select("file_id", "source", P.bare_package(F.col("source")).alias("target")).where("target IS NOT NULL")
+    return near, known, outside
+
+
 def resolved(imports: DataFrame, files: Lookup, packages: Lookup, configs: Lookup, siblings: Lookup | None = None) -> DataFrame:
-    """file_id, source, kind (file, external), target for every import that leads somewhere; a relative one as often as its file has it.
+    """file_id, source, kind (file, external), target for every import that leads somewhere, as often as its file has it.
 
     The order: templates by folder; relative by file; then workspace packages, path aliases, and last the name of an external package.
     files, packages, configs may be lookups by path, name and dir; then siblings is one of files by folder.
     """
-    plain = imports.where("NOT is_unresolvable AND NOT is_template AND source <> ''")
-    keys = ["file_id", "source"]
-    near, many = relative(plain, files, distinct=False), templates(imports, files if siblings is None else siblings)
-    ours, alias = together(workspace_packages(plain, packages, files), aliases(plain, configs, files))  # each is asked for more than once below
-    alias = alias.join(ours.select(*keys), keys, "left_anti")
-    taken = ours.select(*keys).union(alias.select(*keys))
-    outside = plain.where(~P.is_relative(F.col("source"))).select(*keys).distinct().join(taken, keys, "left_anti").withColumn("target", P.bare_package(F.col("source"))).where("target IS NOT NULL")
-    found = near.unionByName(ours).unionByName(alias).unionByName(many).withColumn("kind", F.lit("file"))
-    return found.unionByName(outside.withColumn("kind", F.lit("external"))).select(*keys, "kind", "target")
+    return _kinds(*named(imports, files, packages, configs, siblings), files)
+
+
+def _kinds(near: DataFrame, known: DataFrame, outside: DataFrame, files: Lookup) -> DataFrame:
+    found = probed(near, F.col("path"), files, ["file_id", "source"], many=True).unionByName(known).withColumn("kind", F.lit("file"))
+    return found.unionByName(outside.withColumn("kind", F.lit("external"))).select("file_id", "source", "kind", "target")
+
+
+def resolved_once(imports: DataFrame, files: DataFrame, packages: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """resolved(); file_id, target of what leads to a file, each once; and file_id, target of external packages, as often as files have them.
+
+    What is known to lead to a file names it, and meets files with all others: rows move once, by the trunk of what they name, and are made distinct where they lie.
+    """
+    near, known, outside = named(imports, files, packages, configs)
+    asked = near.select("file_id", F.col("path").alias("_at")).unionByName(known.select("file_id", F.col("target").alias("_at")))
+    inside = by_trunk(asked, files, ["file_id"]).groupBy("_trunk", "file_id", "target").agg(F.lit(1)).select("file_id", "target")
+    return _kinds(near, known, outside, files), inside, outside.select("file_id", "target")
 
 
 def entries(manifests: DataFrame, files: DataFrame) -> DataFrame:

@@ -23,7 +23,8 @@ class Index:
     """nodes, edges, imports (statements), targets (resolved), errors of a tree (files: path, content; owned: id, package of those that are nodes; packages and
     configs: what its manifests say).
 
-    Nodes and edges are worked out and written when they are first asked for; targets are a plan, of which each reads its part.
+    Nodes and edges are worked out and written when they are first asked for; targets are a plan, of which each reads its part. inside (file_id, target, each
+    once) and far (file_id, target) are its two kinds, where they are at hand.
     """
 
     files: DataFrame
@@ -35,12 +36,25 @@ class Index:
     errors: DataFrame
     include_tests: bool = False
     root_name: str = "."
+    inside: DataFrame | None = None
+    far: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        if self.inside is None:
+            self.inside = self.targets.where("kind = 'file'").select("file_id", "target").distinct()
+        if self.far is None:
+            self.far = self.targets.where("kind = 'external'").select("file_id", "target")
+
+    @cached_property
+    def owners(self) -> DataFrame:
+        """folder, package: files of one folder have one owner, and statements are far more than folders."""
+        return written(owners_of_folders(self.owned), "owners")
 
     @cached_property
     def outside(self) -> DataFrame:
         """owner, target: what a package's files import from outside is one edge of the package, while any file does."""
         owner = F.coalesce("package", F.lit("(unattributed)"))
-        uses = self.targets.where("kind = 'external'").select("file_id", "target").join(self.owned, F.col("file_id") == F.col("id"))
+        uses = self.far.join(self.owners, P.dir_name(F.col("file_id")) == F.col("folder"))
         return written(uses.select(owner.alias("owner"), "target").distinct(), "outside")
 
     @cached_property
@@ -52,11 +66,15 @@ class Index:
         others = self.outside.select("target").distinct().select(P.external_id(F.col("target")).alias("id"), F.col("target").alias("path"), F.col("target").alias("label"), none.alias("package"), F.lit("external").alias("kind"))
         return written(plain.unionByName(groups).unionByName(others), "nodes")
 
+    def links(self) -> DataFrame:
+        """src, dst, each once, as a plan: for who reads edges no more than once. Those of files and of packages have no row in common."""
+        inside = self.inside.select(F.col("file_id").alias("src"), F.col("target").alias("dst"))
+        return inside.union(self.outside.select(P.package_id(F.col("owner")), P.external_id(F.col("target"))))
+
     @cached_property
     def edges(self) -> DataFrame:
         """src, dst."""
-        inside = self.targets.where("kind = 'file'").select(F.col("file_id").alias("src"), F.col("target").alias("dst"))
-        return written(inside.union(self.outside.select(P.package_id(F.col("owner")), P.external_id(F.col("target")))).distinct(), "edges")
+        return written(self.links(), "edges")
 
     def unresolved(self) -> DataFrame:
         """n: dynamic imports that lead to no node."""
@@ -78,7 +96,10 @@ def build(files: DataFrame, include_tests: bool = False, root_name: str = ".", k
     files = written(files.select("path", "content"), "files") if keep else files.select("path", "content")
     imports, errors = reader.imports(files.where(P.passes(F.col("path"), include_tests)))
     packages, configs = described(files, root_name)
-    return Index(files, owners(files, packages, include_tests), packages, configs, imports, targets(imports, files, packages, configs, include_tests), errors, include_tests, root_name)
+    found, inside, far = resolve.resolved_once(imports, files.select("path"), entries(packages, files), configs)
+    node = P.passes(F.col("target"), include_tests)
+    found = found.where((F.col("kind") == "external") | node)
+    return Index(files, owners(files, packages, include_tests), packages, configs, imports, found, errors, include_tests, root_name, inside.where(node), far)
 
 
 def described(files: DataFrame, root_name: str) -> tuple[DataFrame, DataFrame]:
@@ -94,10 +115,18 @@ def owners(files: DataFrame, packages: DataFrame, include_tests: bool) -> DataFr
     return written(found.select("id", F.col("name").alias("package")), "owned")
 
 
+def owners_of_folders(owned: DataFrame) -> DataFrame:
+    """folder, package of files (id, package), whose package is that of the deepest root above them."""
+    return owned.select(P.dir_name(F.col("id")).alias("folder"), "package").distinct()
+
+
+def entries(packages: DataFrame, files: DataFrame) -> DataFrame:
+    return written(resolve.entries(packages, files.select("path")), "entries")
+
+
 def targets(imports: DataFrame, files: DataFrame, packages: DataFrame, configs: DataFrame, include_tests: bool) -> DataFrame:
     """file_id, source, kind, target of the imports that lead to a node or out of the tree. A target inside is one of the files, so that its name alone tells whether it is a node."""
-    entries = written(resolve.entries(packages, files.select("path")), "entries")
-    found = resolve.resolved(imports, files.select("path"), entries, configs)
+    found = resolve.resolved(imports, files.select("path"), entries(packages, files), configs)
     return found.where((F.col("kind") == "external") | P.passes(F.col("target"), include_tests))
 
 

@@ -53,8 +53,9 @@ def module_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """f, t: keys of every consecutive pair of an order's lines, as often as it is there."""
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    after = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")  # the lines of one order
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    # the lines of one order; those that tie here have the same part, so that suppliers, who break ties in the SQL, change no pair and needn't be moved
+    after = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     return lines.withColumn("t", F.lead("l_partkey").over(after)).where("t IS NOT NULL").select(F.col("l_partkey").alias("f"), "t")
 
 
