@@ -158,23 +158,22 @@ def resolved(imports: DataFrame, files: Lookup, packages: Lookup, configs: Looku
     The order: templates by folder; relative by file; then workspace packages, path aliases, and last the name of an external package.
     files, packages, configs may be lookups by path, name and dir; then siblings is one of files by folder.
     """
-    return _kinds(*named(imports, files, packages, configs, siblings), files)
+    return met(*named(imports, files, packages, configs, siblings), files)
 
 
-def _kinds(near: DataFrame, known: DataFrame, outside: DataFrame, files: Lookup) -> DataFrame:
+def met(near: DataFrame, known: DataFrame, outside: DataFrame, files: Lookup) -> DataFrame:
+    """resolved() of what named() gives, or of some of its rows."""
     found = probed(near, F.col("path"), files, ["file_id", "source"], many=True).unionByName(known).withColumn("kind", F.lit("file"))
     return found.unionByName(outside.withColumn("kind", F.lit("external"))).select("file_id", "source", "kind", "target")
 
 
-def resolved_once(imports: DataFrame, files: DataFrame, packages: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """resolved(); file_id, target of what leads to a file, each once; and file_id, target of external packages, as often as files have them.
+def met_once(near: DataFrame, known: DataFrame, files: DataFrame) -> DataFrame:
+    """file_id, target of what leads to a file (near, known: as named() gives them), each once.
 
     What is known to lead to a file names it, and meets files with all others: rows move once, by the trunk of what they name, and are made distinct where they lie.
     """
-    near, known, outside = named(imports, files, packages, configs)
     asked = near.select("file_id", F.col("path").alias("_at")).unionByName(known.select("file_id", F.col("target").alias("_at")))
-    inside = by_trunk(asked, files, ["file_id"]).groupBy("_trunk", "file_id", "target").agg(F.lit(1)).select("file_id", "target")
-    return _kinds(near, known, outside, files), inside, outside.select("file_id", "target")
+    return by_trunk(asked, files, ["file_id"]).groupBy("_trunk", "file_id", "target").agg(F.lit(1)).select("file_id", "target")
 
 
 def entries(manifests: DataFrame, files: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from depsight.functions import paths as P
 from depsight.operators import folders, graphs, resolve
 from depsight.sources import imports as reader
 from depsight.sources import manifests
-from depsight.tables import written
+from depsight.tables import packed, written
 
 #: Errors that are kept for show.
 RING = 64
@@ -24,7 +24,7 @@ class Index:
     configs: what its manifests say).
 
     Nodes and edges are worked out and written when they are first asked for; targets are a plan, of which each reads its part. inside (file_id, target, each
-    once) and far (file_id, target) are its two kinds, where they are at hand.
+    once), far (file_id, target) and parts (as resolve.named() gives them) are what they consist of, where it is at hand.
     """
 
     files: DataFrame
@@ -38,6 +38,7 @@ class Index:
     root_name: str = "."
     inside: DataFrame | None = None
     far: DataFrame | None = None
+    parts: tuple[DataFrame, DataFrame, DataFrame] | None = None
 
     def __post_init__(self) -> None:
         if self.inside is None:
@@ -78,8 +79,17 @@ class Index:
 
     def unresolved(self) -> DataFrame:
         """n: dynamic imports that lead to no node."""
-        hit = self.targets.select("file_id", "source").distinct().withColumn("hit", F.lit(True))
-        return self.imports.where("kind = 'dynamic'").join(hit, ["file_id", "source"], "left").agg(F.count(F.when(F.col("hit").isNull(), 1)).alias("n"))
+        return self.unresolved_of_files().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+    def unresolved_of_files(self) -> DataFrame:
+        """file_id, n: dynamic imports of each file that lead to no node; files without any are left out. Of all statements only those that name the same are resolved."""
+        asked = written(self.imports.where("kind = 'dynamic'").select("file_id", "source"), "dynamic")
+        return unresolved(asked, self.targets_of(asked.distinct()))
+
+    def targets_of(self, asked: DataFrame) -> DataFrame:
+        """The targets of some statements (file_id, source)."""
+        some = lambda df: df.join(asked, ["file_id", "source"], "left_semi")
+        return some(self.targets) if self.parts is None else nodes_only(resolve.met(*map(some, self.parts), self.files.select("path")), self.include_tests)
 
     def messages(self, last: int = RING) -> DataFrame:
         """path, message of the last errors by path, as they are shown."""
@@ -93,13 +103,13 @@ class Index:
 
 def build(files: DataFrame, include_tests: bool = False, root_name: str = ".", keep: bool = True) -> Index:
     """The raw graph of all files. keep: files are written first; without, they are a written table already."""
-    files = written(files.select("path", "content"), "files") if keep else files.select("path", "content")
+    files = packed(files.select("path", "content"), "files") if keep else files.select("path", "content")
     imports, errors = reader.imports(files.where(P.passes(F.col("path"), include_tests)))
     packages, configs = described(files, root_name)
-    found, inside, far = resolve.resolved_once(imports, files.select("path"), entries(packages, files), configs)
-    node = P.passes(F.col("target"), include_tests)
-    found = found.where((F.col("kind") == "external") | node)
-    return Index(files, owners(files, packages, include_tests), packages, configs, imports, found, errors, include_tests, root_name, inside.where(node), far)
+    paths = files.select("path")
+    near, known, far = parts = resolve.named(imports, paths, entries(packages, files), configs)
+    found, inside = nodes_only(resolve.met(*parts, paths), include_tests), resolve.met_once(near, known, paths).where(P.passes(F.col("target"), include_tests))
+    return Index(files, owners(files, packages, include_tests), packages, configs, imports, found, errors, include_tests, root_name, inside, far.select("file_id", "target"), parts)
 
 
 def described(files: DataFrame, root_name: str) -> tuple[DataFrame, DataFrame]:
@@ -126,10 +136,19 @@ def entries(packages: DataFrame, files: DataFrame) -> DataFrame:
 
 def targets(imports: DataFrame, files: DataFrame, packages: DataFrame, configs: DataFrame, include_tests: bool) -> DataFrame:
     """file_id, source, kind, target of the imports that lead to a node or out of the tree. A target inside is one of the files, so that its name alone tells whether it is a node."""
-    found = resolve.resolved(imports, files.select("path"), entries(packages, files), configs)
+    return nodes_only(resolve.resolved(imports, files.select("path"), entries(packages, files), configs), include_tests)
+
+
+def nodes_only(found: DataFrame, include_tests: bool) -> DataFrame:
     return found.where((F.col("kind") == "external") | P.passes(F.col("target"), include_tests))
 
 
+def unresolved(dynamic: DataFrame, found: DataFrame) -> DataFrame:
+    """file_id, n: of each file those dynamic imports (file_id, source) that lead nowhere; files without any are left out."""
+    hit = found.select("file_id", "source").distinct().withColumn("hit", F.lit(True))
+    return dynamic.join(hit, ["file_id", "source"], "left").where("hit IS NULL").groupBy("file_id").agg(F.count("*").alias("n"))
+
+
 def updated(old: Index, changes: DataFrame) -> Index:
     """The index after changes (path, content, removed): only files that changed are parsed and resolved again.
 

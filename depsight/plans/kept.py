@@ -20,7 +20,7 @@ from depsight.operators import folders, resolve
 from depsight.plans import index
 from depsight.sources import imports as reader
 from depsight.sources import manifests
-from depsight.sources.store import PER_BUCKET, Store
+from depsight.sources.store import PER_BUCKET, Store, Tables
 from depsight.tables import together, written
 
 OUTSIDE = "(unattributed)"
@@ -39,17 +39,10 @@ def summed(*parts: DataFrame) -> DataFrame:
     return rows.groupBy(*names).agg(F.sum("n").alias("n")).where("n <> 0")
 
 
-def unresolved(imports: DataFrame, found: DataFrame) -> DataFrame:
-    """file_id, n: dynamic imports of each file that lead nowhere; files without any are left out."""
-    hit = found.select("file_id", "source").distinct().withColumn("hit", F.lit(True))
-    missed = imports.where("kind = 'dynamic'").join(hit, ["file_id", "source"], "left").where("hit IS NULL")
-    return missed.groupBy("file_id").agg(F.count("*").alias("n"))
-
-
-def uses(found: DataFrame, owned: DataFrame, n: int = 1) -> DataFrame:
-    """src (package node), dst (external node), n: files of each package that import from outside. found: file_id, kind, target; owned: id, package."""
-    outside = found.where("kind = 'external'").select("file_id", "target").distinct().join(owned, F.col("file_id") == F.col("id"))
-    return outside.select(P.package_id(F.coalesce("package", F.lit(OUTSIDE))).alias("src"), P.external_id(F.col("target")).alias("dst")).groupBy("src", "dst").agg((F.count("*") * n).alias("n"))
+def uses(found: DataFrame, owners: DataFrame, n: int = 1) -> DataFrame:
+    """src (package node), dst (external node), n: files of each package that import from outside. found: file_id, kind, target, each once; owners: folder, package."""
+    outside = found.where("kind = 'external'").select("file_id", "target").join(owners, P.dir_name(F.col("file_id")) == F.col("folder"))
+    return outside.groupBy(F.coalesce("package", F.lit(OUTSIDE)).alias("owner"), "target").agg((F.count("*") * n).alias("n")).select(P.package_id(F.col("owner")).alias("src"), P.external_id(F.col("target")).alias("dst"), "n")
 
 
 def ends(of_uses: DataFrame) -> DataFrame:
@@ -74,15 +67,20 @@ class KeptIndex:
         """The index of all files (path, content), as the first version in a folder. keep: as in index.build()."""
         spark, g = files.sparkSession, index.build(files, include_tests, root_name, keep)
         listing = written(g.files.select("path").distinct(), "listing")
-        found = written(g.targets.select("file_id", "kind", "target").distinct(), "targets")
-        held = written(uses(found, g.owned), "uses")
+        kind = lambda df, name: df.select("file_id", F.lit(name).alias("kind"), "target")
         tables = {
+            "targets": (kind(g.inside, "file").unionByName(kind(g.far, "external")), ["file_id"], g.imports.count()),
             "listing": (listing, ["path"]), "siblings": (listing.select(P.dir_name(F.col("path")).alias("folder"), "path"), ["folder"]), "files": (g.owned, ["id"]),
             "roots": (g.packages.select(F.col("root").alias("dir"), "name"), ["dir"]), "names": (resolve.entries(g.packages, listing).select("name", "root", "entry"), ["name"]), "configs": (g.configs, ["dir"]),
-            "targets": (found, ["file_id"]), "incoming": (found.where("kind = 'file'").select("target", "file_id"), ["target"]), "uses": (held, ["src", "dst"]), "refs": (ends(held), ["id"]),
-            "unresolved": (unresolved(g.imports, g.targets), ["file_id"]), "errors": (g.errors.select("kind", "path", "message"), ["path"]),
+            "unresolved": (written(g.unresolved_of_files(), "unresolved"), ["file_id"]), "errors": (g.errors.select("kind", "path", "message"), ["path"]),
         }
-        return cls(Store.create(spark, path, tables, {"include_tests": include_tests, "batch": -1}, per_bucket))
+
+        def then(draft: Store) -> Tables:  # what follows from targets is read where they are, file by file
+            found = draft.all("targets").drop("n")
+            held = written(uses(found, g.owners), "uses")
+            return {"incoming": (found.where("kind = 'file'").select("target", "file_id"), ["target"]), "uses": (held, ["src", "dst"]), "refs": (ends(held), ["id"])}
+
+        return cls(Store.create(spark, path, tables, {"include_tests": include_tests, "batch": -1}, per_bucket, then))
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> KeptIndex:
@@ -136,18 +134,22 @@ class KeptIndex:
 
         # what the files held and what led to those that go
         led = store.of("incoming", lost.select(F.col("id").alias("target"))).join(by_file, "file_id", "left_anti")
-        targets = summed(signed(found.select("file_id", "kind", "target").distinct(), 1, "file_id", "kind", "target"), signed(old_targets, -1, "file_id", "kind", "target"), signed(led, -1, "file_id", F.lit("file").alias("kind"), "target"))
-        held = summed(uses(found, owned), uses(old_targets, old_files.select("id", "package"), -1))
+        row = ("file_id", "kind", "target")
+        gone_rows = old_targets.join(lost.withColumnRenamed("id", "file_id"), "file_id", "left_semi")  # of files that go nothing stays, so there is nothing to add up
+        targets = summed(signed(found.select(*row).distinct(), 1, *row), signed(old_targets.join(lost.withColumnRenamed("id", "file_id"), "file_id", "left_anti"), -1, *row))
+        targets = targets.unionByName(signed(gone_rows, -1, *row)).unionByName(signed(led, -1, "file_id", F.lit("file").alias("kind"), "target"))
+        owners = kept(index.owners_of_folders(owned.unionByName(old_files.select("id", "package"))))  # by the same roots
+        held = summed(uses(found.select("file_id", "kind", "target").distinct(), owners), uses(old_targets, owners, -1))
         listing = summed(signed(came, 1, "path"), signed(there, -1, "path"))  # a path that is there and comes again is no change
-        targets, held, listing, misses = together(targets, held, listing, unresolved(fresh, found))
+        targets, held, listing, misses = together(targets, held, listing, index.unresolved(fresh.where("kind = 'dynamic'"), found))
         nodes, edges = kept(ends(held).where("n <> 0")), crossed(held, store.of("uses", held), ["src", "dst"])
 
         none, file_edges = F.lit(None).cast("string"), targets.where("kind = 'file'")
-        row = lambda df, op, entity, **cols: df.select(op.alias("op"), F.lit(entity).alias("entity"), *[cols.get(c, none).alias(c) for c in ("id", "src", "dst")])
+        line = lambda df, op, entity, **cols: df.select(op.alias("op"), F.lit(entity).alias("entity"), *[cols.get(c, none).alias(c) for c in ("id", "src", "dst")])
         own = F.when(F.col("n") > 0, "add").otherwise("remove")
-        diff = row(file_edges, own, "edge", src=F.col("file_id"), dst=F.col("target"))
-        diff = diff.union(row(edges, F.col("op"), "edge", src=F.col("src"), dst=F.col("dst"))).union(row(crossed(nodes, store.of("refs", nodes), ["id"]), F.col("op"), "node", id=F.col("id")))
-        diff = diff.union(row(owned.join(old_files, "id", "left_anti"), F.lit("add"), "node", id=F.col("id"))).union(row(lost.join(old_files, "id", "left_semi"), F.lit("remove"), "node", id=F.col("id")))
+        diff = line(file_edges, own, "edge", src=F.col("file_id"), dst=F.col("target"))
+        diff = diff.union(line(edges, F.col("op"), "edge", src=F.col("src"), dst=F.col("dst"))).union(line(crossed(nodes, store.of("refs", nodes), ["id"]), F.col("op"), "node", id=F.col("id")))
+        diff = diff.union(line(owned.join(old_files, "id", "left_anti"), F.lit("add"), "node", id=F.col("id"))).union(line(lost.join(old_files, "id", "left_semi"), F.lit("remove"), "node", id=F.col("id")))
         diff = written(diff, "diff")
 
         errors = store.of("errors", changes.select("path"))

@@ -117,8 +117,8 @@ def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.regexp_replace(F.regexp_replace("id", "^packages/", ""), r"(/index)?\.(d\.)?[^./]*$", "")
     named = each.where(P.passes(F.col("id"))).select(F.col("k").alias("t"), statement(F.concat(F.lit("../../"), plain)).alias("line")).repartition("t").distinct().hint("shuffle_hash")
     near = pairs(spark, sf_dir).repartition("t").distinct().join(named, "t").select(F.col("f").alias("k"), "line")
-    uses = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct().select(F.col("l_partkey").alias("k"), statement(F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string"))).alias("line"))
-    lines = near.union(uses).repartition("k").groupBy("k").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("content"))  # one file's imports
+    uses = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), statement(F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string"))).alias("line"))
+    lines = near.union(uses).repartition("k").groupBy("k").agg(F.array_join(F.sort_array(F.collect_set("line")), "\n").alias("content"))  # one file's imports
     sources = each.join(lines.hint("merge"), "k", "left").select(F.col("id").alias("path"), F.coalesce(F.when(P.passes(F.col("id")), F.col("content")), F.lit("")).alias("content"))
     return sources.unionByName(manifests(spark, each))
 

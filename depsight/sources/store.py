@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -20,14 +21,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from depsight.tables import TIGHT
+
 #: Rows of a bucket, and buckets of a run at most.
 PER_BUCKET, MOST_BUCKETS = 100_000, 1 << 14
-#: Tables that are written side by side.
-AT_ONCE = 8
+#: Tables that are written side by side, and buckets that one task writes where rows are made distinct.
+AT_ONCE, BUCKETS_AT_ONCE = 8, 8
 #: Versions that are kept; what only older ones name is removed.
 KEPT = 3
 
 
+#: What a first version holds: rows and key of each table, and about how many rows there are where some may be there twice.
+Tables = dict[str, tuple[DataFrame, list[str]] | tuple[DataFrame, list[str], int]]
+
+
 class Taken(RuntimeError):
     """Another writer has published this version."""
 
@@ -38,9 +45,10 @@ class Run:
     rows: int
     buckets: int
     there: list[int]  # the buckets that have rows
+    once: bool = False  # whether no row is there twice for sure
 
     def row(self) -> dict:
-        return {"path": self.path, "rows": self.rows, "buckets": self.buckets, "there": self.there}
+        return {"path": self.path, "rows": self.rows, "buckets": self.buckets, "there": self.there, "once": self.once}
 
 
 @dataclass
@@ -62,10 +70,20 @@ class Store:
     per_bucket: int = PER_BUCKET
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, tables: dict[str, tuple[DataFrame, list[str]]], more: dict | None = None, per_bucket: int = PER_BUCKET) -> Store:
-        """The first version: of each table its rows, each counting once (or as its column n says), and its key. A folder that has versions already is an error."""
-        empty = cls(spark, path.rstrip("/"), -1, {name: Table(key, StructType([x for x in df.schema if x.name != "n"])) for name, (df, key) in tables.items()}, {}, per_bucket)
-        return empty.commit({name: df if "n" in df.columns else df.withColumn("n", F.lit(1).cast("long")) for name, (df, _) in tables.items()}, more)
+    def create(cls, spark: SparkSession, path: str, tables: Tables, more: dict | None = None, per_bucket: int = PER_BUCKET, then: Callable[[Store], Tables] | None = None) -> Store:
+        """The first version: of each table its rows, each counting once (or as its column n says), and its key. A folder that has versions already is an error.
+
+        A third entry says that rows may be there twice, of which one is kept, and about how many there are: they move once and are neither counted nor made
+        distinct before. then: more tables, from a store that has the first ones but isn't a version yet.
+        """
+
+        def started(tables: Tables) -> tuple[Store, dict[str, DataFrame], dict[str, int]]:
+            empty = cls(spark, path.rstrip("/"), -1, {name: Table(key, StructType([x for x in df.schema if x.name != "n"])) for name, (df, key, *_) in tables.items()}, {}, per_bucket)
+            rows = {name: df if "n" in df.columns else df.withColumn("n", F.lit(1).cast("long")) for name, (df, *_) in tables.items()}
+            return empty, rows, {name: most[0] for name, (_, _, *most) in tables.items() if most}
+
+        empty, rows, most = started(tables)
+        return empty.commit(rows, more, most, then and (lambda draft: started(then(draft))))
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Store:
@@ -94,6 +112,8 @@ class Store:
         rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         if keys is not None:
             rows = rows.join(keys.distinct(), keys.columns, "left_semi")
+        if [r.once for r in self.tables[name].runs] == [True]:  # nothing to add up
+            return rows.select(*schema.names)
         return rows.groupBy(*schema.names[:-1]).agg(F.sum("n").alias("n")).where("n <> 0")
 
     def all(self, name: str) -> DataFrame:
@@ -105,13 +125,15 @@ class Store:
         keys = keys.select(*self.tables[name].key)
         return self._summed(name, self.paths(name, keys), keys)
 
-    def commit(self, changes: dict[str, DataFrame], more: dict | None = None) -> Store:
-        """The next version: each table with the signed rows of its change (its columns and n) added. Raises Taken where another writer was first."""
+    def commit(self, changes: dict[str, DataFrame], more: dict | None = None, most: dict[str, int] | None = None, then: Callable | None = None) -> Store:
+        """The next version: each table with the signed rows of its change (its columns and n) added. Raises Taken where another writer was first. most, then: create()'s."""
         files, version = Files(self.spark, self.path), self.version + 1
         mark, fresh = f"{version:09}-{uuid.uuid4().hex[:8]}", []
         try:
-            with ThreadPoolExecutor(AT_ONCE) as pool:  # tables are independent: their small jobs run side by side
-                tables = dict(zip(self.tables, pool.map(lambda name: self._grown(name, changes.get(name), mark, fresh, files), self.tables), strict=True))
+            tables = self._all_grown(changes, most or {}, mark, fresh, files)
+            if then is not None:
+                empty, rows, limits = then(Store(self.spark, self.path, version, tables, self.more, self.per_bucket))
+                tables |= empty._all_grown(rows, limits, mark, fresh, files)
             spec = {"tables": {name: {"key": t.key, "schema": t.schema.jsonValue(), "runs": [r.row() for r in t.runs]} for name, t in tables.items()}, "more": self.more | (more or {}), "per_bucket": self.per_bucket}
             files.publish(f"version-{version:09}.json", json.dumps(spec))
         except Exception:
@@ -122,22 +144,30 @@ class Store:
         out._clean(files)
         return out
 
-    def _grown(self, name: str, change: DataFrame | None, mark: str, fresh: list[str], files: Files) -> Table:
+    def _all_grown(self, changes: dict[str, DataFrame], most: dict[str, int], mark: str, fresh: list[str], files: Files) -> dict[str, Table]:
+        with ThreadPoolExecutor(AT_ONCE) as pool:  # tables are independent: their small jobs run side by side
+            return dict(zip(self.tables, pool.map(lambda name: self._grown(name, changes.get(name), mark, fresh, files, most.get(name)), self.tables), strict=True))
+
+    def _grown(self, name: str, change: DataFrame | None, mark: str, fresh: list[str], files: Files, most: int | None = None) -> Table:
         """The table with the rows of its change as a new run, merged with the runs that it has come up with."""
         table = self.tables[name]
         if change is None:
             return table
         names = table.schema.names
         fresh.append(first := f"{name}-{mark}")
+        if most is not None:
+            run = self._write_once(change.select(*names, F.col("n").cast("long").alias("n")), first, table.key, most)
+            return Table(table.key, table.schema, [run] if run.rows else [])
         about = change.count()
-        if self.version < 0:  # rows that are there twice are summed when they are read
+        large = about > self.per_bucket
+        if self.version < 0 or large:  # rows that are there twice are summed when they are read
             delta = change.select(*names, F.col("n").cast("long").alias("n")).where("n <> 0")
         else:
             delta = change.groupBy(*names).agg(F.sum("n").cast("long").alias("n")).where("n <> 0").select(*names, "n")
-        if self.version < 0 or about > self.per_bucket:
+        if self.version < 0 or large:
             run = self._write(delta, first, table.key, about)
         else:  # small: one bucket will do
-            delta.withColumn("bucket", F.lit(0)).coalesce(1).write.partitionBy("bucket").parquet(f"{self.path}/{first}")
+            delta.withColumn("bucket", F.lit(0)).coalesce(1).write.partitionBy("bucket").parquet(f"{self.path}/{first}", compression=TIGHT)
             run = self._counted(first, delta.schema, 1)
         k, total = len(table.runs), run.rows
         while total and k and 2 * total >= table.runs[k - 1].rows:
@@ -147,6 +177,7 @@ class Store:
             fresh.append(last := f"{name}-{mark}-merged")
             rows = self.spark.read.schema(delta.schema).parquet(*[f"{self.path}/{r.path}/bucket={b}" for r in [*table.runs[k:], run] for b in r.there])
             run = self._write(rows.groupBy(*names).agg(F.sum("n").alias("n")).where("n <> 0"), last, table.key, total)
+            run.once = True
             files.remove(first)
         if not run.rows:
             files.remove(run.path)
@@ -156,9 +187,20 @@ class Store:
         many = max(1, min(MOST_BUCKETS, -(-about // self.per_bucket)))
         placed = rows.withColumn("bucket", bucket(key, many))
         placed = placed.hint("rebalance", "bucket") if many > 1 else placed.coalesce(1)
-        placed.write.partitionBy("bucket").parquet(f"{self.path}/{path}")
+        placed.write.partitionBy("bucket").parquet(f"{self.path}/{path}", compression=TIGHT)
         return self._counted(path, rows.schema, many)
 
+    def _write_once(self, rows: DataFrame, path: str, key: list[str], most: int) -> Run:
+        """Rows by buckets, each once: a row's copies meet in its bucket."""
+        many = max(1, min(MOST_BUCKETS, -(-most // self.per_bucket)))
+        parts = max(1, -(-many // BUCKETS_AT_ONCE))
+        names = [c for c in rows.columns if c != "n"]
+        placed = rows.select(*names, bucket(key, many).alias("bucket")).repartition(parts, "bucket")
+        placed.groupBy("bucket", *names).agg(F.lit(1).cast("long").alias("n")).select(*names, "n", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{path}", compression=TIGHT)
+        run = self._counted(path, rows.schema, many)
+        run.once = True
+        return run
+
     def _counted(self, path: str, schema: StructType, many: int) -> Run:
         rows = self.spark.read.schema(StructType([schema["n"], StructField("bucket", IntegerType())])).parquet(f"{self.path}/{path}")
         counts = {r["bucket"]: r["c"] for r in rows.groupBy("bucket").agg(F.count("*").alias("c")).collect()}  # as many rows as buckets
