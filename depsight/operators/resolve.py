@@ -32,8 +32,9 @@ def answers(files: DataFrame) -> DataFrame:
 
 
 def trunk(path: Column) -> Column:
-    """A path without the ends that candidates have: a file and all paths that it answers for have the same one."""
-    return F.regexp_replace(path, rf"(?:/index|\.(?:{'|'.join(sorted({x for e in P.CANDIDATE_EXTENSIONS for x in e.split('.')}))}))+\z", "")
+    """A path without the ends that candidates have: a file and all paths that it answers for have the same one. Most paths asked for have no such end."""
+    ends = rf"(?:/index|\.(?:{'|'.join(sorted({x for e in P.CANDIDATE_EXTENSIONS for x in e.split('.')}))}))+\z"
+    return F.when(P.base_name(path).contains(".") | path.endswith("/index"), F.regexp_replace(path, ends, "")).otherwise(path)
 
 
 def by_trunk(rows: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
